@@ -1,0 +1,68 @@
+"""The full pipeline wired over the driver tables (see ``pulse.sources.fixtures``).
+
+Model steps use the fixture's answer columns (``ColumnResponder``) for the
+per-article answers and the native rule stand-ins for the group-level
+answers (delta, brief, headline).  Everything stays lazy: each function
+returns a DataFrame whose plan starts at the Parquet scans.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pulse.operators.clean import silver_articles, to_bronze
+from pulse.operators.enrich import ColumnResponder
+from pulse.plans import datasets as L
+from pulse.sources.fixtures import AS_OF, FIXTURE_KEEP, article_landing, run_log_frame
+
+ANSWERS = ["sentiment_answer", "esg_answer", "claims_answer", "event_answer"]
+
+
+def landing(spark: SparkSession, sf: str) -> DataFrame:
+    return article_landing(spark, sf)
+
+
+def bronze(spark: SparkSession, sf: str) -> DataFrame:
+    return to_bronze(landing(spark, sf), keep=FIXTURE_KEEP)
+
+
+def silver(spark: SparkSession, sf: str) -> DataFrame:
+    return silver_articles(bronze(spark, sf), keep=FIXTURE_KEEP)
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    return L.scored_articles(silver(spark, sf), ColumnResponder("sentiment_answer"),
+                             keep=["doc_id", "esg_answer", "claims_answer", "event_answer"])
+
+
+def insights(spark: SparkSession, sf: str) -> DataFrame:
+    return L.article_insights(scored(spark, sf), ColumnResponder("esg_answer"),
+                              keep=["doc_id", "claims_answer", "event_answer"])
+
+
+def claims(spark: SparkSession, sf: str) -> DataFrame:
+    return L.claims(insights(spark, sf), ColumnResponder("claims_answer"))
+
+
+def weekly(spark: SparkSession, sf: str) -> DataFrame:
+    return L.weekly_sentiment(insights(spark, sf))
+
+
+def delta(spark: SparkSession, sf: str) -> DataFrame:
+    return L.impact_delta(claims(spark, sf), weekly(spark, sf), as_of=AS_OF)
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return L.news_events(insights(spark, sf), ColumnResponder("event_answer"), as_of=AS_OF)
+
+
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    return L.daily_stats(insights(spark, sf))
+
+
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    return L.daily_summary(daily(spark, sf))
+
+
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    return run_log_frame(spark, sf)
