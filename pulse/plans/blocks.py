@@ -22,6 +22,7 @@ from pulse.operators.clean import expectation_report
 from pulse.operators.filters import first_per_key
 from pulse.plans import datasets as L
 from pulse.plans import fixture_pipeline as FP
+from pulse.sources.tables import ensure_parallelism
 
 
 def audit_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -40,7 +41,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def clean_pages(spark, sf):
     """C3/C4 over raw web pages."""
-    p = _t(spark, sf, "pages")
+    p = ensure_parallelism(_t(spark, sf, "pages"))
     return p.select("page_id", clean_text("html").alias("clean_content"),
                     preview("html").alias("content_preview"),
                     F.length(clean_text("html")).cast("long").alias("clean_chars"))
@@ -155,7 +156,7 @@ def prompt_hashes(spark, sf):
 
 def lexicon_sentiment(spark, sf):
     """K12 stand-in over every document."""
-    d = _t(spark, sf, "documents")
+    d = ensure_parallelism(_t(spark, sf, "documents"))
     return d.select("doc_id", F.round(K.lexicon_score("text"), 4).alias("score"))
 
 
