@@ -9,7 +9,9 @@ from pulse.schemas import PREVIEW_CHARS
 
 TAG_RE = r"<[^>]+>"
 ENTITY_RE = r"&(amp|lt|gt|nbsp|quot);"
-WS_RE = r"\s+"
+# Same result as replacing every ``\s+`` run with one space, but single spaces
+# (the common case) are not matched and rewritten.
+WS_RE = r"\s{2,}|[\t\n\x0B\f\r]"
 
 
 def _c(c) -> Column:
@@ -24,14 +26,23 @@ def collapse_ws(c) -> Column:
     return F.regexp_replace(_c(c), WS_RE, " ")
 
 
+def detagged(c) -> Column:
+    """Tags stripped, whitespace collapsed: the shared first step of clean text and
+    preview (one expression, so Catalyst evaluates it once per row for both)."""
+    return collapse_ws(strip_tags(c))
+
+
 def clean_text(c) -> Column:
-    """Strip tags, drop the five common entities, collapse whitespace, trim."""
-    return F.trim(collapse_ws(F.regexp_replace(strip_tags(c), ENTITY_RE, " ")))
+    """Strip tags, drop the five common entities, collapse whitespace, trim.
+
+    Collapsing before the entity step changes nothing (entities hold no
+    whitespace), so the detagged text can be shared with ``preview``."""
+    return F.trim(collapse_ws(F.regexp_replace(detagged(c), ENTITY_RE, " ")))
 
 
 def preview(c, n: int = PREVIEW_CHARS) -> Column:
     """Dashboard preview: tags stripped and blanks collapsed; entities are kept."""
-    return F.left(F.trim(collapse_ws(strip_tags(c))), F.lit(n))
+    return F.left(F.trim(detagged(c)), F.lit(n))
 
 
 def strip_py(c) -> Column:
