@@ -83,10 +83,20 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row per key by ``order`` (one shuffle on the key)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def first_per_key(df: DataFrame, key: list[str], order: list[Column],
+                  latest: bool = False) -> DataFrame:
+    """The row with the smallest (``latest``: largest) ``order`` per key.
+
+    ``min_by``/``max_by`` over a struct of the order columns is a partial
+    aggregate: every map task reduces a key to one row before the shuffle, so
+    a key holding a third of all rows costs one row per task, not a third of
+    the data in one task (a window over the key would sort it all in one task).
+    """
+    rest = [c for c in df.columns if c not in key]
+    pick = F.max_by if latest else F.min_by
+    row = F.struct(*[F.col(c) for c in rest])
+    return (df.groupBy(*key).agg(pick(row, F.struct(*order)).alias("_r"))
+            .select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns))
 
 
 def cap_per_group(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:

@@ -1,9 +1,9 @@
 """Ingest shaping: record envelope, dedupe, run statistics, feed items.
 
-Per-row steps are narrow; ``dedupe_first`` and ``cap_per_feed`` shuffle once
-on their key (a hot URL or feed lands in one task, but only its rows — and
-the per-feed cap's ``row_number <= n`` is planned as a partial group limit
-before the shuffle).  Dimension tables here (feeds, URL metadata, topics)
+Per-row steps are narrow; ``dedupe_first`` is a partial ``min_by`` aggregate
+(a hot URL is reduced to one row per map task before the shuffle) and the
+per-feed cap's ``row_number <= n`` is planned as a partial group limit before
+the shuffle.  Dimension tables here (feeds, URL metadata, topics)
 are small fixed configuration lists, so broadcasting them is bounded.
 """
 
@@ -71,8 +71,9 @@ def union_sources(*dfs: DataFrame, phase_col: str = "_phase") -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, key: str = "url", order: Sequence[Column] | None = None) -> DataFrame:
-    """First record per non-empty key; ``order`` defines "first" (phase, then position)."""
-    order = list(order) if order else [F.col("_phase").asc()]
+    """First record per non-empty key; ``order`` (ascending columns) defines "first"
+    (phase, then position)."""
+    order = list(order) if order else [F.col("_phase")]
     return first_per_key(df.where(F.col(key).isNotNull() & (F.col(key) != "")), [key], order)
 
 

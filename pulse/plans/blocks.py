@@ -77,7 +77,7 @@ def events_top5(spark, sf):
 def events_latest_per_user(spark, sf):
     """latest event per user (row_number desc)."""
     e = _t(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
-    return first_per_key(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
+    return first_per_key(e, ["user_id"], [F.col("ts"), F.col("event_id")], latest=True)
 
 
 def events_props(spark, sf):
@@ -100,14 +100,14 @@ def events_pivot_counts(spark, sf):
 def landing_dedupe(spark, sf):
     """Keep the first record per URL (phase order, then record order)."""
     lan = FP.landing(spark, sf)
-    return I.dedupe_first(lan, order=[F.col("_scraped_at").asc(), F.col("doc_id").asc()]) \
+    return I.dedupe_first(lan, order=[F.col("_scraped_at"), F.col("doc_id")]) \
         .select("url", "article_id", "doc_id", "source_type")
 
 
 def landing_run_stats(spark, sf):
     """Per-source pre-dedupe counts + post-dedupe total."""
     lan = FP.landing(spark, sf)
-    ded = I.dedupe_first(lan, order=[F.col("_scraped_at").asc(), F.col("doc_id").asc()])
+    ded = I.dedupe_first(lan, order=[F.col("_scraped_at"), F.col("doc_id")])
     return I.run_stats(lan, ded, run_ts="2024-04-30 04:00:00").select(
         "source_type", "count")
 

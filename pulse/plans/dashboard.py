@@ -266,17 +266,25 @@ def events_by_type(events: DataFrame, days: int = 30, as_of=DEFAULT_AS_OF) -> Da
 
 
 def events_by_region(events: DataFrame, days: int = 30, as_of=DEFAULT_AS_OF,
-                     n: int = 15) -> DataFrame:
-    """Top regions by count; critical/high headlines per region in a fixed order."""
+                     n: int = 15, headlines: int = 10) -> DataFrame:
+    """Top regions by event count, each with its critical/high event count and the
+    newest ``headlines`` critical/high titles (a per-region top-k list)."""
     r = _recent(events, days, as_of, 365)
-    headline = F.when(F.col("severity").isin("critical", "high"), F.col("title"))
-    g = r.groupBy("affected_region").agg(
-        F.count(F.lit(1)).alias("count"),
-        ordered_join(headline, F.struct(newest_first("scraped_date"), F.col("article_id")),
-                     " || ").alias("critical_headlines"))
-    g = g.select(F.coalesce("affected_region", F.lit("Unknown")).alias("region"), "count",
-                 "critical_headlines", F.col("affected_region").alias("_raw"))
-    return top_n(g, [F.col("count").desc(), F.col("_raw").asc_nulls_first()], n).drop("_raw")
+    crit = F.col("severity").isin("critical", "high")
+    g = r.groupBy("affected_region").agg(F.count(F.lit(1)).alias("count"),
+                                         _sum_if(crit).alias("critical_count"))
+    hl = cap_per_group(r.where(crit & F.col("title").isNotNull())
+                       .select("affected_region", "scraped_date", "article_id", "title"),
+                       ["affected_region"], [F.col("scraped_date").desc(), F.col("article_id").asc()],
+                       headlines)
+    hl = hl.groupBy("affected_region").agg(ordered_join(
+        F.col("title"), F.struct(newest_first("scraped_date"), F.col("article_id")), " || ")
+        .alias("critical_headlines"))
+    top = top_n(g, [F.col("count").desc(), F.col("affected_region").asc_nulls_first()], n)
+    j = top.join(hl, top["affected_region"].eqNullSafe(hl["affected_region"]), "left")
+    return j.select(F.coalesce(top["affected_region"], F.lit("Unknown")).alias("region"),
+                    "count", "critical_count",
+                    F.coalesce("critical_headlines", F.lit("")).alias("critical_headlines"))
 
 
 def events_timeline(events: DataFrame, days: int = 30, as_of=DEFAULT_AS_OF) -> DataFrame:
@@ -330,18 +338,30 @@ def parsed_brief(brief: DataFrame) -> DataFrame:
 
 
 def report_stats(insights: DataFrame, categories: list[str], date_from=None,
-                 date_to=None, summary_chars: int = 250) -> DataFrame:
+                 date_to=None, summary_chars: int = 250, summaries: int = 3) -> DataFrame:
+    """Per category stats + the first ``summaries`` non-empty credible impact
+    summaries (newest first) — the report step reads only those three."""
     f = apply_filters(insights.where(F.col("esg_category").isin(categories)),
                       date_from=date_from, date_to=date_to)
-    summ = F.when(F.col("credibility_score") >= 6, F.left("impact_summary", F.lit(summary_chars)))
-    return f.groupBy("esg_category").agg(
+    stats = f.groupBy("esg_category").agg(
         F.count(F.lit(1)).alias("article_count"),
         _avg_r("sentiment_score", 3).alias("avg_sentiment"),
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
         _sum_if(F.col("stance") == "supportive").alias("supportive_count"),
-        ordered_join(summ, F.struct(newest_first("scraped_date"), F.col("article_id"),
-                                    F.col("url")), " || ").alias("impact_summaries"),
         F.max("scraped_date").alias("latest_date"))
+    s = f.where((F.col("credibility_score") >= 6) & (F.col("impact_summary") != "")) \
+        .select("esg_category", "scraped_date", "article_id", "url",
+                F.left("impact_summary", F.lit(summary_chars)).alias("s"))
+    first = cap_per_group(s, ["esg_category"], [F.col("scraped_date").desc(),
+                                                F.col("article_id").asc(), F.col("url").asc()],
+                          summaries)
+    dig = first.groupBy("esg_category").agg(ordered_join(
+        F.col("s"), F.struct(newest_first("scraped_date"), F.col("article_id"), F.col("url")),
+        " || ").alias("impact_summaries"))
+    out = stats.join(dig, "esg_category", "left")
+    return out.select("esg_category", "article_count", "avg_sentiment", "critical_count",
+                      "supportive_count", F.coalesce("impact_summaries", F.lit(""))
+                      .alias("impact_summaries"), "latest_date")
 
 
 def report_claims(claims_df: DataFrame, categories: list[str], n: int = 15) -> DataFrame:

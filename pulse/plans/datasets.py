@@ -298,14 +298,34 @@ def news_events(insights: DataFrame, responder: Responder, as_of=DEFAULT_AS_OF,
 # ---------------------------------------------------------------------------
 # L12 daily statistics / L13 daily summary
 # ---------------------------------------------------------------------------
+# Each headline after the first adds at least 7 chars ("[] " + " || "), so the
+# first 1 + ceil(1500 / 7) headlines always fill the brief's 1500-char window.
+HEADLINE_CHARS = P.BRIEF_HEADLINES
+DIGEST_HEADLINES = 1 + -(-HEADLINE_CHARS // 7)
+
+
+def headline_digest(insights: DataFrame, key: str = "scraped_date") -> DataFrame:
+    """Per day: the credible headlines (credibility ≥ 7), most credible first,
+    joined with ' || ' and cut to the brief's 1500-char window.  Only the
+    leading headlines that can reach the window are gathered (exact)."""
+    h = insights.select(F.col(key).alias("report_date"), "credibility_score", "url", "article_id",
+                        F.when(F.col("credibility_score") >= 7,
+                               F.concat(F.lit("["), F.col("source_type"), F.lit("] "),
+                                        F.left("title", F.lit(80)))).alias("h")) \
+        .where(F.col("h").isNotNull())
+    lead = top_k_per_group(h, ["report_date"], [F.col("credibility_score").desc(),
+                                                 F.col("url").asc(), F.col("article_id").asc()],
+                           DIGEST_HEADLINES)
+    return lead.groupBy("report_date").agg(
+        F.left(ordered_join(F.col("h"), F.col("_rn"), " || "), F.lit(HEADLINE_CHARS))
+        .alias("top_headlines"))
+
+
 def daily_stats(insights: DataFrame, as_of=None) -> DataFrame:
     """Per day; ``as_of`` narrows to one day (the reference keeps only today)."""
     src = insights if as_of is None else insights.where(
         F.col("scraped_date") == as_date_lit(as_of))
-    headline = F.when(F.col("credibility_score") >= 7,
-                      F.concat(F.lit("["), F.col("source_type"), F.lit("] "),
-                               F.left("title", F.lit(80))))
-    return src.groupBy(F.col("scraped_date").alias("report_date")).agg(
+    stats = src.groupBy(F.col("scraped_date").alias("report_date")).agg(
         F.count(F.lit(1)).alias("total_articles"),
         F.count_distinct("url").alias("unique_sources"),
         F.count_distinct("source_type").alias("source_types"),
@@ -316,9 +336,9 @@ def daily_stats(insights: DataFrame, as_of=None) -> DataFrame:
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
         _sum_if(F.col("esg_category") == "Environmental").alias("env_count"),
         _sum_if(F.col("esg_category") == "Social").alias("social_count"),
-        _sum_if(F.col("esg_category") == "Governance").alias("gov_count"),
-        ordered_join(headline, F.struct(F.col("url"), F.col("article_id")), " || ")
-        .alias("top_headlines"))
+        _sum_if(F.col("esg_category") == "Governance").alias("gov_count"))
+    out = stats.join(headline_digest(src), "report_date", "left")
+    return out.select(*stats.columns, F.coalesce("top_headlines", F.lit("")).alias("top_headlines"))
 
 
 def daily_topics(insights: DataFrame) -> DataFrame:
