@@ -196,3 +196,92 @@ def block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k13_keyword_category": keyword_categories,
         "k14_claim_rules": claim_rules,
     }
+
+
+# ---------------------------------------------------------------------------
+# Ingest blocks over documents-derived records
+# ---------------------------------------------------------------------------
+def _doc_records(spark, sf):
+    d = _t(spark, sf, "documents")
+    return d.select(
+        F.concat(F.lit("https://web.example.org/d/"), F.col("doc_id").cast("string")).alias("url"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.substring("text", 1, 30)).alias("title"),
+        F.col("text").alias("content"), F.col("source").alias("source_type"),
+        F.lit("esg_news").alias("search_topic"), "doc_id")
+
+
+def envelope_records(spark, sf):
+    """Record envelope (uuid5 id, URL hash, length, defaults)."""
+    e = I.envelope(_doc_records(spark, sf))
+    return e.select("doc_id", "article_id", "url_hash", "content_length", "language", "author")
+
+
+def gated_bodies(spark, sf):
+    """Body gate ≥ 80 chars, 20 000-char cut, title defaults to the URL."""
+    g = I.gate_body(_doc_records(spark, sf))
+    return g.select("url", "title", F.length("content").cast("long").alias("body_chars"))
+
+
+# Direct-URL metadata of the URL-lookup block: (url, source_type, topic).
+DIRECT_URLS = [("https://news.example.org/a/10", "official", "strategy"),
+               ("https://news.example.org/a/20", "benchmark", "wba_index"),
+               ("https://news.example.org/a/30", "ngo", "human_rights"),
+               ("https://news.example.org/a/40", "official", "annual_report"),
+               ("https://news.example.org/a/50", "news", "esg_news")]
+
+
+def url_meta(spark, sf):
+    """URL → (source_type, topic) lookup with the (official, direct_fetch) default."""
+    urls = spark.createDataFrame(DIRECT_URLS, "url STRING, source_type STRING, topic STRING")
+    lan = FP.landing(spark, sf).select("url", "doc_id")
+    return I.attach_url_meta(lan, urls).select("doc_id", "url", "source_type", "search_topic")
+
+
+def _responses(spark, sf):
+    d = ensure_parallelism(_t(spark, sf, "documents"))
+    did = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit("WEB RESULTS:\n\nTitle: T"), did, F.lit("\nURL: https://web.example.org/d/"), did,
+        F.lit("\nPublished: 2024-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"),
+        F.lit("\nSnippets:\n- "), F.regexp_replace(F.substring("text", 1, 120), r"\s+", " "),
+        F.lit("\n\nContent:\n"), F.col("text"),
+        F.lit("\nNEWS RESULTS:\nTitle: N"), did, F.lit("\nURL: https://news.example.org/n/"), did,
+        F.lit("\nDescription: "), F.regexp_replace(F.substring("text", 1, 100), r"\s+", " "),
+        F.lit("\n"))
+    return d.select(F.lit("esg_news").alias("topic"), F.col("source").alias("source_type"),
+                    F.concat(F.lit("q"), did).alias("query"), text.alias("text"))
+
+
+def search_results(spark, sf):
+    """Search responses (two result blocks per document) → records."""
+    from pulse.operators.search_text import explode_search_results
+    return explode_search_results(_responses(spark, sf))
+
+
+def url_contents(spark, sf):
+    """Page-contents responses (one URL block per document) → records."""
+    from pulse.operators.search_text import explode_url_contents
+    d = ensure_parallelism(_t(spark, sf, "documents"))
+    did = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("URL: https://web.example.org/c/"), did, F.lit("\nTitle: C"), did,
+                    F.lit("\nContent:\n"), F.col("text"), F.lit("\n"))
+    return explode_url_contents(d.select(text.alias("text")))
+
+
+def adhoc(spark, sf):
+    """A read-only SELECT over a published view (≤ 50 rows)."""
+    from pulse.sources.tables import adhoc_select
+    return adhoc_select(spark, {"article_insights": FP.insights(spark, sf)},
+                        "SELECT esg_category, COUNT(*) AS n, MAX(scraped_date) AS latest "
+                        "FROM article_insights GROUP BY esg_category")
+
+
+def ingest_block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "a19_adhoc_select": adhoc,
+        "b01_envelope": envelope_records,
+        "b11_search_results": search_results,
+        "b12_url_contents": url_contents,
+        "b13_url_meta": url_meta,
+        "b14_gate_body": gated_bodies,
+    }

@@ -135,8 +135,10 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
 
     Large inputs already scan in many splits, so this never adds a shuffle there;
     it only helps small single-file inputs before CPU-heavy per-row text work."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_partitions or sc.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
+        return df
+    return df.repartition(want) if have < want else df
