@@ -92,8 +92,17 @@ def main():
     for name, mk in dash.items():
         times[name] = _time(lambda mk=mk: _noop(mk()), repeat)
 
+    from pulse.plans import datasets as L
+    gold = {
+        "l07_weekly_sentiment": lambda: L.weekly_sentiment(ins),
+        "l10_impact_delta": lambda: L.impact_delta(cl, L.weekly_sentiment(ins), as_of=as_of),
+        "l12_daily_stats": lambda: L.daily_stats(ins),
+    }
+    for name, mk in gold.items():
+        times[name] = _time(lambda mk=mk: _noop(mk()), repeat)
+
     base = {
-        "l07_weekly_sentiment_e2e": lambda: FP.weekly(spark, sf_dir),
+        "b11_search_results": lambda: B.search_results(spark, sf_dir),
         "c03_clean_pages": lambda: B.clean_pages(spark, sf_dir),
         "e06_median_by_group": lambda: B.events_median(spark, sf_dir),
         "k12_lexicon_sentiment": lambda: B.lexicon_sentiment(spark, sf_dir),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.dates import published_at
 from pulse.functions.text import blank_to_null, clean_text, preview
+from pulse.operators.filters import where_once
 from pulse.schemas import (ESG_HINT_DEFAULT, ESG_HINT_TOPICS, MIN_CLEAN_CHARS,
                            MIN_URL_CHARS, SOURCE_TYPES)
 
@@ -95,16 +96,11 @@ def apply_expectations(df: DataFrame, rules: Mapping[str, Column] | None = None)
 
 
 def keep_valid_once(df: DataFrame) -> DataFrame:
-    """Drop-rule filter that evaluates the projected columns once per row.
-
-    A plain ``where`` on ``clean_content`` is pushed below the projection by
-    Catalyst, which inlines the regex chain into the filter and evaluates it
-    again in the projection (and, below a repartition, before the work is
-    spread).  Filtering a one-element array of the projected row and
-    inlining it keeps a single evaluation; there is no Filter to push."""
-    row = F.array(F.struct(*[F.col(c) for c in df.columns]))
-    kept = F.filter(row, lambda r: _all(drop_rules(lambda n: r[n])))
-    return df.select(F.inline(kept))
+    """Drop-rule filter that evaluates the cleaned columns once per row.
+
+    A plain ``where`` on ``clean_content`` would be pushed below the projection
+    (and below a parallelising repartition), running the regex chain twice."""
+    return where_once(df, lambda c: _all(drop_rules(c)))
 
 
 def expectation_report(df: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulse.operators.filters import where_once
 from pulse.schemas import MAX_BODY_CHARS, MIN_BODY_CHARS
 
 HEADER_RE = r"(?i)(WEB|NEWS) RESULTS:\s*\n"
@@ -41,44 +42,90 @@ def _append(arr: Column, x: Column) -> Column:
     return F.concat(arr, F.array(x))
 
 
-def _block_fold(block: Column) -> Column:
-    empty = F.array().cast("array<string>")
+def _line_features(lines: Column) -> Column:
+    """Per-line facts computed once (lambdas are evaluated without common-
+    subexpression elimination, so each regex must appear exactly once)."""
+    stripped = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"),
+                                                        _strip(l).alias("s")))
+    return F.transform(stripped, lambda x: F.struct(
+        x["l"].alias("l"), x["i"].alias("i"), x["s"].alias("s"),
+        (x["s"] == "").alias("blank"),
+        F.lower(x["s"]).startswith("snippets:").alias("snip_hdr"),
+        x["s"].rlike(CONTENT_HDR_RE).alias("cont_hdr"),
+        x["s"].rlike(CONTENTS_HDR_RE).alias("contents_hdr"),
+        x["s"].startswith("- ").alias("dash"),
+        x["s"].rlike(r"(?i)^Title:\s*").alias("is_title"),
+        F.regexp_extract(x["s"], FIELD_RE, 0).alias("field"),
+        F.lower(F.regexp_extract(x["s"], FIELD_RE, 1)).alias("key")))
+
+
+def _block_fold(feats: Column, n_lines: Column) -> Column:
+    """Left fold over line features keeping O(1) state per step.
+
+    Content and snippet sections are recorded as line ranges (segments) and
+    sliced out once afterwards, so a block of n lines costs O(n)."""
+    seg_t = "array<struct<kind:string,start:int,end:int>>"
     init = F.struct(F.lit(False).alias("snip"), F.lit(False).alias("cont"),
-                    F.lit("").alias("url"), F.lit("").alias("title"),
-                    F.lit("").alias("published"), empty.alias("snippets"),
-                    empty.alias("content"))
-
-    def step(acc, line):
-        s = _strip(line)
-        blank = s == ""
-        snip_hdr = ~blank & F.lower(s).startswith("snippets:")
-        cont_hdr = ~blank & ~snip_hdr & s.rlike(CONTENT_HDR_RE)
-        rest = ~blank & ~snip_hdr & ~cont_hdr
-        bullet = rest & acc["snip"] & s.startswith("- ")
+                    F.lit(0).alias("seg_start"), F.array().cast(seg_t).alias("segs"),
+                    F.lit(0).alias("n_bullets"), F.lit(0).alias("n_content"),
+                    F.lit(-1).alias("url"), F.lit(-1).alias("title"),
+                    F.lit(-1).alias("published"), F.lit(-1).alias("desc"))
+
+    def step(acc, x):
+        snip_hdr = ~x["blank"] & x["snip_hdr"]
+        cont_hdr = ~x["blank"] & ~x["snip_hdr"] & x["cont_hdr"]
+        rest = ~x["blank"] & ~x["snip_hdr"] & ~x["cont_hdr"]
+        bullet = rest & acc["snip"] & x["dash"]
         body_line = rest & ~bullet & acc["cont"]
-        field_line = rest & ~bullet & ~acc["cont"]
-        key = F.lower(F.regexp_extract(s, FIELD_RE, 1))
-        val = _strip(F.regexp_extract(s, FIELD_RE, 2))
-        is_field = field_line & (key != "")
-        desc = is_field & (key == "description") & (F.size(acc["snippets"]) == 0) \
-            & (F.size(acc["content"]) == 0)
-
-        def field(name):
-            return F.when(is_field & (key == name), val).otherwise(acc[name])
+        is_field = rest & ~bullet & ~acc["cont"] & (x["key"] != "")
+        desc = is_field & (x["key"] == "description") & (acc["n_bullets"] == 0) \
+            & (acc["desc"] < 0) & (acc["n_content"] == 0)
+        header = snip_hdr | cont_hdr
+        closes = (header & (acc["cont"] | acc["snip"])) | (x["blank"] & acc["snip"])
+        kind = F.when(acc["cont"], F.lit("c")).otherwise(F.lit("s"))
+        segs = F.when(closes, _append(acc["segs"], F.struct(
+            kind.alias("kind"), acc["seg_start"].alias("start"), x["i"].alias("end")))) \
+            .otherwise(acc["segs"])
+
+        def field(name):  # index of the last line holding this field
+            return F.when(is_field & (x["key"] == name), x["i"]).otherwise(acc[name])
 
         return F.struct(
-            F.when(blank, False).when(snip_hdr, True).when(cont_hdr, False)
+            F.when(x["blank"], False).when(snip_hdr, True).when(cont_hdr, False)
              .otherwise(acc["snip"]).alias("snip"),
             F.when(snip_hdr, False).when(cont_hdr, True).otherwise(acc["cont"]).alias("cont"),
+            F.when(header, x["i"] + 1).otherwise(acc["seg_start"]).alias("seg_start"),
+            segs.alias("segs"),
+            (acc["n_bullets"] + F.when(bullet, 1).otherwise(0)).alias("n_bullets"),
+            (acc["n_content"] + F.when((x["blank"] & acc["cont"]) | body_line, 1).otherwise(0))
+            .alias("n_content"),
             field("url").alias("url"), field("title").alias("title"),
             field("published").alias("published"),
-            F.when(bullet, _append(acc["snippets"], F.substring(s, 3, 1 << 30)))
-             .when(desc, _append(acc["snippets"], val)).otherwise(acc["snippets"]).alias("snippets"),
-            F.when(blank & acc["cont"], _append(acc["content"], F.lit("")))
-             .when(body_line, _append(acc["content"], line)).otherwise(acc["content"])
-             .alias("content"))
+            F.when(desc, x["i"]).otherwise(acc["desc"]).alias("desc"))
+
+    def finish(acc):
+        kind = F.when(acc["cont"], F.lit("c")).otherwise(F.lit("s"))
+        segs = F.when(acc["cont"] | acc["snip"], _append(acc["segs"], F.struct(
+            kind.alias("kind"), acc["seg_start"].alias("start"), n_lines.alias("end")))) \
+            .otherwise(acc["segs"])
+        return F.struct(acc["url"].alias("url"), acc["title"].alias("title"),
+                        acc["published"].alias("published"), acc["desc"].alias("desc"),
+                        segs.alias("segs"))
+
+    return F.aggregate(feats, init, step, finish)
+
 
-    return F.aggregate(F.split(block, "\n", -1), init, step)
+def _section(feats: Column, segs: Column, kind: str) -> Column:
+    """Line features of all sections of one kind, in order (segments are [start, end))."""
+    parts = F.transform(F.filter(segs, lambda g: g["kind"] == kind),
+                        lambda g: F.slice(feats, g["start"] + 1, g["end"] - g["start"]))
+    return F.flatten(parts)
+
+
+def _field_value(feats: Column, idx: Column) -> Column:
+    """Stripped value of the field line at ``idx`` ('' when there is none)."""
+    line = F.element_at(feats, idx + 1)["s"]
+    return F.when(idx >= 0, _strip(F.regexp_extract(line, FIELD_RE, 2))).otherwise(F.lit(""))
 
 
 def explode_search_results(responses: DataFrame, text: str = "text") -> DataFrame:
@@ -90,60 +137,76 @@ def explode_search_results(responses: DataFrame, text: str = "text") -> DataFram
     blocks = F.slice(F.split(t, HEADER_RE, -1), 2, 1 << 30)
     kinds = F.regexp_extract_all(t, F.lit(HEADER_RE), 1)
     ex = (responses.where(ok)
-          .select("*", F.posexplode(F.arrays_zip(kinds.alias("kind"), blocks.alias("block")))
+          .select("source_type", "topic", "query",
+                  F.posexplode(F.arrays_zip(kinds.alias("kind"), blocks.alias("block")))
                   .alias("block_no", "b")))
-    parsed = ex.select("*", _block_fold(F.col("b.block")).alias("p"))
-    content = _strip(F.array_join(F.col("p.content"), "\n"))
-    body = F.when(F.length(content) > 200, content) \
-        .otherwise(F.array_join(F.col("p.snippets"), "\n\n"))
-    out = parsed.select(
-        F.col("p.url").alias("url"),
-        F.when(F.col("p.title") != "", F.col("p.title")).otherwise(F.col("p.url")).alias("title"),
-        body.alias("_body"),
-        F.col("source_type"), F.col("topic").alias("search_topic"),
-        F.col("p.published").alias("published_date"),
-        F.lower(F.col("b.kind")).alias("result_section"),
-        F.lit("you-search").alias("scraper"), F.col("query").alias("you_query"),
-        "block_no")
-    out = out.where((F.col("url") != "") & (F.length("_body") >= MIN_BODY_CHARS))
+    feats = ex.select("*", _line_features(F.split(F.col("b.block"), "\n", -1)).alias("_f"))
+    folded = feats.select("*", _block_fold(F.col("_f"), F.size("_f")).alias("_p"))
+    content_lines = F.transform(_section(F.col("_f"), F.col("_p.segs"), "c"),
+                                lambda x: F.when(x["blank"], F.lit("")).otherwise(x["l"]))
+    bullets = F.transform(F.filter(_section(F.col("_f"), F.col("_p.segs"), "s"),
+                                   lambda x: x["dash"]),
+                          lambda x: F.substring(x["s"], 3, 1 << 30))
+    desc = _field_value(F.col("_f"), F.col("_p.desc"))
+    snippets = F.concat(F.when(F.col("_p.desc") >= 0, F.array(desc))
+                        .otherwise(F.array().cast("array<string>")), bullets)
+    parts = folded.select(
+        "source_type", "topic", "query", "block_no", F.col("b.kind").alias("kind"),
+        _field_value(F.col("_f"), F.col("_p.url")).alias("url"),
+        _field_value(F.col("_f"), F.col("_p.title")).alias("title"),
+        _field_value(F.col("_f"), F.col("_p.published")).alias("published"),
+        _strip(F.array_join(content_lines, "\n")).alias("_content"),
+        F.array_join(snippets, "\n\n").alias("_snips"))
+    body = F.when(F.length("_content") > 200, F.col("_content")).otherwise(F.col("_snips"))
+    out = parts.select(
+        "url", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url")).alias("title"),
+        body.alias("_body"), "source_type", F.col("topic").alias("search_topic"),
+        F.col("published").alias("published_date"), F.lower("kind").alias("result_section"),
+        F.lit("you-search").alias("scraper"), F.col("query").alias("you_query"), "block_no")
+    out = where_once(out, lambda c: (c("url") != "") & (F.length(c("_body")) >= MIN_BODY_CHARS))
     return out.select("url", "title", F.left("_body", F.lit(MAX_BODY_CHARS)).alias("content"),
                       "source_type", "search_topic", "published_date", "result_section",
                       "scraper", "you_query", (F.length("_body") > 500).alias("livecrawled"),
                       "block_no")
 
 
-def _contents_fold(lines: Column) -> Column:
-    init = F.struct(F.lit("").alias("title"), F.lit(False).alias("cont"),
-                    F.array().cast("array<string>").alias("content"))
+def _contents_fold(feats: Column) -> Column:
+    """Title state over the page-contents lines: a ``Title:`` line always sets it;
+    before the first content header, the first other non-empty line sets it while empty."""
+    init = F.struct(F.lit("").alias("title"), F.lit(False).alias("cont"))
 
-    def step(acc, line):
-        s = _strip(line)
-        is_title = s.rlike(r"(?i)^Title:\s*")
-        hdr = ~is_title & s.rlike(CONTENTS_HDR_RE)
-        body_line = ~is_title & ~hdr & acc["cont"]
-        fallback_title = ~is_title & ~hdr & ~acc["cont"] & (s != "") & (acc["title"] == "")
+    def step(acc, x):
+        hdr = ~x["is_title"] & x["contents_hdr"]
+        fallback = ~x["is_title"] & ~hdr & ~acc["cont"] & ~x["blank"] & (acc["title"] == "")
         return F.struct(
-            F.when(is_title, F.regexp_replace(s, TITLE_RE, ""))
-             .when(fallback_title, s).otherwise(acc["title"]).alias("title"),
-            F.when(hdr, True).otherwise(acc["cont"]).alias("cont"),
-            F.when(body_line, _append(acc["content"], line)).otherwise(acc["content"])
-             .alias("content"))
+            F.when(x["is_title"], F.regexp_replace(x["s"], TITLE_RE, ""))
+             .when(fallback, x["s"]).otherwise(acc["title"]).alias("title"),
+            (acc["cont"] | hdr).alias("cont"))
 
-    return F.aggregate(lines, init, step)
+    return F.aggregate(feats, init, step)
 
 
 def explode_url_contents(responses: DataFrame, text: str = "text") -> DataFrame:
-    """Page-contents text split on ``URL:`` lines → (url, title, content) records."""
+    """Page-contents text split on ``URL:`` lines → (url, title, content) records.
+
+    Content = every line after the first content header except ``Title:`` lines
+    and further headers (a content header never closes content here)."""
     t = F.col(text)
     ok = t.isNotNull() & (t != "") & ~_strip(t).startswith("Error:")
     blocks = F.slice(F.split(F.concat(F.lit("\n"), t), r"\nURL:\s*", -1), 2, 1 << 30)
     ex = responses.where(ok).select(F.posexplode(blocks).alias("block_no", "block"))
     lines = F.split("block", "\n", -1)
-    p = ex.select("block_no", _strip(F.element_at(lines, 1)).alias("url"),
-                  _contents_fold(F.slice(lines, 2, 1 << 30)).alias("p"))
-    content = _strip(F.array_join(F.col("p.content"), "\n"))
-    return (p.select("url", F.col("p.title").alias("title"), content.alias("_c"), "block_no")
-            .where((F.col("url") != "") & (F.length("_c") >= MIN_BODY_CHARS))
+    feats = ex.select("block_no", _strip(F.element_at(lines, 1)).alias("url"),
+                      _line_features(F.slice(lines, 2, 1 << 30)).alias("_f"))
+    first_hdr = F.array_position(
+        F.transform("_f", lambda x: ~x["is_title"] & x["contents_hdr"]), True)
+    body = F.filter(F.slice("_f", first_hdr + 1, 1 << 30),
+                    lambda x: ~x["is_title"] & ~x["contents_hdr"])
+    p = feats.select("block_no", "url", _contents_fold(F.col("_f"))["title"].alias("title"),
+                     F.when(first_hdr > 0, _strip(F.array_join(F.transform(body, lambda x: x["l"]),
+                                                               "\n")))
+                     .otherwise(F.lit("")).alias("_c"))
+    return (where_once(p, lambda c: (c("url") != "") & (F.length(c("_c")) >= MIN_BODY_CHARS))
             .select("url", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
                     .alias("title"), F.left("_c", F.lit(MAX_BODY_CHARS)).alias("content"),
                     F.lit("you-contents").alias("scraper"), "block_no"))

@@ -43,3 +43,30 @@ def test_query_matches_oracle(spark, name):
     rel = con.sql(E.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(rel.columns, rel.fetchall())[0]
+
+
+def test_dedupe_is_partial_aggregate(spark):
+    from pulse.operators.ingest import dedupe_first
+    from pyspark.sql import functions as F
+    plan = _plan(dedupe_first(FP.landing(spark, SF), order=[F.col("_scraped_at"), F.col("doc_id")]))
+    assert "partial_min_by" in plan and "Window" not in plan
+
+
+def test_pipeline_with_rule_standins(spark):
+    from pyspark.sql import functions as F
+    from pulse.operators.enrich import RuleResponder, rule_claims, rule_esg, rule_event, rule_sentiment
+    from pulse.plans import datasets as L
+    silver = FP.silver(spark, SF)
+    scored = L.scored_articles(silver, RuleResponder(rule_sentiment()))
+    ins = L.article_insights(scored, RuleResponder(rule_esg()))
+    n = ins.count()
+    assert n > 0
+    assert ins.where(F.col("sentiment_score").isNull()).count() == 0        # every answer parses
+    assert ins.where(F.col("esg_category").isNull()).count() == 0
+    assert ins.where(F.col("credibility_score") == 5).count() == n
+    claims = L.claims(ins.withColumn("credibility_score", F.lit(7)), RuleResponder(rule_claims()))
+    assert claims.count() > 0 and claims.where(F.col("claim_text").isNull()).count() == 0
+    ev = L.news_events(ins, RuleResponder(rule_event()), as_of="2024-04-30")
+    assert ev.where(F.col("severity").isNull()).count() == 0
+    weekly = L.weekly_sentiment(ins)
+    assert weekly.count() > 0
