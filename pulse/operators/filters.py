@@ -117,3 +117,8 @@ def cap_per_group(df: DataFrame, key: list[str], order: list[Column], n: int) ->
     """First n rows per group (partial group limit before the shuffle)."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """the newest row per key across runs (e.g. key = url, order = scraped_at, run id)."""
+    return first_per_key(df, key, order, latest=True)

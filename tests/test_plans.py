@@ -70,3 +70,16 @@ def test_pipeline_with_rule_standins(spark):
     assert ev.where(F.col("severity").isNull()).count() == 0
     weekly = L.weekly_sentiment(ins)
     assert weekly.count() > 0
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expensive_columns_evaluated_once(spark):
+    from pulse.plans import blocks as Bk
+    plan = _optimized(Bk.search_results(spark, SF))
+    assert plan.count("aggregate(") == 1            # the line fold is not re-inlined into a filter
+    silver = _optimized(FP.silver(spark, SF))
+    filters = [l for l in silver.split("\n") if l.lstrip(" +-:").startswith("Filter")]
+    assert filters and not any("&(amp|lt|gt|nbsp|quot);" in f for f in filters)
