@@ -26,14 +26,23 @@ def _noop(df):
     df.write.format("noop").mode("overwrite").save()
 
 
-def _time(fn, repeat):
-    fn()  # warm-up
-    runs = []
-    for _ in range(repeat):
-        t = time.perf_counter()
-        fn()
-        runs.append(time.perf_counter() - t)
-    return statistics.median(runs)
+ERRORS: dict[str, str] = {}
+
+
+def _time(fn, repeat, name=None):
+    """Median of ``repeat`` timed runs after one warm-up; None (and the error
+    recorded) if the query fails, so one failure does not lose the report."""
+    try:
+        fn()  # warm-up
+        runs = []
+        for _ in range(repeat):
+            t = time.perf_counter()
+            fn()
+            runs.append(time.perf_counter() - t)
+        return statistics.median(runs)
+    except Exception as e:  # noqa: BLE001
+        ERRORS[name or "?"] = str(e)[:300]
+        return None
 
 
 def main():
@@ -67,39 +76,40 @@ def main():
                     f"{scratch}/events")
         materialize(L.daily_summary(L.daily_stats(ins)), f"{scratch}/summary")
 
-    times["pipeline_refresh"] = _time(refresh, max(1, repeat - 1))
-
-    ins = read_table(spark, f"{scratch}/insights")
-    cl = read_table(spark, f"{scratch}/claims")
-    dl = read_table(spark, f"{scratch}/delta")
-    ev = read_table(spark, f"{scratch}/events")
-    sm = read_table(spark, f"{scratch}/summary")
-    as_of = FP.AS_OF
-    dash = {
-        "m01_explore": lambda: M.explore(ins, limit=50, offset=0, esg_category="Social"),
-        "m01_explore_total": lambda: M.explore_total(ins, esg_category="Social"),
-        "m02_category_breakdown": lambda: M.category_breakdown(ins),
-        "m04_timeline_week": lambda: M.sentiment_timeline(ins, "week"),
-        "m06_kpis": lambda: M.kpis(ins),
-        "m07_source_breakdown": lambda: M.source_breakdown(ins),
-        "m10_claims_list": lambda: M.claims_list(cl, limit=50),
-        "m11_delta_summary": lambda: M.delta_summary(dl),
-        "m12_events_page": lambda: M.events_page(ev, as_of=as_of),
-        "m13_events_by_region": lambda: M.events_by_region(ev, 30, as_of),
-        "m16_daily_brief": lambda: M.daily_brief(sm, date="2024-04-28"),
-        "m17_report_stats": lambda: M.report_stats(ins, ["Environmental", "Social", "Governance"]),
-    }
-    for name, mk in dash.items():
-        times[name] = _time(lambda mk=mk: _noop(mk()), repeat)
-
-    from pulse.plans import datasets as L
-    gold = {
-        "l07_weekly_sentiment": lambda: L.weekly_sentiment(ins),
-        "l10_impact_delta": lambda: L.impact_delta(cl, L.weekly_sentiment(ins), as_of=as_of),
-        "l12_daily_stats": lambda: L.daily_stats(ins),
-    }
-    for name, mk in gold.items():
-        times[name] = _time(lambda mk=mk: _noop(mk()), repeat)
+    times["pipeline_refresh"] = _time(refresh, max(1, repeat - 1), "pipeline_refresh")
+
+    if times["pipeline_refresh"] is not None:  # gold tables exist
+        ins = read_table(spark, f"{scratch}/insights")
+        cl = read_table(spark, f"{scratch}/claims")
+        dl = read_table(spark, f"{scratch}/delta")
+        ev = read_table(spark, f"{scratch}/events")
+        sm = read_table(spark, f"{scratch}/summary")
+        as_of = FP.AS_OF
+        dash = {
+            "m01_explore": lambda: M.explore(ins, limit=50, offset=0, esg_category="Social"),
+            "m01_explore_total": lambda: M.explore_total(ins, esg_category="Social"),
+            "m02_category_breakdown": lambda: M.category_breakdown(ins),
+            "m04_timeline_week": lambda: M.sentiment_timeline(ins, "week"),
+            "m06_kpis": lambda: M.kpis(ins),
+            "m07_source_breakdown": lambda: M.source_breakdown(ins),
+            "m10_claims_list": lambda: M.claims_list(cl, limit=50),
+            "m11_delta_summary": lambda: M.delta_summary(dl),
+            "m12_events_page": lambda: M.events_page(ev, as_of=as_of),
+            "m13_events_by_region": lambda: M.events_by_region(ev, 30, as_of),
+            "m16_daily_brief": lambda: M.daily_brief(sm, date="2024-04-28"),
+            "m17_report_stats": lambda: M.report_stats(ins, ["Environmental", "Social", "Governance"]),
+        }
+        for name, mk in dash.items():
+            times[name] = _time(lambda mk=mk: _noop(mk()), repeat, name)
+
+        from pulse.plans import datasets as L
+        gold = {
+            "l07_weekly_sentiment": lambda: L.weekly_sentiment(ins),
+            "l10_impact_delta": lambda: L.impact_delta(cl, L.weekly_sentiment(ins), as_of=as_of),
+            "l12_daily_stats": lambda: L.daily_stats(ins),
+        }
+        for name, mk in gold.items():
+            times[name] = _time(lambda mk=mk: _noop(mk()), repeat, name)
 
     base = {
         "b11_search_results": lambda: B.search_results(spark, sf_dir),
@@ -108,11 +118,13 @@ def main():
         "k12_lexicon_sentiment": lambda: B.lexicon_sentiment(spark, sf_dir),
     }
     for name, mk in base.items():
-        times[name] = _time(lambda mk=mk: _noop(mk()), repeat)
+        times[name] = _time(lambda mk=mk: _noop(mk()), repeat, name)
 
-    total = sum(times.values())
+    total = sum(v for v in times.values() if v is not None)
     print(json.dumps({"metric": "total_query_seconds", "value": round(total, 3), "unit": "sec",
-                      "queries": {k: round(v, 3) for k, v in times.items()},
+                      "queries": {k: (round(v, 3) if v is not None else None)
+                                  for k, v in times.items()},
+                      "errors": ERRORS,
                       "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
                       "cpus": int(cpus), "repeat": repeat}))
     spark.stop()
