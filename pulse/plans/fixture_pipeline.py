@@ -8,6 +8,8 @@ returns a DataFrame whose plan starts at the Parquet scans.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pulse.operators.clean import silver_articles, to_bronze
@@ -18,51 +20,81 @@ from pulse.sources.fixtures import AS_OF, FIXTURE_KEEP, article_landing, run_log
 ANSWERS = ["sentiment_answer", "esg_answer", "claims_answer", "event_answer"]
 
 
+def _memo(fn):
+    """Reuse the lazily built DataFrame per (session, folder).
+
+    Building these plans costs thousands of Python→JVM calls; the plan object is
+    immutable, so every query of a session can start from the same one.  No
+    data is cached — each action still runs from the Parquet scans."""
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf: str) -> DataFrame:
+        key = (id(spark), sf)
+        hit = cache.get(key)
+        if hit is None or hit[0] is not spark:
+            hit = cache[key] = (spark, fn(spark, sf))
+        return hit[1]
+    return wrapper
+
+
+@_memo
 def landing(spark: SparkSession, sf: str) -> DataFrame:
     return article_landing(spark, sf)
 
 
+@_memo
 def bronze(spark: SparkSession, sf: str) -> DataFrame:
     return to_bronze(landing(spark, sf), keep=FIXTURE_KEEP)
 
 
+@_memo
 def silver(spark: SparkSession, sf: str) -> DataFrame:
     return silver_articles(bronze(spark, sf), keep=FIXTURE_KEEP)
 
 
+@_memo
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     return L.scored_articles(silver(spark, sf), ColumnResponder("sentiment_answer"),
                              keep=["doc_id", "esg_answer", "claims_answer", "event_answer"])
 
 
+@_memo
 def insights(spark: SparkSession, sf: str) -> DataFrame:
     return L.article_insights(scored(spark, sf), ColumnResponder("esg_answer"),
                               keep=["doc_id", "claims_answer", "event_answer"])
 
 
+@_memo
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     return L.claims(insights(spark, sf), ColumnResponder("claims_answer"))
 
 
+@_memo
 def weekly(spark: SparkSession, sf: str) -> DataFrame:
     return L.weekly_sentiment(insights(spark, sf))
 
 
+@_memo
 def delta(spark: SparkSession, sf: str) -> DataFrame:
     return L.impact_delta(claims(spark, sf), weekly(spark, sf), as_of=AS_OF)
 
 
+@_memo
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return L.news_events(insights(spark, sf), ColumnResponder("event_answer"), as_of=AS_OF)
 
 
+@_memo
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     return L.daily_stats(insights(spark, sf))
 
 
+@_memo
 def summary(spark: SparkSession, sf: str) -> DataFrame:
     return L.daily_summary(daily(spark, sf))
 
 
+@_memo
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     return run_log_frame(spark, sf)
