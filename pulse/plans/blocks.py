@@ -285,3 +285,54 @@ def ingest_block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]
         "b13_url_meta": url_meta,
         "b14_gate_body": gated_bodies,
     }
+
+
+# ---------------------------------------------------------------------------
+# Streaming: landing files → bronze stream → silver stream → table
+# ---------------------------------------------------------------------------
+def _shared_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint location."""
+    import uuid
+    from pulse.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/pulse-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def streamed_silver(spark, sf):
+    """The fixture's landing records written as JSON-lines files in two
+    batches, ingested by two triggered bronze runs and one silver run; the silver
+    table is read back.  Equals the batch silver definition over the same records."""
+    from pulse.operators.ingest import to_landing
+    from pulse.sources.tables import read_table, write_landing
+    from pulse.streaming.pipeline import run_bronze_stream, run_silver_stream
+    root = _shared_scratch(spark, "stream")
+    lan = to_landing(FP.landing(spark, sf))
+    half = F.col("_scraped_at") < F.lit("2024-03-01")
+    write_landing(lan.where(half), f"{root}/landing")
+    run_bronze_stream(spark, f"{root}/landing", f"{root}/bronze", f"{root}/ck_bronze")
+    write_landing(lan.where(~half | F.col("_scraped_at").isNull()), f"{root}/landing")
+    run_bronze_stream(spark, f"{root}/landing", f"{root}/bronze", f"{root}/ck_bronze")
+    run_silver_stream(spark, f"{root}/bronze", f"{root}/silver", f"{root}/ck_silver")
+    return read_table(spark, f"{root}/silver").select(
+        "article_id", "url", "url_hash", "clean_content", "content_preview", "content_length",
+        "title", "published_at", "scraped_date", "source_type", "search_topic", "esg_hint",
+        "language")
+
+
+def streaming_block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"j01_streamed_silver": streamed_silver}
+
+
+def rule_insights(spark, sf):
+    """K2/K3 offline: silver articles scored and classified by the rule stand-ins
+    (K12 lexicon sentiment, K13 keyword category) through the JSON answer path."""
+    from pulse.operators.enrich import RuleResponder, rule_esg, rule_sentiment
+    scored = L.scored_articles(FP.silver(spark, sf), RuleResponder(rule_sentiment()),
+                               keep=["doc_id"])
+    ins = L.article_insights(scored, RuleResponder(rule_esg()), keep=["doc_id"])
+    return ins.select("doc_id", "url", "scraped_date", "sentiment_label", "sentiment_score",
+                      "stance", "esg_category", "credibility_score", "is_official_csr")
+
+
+def offline_block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"k12_rule_insights": rule_insights}
