@@ -48,8 +48,11 @@ def parse_brief(c, fenced: bool = False) -> Column:
 
 
 def parse_ok(c) -> Column:
-    """True when the text is one well-formed JSON object (after no fence stripping)."""
-    return F.get_json_object(_c(c), "$").isNotNull() & F.ltrim(_c(c)).startswith("{")
+    """K11 flag: the answer is one well-formed JSON object as given (no fence stripping);
+    NULL answers are not ok."""
+    x = _c(c)
+    return F.coalesce(F.get_json_object(x, "$").isNotNull()
+                      & F.regexp_replace(x, r"^\s+", "").startswith("{"), F.lit(False))
 
 
 def null_text_to_null(c) -> Column:

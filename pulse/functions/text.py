@@ -45,9 +45,14 @@ def preview(c, n: int = PREVIEW_CHARS) -> Column:
     return F.left(F.trim(detagged(c)), F.lit(n))
 
 
+# The characters of Java's ``\s`` (ASCII whitespace).
+ASCII_WS = " \t\n\x0b\f\r"
+
+
 def strip_py(c) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace (``F.trim`` strips spaces only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` on ASCII whitespace (``F.trim`` strips spaces only);
+    a character-set trim, no regex."""
+    return F.btrim(_c(c), F.lit(ASCII_WS))
 
 
 def blank_to_null(c) -> Column:

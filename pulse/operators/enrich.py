@@ -18,8 +18,7 @@ and emit the same JSON shapes, so the parsing steps downstream are exercised.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +121,8 @@ def enrich(df: DataFrame, prompt: Column, call: PromptFn, out: str = "answer",
     else:
         # Materialise once in the shared checkpoint folder: the model is never re-called
         # when the plan is re-executed or an executor is lost.
+        from pulse.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
         answers = fresh.checkpoint(eager=True)
     answers = answers.dropDuplicates(["prompt_hash"])
     return (with_p.join(answers.withColumnRenamed("prompt_hash", "_prompt_hash"),
@@ -163,28 +164,36 @@ def tokens(c) -> Column:
     return F.split(F.lower(F.col(c) if isinstance(c, str) else c), "[^a-z]+")
 
 
-def lexicon_score(text, lexicon: dict | None = None) -> Column:
-    """Σ valence over tokens, normalised s / sqrt(s² + 15) (Hutto & Gilbert, 2014).
+def _normalised(s: Column) -> Column:
+    return s / F.sqrt(s * s + F.lit(VADER_ALPHA))
 
-    A per-row higher-order ``aggregate`` over the token array with a literal map:
-    no explode, no join, no shuffle.
-    """
+
+def lexicon_fold(text, finish: Callable[[Column], Column], lexicon: dict | None = None) -> Column:
+    """Σ valence over the tokens (a literal-map lookup per token: no explode, no join,
+    no shuffle), handed to ``finish`` inside the fold so the token pass runs once."""
     lex = _map_lit(lexicon or LEXICON)
-    s = F.aggregate(tokens(text), F.lit(0.0),
-                    lambda acc, w: acc + F.coalesce(F.try_element_at(lex, w), F.lit(0.0)))
-    return s / F.sqrt(s * s + F.lit(VADER_ALPHA))
+    return F.aggregate(tokens(text), F.lit(0.0),
+                       lambda acc, w: acc + F.coalesce(F.try_element_at(lex, w), F.lit(0.0)),
+                       finish)
+
+
+def lexicon_score(text, lexicon: dict | None = None) -> Column:
+    """s / sqrt(s² + 15) of the valence sum s (Hutto & Gilbert, 2014)."""
+    return lexicon_fold(text, _normalised, lexicon)
 
 
 def rule_sentiment(text: str = "clean_content", stance: str | None = None) -> Callable[[DataFrame], Column]:
-    """K12 stand-in: JSON in the sentiment answer shape."""
+    """K12 stand-in: JSON in the sentiment answer shape (one token pass per row)."""
     def rule(df: DataFrame) -> Column:
-        score = F.round(lexicon_score(text), 4)
-        st = F.col(stance) if stance else F.when(score <= -0.05, "critical") \
-            .when(score >= 0.05, "supportive").otherwise("neutral")
-        return F.to_json(F.struct(sentiment_bucket(score).alias("sentiment"),
-                                  score.alias("score"), F.lit(0.5).alias("confidence"),
-                                  F.array().cast("array<string>").alias("key_topics"),
-                                  st.alias("stance")))
+        def answer(s):
+            score = F.round(_normalised(s), 4)
+            st = F.col(stance) if stance else F.when(score <= -0.05, "critical") \
+                .when(score >= 0.05, "supportive").otherwise("neutral")
+            return F.to_json(F.struct(sentiment_bucket(score).alias("sentiment"),
+                                      score.alias("score"), F.lit(0.5).alias("confidence"),
+                                      F.array().cast("array<string>").alias("key_topics"),
+                                      st.alias("stance")))
+        return lexicon_fold(text, answer)
     return rule
 
 
@@ -209,19 +218,33 @@ EVENT_KEYWORDS = {
 }
 
 
-def keyword_hits(text, words: list[str]) -> Column:
-    kw = F.array(*[F.lit(w) for w in words])
-    return F.size(F.filter(tokens(text), lambda w: F.array_contains(kw, w)))
+def keyword_fold(text, table: dict, finish: Callable[[Column], Column]) -> Column:
+    """Per-class keyword hit counts in one pass over the tokens (keyword → class index
+    map), handed to ``finish`` as an array of counts in ``table`` order."""
+    idx = []
+    for i, words in enumerate(table.values()):
+        for w in words:
+            idx += [F.lit(w), F.lit(i)]
+    kw = F.create_map(*idx)
+    zeros = F.array_repeat(F.lit(0), len(table))
+
+    def merge(acc, w):
+        k = F.try_element_at(kw, w)
+        return F.when(k.isNull(), acc).otherwise(
+            F.transform(acc, lambda c, i: c + F.when(i == k, 1).otherwise(0)))
+    return F.aggregate(tokens(text), zeros, merge, finish)
+
+
+def _argmax_class(counts: Column, table: dict, default: str) -> Column:
+    """Class with most hits (ties → earlier class); no hits → default."""
+    top = F.array_max(counts)
+    names = F.array(*[F.lit(c) for c in table])
+    return F.when(top == 0, F.lit(default)).otherwise(
+        F.element_at(names, F.array_position(counts, top).cast("int")))
 
 
 def keyword_class(text, table: dict, default: str) -> Column:
-    """Class with most keyword hits (ties → earlier class); no hits → default."""
-    best, best_hits = F.lit(default), F.lit(0)
-    for cls, words in table.items():
-        h = keyword_hits(text, words)
-        best = F.when(h > best_hits, F.lit(cls)).otherwise(best)
-        best_hits = F.greatest(h, best_hits)
-    return best
+    return keyword_fold(text, table, lambda acc: _argmax_class(acc, table, default))
 
 
 def rule_esg(text: str = "clean_content") -> Callable[[DataFrame], Column]:
@@ -238,15 +261,17 @@ def rule_esg(text: str = "clean_content") -> Callable[[DataFrame], Column]:
 
 def rule_event(text: str = "clean_content") -> Callable[[DataFrame], Column]:
     def rule(df: DataFrame) -> Column:
-        et = keyword_class(text, EVENT_KEYWORDS, "other")
-        hits = keyword_hits(text, [w for ws in EVENT_KEYWORDS.values() for w in ws])
-        sev = F.when(hits >= 6, "critical").when(hits >= 4, "high").when(hits >= 2, "medium") \
-            .otherwise("low")
-        return F.to_json(F.struct(et.alias("event_type"), sev.alias("severity"),
-                                  F.lit("Global").alias("affected_region"),
-                                  F.lit(None).cast("string").alias("affected_product"),
-                                  F.lit(None).cast("string").alias("financial_impact_estimate"),
-                                  F.lit("Monitor coverage").alias("recommended_response")))
+        def answer(counts):
+            hits = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
+            sev = F.when(hits >= 6, "critical").when(hits >= 4, "high") \
+                .when(hits >= 2, "medium").otherwise("low")
+            return F.to_json(F.struct(
+                _argmax_class(counts, EVENT_KEYWORDS, "other").alias("event_type"),
+                sev.alias("severity"), F.lit("Global").alias("affected_region"),
+                F.lit(None).cast("string").alias("affected_product"),
+                F.lit(None).cast("string").alias("financial_impact_estimate"),
+                F.lit("Monitor coverage").alias("recommended_response")))
+        return keyword_fold(text, EVENT_KEYWORDS, answer)
     return rule
 
 
@@ -359,11 +384,3 @@ def rule_headline() -> Callable[[DataFrame], Column]:
                         F.lit(' articles today"}'))
     return rule
 
-
-def available_offline() -> Iterable[str]:
-    return ("rule_sentiment", "rule_esg", "rule_claims", "rule_event", "rule_delta",
-            "rule_quick_alignment", "rule_brief", "rule_headline")
-
-
-def cache_exists(path: str) -> bool:
-    return bool(path) and os.path.exists(path)

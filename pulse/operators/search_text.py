@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulse.functions.text import strip_py
 from pulse.operators.filters import where_once
 from pulse.schemas import MAX_BODY_CHARS, MIN_BODY_CHARS
 
@@ -35,7 +36,7 @@ TITLE_RE = r"(?i)^Title:\s*"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return strip_py(c)
 
 
 def _append(arr: Column, x: Column) -> Column:

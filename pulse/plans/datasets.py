@@ -101,6 +101,8 @@ def article_insights(scored: DataFrame, responder: Responder, keep: Iterable[str
         J.field(e, "is_official_csr").try_cast("boolean").alias("is_official_csr"),
         J.field(e, "impact_summary").alias("impact_summary"),
         J.field(e, "credibility_score").try_cast("int").alias("credibility_score"),
+        J.parse_ok("sentiment_json_raw").alias("sentiment_parse_ok"),
+        J.parse_ok(e).alias("esg_parse_ok"),
         *_keep(keep))
 
 

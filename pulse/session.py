@@ -41,11 +41,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a scratch folder set.
+    Only a local-mode session without one (tests, this benchmark) gets a scratch
+    folder; on a cluster an unset folder is an error, never a machine-local path.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = fallback or tempfile.mkdtemp(prefix="pulse-ckpt-")
+        if fallback:
+            d = fallback
+        elif sc.master.startswith("local"):
+            d = tempfile.mkdtemp(prefix="pulse-ckpt-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.schemas import ARTICLE_LANDING, FEED_ITEM, RESPONSE, RUN_LOG
+from pulse.schemas import ARTICLE_LANDING, FEED_ITEM, RESPONSE
 
 
 # ---------------------------------------------------------------------------
@@ -92,9 +92,6 @@ def run_log_view(raw: DataFrame) -> DataFrame:
         F.current_timestamp().alias("_ingested_at"))
 
 
-def run_log_frame_schema():
-    return RUN_LOG
-
 
 # ---------------------------------------------------------------------------
 # A16/A17 re-aimed scraper inputs: landed feed XML and search responses

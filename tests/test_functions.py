@@ -66,3 +66,9 @@ def test_claims_array_edges(spark):
     df = spark.createDataFrame(rows, "j string")
     ex = df.select(F.explode(J.parse_claims("j")).alias("c")).where(F.col("c").isNotNull())
     assert sorted(r.c.claim_text for r in ex.collect()) == ["a", "b", "single"]
+
+
+def test_parse_ok_flag(spark):
+    rows = [('{"a": 1}',), ('  {"a": 1}',), ('```json\n{"a": 1}\n```',), ('{"a": ',), ("[1]",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "j string").select(J.parse_ok("j")).collect()]
+    assert got == [True, True, False, False, False, False]
