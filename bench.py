@@ -53,7 +53,7 @@ def main():
 
     from pulse.plans import blocks as B
     from pulse.plans import dashboard as M
-    from pulse.plans import fixture_pipeline as FP
+    from pulse.plans import driver_tables as FP
     from pulse.sources.tables import materialize, read_table
 
     scratch = tempfile.mkdtemp(prefix="pulse-bench-")

@@ -163,11 +163,11 @@ def explode_search_results(responses: DataFrame, text: str = "text") -> DataFram
         "url", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url")).alias("title"),
         body.alias("_body"), "source_type", F.col("topic").alias("search_topic"),
         F.col("published").alias("published_date"), F.lower("kind").alias("result_section"),
-        F.lit("you-search").alias("scraper"), F.col("query").alias("you_query"), "block_no")
+        F.lit("web-search").alias("scraper"), F.col("query").alias("search_query"), "block_no")
     out = where_once(out, lambda c: (c("url") != "") & (F.length(c("_body")) >= MIN_BODY_CHARS))
     return out.select("url", "title", F.left("_body", F.lit(MAX_BODY_CHARS)).alias("content"),
                       "source_type", "search_topic", "published_date", "result_section",
-                      "scraper", "you_query", (F.length("_body") > 500).alias("livecrawled"),
+                      "scraper", "search_query", (F.length("_body") > 500).alias("livecrawled"),
                       "block_no")
 
 
@@ -210,4 +210,4 @@ def explode_url_contents(responses: DataFrame, text: str = "text") -> DataFrame:
     return (where_once(p, lambda c: (c("url") != "") & (F.length(c("_c")) >= MIN_BODY_CHARS))
             .select("url", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
                     .alias("title"), F.left("_c", F.lit(MAX_BODY_CHARS)).alias("content"),
-                    F.lit("you-contents").alias("scraper"), "block_no"))
+                    F.lit("page-contents").alias("scraper"), "block_no"))

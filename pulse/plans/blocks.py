@@ -21,7 +21,7 @@ from pulse.operators import ingest as I
 from pulse.operators.clean import expectation_report
 from pulse.operators.filters import first_per_key
 from pulse.plans import datasets as L
-from pulse.plans import fixture_pipeline as FP
+from pulse.plans import driver_tables as FP
 from pulse.sources.tables import ensure_parallelism
 
 
@@ -304,7 +304,7 @@ def streamed_silver(spark, sf):
     table is read back.  Equals the batch silver definition over the same records."""
     from pulse.operators.ingest import to_landing
     from pulse.sources.tables import read_table, write_landing
-    from pulse.streaming.pipeline import run_bronze_stream, run_silver_stream
+    from pulse.streaming.incremental import run_bronze_stream, run_silver_stream
     root = _shared_scratch(spark, "stream")
     lan = to_landing(FP.landing(spark, sf))
     half = F.col("_scraped_at") < F.lit("2024-03-01")

@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as E
 from pulse.plans import dashboard as M
-from pulse.plans import fixture_pipeline as FP
+from pulse.plans import driver_tables as FP
 from pulse.sources.tables import materialize, read_table
 
 SF = "/root/testdata/sf0.001"

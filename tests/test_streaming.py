@@ -3,7 +3,7 @@ import os
 
 from pulse.operators.clean import silver_articles, to_bronze
 from pulse.sources.tables import read_landing
-from pulse.streaming.pipeline import observed_metrics, run_bronze_stream, run_silver_stream
+from pulse.streaming.incremental import observed_metrics, run_bronze_stream, run_silver_stream
 
 
 def _write(path, name, recs, extra_lines=()):
