@@ -247,15 +247,26 @@ def keyword_class(text, table: dict, default: str) -> Column:
     return keyword_fold(text, table, lambda acc: _argmax_class(acc, table, default))
 
 
+# Stand-in credibility by source type (fixed values of the offline rules).
+SOURCE_CREDIBILITY = {"official": 8, "benchmark": 7, "news": 6, "ngo": 5, "social": 3}
+DEFAULT_CREDIBILITY = 4
+
+
+def rule_credibility(source_type: str = "source_type") -> Column:
+    m = F.create_map(*[x for k, v in SOURCE_CREDIBILITY.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, F.col(source_type)), F.lit(DEFAULT_CREDIBILITY))
+
+
 def rule_esg(text: str = "clean_content") -> Callable[[DataFrame], Column]:
     def rule(df: DataFrame) -> Column:
         cat = keyword_class(text, CATEGORY_KEYWORDS, "Not-ESG")
-        return F.to_json(F.struct(cat.alias("esg_category"), F.lit(None).cast("string").alias("esg_sub_theme"),
+        return F.to_json(F.struct(cat.alias("esg_category"),
+                                  F.lit(None).cast("string").alias("esg_sub_theme"),
                                   F.lit(0.5).alias("confidence"),
                                   F.array().cast("array<string>").alias("key_claims"),
                                   (F.col("source_type") == "official").alias("is_official_csr"),
                                   F.left(F.col(text), F.lit(200)).alias("impact_summary"),
-                                  F.lit(5).alias("credibility_score")))
+                                  rule_credibility().alias("credibility_score")))
     return rule
 
 
