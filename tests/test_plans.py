@@ -100,3 +100,14 @@ def test_refresh_job(spark, scratch, incremental):
     assert ins.where("sentiment_parse_ok AND esg_parse_ok").count() == ins.count()
     for t in ("weekly_sentiment", "daily_summary", "claims"):
         assert spark.read.parquet(paths[t]).count() > 0
+
+
+def test_page_envelope(spark):
+    ins = FP.insights(spark, SF)
+    env = M.page_envelope(M.explore(ins, limit=20, offset=20, esg_category="Social"),
+                          M.explore_total(ins, esg_category="Social"), limit=20, offset=20)
+    total = ins.where("esg_category = 'Social'").count()
+    assert env["total"] == total and env["pages"] == -(-total // 20)
+    assert len(env["items"]) == max(0, min(20, total - 20))
+    dates = [r["scraped_date"] for r in env["items"]]
+    assert dates == sorted(dates, reverse=True)
