@@ -13,6 +13,8 @@ Scale notes (what each plan shuffles):
   so results are deterministic (and the claims digest keeps only the leading
   claims that can reach the 2000-char prompt prefix — an exact bound).
 * L10's join is on the category key of two aggregated tables.
+* L12 is one hash aggregate (count-distincts via Catalyst's expand) plus the
+  day's headline digest, again a partial top-k before the shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions import json as J
-from pulse.functions.agg import AVG_DECIMAL, avg_round
 from pulse.functions import prompts as P
+from pulse.functions.agg import AVG_DECIMAL, avg_round
 from pulse.functions.dates import as_date_lit, since
 from pulse.functions.ids import sha_key
 from pulse.functions.labels import sentiment_bucket
@@ -55,7 +57,10 @@ def newest_first(c: str) -> Column:
 
 
 def ordered_join(value: Column, order: Column, sep: str) -> Column:
-    """Deterministic ``concat_ws(sep, collect_list(value))``: values ordered by ``order``."""
+    """Deterministic ``concat_ws(sep, collect_list(value))``: values ordered by ``order``.
+
+    Collects the group, so it is only used on bounded groups: after a top-k, or
+    over a fixed calendar window."""
     arr = F.array_sort(F.collect_list(F.struct(order.alias("k"), value.alias("v"))))
     return F.array_join(F.transform(arr, lambda x: x["v"]), sep)
 
