@@ -30,3 +30,18 @@ def avg_round_if(cond: Column, c, digits: int) -> Column:
 def sum_if(cond: Column) -> Column:
     """SUM(CASE WHEN cond THEN 1 ELSE 0 END)."""
     return F.sum(F.when(cond, 1).otherwise(0))
+
+
+def median(c, accuracy: int | None = None) -> Column:
+    """Median of ``c``.
+
+    Exact by default (``percentile``: linear interpolation; its buffer is a
+    value→count map, so a group costs its distinct values — bounded for model
+    scores, which carry a few decimals).  For columns with an unbounded value
+    domain in very large groups pass ``accuracy`` to switch to
+    ``percentile_approx`` (a fixed-size sketch per group; returns a data value,
+    relative rank error 1/accuracy)."""
+    x = _c(c)
+    if accuracy is None:
+        return F.percentile(x, 0.5)
+    return F.percentile_approx(x, 0.5, accuracy).cast("double")

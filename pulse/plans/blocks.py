@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions import prompts as P
-from pulse.functions.agg import avg_round
+from pulse.functions.agg import avg_round, median
 from pulse.functions.text import clean_text, preview
 from pulse.operators import enrich as K
 from pulse.operators import ingest as I
@@ -47,13 +47,13 @@ def clean_pages(spark, sf):
                     F.length(clean_text("html")).cast("long").alias("clean_chars"))
 
 
-def events_median(spark, sf):
-    """E6/E3/E1 exact median, mean and count per event type and day."""
+def events_median(spark, sf, accuracy: int | None = None):
+    """E6/E3/E1 median (exact unless ``accuracy``), mean and count per event type and day."""
     e = _t(spark, sf, "events")
     return e.groupBy("event_type", F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
         avg_round("value", 4).alias("avg_value"),
-        F.round(F.percentile("value", 0.5), 4).alias("median_value"))
+        F.round(median("value", accuracy), 4).alias("median_value"))
 
 
 def events_distinct(spark, sf):

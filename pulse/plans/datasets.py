@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions import json as J
 from pulse.functions import prompts as P
-from pulse.functions.agg import AVG_DECIMAL, avg_round
+from pulse.functions.agg import AVG_DECIMAL, avg_round, median
 from pulse.functions.dates import as_date_lit, since
 from pulse.functions.ids import sha_key
 from pulse.functions.labels import sentiment_bucket
@@ -177,12 +177,13 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def weekly_sentiment(insights: DataFrame, evidence_k: int = 5) -> DataFrame:
+def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
+                     median_accuracy: int | None = None) -> DataFrame:
     pub = public_articles(insights)
     agg = pub.groupBy(*WEEK_KEYS).agg(
         F.count(F.lit(1)).alias("article_count"),
         F.avg(F.col("sentiment_score").cast(AVG_DECIMAL)).alias("avg_dec"),
-        F.percentile("sentiment_score", 0.5).alias("median_score"),
+        median("sentiment_score", median_accuracy).alias("median_score"),
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "neutral").alias("neutral_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),

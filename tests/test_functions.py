@@ -72,3 +72,10 @@ def test_parse_ok_flag(spark):
     rows = [('{"a": 1}',), ('  {"a": 1}',), ('```json\n{"a": 1}\n```',), ('{"a": ',), ("[1]",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "j string").select(J.parse_ok("j")).collect()]
     assert got == [True, True, False, False, False, False]
+
+
+def test_median_exact_and_bounded(spark):
+    from pulse.functions.agg import median
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 4, 10]], "x double")
+    assert df.agg(median("x")).first()[0] == 3.0                  # interpolated, exact
+    assert df.agg(median("x", 10000)).first()[0] in (2.0, 4.0)    # a data value from the sketch
