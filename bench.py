@@ -14,12 +14,12 @@ import json
 import os
 import statistics
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pulse.session import local_session  # noqa: E402
+from pulse.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
 
 def _noop(df):
@@ -56,7 +56,8 @@ def main():
     from pulse.plans import driver_tables as FP
     from pulse.sources.tables import materialize, read_table
 
-    scratch = tempfile.mkdtemp(prefix="pulse-bench-")
+    # Gold tables go under the shared folder the session names (spark.checkpoint.dir).
+    scratch = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     times: dict[str, float] = {}
 
     def refresh():
