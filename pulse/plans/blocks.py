@@ -136,6 +136,35 @@ def feed_items(spark, sf):
     return I.feed_filter(capped, feeds).select("feed_name", "item_no")
 
 
+def feed_item_rows(spark, sf):
+    """Landed-feed-shaped items from ``documents`` (one per document, whole text):
+    missing/blank links, summary-or-description bodies with markup, and date
+    texts in RFC-822, ISO or unparseable form (fixture rules in FIXTURES.md §5)."""
+    d = _t(spark, sf, "documents")
+    D = F.col("doc_id")
+    day = F.lpad((D % 28 + 1).cast("string"), 2, "0")
+    blank_or_null = lambda k, m, v: (F.when(D % m == k, F.lit("")).when(D % m == k + 1, F.lit(None))
+                                     .otherwise(v))
+    return d.select(
+        F.col("source").alias("feed_name"), D.alias("item_no"),
+        blank_or_null(4, 9, F.concat(F.lit("https://feeds.example.org/i/"), D.cast("string"))).alias("link"),
+        F.when(D % 7 == 0, F.lit(None)).otherwise(F.substring("text", 1, 80)).alias("title"),
+        blank_or_null(0, 6, F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>\n"))).alias("summary"),
+        F.when(D % 4 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("<div class=\"d\">"), F.col("text"), F.lit("</div>"))).alias("description"),
+        F.when(D % 11 == 0, F.lit(None)).otherwise(F.col("source")).alias("author"),
+        blank_or_null(0, 5, F.concat(F.lit("Mon, "), day, F.lit(" Apr 2024 10:00:00 +0000"))).alias("pubDate"),
+        F.when(D % 3 == 0, F.concat(F.lit("2024-03-"), day, F.lit("T08:30:00"))).alias("updated"),
+        F.lit("yesterday").alias("created"))
+
+
+def feed_normalised(spark, sf):
+    """Feed items → article rows, with the parsed publication day."""
+    n = I.normalise_feed(feed_item_rows(spark, sf))
+    return n.select("feed_name", "item_no", "url", "title", "content", "author", "published_date",
+                    F.to_date(I.feed_date("published_date")).alias("published_day"))
+
+
 # Feed dimension of the feed-filter block: (feed, keywords); an empty list passes all.
 FEED_DIM = [(f"src{i}", (["the", "und"] if i % 3 == 0 else (["de"] if i % 3 == 1 else [])))
             for i in range(20)]
@@ -166,6 +195,22 @@ def prompt_hashes(spark, sf):
                     F.length(P.claims_prompt()).cast("long").alias("claims_prompt_chars"))
 
 
+# Answers of earlier runs cover the articles dated before this day (D6 block).
+CACHE_CUTOVER = "2024-03-15"
+
+
+def pending_sentiment_prompts(spark, sf):
+    """The distinct sentiment prompts of the scoring candidates that the answer
+    cache (the earlier runs' prompts) has not answered: the model's work list."""
+    s = FP.scored(spark, sf)
+    prompt = P.sentiment_prompt()
+    prompts = s.select(K.prompt_hash(prompt).alias("prompt_hash"), prompt.alias("prompt"))
+    cache = s.where(F.col("scraped_date") < F.lit(CACHE_CUTOVER).cast("date")).select(
+        K.prompt_hash(prompt).alias("prompt_hash"))
+    return K.pending_prompts(prompts, cache).select(
+        "prompt_hash", F.length("prompt").cast("long").alias("prompt_chars"))
+
+
 def lexicon_sentiment(spark, sf):
     """K12 stand-in over every document."""
     d = ensure_parallelism(_t(spark, sf, "documents"))
@@ -193,6 +238,7 @@ def block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "b04_dedupe_first": landing_dedupe,
         "b06_run_stats": landing_run_stats,
         "b08_feed_filter": feed_items,
+        "b10_normalise_feed": feed_normalised,
         "b16_topic_families": topic_families,
         "c03_clean_pages": clean_pages,
         "c11_expectation_report": silver_quality,
@@ -203,6 +249,7 @@ def block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f03_top5_per_group": events_top5,
         "f05_latest_per_key": events_latest_per_user,
         "i20_json_fields": events_props,
+        "d06_pending_prompts": pending_sentiment_prompts,
         "k10_prompts": prompt_hashes,
         "k12_lexicon_sentiment": lexicon_sentiment,
         "k13_keyword_category": keyword_categories,
