@@ -42,3 +42,12 @@ def test_grouped_median_equals_percentile(spark):
     assert ("all-null", 0) not in got and want[("all-null", 0)] is None
     want.pop(("all-null", 0))
     assert got == want
+
+
+def test_events_median_plan_holds_no_group_values(spark):
+    """The registered median never keeps a group's values in one buffer."""
+    import __spark_entry__ as E
+    df = E.queries()["e06_median_by_group"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect_list" not in plan
+    assert "partial_count" in plan
