@@ -32,6 +32,7 @@ from pulse.functions.dates import as_date_lit, since
 from pulse.functions.ids import sha_key
 from pulse.functions.labels import sentiment_bucket
 from pulse.operators.clean import scoring_candidates
+from pulse.operators.quantiles import grouped_median
 from pulse.operators.enrich import Responder, RuleResponder, rule_brief, rule_delta, \
     rule_headline, rule_quick_alignment
 from pulse.schemas import CRISIS_TOPICS, OFFICIAL_SOURCES, PUBLIC_SOURCES
@@ -178,12 +179,18 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
-                     median_accuracy: int | None = None) -> DataFrame:
+                     median_accuracy: int | None = None, radix_median: bool = False) -> DataFrame:
+    """L7.  The exact median is ``percentile`` by default (its buffer is bounded by
+    the distinct scores of a group).  ``radix_median=True`` uses the radix select,
+    which never holds a group's values, for models that emit unbounded score
+    precision; ``median_accuracy`` uses a fixed-size sketch instead."""
     pub = public_articles(insights)
+    use_radix = radix_median and median_accuracy is None
+    med = [] if use_radix else [median("sentiment_score", median_accuracy).alias("median_score")]
     agg = pub.groupBy(*WEEK_KEYS).agg(
         F.count(F.lit(1)).alias("article_count"),
         F.avg(F.col("sentiment_score").cast(AVG_DECIMAL)).alias("avg_dec"),
-        median("sentiment_score", median_accuracy).alias("median_score"),
+        *med,
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "neutral").alias("neutral_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
@@ -198,6 +205,9 @@ def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
     ev = ev.select(*WEEK_KEYS, F.transform("_ev", lambda x: F.struct(
         x["snippet"].alias("snippet"), x["url"].alias("url"), x["score"].alias("score")))
         .alias("top_evidence"))
+    if use_radix:
+        agg = _null_safe_join(agg, grouped_median(pub, WEEK_KEYS, "sentiment_score", "median_score"),
+                              WEEK_KEYS)
     out = _null_safe_join(agg, ev, WEEK_KEYS)
     return out.select(
         F.concat(F.col("esg_category"), F.lit("_"), F.date_format("week_start", "yyyy-MM-dd"))

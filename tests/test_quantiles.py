@@ -51,3 +51,13 @@ def test_events_median_plan_holds_no_group_values(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "collect_list" not in plan
     assert "partial_count" in plan
+
+
+def test_weekly_radix_median_equals_percentile(spark):
+    from pulse.plans import datasets as L
+    from pulse.plans import driver_tables as FP
+    ins = FP.insights(spark, "/root/testdata/sf0.001")
+    cols = L.WEEK_KEYS + ["median_sentiment_score"]
+    a = sorted(map(tuple, L.weekly_sentiment(ins).select(*cols).collect()), key=repr)
+    b = sorted(map(tuple, L.weekly_sentiment(ins, radix_median=True).select(*cols).collect()), key=repr)
+    assert a == b and len(a) > 0
