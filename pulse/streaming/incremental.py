@@ -20,9 +20,12 @@ def _run(df: DataFrame, sink: str, checkpoint: str, name: str, timeout_s: float
     q = (df.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).queryName(name).start())
-    q.awaitTermination(timeout_s)
+    q.awaitTermination(timeout_s)  # raises if the query failed
     if q.isActive:
+        # Not drained in time: stop it and fail, so no caller reads a partial table
+        # as complete.  A rerun resumes from the checkpoint.
         q.stop()
+        raise TimeoutError(f"stream {name} did not drain within {timeout_s} s")
     return q
 
 
