@@ -47,9 +47,9 @@ def order_key(v: Column) -> Column:
     a = F.abs(v)
     two = F.lit(2.0)
     e0 = F.floor(F.log2(a)).cast("int")
-    # log2 may be off by one next to a power of two; Math.pow(2, n) is exact.
-    e1 = F.when(F.pow(two, e0) > a, e0 - 1).otherwise(e0)
-    e = F.when(F.pow(two, e1 + 1) <= a, e1 + 1).otherwise(e1)
+    # log2 may be off by one next to a power of two (either way, never both);
+    # Math.pow(2, n) is exact.
+    e = e0 + F.when(F.pow(two, e0 + 1) <= a, 1).when(F.pow(two, e0) > a, -1).otherwise(0)
     normal = ((e + 1023).cast("long") * F.lit(1 << 52)
               + ((a / F.pow(two, e) - 1.0) * _TWO52).cast("long"))
     subnormal = (a * F.lit(2.0 ** 1022) * _TWO52).cast("long")
@@ -78,24 +78,50 @@ def _pick(buckets: DataFrame, part: Sequence[str]) -> DataFrame:
     """Per target (``part``), the bucket whose cumulative count range holds rank ``_r``."""
     w = (Window.partitionBy(*part).orderBy(F.col("_p").bitwiseAND(DIGIT_MASK))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = buckets.withColumn("_cum", F.sum("_n").over(w))
-    return (c.where((F.col("_cum") - F.col("_n") <= F.col("_r")) & (F.col("_r") < F.col("_cum")))
-            .withColumn("_r", F.col("_r") - (F.col("_cum") - F.col("_n")))
-            .drop("_cum"))
+    before = F.sum("_n").over(w) - F.col("_n")          # rows in earlier buckets
+    c = buckets.select(*[x for x in buckets.columns if x != "_r"],
+                       (F.col("_r") - before).alias("_r"))
+    return c.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_n")))
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str,
-                   out: str = "median") -> DataFrame:
+# Groups up to this many non-NULL values use ``percentile``: its buffer then
+# holds at most this many entries.  Larger groups take the radix select.
+EXACT_BUFFER_ROWS = 1_000_000
+
+
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
+                   exact_buffer_rows: int | None = EXACT_BUFFER_ROWS) -> DataFrame:
     """Exact median of ``value`` per ``keys`` (the same result as ``percentile(value, 0.5)``).
 
     Returns one row per group with at least one non-NULL value.  Left-join it
-    to the group's other aggregates (null-safe on the keys)."""
+    to the group's other aggregates (null-safe on the keys).
+
+    Group sizes are counted first.  Groups of at most ``exact_buffer_rows``
+    values use ``percentile`` (bounded buffer); larger ones use the radix
+    select.  When no group is large, the radix branch is empty at run time and
+    AQE drops its stages.  ``exact_buffer_rows=None`` sends every group
+    through the radix select."""
     keys = list(keys)
     g = [f"_g{i}" for i in range(len(keys))]
     v = F.col(value).cast("double")
-    base = (df.where(v.isNotNull())
-            .select(*[F.col(k).alias(a) for k, a in zip(keys, g)],
-                    order_key(v).alias("_u"), v.alias("_v")))
+    rows = (df.where(v.isNotNull())
+            .select(*[F.col(k).alias(a) for k, a in zip(keys, g)], v.alias("_v")))
+    if exact_buffer_rows is None:
+        res = _radix_median(rows, g)
+    else:
+        sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn"))
+        s = sizes.select(*[F.col(c).alias(f"_s{c}") for c in g], "_gn")
+        sized = rows.join(s, _keys_eq(rows, s, g, [f"_s{c}" for c in g]), "inner")
+        small = sized.where(F.col("_gn") <= exact_buffer_rows).groupBy(*g).agg(
+            F.percentile("_v", 0.5).alias("_med"))
+        big = _radix_median(sized.where(F.col("_gn") > exact_buffer_rows).select(*g, "_v"), g)
+        res = small.unionByName(big)
+    return res.select(*[F.col(a).alias(k) for a, k in zip(g, keys)], F.col("_med").alias(out))
+
+
+def _radix_median(rows: DataFrame, g: list[str]) -> DataFrame:
+    """Radix select over (``g``..., ``_v``) rows with non-NULL ``_v``; returns (``g``..., ``_med``)."""
+    base = rows.select(*g, order_key(F.col("_v")).alias("_u"), "_v")
 
     # Level 1: every row; group sizes come from the bucket counts.
     b = base.groupBy(*g, _prefix(F.col("_u"), 1).alias("_p")).agg(
@@ -126,4 +152,4 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str,
     res = targets.groupBy(*g).agg(lo.alias("_lo"), hi.alias("_hi"))
     med = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
         F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi")) + F.lit(0.0)
-    return res.select(*[F.col(a).alias(k) for a, k in zip(g, keys)], med.alias(out))
+    return res.select(*g, med.alias("_med"))

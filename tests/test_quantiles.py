@@ -36,12 +36,14 @@ def test_grouped_median_equals_percentile(spark):
     data += [("all-null", 0, None), ("edges", 1, None)]
     data += [("edges", 1, v) for v in EDGE_VALUES]
     df = spark.createDataFrame(data, "a string, b int, v double")
-    got = {(r.a, r.b): r.m for r in grouped_median(df, ["a", "b"], "v", "m").collect()}
     want = {(r.a, r.b): r.p for r in
             df.groupBy("a", "b").agg(F.percentile("v", 0.5).alias("p")).collect()}
-    assert ("all-null", 0) not in got and want[("all-null", 0)] is None
-    want.pop(("all-null", 0))
-    assert got == want
+    assert want.pop(("all-null", 0)) is None
+    # radix only, mixed (groups above 5 values take the radix), percentile only
+    for limit in (None, 5, 10 ** 6):
+        got = {(r.a, r.b): r.m for r in
+               grouped_median(df, ["a", "b"], "v", "m", exact_buffer_rows=limit).collect()}
+        assert got == want, limit
 
 
 def test_events_median_plan_holds_no_group_values(spark):
@@ -49,8 +51,10 @@ def test_events_median_plan_holds_no_group_values(spark):
     import __spark_entry__ as E
     df = E.queries()["e06_median_by_group"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "percentile" not in plan and "collect_list" not in plan
-    assert "partial_count" in plan
+    assert "collect_list" not in plan
+    # percentile only sees groups of bounded size; the others take the radix levels
+    assert "(_gn#" in plan and "<= 1000000)" in plan and "> 1000000)" in plan
+    assert "shiftrightunsigned" in plan
 
 
 def test_weekly_radix_median_equals_percentile(spark):
