@@ -275,6 +275,18 @@ def envelope_records(spark, sf):
     return e.select("doc_id", "article_id", "url_hash", "content_length", "language", "author")
 
 
+def stamped_records(spark, sf):
+    """A run stamps its id and time on records that lack them (records carried
+    over from an earlier run keep theirs); every record gets the run timestamp."""
+    D = F.col("doc_id")
+    r = _doc_records(spark, sf).select(
+        "doc_id", "url",
+        F.when(D % 3 == 0, F.lit(None)).otherwise(F.lit("run-20240429")).alias("_scrape_run_id"),
+        F.when(D % 4 == 1, F.lit(None)).otherwise(F.lit("2024-04-29T04:00:00Z")).alias("_scraped_at"))
+    return I.stamp_run(r, "run-20240430", "2024-04-30T04:00:00Z").select(
+        "doc_id", "_scrape_run_id", "_scraped_at", "_run_timestamp")
+
+
 def gated_bodies(spark, sf):
     """Body gate ≥ 80 chars, 20 000-char cut, title defaults to the URL."""
     g = I.gate_body(_doc_records(spark, sf))
@@ -339,6 +351,7 @@ def ingest_block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]
     return {
         "a19_adhoc_select": adhoc,
         "b01_envelope": envelope_records,
+        "b07_stamp_run": stamped_records,
         "b11_search_results": search_results,
         "b12_url_contents": url_contents,
         "b13_url_meta": url_meta,
