@@ -19,7 +19,8 @@ statistics, NULLs ignored) without gathering a group anywhere:
    key, which is one distinct value.
 
 So every task holds at most 65 536 buckets per group, and the cost is four
-scans of the (group, value) columns.
+scans of the (group, value) columns.  Groups small enough for a bounded
+``percentile`` buffer (``EXACT_BUFFER_ROWS``) skip the radix levels.
 """
 
 from __future__ import annotations
