@@ -182,6 +182,27 @@ def lexicon_score(text, lexicon: dict | None = None) -> Column:
     return lexicon_fold(text, _normalised, lexicon)
 
 
+def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: dict | None = None,
+                   out: str = "score") -> DataFrame:
+    """K12 as a table operator: (key, lexicon score) for rows unique on ``key``.
+
+    Tokens are exploded and matched to the fixed lexicon with a broadcast hash join.
+    The lexicon is a constant dimension, so its size is bounded.  One zero row per
+    key (NULL for a NULL text) keeps texts without hits.  A single partial
+    aggregate then shuffles about one row per key.  All of this is codegen'd,
+    where the per-row fold (``lexicon_score``) evaluates a lambda per token;
+    use the fold where the score must stay a column of the same row."""
+    lex = df.sparkSession.createDataFrame(
+        [(w, float(v)) for w, v in (lexicon or LEXICON).items()], "_w string, _v double")
+    hits = (df.select(F.col(key).alias("_k"), F.explode(tokens(text)).alias("_w"))
+            .join(F.broadcast(lex), "_w").select("_k", "_v"))
+    zero = df.select(F.col(key).alias("_k"),
+                     F.when(F.col(text).isNotNull(), F.lit(0.0)).alias("_v"))
+    s = F.col("_s")
+    return (hits.unionByName(zero).groupBy("_k").agg(F.sum("_v").alias("_s"))
+            .select(F.col("_k").alias(key), _normalised(s).alias(out)))
+
+
 def rule_sentiment(text: str = "clean_content", stance: str | None = None) -> Callable[[DataFrame], Column]:
     """K12 stand-in: JSON in the sentiment answer shape (one token pass per row)."""
     def rule(df: DataFrame) -> Column:

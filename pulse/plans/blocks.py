@@ -213,8 +213,8 @@ def pending_sentiment_prompts(spark, sf):
 
 def lexicon_sentiment(spark, sf):
     """K12 stand-in over every document."""
-    d = ensure_parallelism(_t(spark, sf, "documents"))
-    return d.select("doc_id", F.round(K.lexicon_score("text"), 4).alias("score"))
+    d = ensure_parallelism(_t(spark, sf, "documents").select("doc_id", "text"))
+    return K.lexicon_scores(d, "doc_id", "text").select("doc_id", F.round("score", 4).alias("score"))
 
 
 def keyword_categories(spark, sf):

@@ -34,3 +34,14 @@ def test_rule_standins(spark):
     assert out.first().j.startswith('{"sentiment":"positive"')
     a = spark.createDataFrame([(0.5, 10.0), (None, None), (-1.0, 100.0)], "period_avg_sentiment double, avg_pct_critical double")
     assert [r[0] for r in a.select(alignment_rule()).collect()] == [7, 5, 0]
+
+
+def test_lexicon_table_operator_equals_fold(spark):
+    from pulse.operators.enrich import lexicon_score, lexicon_scores
+    rows = [(1, "Great progress, but a scandal and a recall."), (2, None), (3, "nothing to see"),
+            (4, "GOOD good Good bad-bad"), (5, "")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    fold = {r.k: r.s for r in df.select("k", lexicon_score("t").alias("s")).collect()}
+    table = {r.k: r.score for r in lexicon_scores(df, "k", "t").collect()}
+    assert table == fold
+    assert table[2] is None and table[3] == 0.0 and table[4] > 0
