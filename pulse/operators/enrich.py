@@ -268,6 +268,28 @@ def keyword_class(text, table: dict, default: str) -> Column:
     return keyword_fold(text, table, lambda acc: _argmax_class(acc, table, default))
 
 
+def keyword_classes(df: DataFrame, key: str, text: str, table: dict, default: str,
+                    out: str = "label") -> DataFrame:
+    """K13 as a table operator: (key, class with most keyword hits) for rows unique
+    on ``key`` (ties → earlier class; no hits → ``default``; NULL text → NULL).
+
+    Tokens are matched to the fixed keyword→class dimension (bounded, broadcast).
+    One marker row per key keeps texts without hits.  A single partial
+    aggregate counts hits per class."""
+    kw = df.sparkSession.createDataFrame(
+        [(w, i) for i, words in enumerate(table.values()) for w in words], "_w string, _c int")
+    hits = (df.select(F.col(key).alias("_k"), F.explode(tokens(text)).alias("_w"))
+            .join(F.broadcast(kw), "_w").select("_k", "_c", F.lit(True).alias("_nn")))
+    marker = df.select(F.col(key).alias("_k"), F.lit(None).cast("int").alias("_c"),
+                       F.col(text).isNotNull().alias("_nn"))
+    agg = hits.unionByName(marker).groupBy("_k").agg(
+        F.max("_nn").alias("_nn"),
+        *[F.count_if(F.col("_c") == i).alias(f"_n{i}") for i in range(len(table))])
+    counts = F.array(*[F.col(f"_n{i}").cast("int") for i in range(len(table))])
+    return agg.select(F.col("_k").alias(key),
+                      F.when(F.col("_nn"), _argmax_class(counts, table, default)).alias(out))
+
+
 # Stand-in credibility by source type (fixed values of the offline rules).
 SOURCE_CREDIBILITY = {"official": 8, "benchmark": 7, "news": 6, "ngo": 5, "social": 3}
 DEFAULT_CREDIBILITY = 4

@@ -219,9 +219,8 @@ def lexicon_sentiment(spark, sf):
 
 def keyword_categories(spark, sf):
     """K13 stand-in: category with most keyword hits per document."""
-    d = _t(spark, sf, "documents")
-    return d.select("doc_id", K.keyword_class("text", K.CATEGORY_KEYWORDS, "Not-ESG")
-                    .alias("esg_category"))
+    d = ensure_parallelism(_t(spark, sf, "documents").select("doc_id", "text"))
+    return K.keyword_classes(d, "doc_id", "text", K.CATEGORY_KEYWORDS, "Not-ESG", "esg_category")
 
 
 def claim_rules(spark, sf):

@@ -45,3 +45,16 @@ def test_lexicon_table_operator_equals_fold(spark):
     table = {r.k: r.score for r in lexicon_scores(df, "k", "t").collect()}
     assert table == fold
     assert table[2] is None and table[3] == 0.0 and table[4] > 0
+
+
+def test_keyword_table_operator_equals_fold(spark):
+    from pulse.operators.enrich import CATEGORY_KEYWORDS, keyword_class, keyword_classes
+    rows = [(1, "Carbon and water; the board."), (2, None), (3, "no keywords here"),
+            (4, "board audit workers"), (5, "workers board"), (6, "")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    fold = {r.k: r.c for r in df.select(
+        "k", keyword_class("t", CATEGORY_KEYWORDS, "Not-ESG").alias("c")).collect()}
+    table = {r.k: r.c for r in keyword_classes(df, "k", "t", CATEGORY_KEYWORDS, "Not-ESG", "c").collect()}
+    assert table == fold
+    assert table[1] == "Environmental" and table[2] is None and table[3] == "Not-ESG"
+    assert table[5] == "Social"          # tie → earlier class
