@@ -43,21 +43,28 @@ def _append(arr: Column, x: Column) -> Column:
     return F.concat(arr, F.array(x))
 
 
-def _line_features(lines: Column) -> Column:
+def _line_features(lines: Column, contents: bool = False) -> Column:
     """Per-line facts computed once (lambdas are evaluated without common-
-    subexpression elimination, so each regex must appear exactly once)."""
+    subexpression elimination, so each regex must appear exactly once, and
+    only the facts the parser reads are computed: ``contents`` selects the
+    page-contents parser's facts instead of the search-result ones)."""
     stripped = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"),
                                                         _strip(l).alias("s")))
-    return F.transform(stripped, lambda x: F.struct(
-        x["l"].alias("l"), x["i"].alias("i"), x["s"].alias("s"),
-        (x["s"] == "").alias("blank"),
-        F.lower(x["s"]).startswith("snippets:").alias("snip_hdr"),
-        x["s"].rlike(CONTENT_HDR_RE).alias("cont_hdr"),
-        x["s"].rlike(CONTENTS_HDR_RE).alias("contents_hdr"),
-        x["s"].startswith("- ").alias("dash"),
-        x["s"].rlike(r"(?i)^Title:\s*").alias("is_title"),
-        F.regexp_extract(x["s"], FIELD_RE, 0).alias("field"),
-        F.lower(F.regexp_extract(x["s"], FIELD_RE, 1)).alias("key")))
+
+    def feats(x):
+        common = [x["l"].alias("l"), x["i"].alias("i"), x["s"].alias("s"),
+                  (x["s"] == "").alias("blank")]
+        if contents:
+            return F.struct(*common,
+                            x["s"].rlike(CONTENTS_HDR_RE).alias("contents_hdr"),
+                            x["s"].rlike(r"(?i)^Title:\s*").alias("is_title"))
+        return F.struct(*common,
+                        F.lower(x["s"]).startswith("snippets:").alias("snip_hdr"),
+                        x["s"].rlike(CONTENT_HDR_RE).alias("cont_hdr"),
+                        x["s"].startswith("- ").alias("dash"),
+                        F.lower(F.regexp_extract(x["s"], FIELD_RE, 1)).alias("key"))
+
+    return F.transform(stripped, feats)
 
 
 def _block_fold(feats: Column, n_lines: Column) -> Column:
@@ -198,7 +205,7 @@ def explode_url_contents(responses: DataFrame, text: str = "text") -> DataFrame:
     ex = responses.where(ok).select(F.posexplode(blocks).alias("block_no", "block"))
     lines = F.split("block", "\n", -1)
     feats = ex.select("block_no", _strip(F.element_at(lines, 1)).alias("url"),
-                      _line_features(F.slice(lines, 2, 1 << 30)).alias("_f"))
+                      _line_features(F.slice(lines, 2, 1 << 30), contents=True).alias("_f"))
     first_hdr = F.array_position(
         F.transform("_f", lambda x: ~x["is_title"] & x["contents_hdr"]), True)
     body = F.filter(F.slice("_f", first_hdr + 1, 1 << 30),
