@@ -111,3 +111,13 @@ def test_page_envelope(spark):
     assert len(env["items"]) == max(0, min(20, total - 20))
     dates = [r["scraped_date"] for r in env["items"]]
     assert dates == sorted(dates, reverse=True)
+
+
+def test_bounded_digests_use_partial_window_limit(spark):
+    """The claims digest (k = 668) and headline digest (k = 216) stay within Spark's
+    WindowGroupLimit threshold, so each map task forwards at most k rows per group."""
+    from pulse.plans import datasets as L
+    assert L.DIGEST_CLAIMS <= 1000 and L.DIGEST_HEADLINES <= 1000
+    for df in (L.claim_summary(FP.claims(spark, SF)), L.daily_stats(FP.insights(spark, SF))):
+        plan = _plan(df)
+        assert plan.count("WindowGroupLimit") >= 2   # partial (map side) and final
