@@ -58,3 +58,14 @@ def test_keyword_table_operator_equals_fold(spark):
     assert table == fold
     assert table[1] == "Environmental" and table[2] is None and table[3] == "Not-ESG"
     assert table[5] == "Social"          # tie → earlier class
+
+
+def test_token_table_operators_plan(spark):
+    """Broadcast fixed dimension, partial aggregate before the one shuffle, no Python."""
+    from pulse.operators.enrich import CATEGORY_KEYWORDS, keyword_classes, lexicon_scores
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for q in (lexicon_scores(df, "doc_id", "text"),
+              keyword_classes(df, "doc_id", "text", CATEGORY_KEYWORDS, "Not-ESG")):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "partial_" in plan
+        assert "PythonUDF" not in plan and "ArrowEval" not in plan
