@@ -65,3 +65,15 @@ def test_weekly_radix_median_equals_percentile(spark):
     a = sorted(map(tuple, L.weekly_sentiment(ins).select(*cols).collect()), key=repr)
     b = sorted(map(tuple, L.weekly_sentiment(ins, radix_median=True).select(*cols).collect()), key=repr)
     assert a == b and len(a) > 0
+
+
+def test_radix_median_on_driver_events(spark):
+    """Every group through the radix levels on the real events table."""
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet") \
+        .select("event_type", F.to_date("ts").alias("day"), "value")
+    keys = ["event_type", "day"]
+    want = {(r[0], r[1]): r[2] for r in e.groupBy(*keys).agg(F.percentile("value", 0.5)).collect()
+            if r[2] is not None}
+    got = {(r[0], r[1]): r[2] for r in
+           grouped_median(e, keys, "value", exact_buffer_rows=None).collect()}
+    assert got == want and len(want) > 10
