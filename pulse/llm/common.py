@@ -73,3 +73,13 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     off = per.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__off"))
     return (s.join(off, "__part").withColumn(name, F.col("__off") + F.col("__pos"))
             .drop("__part", "__pos", "__off"))
+
+
+def word_pieces(data: bytes, size: int = 4 << 20):
+    """Lists of the blank-separated words of ``data``, cut at blanks after ``size`` bytes each."""
+    lo = 0
+    while lo < len(data):
+        hi = data.find(b" ", lo + size) if lo + size < len(data) else -1
+        hi = len(data) if hi < 0 else hi
+        yield data[lo:hi].split()
+        lo = hi

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import decontam, mixing, url_filter
+from pulse.llm import decontam, mixing, simhash, url_filter
 from pulse.llm.common import table
 
 
@@ -30,9 +30,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_url_filter": op2_url_filter,
         "op3_decontamination": op3_decontamination,
+        "op10_simhash_dedup": op10_simhash_dedup,
     }
