@@ -95,4 +95,15 @@ judged as (
 OP3 = f"""with {hits_sql()}
 select doc_id, n_words, n_hit, n_items, items_sha256, contaminated from judged"""
 
-ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3}
+OP9 = """
+with vectors as (
+  select vec_id, [floor(64 * x::double) for x in embedding] as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from vectors q join vectors c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranks as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
+select query_id, rank, vec_id, score from ranks where rank <= 20"""
+
+ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op9_exact_top_k": OP9}

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import decontam, mixing, simhash, url_filter
-from pulse.llm.common import table
+from pulse.llm import decontam, mixing, simhash, toxicity, url_filter
+from pulse.llm import vector_search
+from pulse.llm.common import crc_mod, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), teaches=toxicity.not_held_out)
+    scores = toxicity.toxicity_scores(docs, model)
+    return scores.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.exact_top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -40,5 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_url_filter": op2_url_filter,
         "op3_decontamination": op3_decontamination,
+        "op4_toxicity": op4_toxicity,
+        "op9_exact_top_k": op9_exact_top_k,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
