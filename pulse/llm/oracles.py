@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pulse.llm.licenses import COVER, GAP, K, NOTICES, PHRASES, template_grams
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,6 +97,40 @@ judged as (
 OP3 = f"""with {hits_sql()}
 select doc_id, n_words, n_hit, n_items, items_sha256, contaminated from judged"""
 
+def _template_rows() -> str:
+    return ", ".join(f"({t}, '{label}', {exact}, {n}, {at}, '{gram}', {needed})"
+                     for t, label, exact, n, at, gram, needed in template_grams(PHRASES + NOTICES, K))
+
+
+OP8 = f"""
+with templates(template, label, exact, grams, tpos, gram, needed) as (values {_template_rows()}),
+musts as (select template, count(*) filter (where needed) as needs from templates group by template),
+doc_words as (select row_number() over () as rid, doc_id, coalesce({plain_words()}, []) as words from documents),
+grams as (select rid, p - 1 as pos, array_to_string(words[p:p + {K} - 1], ' ') as gram
+  from doc_words, unnest(range(1, len(words) - {K} + 2)) as u(p) where len(words) >= {K}),
+votes as (select rid, template, label, exact, grams, tpos, needed, pos, pos - tpos as diagonal from grams join templates using (gram)),
+gaps as (select *, diagonal - lag(diagonal) over (partition by rid, template order by diagonal) as gap
+  from (select distinct rid, template, exact, diagonal from votes)),
+spans as (select rid, template, diagonal,
+    sum(case when exact or gap is null or gap > {GAP} then 1 else 0 end) over (partition by rid, template order by diagonal) as span
+  from gaps),
+merged as (
+  select rid, template, label, exact, span, min(pos) as first, count(distinct tpos) as covered, any_value(grams) as grams,
+         count(distinct tpos) filter (where needed) as met
+  from votes join spans using (rid, template, diagonal) group by rid, template, label, exact, span),
+good as (
+  select rid, label, exact, first, covered / grams as cover from merged join musts using (template)
+  where case when exact then covered = grams else covered / grams >= {COVER} and met = needs end),
+found as (
+  select rid, count(*) filter (where exact) as n_base, min(first) filter (where exact) as first_word,
+         max(first) filter (where exact) as last_word, string_agg(distinct label, ',' order by label) filter (where exact) as base_labels,
+         string_agg(distinct label, ',' order by label) as labels, max(cover) as score
+  from good group by rid)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+       last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       coalesce(score, 0)::double as score
+from doc_words left join found using (rid)"""
+
 OP9 = """
 with vectors as (
   select vec_id, [floor(64 * x::double) for x in embedding] as v from embeddings
@@ -106,4 +142,5 @@ scored as (
 ranks as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
 select query_id, rank, vec_id, score from ranks where rank <= 20"""
 
-ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op9_exact_top_k": OP9}
+ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op8_license_scan": OP8,
+          "op9_exact_top_k": OP9}

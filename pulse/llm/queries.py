@@ -10,8 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import decontam, mixing, simhash, toxicity, url_filter
-from pulse.llm import vector_search
+from pulse.llm import decontam, licenses, mixing, simhash, toxicity, url_filter, vector_search
 from pulse.llm.common import crc_mod, table
 
 
@@ -39,6 +38,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_labels(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vector_search.exact_top_k(vectors, F.col("vec_id") % 20 == 0)
@@ -55,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
+        "op8_license_scan": op8_license_scan,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
