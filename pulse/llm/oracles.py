@@ -97,6 +97,18 @@ judged as (
 OP3 = f"""with {hits_sql()}
 select doc_id, n_words, n_hit, n_items, items_sha256, contaminated from judged"""
 
+OP5 = """
+with payloads as (select page_id, coalesce(html, '') as payload from pages),
+hashed as (select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as h,
+                  max(page_id) over (partition by payload) as best from payloads)
+select page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - i % 4 * 5)::int) & 31) + 1)::int, 1) for i in range(32)], '')
+         as payload_digest,
+       case when page_id is not distinct from best then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from best then best end as refers_to
+from hashed"""
+
 def _template_rows() -> str:
     return ", ".join(f"({t}, '{label}', {exact}, {n}, {at}, '{gram}', {needed})"
                      for t, label, exact, n, at, gram, needed in template_grams(PHRASES + NOTICES, K))
@@ -142,5 +154,5 @@ scored as (
 ranks as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
 select query_id, rank, vec_id, score from ranks where rank <= 20"""
 
-ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op8_license_scan": OP8,
+ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op5_warc": OP5, "op8_license_scan": OP8,
           "op9_exact_top_k": OP9}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import decontam, licenses, mixing, simhash, toxicity, url_filter, vector_search
+from pulse.llm import decontam, licenses, mixing, simhash, toxicity, url_filter, vector_search, warc
 from pulse.llm.common import crc_mod, table
 
 
@@ -38,6 +38,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder, keep_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_labels(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
+        "op5_warc": op5_warc,
         "op8_license_scan": op8_license_scan,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_simhash_dedup": op10_simhash_dedup,
