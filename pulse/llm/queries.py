@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import decontam, licenses, mixing, simhash, toxicity, url_filter, vector_search, warc
+from pulse.llm import decontam, licenses, lm, mixing, simhash, toxicity, url_filter, vector_search, warc
 from pulse.llm.common import crc_mod, table
 
 
@@ -44,6 +44,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, stats = lm.score_documents(table(spark, sf_dir, "documents"), lm.not_held_out)
+    return scores.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_labels(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
         "op5_warc": op5_warc,
+        "op7_lm_scores": op7_lm_scores,
         "op8_license_scan": op8_license_scan,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_simhash_dedup": op10_simhash_dedup,
