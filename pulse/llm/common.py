@@ -34,15 +34,30 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BROADCAST_ROWS = 500_000    # of a few longs each
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Cuts the lineage (a lost executor never recomputes what is stored), fixes
-    generated row numbers, and gives the optimizer the table's true size.
+    generated row numbers, and gives the optimizer the table's true size.  The
+    shuffle files of the write are dropped with it: nobody reads them again.
     """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_path(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored narrow table, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(stored) if stored.count() <= most else stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -109,6 +109,35 @@ select page_id, payload_bytes,
        case when page_id is distinct from best then best end as refers_to
 from hashed"""
 
+def line_sql(docs: str = "documents") -> str:
+    """CTEs ending in ``lines``: every line of ``docs`` that has words, with its class's first id and whether it goes."""
+    return rf"""
+raw as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no
+  from (select distinct doc_id, text from {docs})),
+worded as (select doc_id, text, line_no, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from raw),
+numbered as (select *, row_number() over (order by doc_id nulls last, text, line_no) as pos from worded where len(words) > 0),
+classes as (select words, min(pos) as cid, arg_min(doc_id, pos) as first_id from numbered group by words),
+tokens as (
+  select distinct cid, array_to_string(words[p:p + 4], ' ') as token
+  from classes, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as u(p)),
+sizes as (select cid, count(*) as n from tokens group by cid),
+near as (
+  select distinct x as cid from (
+    select a.cid as x, b.cid as y, count(*) as common from tokens a join tokens b on a.token = b.token and b.cid < a.cid group by 1, 2)
+  join sizes s on s.cid = x join sizes t on t.cid = y where 5 * common >= 4 * (s.n + t.n - common)),
+lines as (
+  select n.doc_id, n.text, line_no, first_id, pos <> cid or cid in (select cid from near) as removed
+  from numbered n join classes c on n.words = c.words)"""
+
+
+OP6 = f"""with {line_sql()},
+per as (select doc_id, text, min(first_id) as first_id, count(*) filter (where removed) as n_links,
+               string_agg(line_no::varchar, ',' order by line_no) filter (where removed) as removed from lines group by doc_id, text)
+select d.doc_id, least(d.doc_id, first_id) as class_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines,
+       coalesce(n_links, 0)::bigint as n_links, coalesce(removed, '') as removed
+from documents d left join per on d.doc_id is not distinct from per.doc_id and d.text = per.text"""
+
 def _template_rows() -> str:
     return ", ".join(f"({t}, '{label}', {exact}, {n}, {at}, '{gram}', {needed})"
                      for t, label, exact, n, at, gram, needed in template_grams(PHRASES + NOTICES, K))
@@ -154,5 +183,5 @@ scored as (
 ranks as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
 select query_id, rank, vec_id, score from ranks where rank <= 20"""
 
-ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op5_warc": OP5, "op8_license_scan": OP8,
+ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op5_warc": OP5, "op6_line_dedup": OP6, "op8_license_scan": OP8,
           "op9_exact_top_k": OP9}

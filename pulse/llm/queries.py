@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import decontam, licenses, lm, mixing, simhash, toxicity, url_filter, vector_search, warc
+from pulse.llm import decontam, licenses, line_dedup, lm, mixing, simhash, toxicity, url_filter, vector_search, warc
 from pulse.llm.common import crc_mod, table
 
 
@@ -44,6 +44,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ","))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, stats = lm.score_documents(table(spark, sf_dir, "documents"), lm.not_held_out)
     return scores.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
         "op5_warc": op5_warc,
+        "op6_line_dedup": op6_line_dedup,
         "op7_lm_scores": op7_lm_scores,
         "op8_license_scan": op8_license_scan,
         "op9_exact_top_k": op9_exact_top_k,
