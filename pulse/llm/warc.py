@@ -36,6 +36,7 @@ MIN_BYTES = 0               # equal payloads of fewer bytes are all responses
 ARCHIVE_BYTES = 256 << 20   # an archive is closed once it is this long
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+TASK_BYTES = 16 << 20       # compressed bytes a task reads
 CAPTURED = "1970-01-01T00:00:00Z"   # the tables have no capture time
 
 _INDEX = "archive string, offset long, length long, page_id string, url string, digest string, record_type string"
@@ -177,8 +178,11 @@ def _read(folder: str, keep_payload: bool):
 
 def read_records(index: DataFrame, folder: str, *, id_type: T.DataType | str = "long", keep_payload: bool = True) -> DataFrame:
     """The records of the index rows: page_id, record_type, refers_to, payload_digest, payload_bytes, payload."""
-    near = (index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
-            .sortWithinPartitions("archive", "offset"))
+    near = index.select("archive", "offset", "length")
+    held = near.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # dealt by the bytes that the rows stand for, which the size of the index doesn't show
+    parts = max(1, -(-held // TASK_BYTES))
+    near = near.repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
     schema = "page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long"
     read = near.mapInArrow(_read(folder, keep_payload), schema + ", payload binary" * keep_payload)
     own = {c: F.nullif(F.col(c), F.lit("")).cast(id_type) for c in ("page_id", "refers_to")}
