@@ -31,6 +31,7 @@ SCALE = 64
 BLOCK = 16                  # dimensions accumulated between two bounds
 PASS_BYTES = 64 << 20       # query vectors broadcast at once
 GROUP = 64                  # queries that share a matrix product
+LEAST, MOST = -(1 << 63), (1 << 63) - 1      # of a long
 EXACT, EXACT_SINGLE = float(1 << 53), float(1 << 23)     # integers that doubles and floats hold
 SLACK = 1 + 1e-5             # for the rounding of norms; half a point more is harmless, scores are integers
 
@@ -125,16 +126,15 @@ class TopK:
         columns = [[int(x) for x in row] for row in vectors]
         for q, query in enumerate(self.vectors):
             query = [int(x) for x in query]
-            scores = [sum(a * b for a, b in zip(query, c)) for c in columns]
+            scores = [max(LEAST, min(MOST, sum(a * b for a, b in zip(query, c)))) for c in columns]
             every = [*zip([-s for s in self.scores[q]], self.found[q]),
                      *((-s, i) for s, i in zip(scores, ids.tolist()) if i != self.ids[q])]
             best = sorted(every)[:self.k]
             self.scores[q], self.found[q] = [-s for s, _ in best], [i for _, i in best]
 
     def rows(self, number: np.ndarray) -> pa.RecordBatch:
-        most = (1 << 63) - 1
         q, at = np.nonzero((self.scores > -np.inf).astype(bool))
-        scores = [max(-most - 1, min(most, int(s))) for s in self.scores[q, at]]
+        scores = [int(s) for s in self.scores[q, at]]
         return pa.RecordBatch.from_arrays(
             [pa.array(number[q]), pa.array(self.ids[q]), pa.array(self.found[q, at]), pa.array(scores, pa.int64())],
             ["number", "query_id", "vec_id", "score"])
