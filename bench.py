@@ -49,7 +49,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2)
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2,
+                          extra={"spark.pulse.scanPartitions": cpus})  # one-row-group test files
 
     from pulse.plans import blocks as B
     from pulse.plans import dashboard as M
@@ -75,7 +76,7 @@ def main():
                     f"{scratch}/delta")
         materialize(L.news_events(ins, ColumnResponder("event_answer"), as_of=FP.AS_OF),
                     f"{scratch}/events")
-        materialize(L.daily_summary(L.daily_stats(ins)), f"{scratch}/summary")
+        materialize(L.daily_summary(L.daily_stats(ins), headlines=L.headline_digest(ins)), f"{scratch}/summary")
 
     times["pipeline_refresh"] = _time(refresh, max(1, repeat - 1), "pipeline_refresh")
 

@@ -19,8 +19,9 @@ def _c(c) -> Column:
 
 
 def avg_round(c, digits: int) -> Column:
-    """ROUND(AVG(c), digits) with an exact decimal sum; result DOUBLE."""
-    return F.round(F.avg(_c(c).cast(AVG_DECIMAL)), digits).cast("double")
+    """ROUND(AVG(c), digits) with an exact decimal sum; result DOUBLE.  A value that no
+    decimal(20,8) holds counts as NULL: one bad model answer never fails the job."""
+    return F.round(F.avg(_c(c).try_cast(AVG_DECIMAL)), digits).cast("double")
 
 
 def avg_round_if(cond: Column, c, digits: int) -> Column:

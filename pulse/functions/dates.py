@@ -13,6 +13,9 @@ def _c(c) -> Column:
 
 
 def as_date_lit(d) -> Column:
+    """A date as a Column; None is today."""
+    if d is None:
+        return F.current_date()
     if isinstance(d, Column):
         return d
     if isinstance(d, str):

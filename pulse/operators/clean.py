@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from pulse.functions.dates import published_at
 from pulse.functions.text import blank_to_null, clean_text, preview
-from pulse.operators.filters import where_once
 from pulse.schemas import (ESG_HINT_DEFAULT, ESG_HINT_TOPICS, MIN_CLEAN_CHARS,
                            MIN_URL_CHARS, SOURCE_TYPES)
 
@@ -67,14 +66,12 @@ def esg_hint(topic, mapping: Mapping[str, list[str]] = ESG_HINT_TOPICS,
 # ---------------------------------------------------------------------------
 # C10/C11 expectations
 # ---------------------------------------------------------------------------
-def drop_rules(c=F.col) -> dict[str, Column]:
-    """Rows failing any of these are dropped (NULL counts as a failure).
-
-    ``c`` resolves a field name (a column, or a struct field inside a lambda)."""
+def drop_rules() -> dict[str, Column]:
+    """Rows failing any of these are dropped (NULL counts as a failure)."""
     return {
-        "valid_content": c("clean_content").isNotNull()
-        & (F.length(c("clean_content")) >= MIN_CLEAN_CHARS),
-        "valid_url": c("url").isNotNull() & (F.length(c("url")) >= MIN_URL_CHARS),
+        "valid_content": F.col("clean_content").isNotNull()
+        & (F.length("clean_content") >= MIN_CLEAN_CHARS),
+        "valid_url": F.col("url").isNotNull() & (F.length("url") >= MIN_URL_CHARS),
     }
 
 
@@ -95,16 +92,16 @@ def apply_expectations(df: DataFrame, rules: Mapping[str, Column] | None = None)
     return df.where(_all(drop_rules() if rules is None else rules))
 
 
-def keep_valid_once(df: DataFrame) -> DataFrame:
-    """Drop-rule filter that evaluates the cleaned columns once per row.
-
-    A plain ``where`` on ``clean_content`` would be pushed below the projection
-    (and below a parallelising repartition), running the regex chain twice."""
-    return where_once(df, lambda c: _all(drop_rules(c)))
+def all_rules() -> dict[str, Column]:
+    """The drop rules, whose violations go, and the warn rules, whose violations stay."""
+    return {**drop_rules(), **warn_rules()}
 
 
 def expectation_report(df: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:
-    """One row: ``rows`` and ``<rule>_violations`` per rule (single aggregate job)."""
+    """One row: ``rows`` and ``<rule>_violations`` per rule (single aggregate job).
+
+    Over ``silver_articles(…, expectations=False)`` with ``all_rules()`` it also counts the rows
+    that the drop rules remove."""
     rules = warn_rules() if rules is None else rules
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.count_if(~F.coalesce(c, F.lit(False))).alias(f"{n}_violations")
@@ -146,7 +143,7 @@ def silver_articles(bronze: DataFrame, keep: Iterable[str] = (),
                "scraper", "_scrape_run_id", "scraped_at", "run_timestamp", "_ingested_at",
                F.current_timestamp().alias("_silver_at"),
                *_keep(keep)))
-    return keep_valid_once(out) if expectations else out
+    return apply_expectations(out) if expectations else out
 
 
 def scoring_candidates(silver: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +102,10 @@ def _read_cache(spark, path: str | None) -> DataFrame | None:
         return None
     try:
         return spark.read.schema("prompt_hash STRING, answer STRING").parquet(path)
-    except Exception:  # no cache written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # no cache written yet
+            return None
+        raise  # an unreachable store must not look like an empty cache: every prompt would be paid for again
 
 
 def enrich(df: DataFrame, prompt: Column, call: PromptFn, out: str = "answer",
@@ -124,7 +127,9 @@ def enrich(df: DataFrame, prompt: Column, call: PromptFn, out: str = "answer",
         from pulse.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
         answers = fresh.checkpoint(eager=True)
-    answers = answers.dropDuplicates(["prompt_hash"])
+    # only this run's answers; two runs that wrote at once may both have answered a prompt
+    answers = (answers.join(prompts.select("prompt_hash").distinct(), "prompt_hash", "left_semi")
+               .dropDuplicates(["prompt_hash"]))
     return (with_p.join(answers.withColumnRenamed("prompt_hash", "_prompt_hash"),
                         "_prompt_hash", "left")
             .withColumnRenamed("answer", out).drop("_prompt", "_prompt_hash"))

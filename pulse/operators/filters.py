@@ -6,12 +6,10 @@ push down to Parquet where the predicate allows (equality, ranges, IN).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulse.functions.dates import as_date_lit, since
+from pulse.functions.dates import as_date_lit
 from pulse.functions.text import contains_ci
 
 # Optional filter name → column it constrains (equality filters).
@@ -49,30 +47,6 @@ def apply_filters(df: DataFrame, date_col: str = "scraped_date", *,
     return df
 
 
-def where_once(df: DataFrame, predicate: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
-    """Filter rows on computed columns, evaluating those columns once per row.
-
-    A plain ``where`` on a computed column is pushed below the projection by
-    Catalyst, which inlines the computing expression into the filter and
-    evaluates it again in the projection.  For expensive expressions (regex
-    chains, higher-order folds) we filter a one-element array of the projected
-    row and inline it instead: there is no Filter node to push.
-    ``predicate`` receives a resolver ``name -> Column`` for the row's fields."""
-    row = F.array(F.struct(*[F.col(c) for c in df.columns]))
-    kept = F.filter(row, lambda r: predicate(lambda n: r[n]))
-    return df.select(F.inline(kept))
-
-
-def in_set(df: DataFrame, col: str, values: Iterable[str]) -> DataFrame:
-    """Membership in a small fixed set (an InSet predicate, pushed to the scan)."""
-    return df.where(F.col(col).isin(list(values)))
-
-
-def last_days(df: DataFrame, col: str, days: int, as_of, cap: int | None = None) -> DataFrame:
-    """``col >= as_of − min(days, cap)``."""
-    return df.where(F.col(col) >= since(days, as_of, cap))
-
-
 def clamp(value: int, lo: int, hi: int) -> int:
     """G8 argument validation (limits, offsets, day windows)."""
     if value < lo or value > hi:
@@ -117,8 +91,3 @@ def cap_per_group(df: DataFrame, key: list[str], order: list[Column], n: int) ->
     """First n rows per group (partial group limit before the shuffle)."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """the newest row per key across runs (e.g. key = url, order = scraped_at, run id)."""
-    return first_per_key(df, key, order, latest=True)

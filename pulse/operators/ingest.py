@@ -3,8 +3,8 @@
 Per-row steps are narrow; ``dedupe_first`` is a partial ``min_by`` aggregate
 (a hot URL is reduced to one row per map task before the shuffle) and the
 per-feed cap's ``row_number <= n`` is planned as a partial group limit before
-the shuffle.  Dimension tables here (feeds, URL metadata, topics)
-are small fixed configuration lists, so broadcasting them is bounded.
+the shuffle.  Dimension joins (feeds, URL metadata) leave the choice of a
+broadcast to Spark's size check.
 """
 
 from __future__ import annotations
@@ -111,11 +111,11 @@ def cap_per_feed(items: DataFrame, n: int = 20, order: Sequence[Column] | None =
 
 def feed_filter(items: DataFrame, feeds: DataFrame, feed: str = "feed_name") -> DataFrame:
     """Keep items whose title + ' ' + summary contains any feed keyword
-    (case-insensitive); feeds without keywords pass everything.  The feed
-    dimension is configuration-sized, so it is broadcast."""
+    (case-insensitive); feeds without keywords pass everything.  Spark broadcasts the
+    feed dimension if it is small."""
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
-    j = items.join(F.broadcast(feeds.select(F.col("feed_name").alias(feed), "filter_keywords")),
-                   feed, "inner")
+    one = feeds.dropDuplicates(["feed_name"])
+    j = items.join(one.select(F.col("feed_name").alias(feed), "filter_keywords"), feed, "inner")
     kw = F.coalesce(F.col("filter_keywords"), F.array().cast("array<string>"))
     keep = (F.size(kw) == 0) | F.exists(kw, lambda k: F.contains(text, F.lower(k)))
     return j.where(keep).drop("filter_keywords")
@@ -132,12 +132,13 @@ def feed_date(c) -> Column:
 
 
 def normalise_feed(items: DataFrame) -> DataFrame:
-    """Link + (summary or description) required; tags stripped; date fallback
-    published → updated → created (first present text)."""
+    """Link + (summary or description) required; tags stripped; the first of published,
+    updated and created that parses, as ISO text (else blank)."""
     body = F.coalesce(F.nullif(F.col("summary"), F.lit("")),
                       F.nullif(F.col("description"), F.lit("")))
     body = strip_py(F.regexp_replace(body, r"<[^>]+>", " "))
-    date_txt = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("pubDate", "updated", "created")])
+    date_txt = F.date_format(F.coalesce(*[feed_date(c) for c in ("pubDate", "updated", "created")]),
+                             "yyyy-MM-dd'T'HH:mm:ss")
     return (items.where(F.col("link").isNotNull() & (F.col("link") != ""))
             .select("*", body.alias("_body"), F.coalesce(date_txt, F.lit("")).alias("_date"))
             .where(F.col("_body").isNotNull() & (F.col("_body") != ""))
@@ -149,14 +150,24 @@ def normalise_feed(items: DataFrame) -> DataFrame:
                        "created"}]))
 
 
+def attach_feed_meta(items: DataFrame, feeds: DataFrame, feed: str = "feed_name") -> DataFrame:
+    """The feed's source type and topic on every item (``news`` / ``feed`` where the feed names none)."""
+    m = feeds.dropDuplicates(["feed_name"]).select(F.col("feed_name").alias(feed), F.col("source_type").alias("_f_src"),
+                                                   F.col("topic").alias("_f_topic"))
+    return (items.join(m, feed, "left")
+            .withColumn("source_type", F.coalesce("_f_src", F.lit("news")))
+            .withColumn("search_topic", F.coalesce("_f_topic", F.lit("feed"))).drop("_f_src", "_f_topic"))
+
+
 # ---------------------------------------------------------------------------
 # B13/B14 URL metadata and body gate
 # ---------------------------------------------------------------------------
 def attach_url_meta(df: DataFrame, urls: DataFrame, default_source: str = "official",
                     default_topic: str = "direct_fetch") -> DataFrame:
-    """Left lookup of (url → source_type, topic) with defaults; the URL list is configuration."""
-    m = urls.select("url", F.col("source_type").alias("_m_src"), F.col("topic").alias("_m_topic"))
-    return (df.join(F.broadcast(m), "url", "left")
+    """Left lookup of (url → source_type, topic) with defaults; the first entry of a repeated URL holds."""
+    m = urls.groupBy("url").agg(F.min_by(F.struct("source_type", "topic"), F.struct("source_type", "topic"))
+                                .alias("m")).select("url", "m.*").select("url", F.col("source_type").alias("_m_src"), F.col("topic").alias("_m_topic"))
+    return (df.join(m, "url", "left")
             .withColumn("source_type", F.coalesce("_m_src", F.lit(default_source)))
             .withColumn("search_topic", F.coalesce("_m_topic", F.lit(default_topic)))
             .drop("_m_src", "_m_topic"))

@@ -1,156 +1,55 @@
-"""Exact grouped median with bounded memory per group (radix select).
-
-``percentile`` keeps a value→count map per group, and a group's final merge
-runs in one task.  For a continuous value in a group that holds a large share
-of the rows, that map grows with the data.  ``grouped_median`` computes the
-same exact result (linear interpolation between the two middle order
-statistics, NULLs ignored) without gathering a group anywhere:
-
-1. Each double gets an order-preserving unsigned 64-bit key (sign, exponent,
-   mantissa), computed with native math functions.
-2. The key is resolved 16 bits at a time.  Each level counts rows per
-   (group, key prefix), which is a partial aggregate, so a hot group's rows
-   are reduced map-side and spread over up to 65 536 prefixes.  A window
-   then runs over one group's prefixes at most (65 536 rows), finds the prefix
-   that holds each target rank, and narrows that rank to the prefix.
-3. The next level reads only the rows under the chosen prefixes: a join
-   against at most two (prefix, rank) targets per group, which is broadcast
-   while the group count is small.  After four levels the prefix is the whole
-   key, which is one distinct value.
-
-So every task holds at most 65 536 buckets per group, and the cost is four
-scans of the (group, value) columns.  Groups small enough for a bounded
-``percentile`` buffer (``EXACT_BUFFER_ROWS``) skip the radix levels.
+"""Exact grouped median with bounded memory per group.
+
+``percentile`` keeps a value→count map per group, which grows with the data when a
+continuous column has a group that holds a large share of the rows.  ``grouped_median``
+gives the same exact result (linear interpolation between the two middle order
+statistics, NULLs ignored) in two scans, with one path for every group size:
+
+1. A fixed-size quantile sketch per group (``percentile_approx``, rank error at most
+   n / ``ACCURACY``) gives two values that are certain to enclose the middle ranks.
+2. The second scan counts the values below, and each value between the two.  That is
+   a partial aggregate; at most a few ten-thousandths of a group's rows lie between.  A running
+   count over them finds the two middle values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 16                     # key bits resolved per level
-LEVELS = 64 // BITS
-DIGIT_MASK = (1 << BITS) - 1
-_TWO52 = float(2 ** 52)
-_MIN_NORMAL = 2.0 ** -1022
-_MIN_LONG = -(2 ** 63)
-_MAX_LONG = 2 ** 63 - 1
-
-
-def order_key(v: Column) -> Column:
-    """Unsigned-order 64-bit key of a double: key(a) < key(b) iff a < b.
-
-    The key is stored as a signed long with the sign bit flipped, and it is
-    compared through unsigned shifts.  -0.0 and 0.0 share a key.  NaN sorts
-    last, as in Spark."""
-    a = F.abs(v)
-    two = F.lit(2.0)
-    e0 = F.floor(F.log2(a)).cast("int")
-    # log2 may be off by one next to a power of two (either way, never both);
-    # Math.pow(2, n) is exact.
-    e = e0 + F.when(F.pow(two, e0 + 1) <= a, 1).when(F.pow(two, e0) > a, -1).otherwise(0)
-    normal = ((e + 1023).cast("long") * F.lit(1 << 52)
-              + ((a / F.pow(two, e) - 1.0) * _TWO52).cast("long"))
-    subnormal = (a * F.lit(2.0 ** 1022) * _TWO52).cast("long")
-    mag = (F.when(F.isnan(v), F.lit(_MAX_LONG))
-           .when(a == float("inf"), F.lit(2047 << 52))
-           .when(a == 0.0, F.lit(0))
-           .when(a < _MIN_NORMAL, subnormal)
-           .otherwise(normal))
-    signed = F.when(v < 0, -mag).otherwise(mag)
-    return signed.bitwiseXOR(F.lit(_MIN_LONG))
-
-
-def _prefix(u: Column, level: int) -> Column:
-    return F.shiftrightunsigned(u, 64 - BITS * level)
-
-
-def _keys_eq(left: DataFrame, right: DataFrame, keys: Sequence[str], rkeys: Sequence[str]) -> Column:
-    cond = None
-    for k, rk in zip(keys, rkeys):
-        c = left[k].eqNullSafe(right[rk])
-        cond = c if cond is None else cond & c
-    return cond
+ACCURACY = 10_000
 
 
-def _pick(buckets: DataFrame, part: Sequence[str]) -> DataFrame:
-    """Per target (``part``), the bucket whose cumulative count range holds rank ``_r``."""
-    w = (Window.partitionBy(*part).orderBy(F.col("_p").bitwiseAND(DIGIT_MASK))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.sum("_n").over(w) - F.col("_n")          # rows in earlier buckets
-    c = buckets.select(*[x for x in buckets.columns if x != "_r"],
-                       (F.col("_r") - before).alias("_r"))
-    return c.where((F.col("_r") >= 0) & (F.col("_r") < F.col("_n")))
-
-
-# Groups up to this many non-NULL values use ``percentile``: its buffer then
-# holds at most this many entries.  Larger groups take the radix select.
-EXACT_BUFFER_ROWS = 1_000_000
-
-
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
-                   exact_buffer_rows: int | None = EXACT_BUFFER_ROWS) -> DataFrame:
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
     """Exact median of ``value`` per ``keys`` (the same result as ``percentile(value, 0.5)``).
 
     Returns one row per group with at least one non-NULL value.  Left-join it
-    to the group's other aggregates (null-safe on the keys).
-
-    Group sizes are counted first.  Groups of at most ``exact_buffer_rows``
-    values use ``percentile`` (bounded buffer); larger ones use the radix
-    select.  When no group is large, the radix branch is empty at run time and
-    AQE drops its stages.  ``exact_buffer_rows=None`` sends every group
-    through the radix select."""
-    keys = list(keys)
+    to the group's other aggregates (null-safe on the keys)."""
     g = [f"_g{i}" for i in range(len(keys))]
-    v = F.col(value).cast("double")
-    rows = (df.where(v.isNotNull())
+    v = F.col(value).cast("double") + F.lit(0.0)        # -0.0 and 0.0 are one value
+    rows = (df.where(F.col(value).isNotNull())
             .select(*[F.col(k).alias(a) for k, a in zip(keys, g)], v.alias("_v")))
-    if exact_buffer_rows is None:
-        res = _radix_median(rows, g)
-    else:
-        sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn"))
-        s = sizes.select(*[F.col(c).alias(f"_s{c}") for c in g], "_gn")
-        sized = rows.join(s, _keys_eq(rows, s, g, [f"_s{c}" for c in g]), "inner")
-        small = sized.where(F.col("_gn") <= exact_buffer_rows).groupBy(*g).agg(
-            F.percentile("_v", 0.5).alias("_med"))
-        big = _radix_median(sized.where(F.col("_gn") > exact_buffer_rows).select(*g, "_v"), g)
-        res = small.unionByName(big)
-    return res.select(*[F.col(a).alias(k) for a, k in zip(g, keys)], F.col("_med").alias(out))
-
-
-def _radix_median(rows: DataFrame, g: list[str]) -> DataFrame:
-    """Radix select over (``g``..., ``_v``) rows with non-NULL ``_v``; returns (``g``..., ``_med``)."""
-    base = rows.select(*g, order_key(F.col("_v")).alias("_u"), "_v")
-
-    # Level 1: every row; group sizes come from the bucket counts.
-    b = base.groupBy(*g, _prefix(F.col("_u"), 1).alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"))
-    b = b.withColumn("_last", F.sum("_n").over(Window.partitionBy(*g)) - 1)
-    lo_rank = F.shiftright("_last", 1)                       # floor((n - 1) / 2)
-    b = b.withColumn("_t", F.explode(F.array(
-        F.struct(F.lit(0).alias("w"), lo_rank.alias("r")),
-        F.struct(F.lit(1).alias("w"), (F.col("_last") - lo_rank).alias("r")))))  # ceil
-    b = b.select(*g, "_p", "_n", "_min", F.col("_t.w").alias("_w"), F.col("_t.r").alias("_r"))
-    targets = _pick(b, g + ["_w"])
-
-    for level in range(2, LEVELS + 1):
-        # Each target is used once per level, so the plan grows linearly.  A row
-        # under a prefix holding both ranks meets both targets; the partial
-        # aggregate folds that before the shuffle.
-        t = targets.select(*[F.col(c).alias(f"_t{c}") for c in g], "_w", "_r",
-                           F.col("_p").alias("_tp"))
-        j = base.join(t, _keys_eq(base, t, g, [f"_t{c}" for c in g])
-                      & (_prefix(base["_u"], level - 1) == t["_tp"]), "inner")
-        cnt = j.groupBy(*g, "_w", "_r", _prefix(F.col("_u"), level).alias("_p")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"))
-        targets = _pick(cnt, g + ["_w"])
-
-    # After the last level a bucket is one distinct value; +0.0 folds -0.0 into 0.0.
-    lo = F.min(F.when(F.col("_w") == 0, F.col("_min")))
-    hi = F.min(F.when(F.col("_w") == 1, F.col("_min")))
-    res = targets.groupBy(*g).agg(lo.alias("_lo"), hi.alias("_hi"))
-    med = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-        F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi")) + F.lit(0.0)
-    return res.select(*g, med.alias("_med"))
+    # two sketch errors off the middle on either side: the true middle ranks lie between
+    margin = 2.0 / ACCURACY
+    sketch = rows.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY).alias("_q"))
+    bounds = sketch.select(*[F.col(a).alias(f"_b{a}") for a in g], "_n", F.col("_q")[0].alias("_lo"),
+                           F.col("_q")[1].alias("_hi"))
+    same = F.lit(True)
+    for a in g:
+        same = same & F.col(a).eqNullSafe(F.col(f"_b{a}"))
+    at = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))   # NULL: all that is below
+    counts = (rows.join(bounds, same).where(F.col("_v") <= F.col("_hi"))
+              .groupBy(*g, "_n", at.alias("_at")).agg(F.count(F.lit(1)).alias("_c")))
+    order = Window.partitionBy(*g).orderBy(F.col("_at").asc_nulls_first())
+    upto = counts.withColumn("_upto", F.sum("_c").over(order))
+    first, second = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1    # middle ranks, from 1
+
+    def value_at(rank):
+        return F.min(F.when((F.col("_upto") >= rank) & F.col("_at").isNotNull(), F.col("_at")))
+    middle = upto.groupBy(*g).agg(value_at(first).alias("_a"), value_at(second).alias("_b"))
+    med = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(0.5 * F.col("_a") + 0.5 * F.col("_b"))
+    return middle.select(*[F.col(a).alias(k) for a, k in zip(g, keys)], med.alias(out))

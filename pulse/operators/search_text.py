@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.functions.text import strip_py
-from pulse.operators.filters import where_once
 from pulse.schemas import MAX_BODY_CHARS, MIN_BODY_CHARS
 
 HEADER_RE = r"(?i)(WEB|NEWS) RESULTS:\s*\n"
@@ -136,6 +135,17 @@ def _field_value(feats: Column, idx: Column) -> Column:
     return F.when(idx >= 0, _strip(F.regexp_extract(line, FIELD_RE, 2))).otherwise(F.lit(""))
 
 
+def _usable(records: DataFrame, body: str) -> DataFrame:
+    """Records with a URL and a long enough body.
+
+    A plain ``where`` would be pushed below the parsing projection and run the line fold once for the
+    filter and once for every output column.  The parsed record is a one-element list here, which
+    the filter empties before it is unfolded; every parsed column is read, so nothing is left to prune."""
+    record = F.array(F.struct(*[F.col(c) for c in records.columns]))
+    kept = F.filter(record, lambda r: (r["url"] != "") & (F.length(r[body]) >= MIN_BODY_CHARS))
+    return records.select(F.inline(kept))
+
+
 def explode_search_results(responses: DataFrame, text: str = "text") -> DataFrame:
     """One record per usable result block of each response row.
 
@@ -171,8 +181,7 @@ def explode_search_results(responses: DataFrame, text: str = "text") -> DataFram
         body.alias("_body"), "source_type", F.col("topic").alias("search_topic"),
         F.col("published").alias("published_date"), F.lower("kind").alias("result_section"),
         F.lit("web-search").alias("scraper"), F.col("query").alias("search_query"), "block_no")
-    out = where_once(out, lambda c: (c("url") != "") & (F.length(c("_body")) >= MIN_BODY_CHARS))
-    return out.select("url", "title", F.left("_body", F.lit(MAX_BODY_CHARS)).alias("content"),
+    return _usable(out, "_body").select("url", "title", F.left("_body", F.lit(MAX_BODY_CHARS)).alias("content"),
                       "source_type", "search_topic", "published_date", "result_section",
                       "scraper", "search_query", (F.length("_body") > 500).alias("livecrawled"),
                       "block_no")
@@ -214,7 +223,7 @@ def explode_url_contents(responses: DataFrame, text: str = "text") -> DataFrame:
                      F.when(first_hdr > 0, _strip(F.array_join(F.transform(body, lambda x: x["l"]),
                                                                "\n")))
                      .otherwise(F.lit("")).alias("_c"))
-    return (where_once(p, lambda c: (c("url") != "") & (F.length(c("_c")) >= MIN_BODY_CHARS))
+    return (_usable(p, "_c")
             .select("url", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
                     .alias("title"), F.left("_c", F.lit(MAX_BODY_CHARS)).alias("content"),
                     F.lit("page-contents").alias("scraper"), "block_no"))

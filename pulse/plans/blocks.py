@@ -23,7 +23,7 @@ from pulse.operators.filters import first_per_key
 from pulse.operators.quantiles import grouped_median
 from pulse.plans import datasets as L
 from pulse.plans import driver_tables as FP
-from pulse.sources.tables import ensure_parallelism
+from pulse.sources.tables import spread_scan
 
 
 def audit_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -42,7 +42,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def clean_pages(spark, sf):
     """C3/C4 over raw web pages."""
-    p = ensure_parallelism(_t(spark, sf, "pages"))
+    p = spread_scan(_t(spark, sf, "pages"))
     return p.select("page_id", clean_text("html").alias("clean_content"),
                     preview("html").alias("content_preview"),
                     F.length(clean_text("html")).cast("long").alias("clean_chars"))
@@ -213,13 +213,13 @@ def pending_sentiment_prompts(spark, sf):
 
 def lexicon_sentiment(spark, sf):
     """K12 stand-in over every document."""
-    d = ensure_parallelism(_t(spark, sf, "documents").select("doc_id", "text"))
+    d = spread_scan(_t(spark, sf, "documents").select("doc_id", "text"))
     return K.lexicon_scores(d, "doc_id", "text").select("doc_id", F.round("score", 4).alias("score"))
 
 
 def keyword_categories(spark, sf):
     """K13 stand-in: category with most keyword hits per document."""
-    d = ensure_parallelism(_t(spark, sf, "documents").select("doc_id", "text"))
+    d = spread_scan(_t(spark, sf, "documents").select("doc_id", "text"))
     return K.keyword_classes(d, "doc_id", "text", K.CATEGORY_KEYWORDS, "Not-ESG", "esg_category")
 
 
@@ -308,7 +308,7 @@ def url_meta(spark, sf):
 
 
 def _responses(spark, sf):
-    d = ensure_parallelism(_t(spark, sf, "documents"))
+    d = spread_scan(_t(spark, sf, "documents"))
     did = F.col("doc_id").cast("string")
     text = F.concat(
         F.lit("WEB RESULTS:\n\nTitle: T"), did, F.lit("\nURL: https://web.example.org/d/"), did,
@@ -331,7 +331,7 @@ def search_results(spark, sf):
 def url_contents(spark, sf):
     """Page-contents responses (one URL block per document) → records."""
     from pulse.operators.search_text import explode_url_contents
-    d = ensure_parallelism(_t(spark, sf, "documents"))
+    d = spread_scan(_t(spark, sf, "documents"))
     did = F.col("doc_id").cast("string")
     text = F.concat(F.lit("URL: https://web.example.org/c/"), did, F.lit("\nTitle: C"), did,
                     F.lit("\nContent:\n"), F.col("text"), F.lit("\n"))

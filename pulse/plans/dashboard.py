@@ -17,10 +17,14 @@ from pulse.functions import json as J
 from pulse.functions.agg import avg_round, avg_round_if, sum_if
 from pulse.functions.dates import as_date_lit, period, since
 from pulse.functions.labels import risk_from_rank, risk_rank, severity_rank
-from pulse.operators.filters import apply_filters, cap_per_group, count_rows, page, top_n
-from pulse.plans.datasets import DEFAULT_AS_OF, newest_first, ordered_join
+from pulse.operators.filters import apply_filters, cap_per_group, clamp, count_rows, page, top_n
+from pulse.plans.datasets import newest_first, ordered_join
 from pulse.schemas import OFFICIAL_SOURCES, PUBLIC_SPLIT_SOURCES, SEVERITY_ORDER
 
+# The largest page and offset a dashboard request may ask for.
+MAX_PAGE, MAX_OFFSET = 200, 10_000_000
+
+
 def _tiebreak() -> list[Column]:
     """Unique tie-break for article rows (a URL seen in two runs differs in publish time)."""
     return [F.col("article_id").asc_nulls_last(), F.col("url").asc_nulls_last(),
@@ -43,12 +47,18 @@ def _explore_cols() -> list:
             "published_at", "language", "scraper"]
 
 
+def _by_count(count: str, name: str) -> list:
+    """Largest count first, then the name."""
+    return [F.col(count).desc(), F.col(name).asc_nulls_last()]
+
+
 def explore_filtered(insights: DataFrame, **filters) -> DataFrame:
     return apply_filters(insights, **filters)
 
 
 def explore(insights: DataFrame, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
     f = explore_filtered(insights, **filters)
+    clamp(limit, 1, MAX_PAGE), clamp(offset, 0, MAX_OFFSET)
     order = [F.col("scraped_date").desc_nulls_last(), F.col("credibility_score").desc_nulls_last(),
              *_tiebreak()]
     return page(f, order, limit, offset).select(*_explore_cols())
@@ -61,6 +71,8 @@ def explore_total(insights: DataFrame, **filters) -> DataFrame:
 def page_envelope(page_df: DataFrame, total_df: DataFrame, limit: int, offset: int,
                   page_size: int = 20) -> dict:
     """The response envelope. Both inputs are bounded (≤ limit rows, 1 row)."""
+    clamp(limit, 1, MAX_PAGE), clamp(offset, 0, MAX_OFFSET)
+    page_df = page_df.limit(limit)
     total = total_df.first()[0]
     return {"total": total, "offset": offset, "limit": limit,
             "pages": -(-total // page_size), "items": [r.asDict() for r in page_df.collect()]}
@@ -79,7 +91,7 @@ def category_breakdown(insights: DataFrame, date_from=None, date_to=None) -> Dat
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
-        _avg_r("credibility_score", 1).alias("avg_credibility"))
+        _avg_r("credibility_score", 1).alias("avg_credibility")).orderBy(*_by_count("article_count", "esg_category"))
 
 
 def sub_themes(insights: DataFrame, esg_category=None, date_from=None, date_to=None,
@@ -111,7 +123,7 @@ def sentiment_timeline(insights: DataFrame, granularity: str = "week", esg_categ
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "neutral").alias("neutral_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
-        _sum_if(F.col("stance") == "critical").alias("critical_count"))
+        _sum_if(F.col("stance") == "critical").alias("critical_count")).orderBy(F.col("period").asc())
 
 
 def sentiment_by_source(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
@@ -122,7 +134,7 @@ def sentiment_by_source(insights: DataFrame, date_from=None, date_to=None) -> Da
         _avg_r("sentiment_score", 4).alias("avg_sentiment"),
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
-        _avg_r("credibility_score", 1).alias("avg_credibility"))
+        _avg_r("credibility_score", 1).alias("avg_credibility")).orderBy(*_by_count("article_count", "source_type"))
 
 
 def kpis(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
@@ -154,16 +166,19 @@ def source_breakdown(insights: DataFrame, date_from=None, date_to=None) -> DataF
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
         _sum_if(F.col("stance") == "supportive").alias("supportive_count"),
         F.count_distinct("scraped_date").alias("active_days"),
-        F.max("scraped_date").alias("last_seen"))
+        F.max("scraped_date").alias("last_seen")).orderBy(
+        F.col("source_type").asc(), *_by_count("article_count", "search_topic"))
 
 
 def coverage(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
     f = apply_filters(insights, date_from=date_from, date_to=date_to)
-    return f.groupBy("scraped_date", "source_type").agg(F.count(F.lit(1)).alias("article_count"))
+    return f.groupBy("scraped_date", "source_type").agg(F.count(F.lit(1)).alias("article_count")).orderBy(
+        "scraped_date", "source_type")
 
 
 def run_history(raw_log: DataFrame, limit: int = 30) -> DataFrame:
     """The ``total`` rows of the raw run log, newest first."""
+    clamp(limit, 1, 100)
     t = raw_log.where(F.col("source_type") == "total").select(
         "source_type", F.col("count").cast("int").alias("record_count"), "run_ts")
     return top_n(t, [F.col("run_ts").desc_nulls_last(), F.col("record_count").desc()], limit)
@@ -174,6 +189,9 @@ def run_history(raw_log: DataFrame, limit: int = 30) -> DataFrame:
 # ---------------------------------------------------------------------------
 def impact_delta_list(delta: DataFrame, esg_category=None, min_alignment=None,
                       max_alignment=None, risk_level=None) -> DataFrame:
+    for bound in (min_alignment, max_alignment):
+        if bound is not None:
+            clamp(bound, 0, 10)
     f = apply_filters(delta, esg_category=esg_category, score_col="alignment_score_quick",
                       min_score=min_alignment, max_score=max_alignment)
     d = F.col("delta_json_raw")
@@ -190,11 +208,13 @@ def impact_delta_list(delta: DataFrame, esg_category=None, min_alignment=None,
     if risk_level:
         # Filter on the parsed field inside the plan (not after collecting).
         out = out.where(F.col("risk_level") == F.lit(risk_level))
-    return out
+    return out.orderBy(F.col("alignment_score_quick").asc_nulls_last(), "esg_category", "sub_theme", "delta_id",
+                       "delta_json_raw")
 
 
 def claims_list(claims_df: DataFrame, esg_category=None, claim_type=None,
                 limit: int = 50) -> DataFrame:
+    clamp(limit, 1, MAX_PAGE)
     f = apply_filters(claims_df.where(F.col("claim_text").isNotNull()),
                       esg_category=esg_category, claim_type=claim_type)
     order = [F.col("credibility_score").desc_nulls_last(), F.col("scraped_date").desc_nulls_last(),
@@ -215,7 +235,7 @@ def delta_summary(delta: DataFrame, literal: bool = False) -> DataFrame:
         _avg_r("alignment_score_quick", 1).alias("avg_alignment"),
         F.count(F.lit(1)).alias("theme_count"),
         _sum_if(F.col("alignment_score_quick") <= 4).alias("divergent_themes"),
-        max_risk.alias("max_risk_level"))
+        max_risk.alias("max_risk_level")).orderBy(F.col("avg_alignment").asc(), "esg_category")
 
 
 # ---------------------------------------------------------------------------
@@ -233,69 +253,74 @@ def _recent(events: DataFrame, days: int, as_of, cap: int) -> DataFrame:
 
 
 def events_filtered(events: DataFrame, severity=None, event_type=None, days: int = 90,
-                    as_of=DEFAULT_AS_OF) -> DataFrame:
+                    as_of=None) -> DataFrame:
     return apply_filters(_recent(events, days, as_of, 365), severity=severity,
                          event_type=event_type)
 
 
 def events_page(events: DataFrame, severity=None, event_type=None, days: int = 90,
-                limit: int = 50, offset: int = 0, as_of=DEFAULT_AS_OF) -> DataFrame:
+                limit: int = 50, offset: int = 0, as_of=None) -> DataFrame:
     f = events_filtered(events, severity, event_type, days, as_of)
+    clamp(limit, 1, MAX_PAGE), clamp(offset, 0, MAX_OFFSET)
     order = [severity_rank("severity").asc(), F.col("scraped_date").desc_nulls_last(),
              F.col("credibility_score").desc_nulls_last(), *_tiebreak()]
     return page(f, order, limit, offset).select(*EVENT_PAGE_COLS)
 
 
 def events_total(events: DataFrame, severity=None, event_type=None, days: int = 90,
-                 as_of=DEFAULT_AS_OF) -> DataFrame:
+                 as_of=None) -> DataFrame:
     return count_rows(events_filtered(events, severity, event_type, days, as_of))
 
 
-def events_by_severity(events: DataFrame, days: int = 30, as_of=DEFAULT_AS_OF) -> DataFrame:
+def events_by_severity(events: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     r = _recent(events, days, as_of, 365)
     return r.groupBy("severity").agg(F.count(F.lit(1)).alias("count")).select(
-        F.coalesce("severity", F.lit("unknown")).alias("severity"), "count")
+        F.coalesce("severity", F.lit("unknown")).alias("severity"), "count").orderBy(
+        severity_rank("severity").asc(), "severity")
 
 
-def events_by_type(events: DataFrame, days: int = 30, as_of=DEFAULT_AS_OF) -> DataFrame:
+def events_by_type(events: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     r = _recent(events, days, as_of, 365)
     return r.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("count"),
         _avg_r("sentiment_score", 3).alias("avg_sentiment")).select(
-        F.coalesce("event_type", F.lit("other")).alias("event_type"), "count", "avg_sentiment")
+        F.coalesce("event_type", F.lit("other")).alias("event_type"), "count", "avg_sentiment").orderBy(
+        *_by_count("count", "event_type"))
+
+
+def _top_regions(recent: DataFrame, n: int) -> DataFrame:
+    g = recent.groupBy("affected_region").agg(
+        F.count(F.lit(1)).alias("count"),
+        _sum_if(F.col("severity").isin("critical", "high")).alias("critical_count"))
+    return top_n(g, [F.col("count").desc(), F.col("affected_region").asc_nulls_first()], n)
+
+
+def events_by_region(events: DataFrame, days: int = 30, as_of=None, n: int = 15) -> DataFrame:
+    """Top regions by event count, with their critical/high event count.  The titles of these
+    events are the child rows of ``region_headlines``."""
+    top = _top_regions(_recent(events, days, as_of, 365), n)
+    return top.select(F.coalesce("affected_region", F.lit("Unknown")).alias("region"), "count",
+                      "critical_count").orderBy(*_by_count("count", "region"))
 
 
-def events_by_region(events: DataFrame, days: int = 30, as_of=DEFAULT_AS_OF,
-                     n: int = 15, headlines: int = 10) -> DataFrame:
-    """Top regions by event count, each with its critical/high event count and the
-    newest ``headlines`` critical/high titles (a per-region top-k list)."""
+def region_headlines(events: DataFrame, days: int = 30, as_of=None, n: int = 15) -> DataFrame:
+    """Every critical/high title of the top regions, one row each."""
     r = _recent(events, days, as_of, 365)
-    crit = F.col("severity").isin("critical", "high")
-    g = r.groupBy("affected_region").agg(F.count(F.lit(1)).alias("count"),
-                                         _sum_if(crit).alias("critical_count"))
-    hl = cap_per_group(r.where(crit & F.col("title").isNotNull())
-                       .select("affected_region", "scraped_date", "article_id", "title"),
-                       ["affected_region"], [F.col("scraped_date").desc(), F.col("article_id").asc()],
-                       headlines)
-    hl = hl.groupBy("affected_region").agg(ordered_join(
-        F.col("title"), F.struct(newest_first("scraped_date"), F.col("article_id")), " || ")
-        .alias("critical_headlines"))
-    top = top_n(g, [F.col("count").desc(), F.col("affected_region").asc_nulls_first()], n)
-    j = top.join(hl, top["affected_region"].eqNullSafe(hl["affected_region"]), "left")
-    return j.select(F.coalesce(top["affected_region"], F.lit("Unknown")).alias("region"),
-                    "count", "critical_count",
-                    F.coalesce("critical_headlines", F.lit("")).alias("critical_headlines"))
-
-
-def events_timeline(events: DataFrame, days: int = 30, as_of=DEFAULT_AS_OF) -> DataFrame:
+    top = _top_regions(r, n).select(F.col("affected_region").alias("_top"))
+    titles = r.where(F.col("severity").isin("critical", "high") & F.col("title").isNotNull())
+    return titles.join(top, F.col("affected_region").eqNullSafe(F.col("_top")), "left_semi").select(
+        F.coalesce("affected_region", F.lit("Unknown")).alias("region"), "scraped_date", "article_id", "title")
+
+
+def events_timeline(events: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     r = _recent(events, days, as_of, 90)
     return r.groupBy("scraped_date").agg(
         F.count(F.lit(1)).alias("total"),
         *[_sum_if(F.col("severity") == s).alias(s) for s in SEVERITY_ORDER],
-        _avg_r("sentiment_score", 3).alias("avg_sentiment"))
+        _avg_r("sentiment_score", 3).alias("avg_sentiment")).orderBy("scraped_date")
 
 
-def latest_critical(events: DataFrame, limit: int = 5, as_of=DEFAULT_AS_OF) -> DataFrame:
+def latest_critical(events: DataFrame, limit: int = 5, as_of=None) -> DataFrame:
     r = events.where(F.col("severity").isin("critical", "high")
                      & (F.col("scraped_date") >= since(14, as_of)))
     order = [F.when(F.col("severity") == "critical", 1).otherwise(2).asc(),
@@ -318,7 +343,7 @@ BRIEF_COLS = ["report_date", "total_articles", "unique_sources", "avg_sentiment"
               "env_count", "social_count", "gov_count", "headline", "brief_json_raw"]
 
 
-def daily_brief(summary: DataFrame, date=None, as_of=DEFAULT_AS_OF) -> DataFrame:
+def daily_brief(summary: DataFrame, date=None, as_of=None) -> DataFrame:
     """The brief of ``date`` (default: as_of) if present, else the latest one — one plan."""
     want = as_date_lit(date or as_of)
     order = [(F.col("report_date") == want).desc_nulls_last(),
@@ -338,30 +363,27 @@ def parsed_brief(brief: DataFrame) -> DataFrame:
 
 
 def report_stats(insights: DataFrame, categories: list[str], date_from=None,
-                 date_to=None, summary_chars: int = 250, summaries: int = 3) -> DataFrame:
-    """Per category stats + the first ``summaries`` non-empty credible impact
-    summaries (newest first) — the report step reads only those three."""
+                 date_to=None) -> DataFrame:
+    """Per category statistics; the credible impact summaries are the child rows of
+    ``report_summaries``."""
     f = apply_filters(insights.where(F.col("esg_category").isin(categories)),
                       date_from=date_from, date_to=date_to)
-    stats = f.groupBy("esg_category").agg(
+    return f.groupBy("esg_category").agg(
         F.count(F.lit(1)).alias("article_count"),
         _avg_r("sentiment_score", 3).alias("avg_sentiment"),
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
         _sum_if(F.col("stance") == "supportive").alias("supportive_count"),
-        F.max("scraped_date").alias("latest_date"))
-    s = f.where((F.col("credibility_score") >= 6) & (F.col("impact_summary") != "")) \
-        .select("esg_category", "scraped_date", "article_id", "url",
-                F.left("impact_summary", F.lit(summary_chars)).alias("s"))
-    first = cap_per_group(s, ["esg_category"], [F.col("scraped_date").desc(),
-                                                F.col("article_id").asc(), F.col("url").asc()],
-                          summaries)
-    dig = first.groupBy("esg_category").agg(ordered_join(
-        F.col("s"), F.struct(newest_first("scraped_date"), F.col("article_id"), F.col("url")),
-        " || ").alias("impact_summaries"))
-    out = stats.join(dig, "esg_category", "left")
-    return out.select("esg_category", "article_count", "avg_sentiment", "critical_count",
-                      "supportive_count", F.coalesce("impact_summaries", F.lit(""))
-                      .alias("impact_summaries"), "latest_date")
+        F.max("scraped_date").alias("latest_date")).orderBy(*_by_count("article_count", "esg_category"))
+
+
+def report_summaries(insights: DataFrame, categories: list[str], date_from=None, date_to=None,
+                     summary_chars: int = 250) -> DataFrame:
+    """Every credible impact summary of the categories, one row each."""
+    f = apply_filters(insights.where(F.col("esg_category").isin(categories)),
+                      date_from=date_from, date_to=date_to)
+    return f.where((F.col("credibility_score") >= 6) & F.col("impact_summary").isNotNull()).select(
+        "esg_category", "scraped_date", "article_id", "url",
+        F.left("impact_summary", F.lit(summary_chars)).alias("impact_summary"))
 
 
 def report_claims(claims_df: DataFrame, categories: list[str], n: int = 15) -> DataFrame:
@@ -385,10 +407,10 @@ def report_deltas(delta: DataFrame, categories: list[str], n: int = 10) -> DataF
 
 def evidence_digest(insights: DataFrame, categories: list[str], per_category: int = 3,
                     summary_chars: int = 250, date_from=None, date_to=None) -> DataFrame:
-    """One text row per category from its first non-null credible summaries."""
+    """One text row per category from its first non-empty credible summaries."""
     f = apply_filters(insights.where(F.col("esg_category").isin(categories)
                                      & (F.col("credibility_score") >= 6)
-                                     & F.col("impact_summary").isNotNull()),
+                                     & (F.col("impact_summary") != "")),
                       date_from=date_from, date_to=date_to)
     order = [F.col("scraped_date").desc(), F.col("article_id").asc(), F.col("url").asc()]
     first = cap_per_group(f.select("esg_category", "scraped_date", "article_id", "url",
@@ -422,11 +444,11 @@ def radar(breakdown: DataFrame) -> DataFrame:
 
 
 def severity_cards(by_severity: DataFrame) -> DataFrame:
-    """The four severity cards, zero-filled (fixed 4-row dimension, broadcast)."""
+    """The four severity cards, zero-filled (fixed 4-row dimension)."""
     spark = by_severity.sparkSession
     dim = spark.createDataFrame([(s, i) for i, s in enumerate(SEVERITY_ORDER, start=1)],
                                 "severity STRING, rank INT")
-    return (F.broadcast(dim).join(by_severity, "severity", "left")
+    return (dim.join(by_severity, "severity", "left")
             .select("severity", "rank", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
@@ -446,7 +468,7 @@ def event_display(events: DataFrame) -> DataFrame:
                          .alias("financial_impact_estimate"))
 
 
-def lookback_from(as_of=DEFAULT_AS_OF, days: int = 365) -> dt.date:
+def lookback_from(as_of=None, days: int = 365) -> dt.date:
     """Default window start for overview/sources pages."""
-    d = as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)
+    d = dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of or dt.date.today()
     return d - dt.timedelta(days=days)

@@ -9,17 +9,15 @@ Scale notes (what each plan shuffles):
   distinct scores, not its rows) plus a top-5 per group whose ``row_number``
   filter Spark turns into a partial ``WindowGroupLimit`` before the shuffle.
   Both sides are one row per group when joined.
-* L8/L9 aggregate small gold tables; string lists are ordered before joining
-  so results are deterministic (and the claims digest keeps only the leading
-  claims that can reach the 2000-char prompt prefix — an exact bound).
-* L10's join is on the category key of two aggregated tables.
-* L12 is one hash aggregate (count-distincts via Catalyst's expand) plus the
-  day's headline digest, again a partial top-k before the shuffle.
+* L8/L9 aggregate small gold tables.  Lists are published whole, as child rows
+  (``claim_items``, ``headline_items``); only a prompt joins the leading items
+  that its fixed prefix can hold (a partial top-k before the shuffle).
+* L10 joins two aggregated tables on (category, theme) and on the category.
+* L12 is one hash aggregate (count-distincts via Catalyst's expand).
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +35,6 @@ from pulse.operators.enrich import Responder, RuleResponder, rule_brief, rule_de
     rule_headline, rule_quick_alignment
 from pulse.schemas import CRISIS_TOPICS, OFFICIAL_SOURCES, PUBLIC_SOURCES
 
-DEFAULT_AS_OF = dt.date(2024, 4, 30)
 # Unrounded averages are exact decimal averages kept to 12 decimals (deterministic
 # whatever the partitioning).
 EXACT_DIGITS = 12
@@ -189,7 +186,7 @@ def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
     med = [] if use_radix else [median("sentiment_score", median_accuracy).alias("median_score")]
     agg = pub.groupBy(*WEEK_KEYS).agg(
         F.count(F.lit(1)).alias("article_count"),
-        F.avg(F.col("sentiment_score").cast(AVG_DECIMAL)).alias("avg_dec"),
+        F.avg(F.col("sentiment_score").try_cast(AVG_DECIMAL)).alias("avg_dec"),
         *med,
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "neutral").alias("neutral_count"),
@@ -227,30 +224,42 @@ def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
 # L8 claim rollup / L9 sentiment window / L10 impact delta
 # ---------------------------------------------------------------------------
 CLAIM_TEXT_CHARS = 200
+THEME = ["esg_category", "sub_theme"]
+_CLAIM_ORDER = ["scraped_date", "claim_id"]
 # Each claim after the first adds ≥ 3 chars (" | "), so the first
 # 1 + ceil(2000 / 3) = 668 claims always cover the 2000-char prompt prefix.
 DIGEST_CLAIMS = 1 + -(-P.DELTA_CLAIMS // 3)
 
 
-def claim_summary(claims_df: DataFrame, digest_claims: int = DIGEST_CLAIMS) -> DataFrame:
-    """Per category × theme: count, latest date, and the claims digest used in prompts
-    (ordered newest first, then claim id; only the leading claims that can reach the
-    prompt prefix are concatenated)."""
+def claim_summary(claims_df: DataFrame) -> DataFrame:
+    """Per category × theme: number of claims and latest date.  The claims themselves are
+    the child rows of ``claim_items``."""
     c = claims_df.where(F.col("claim_text").isNotNull())
-    keys = ["esg_category", "sub_theme"]
-    stats = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("claim_count"),
+    return c.groupBy(*THEME).agg(F.count(F.lit(1)).alias("claim_count"),
                                  F.max("scraped_date").alias("latest_claim_date"))
-    lead = top_k_per_group(c, keys, [F.col("scraped_date").desc_nulls_last(),
-                                     F.col("claim_id").asc_nulls_last()], digest_claims)
-    dig = lead.groupBy(*keys).agg(ordered_join(F.left("claim_text", F.lit(CLAIM_TEXT_CHARS)),
-                                               F.col("_rn"), " | ").alias("claims_combined"))
-    return _null_safe_join(stats, dig, keys)
 
 
-def sentiment_window(weekly: DataFrame, as_of=DEFAULT_AS_OF, days: int = 90) -> DataFrame:
+def claim_items(claims_df: DataFrame) -> DataFrame:
+    """Every claim of every category × theme, one row each (order: newest first, then claim id)."""
+    return claims_df.where(F.col("claim_text").isNotNull()).select(
+        *THEME, *_CLAIM_ORDER, F.left("claim_text", F.lit(CLAIM_TEXT_CHARS)).alias("claim_text"))
+
+
+def claim_digest(claims_df: DataFrame) -> DataFrame:
+    """The leading claims of a theme as one text, for prompts only: exact as far as a prompt
+    reads it (its 2000-char prefix)."""
+    lead = top_k_per_group(claim_items(claims_df), THEME,
+                           [F.col("scraped_date").desc_nulls_last(),
+                            F.col("claim_id").asc_nulls_last()], DIGEST_CLAIMS)
+    return lead.groupBy(*THEME).agg(
+        ordered_join(F.col("claim_text"), F.col("_rn"), " | ").alias("claims_combined"))
+
+
+def sentiment_window(weekly: DataFrame, as_of=None, days: int = 90) -> DataFrame:
     """Per category × theme over the trailing window of weeks."""
     w = weekly.where(F.col("week_start") >= since(days, as_of))
-    evidence = F.concat(F.col("article_count").cast("string"), F.lit(" articles, score="),
+    evidence = F.concat(F.lit("Week "), F.date_format("week_start", "yyyy-MM-dd"), F.lit(": "),
+                        F.col("article_count").cast("string"), F.lit(" articles, score="),
                         F.round("avg_sentiment_score", 2).cast("string"))
     return w.groupBy("esg_category", "esg_sub_theme").agg(
         avg_round("avg_sentiment_score", EXACT_DIGITS).alias("period_avg_sentiment"),
@@ -263,21 +272,32 @@ def sentiment_window(weekly: DataFrame, as_of=DEFAULT_AS_OF, days: int = 90) ->
 
 
 def join_claims_sentiment(cs: DataFrame, sw: DataFrame) -> DataFrame:
-    """Claims ⟕ sentiment on category and (theme equal or sentiment theme NULL)."""
-    s = sw.select(F.col("esg_category").alias("_s_cat"), F.col("esg_sub_theme").alias("_s_theme"),
-                  "period_avg_sentiment", "total_articles", "avg_pct_critical",
-                  "dominant_sentiment", "sentiment_evidence_summary", "latest_week")
-    cond = (cs["esg_category"] == s["_s_cat"]) & (
-        (cs["sub_theme"] == s["_s_theme"]) | s["_s_theme"].isNull())
-    return (cs.where(F.col("claim_count") > 0).join(s, cond, "left")
-            .drop("_s_cat", "_s_theme"))
-
-
-def impact_delta(claims_df: DataFrame, weekly: DataFrame, as_of=DEFAULT_AS_OF,
+    """Claims ⟕ sentiment on category and (theme equal or sentiment theme NULL).
+
+    Two equi-joins instead of one join with an OR: on (category, theme), and on the category
+    with the rows that have no theme (one per category).  Claims that neither matches
+    follow with empty sentiment columns."""
+    facts = ["period_avg_sentiment", "total_articles", "avg_pct_critical", "dominant_sentiment",
+             "sentiment_evidence_summary", "latest_week"]
+    left = cs.where(F.col("claim_count") > 0)
+    s = sw.select(F.col("esg_category").alias("_s_cat"), F.col("esg_sub_theme").alias("_s_theme"), *facts)
+    themed = s.where(F.col("_s_theme").isNotNull())
+    whole = s.where(F.col("_s_theme").isNull()).drop("_s_theme")
+    on_theme = (F.col("esg_category") == F.col("_s_cat")) & (F.col("sub_theme") == F.col("_s_theme"))
+    on_category = F.col("esg_category") == F.col("_s_cat")
+    with_theme = left.join(themed, on_theme).drop("_s_cat", "_s_theme")
+    with_category = left.join(whole, on_category).drop("_s_cat")
+    unmatched = (left.join(themed.select("_s_cat", "_s_theme"), on_theme, "left_anti")
+                 .join(whole.select("_s_cat"), on_category, "left_anti"))
+    return with_theme.unionByName(with_category).unionByName(unmatched, allowMissingColumns=True)
+
+
+def impact_delta(claims_df: DataFrame, weekly: DataFrame, as_of=None,
                  responder: Responder | None = None,
                  quick_responder: Responder | None = None,
                  entity: str = P.ENTITY) -> DataFrame:
-    j = join_claims_sentiment(claim_summary(claims_df), sentiment_window(weekly, as_of))
+    stats = _null_safe_join(claim_summary(claims_df), claim_digest(claims_df), THEME)
+    j = join_claims_sentiment(stats, sentiment_window(weekly, as_of))
     responder = responder or RuleResponder(rule_delta())
     quick_responder = quick_responder or RuleResponder(rule_quick_alignment())
     j = responder.answer(j, P.delta_prompt(entity=entity), "delta_json_raw")
@@ -295,7 +315,7 @@ def impact_delta(claims_df: DataFrame, weekly: DataFrame, as_of=DEFAULT_AS_OF,
 # ---------------------------------------------------------------------------
 # L11 crisis events
 # ---------------------------------------------------------------------------
-def news_events(insights: DataFrame, responder: Responder, as_of=DEFAULT_AS_OF,
+def news_events(insights: DataFrame, responder: Responder, as_of=None,
                 days: int = 90, topics: list[str] = CRISIS_TOPICS,
                 entity: str = P.ENTITY) -> DataFrame:
     src = insights.where(F.col("search_topic").isin(topics)
@@ -317,33 +337,34 @@ def news_events(insights: DataFrame, responder: Responder, as_of=DEFAULT_AS_OF,
 # L12 daily statistics / L13 daily summary
 # ---------------------------------------------------------------------------
 # Each headline after the first adds at least 7 chars ("[] " + " || "), so the
-# first 1 + ceil(1500 / 7) headlines always fill the brief's 1500-char window.
-HEADLINE_CHARS = P.BRIEF_HEADLINES
-DIGEST_HEADLINES = 1 + -(-HEADLINE_CHARS // 7)
-
-
-def headline_digest(insights: DataFrame, key: str = "scraped_date") -> DataFrame:
-    """Per day: the credible headlines (credibility ≥ 7), most credible first,
-    joined with ' || ' and cut to the brief's 1500-char window.  Only the
-    leading headlines that can reach the window are gathered (exact)."""
-    h = insights.select(F.col(key).alias("report_date"), "credibility_score", "url", "article_id",
-                        F.when(F.col("credibility_score") >= 7,
-                               F.concat(F.lit("["), F.col("source_type"), F.lit("] "),
-                                        F.left("title", F.lit(80)))).alias("h")) \
-        .where(F.col("h").isNotNull())
-    lead = top_k_per_group(h, ["report_date"], [F.col("credibility_score").desc(),
-                                                 F.col("url").asc(), F.col("article_id").asc()],
-                           DIGEST_HEADLINES)
+# first 1 + ceil(1500 / 7) headlines always fill the brief's 1500-char prompt window.
+DIGEST_HEADLINES = 1 + -(-P.BRIEF_HEADLINES // 7)
+
+
+def headline_items(insights: DataFrame) -> DataFrame:
+    """Every credible headline (credibility ≥ 7) of every day, one row each."""
+    return insights.select(
+        F.col("scraped_date").alias("report_date"), "credibility_score", "url", "article_id",
+        F.when(F.col("credibility_score") >= 7,
+               F.concat(F.lit("["), F.col("source_type"), F.lit("] "),
+                        F.left("title", F.lit(80)))).alias("headline")).where(F.col("headline").isNotNull())
+
+
+def headline_digest(insights: DataFrame) -> DataFrame:
+    """The day's leading headlines as one text, for the brief's prompt only: exact as far as the
+    prompt reads it (its 1500-char prefix)."""
+    lead = top_k_per_group(headline_items(insights), ["report_date"],
+                           [F.col("credibility_score").desc(), F.col("url").asc(),
+                            F.col("article_id").asc()], DIGEST_HEADLINES)
     return lead.groupBy("report_date").agg(
-        F.left(ordered_join(F.col("h"), F.col("_rn"), " || "), F.lit(HEADLINE_CHARS))
-        .alias("top_headlines"))
+        ordered_join(F.col("headline"), F.col("_rn"), " || ").alias("top_headlines"))
 
 
 def daily_stats(insights: DataFrame, as_of=None) -> DataFrame:
     """Per day; ``as_of`` narrows to one day (the reference keeps only today)."""
     src = insights if as_of is None else insights.where(
         F.col("scraped_date") == as_date_lit(as_of))
-    stats = src.groupBy(F.col("scraped_date").alias("report_date")).agg(
+    return src.groupBy(F.col("scraped_date").alias("report_date")).agg(
         F.count(F.lit(1)).alias("total_articles"),
         F.count_distinct("url").alias("unique_sources"),
         F.count_distinct("source_type").alias("source_types"),
@@ -355,8 +376,6 @@ def daily_stats(insights: DataFrame, as_of=None) -> DataFrame:
         _sum_if(F.col("esg_category") == "Environmental").alias("env_count"),
         _sum_if(F.col("esg_category") == "Social").alias("social_count"),
         _sum_if(F.col("esg_category") == "Governance").alias("gov_count"))
-    out = stats.join(headline_digest(src), "report_date", "left")
-    return out.select(*stats.columns, F.coalesce("top_headlines", F.lit("")).alias("top_headlines"))
 
 
 def daily_topics(insights: DataFrame) -> DataFrame:
@@ -367,11 +386,14 @@ def daily_topics(insights: DataFrame) -> DataFrame:
 
 
 def daily_summary(stats: DataFrame, responder: Responder | None = None,
-                  headline_responder: Responder | None = None,
-                  entity: str = P.ENTITY) -> DataFrame:
+                  headline_responder: Responder | None = None, entity: str = P.ENTITY,
+                  headlines: DataFrame | None = None) -> DataFrame:
+    """The day's brief and headline.  ``headlines`` (``headline_digest``) feeds the brief's prompt."""
     responder = responder or RuleResponder(rule_brief())
     headline_responder = headline_responder or RuleResponder(rule_headline())
-    s = responder.answer(stats, P.brief_prompt(entity=entity), "brief_json_raw")
+    s = (stats.join(headlines, "report_date", "left") if headlines is not None
+         else stats.withColumn("top_headlines", F.lit(None).cast("string")))
+    s = responder.answer(s, P.brief_prompt(entity=entity), "brief_json_raw")
     s = headline_responder.answer(s, P.headline_prompt(entity=entity), "_headline_json")
     return s.select(*stats.columns, "brief_json_raw",
                     J.field("_headline_json", "headline").alias("headline"))

@@ -92,7 +92,7 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 @_memo
 def summary(spark: SparkSession, sf: str) -> DataFrame:
-    return L.daily_summary(daily(spark, sf))
+    return L.daily_summary(daily(spark, sf), headlines=L.headline_digest(insights(spark, sf)))
 
 
 @_memo

@@ -76,7 +76,8 @@ def refresh(spark: SparkSession, landing: str, root: str, as_of=None,
                                as_of=as_of, responder=r.delta, quick_responder=r.quick),
                 p["impact_delta"])
     materialize(L.news_events(ins, r.events, as_of=as_of), p["news_events"])
-    materialize(L.daily_summary(L.daily_stats(ins), r.brief, r.headline), p["daily_summary"])
+    materialize(L.daily_summary(L.daily_stats(ins), r.brief, r.headline, headlines=L.headline_digest(ins)),
+                p["daily_summary"])
     return p
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.ids import url_hash, uuid5_url
-from pulse.sources.tables import ensure_parallelism
+from pulse.sources.tables import spread_scan
 
 # Fixed answer vocabularies used by the fixture (ordered by the modulus index).
 FIXTURE_SOURCE_TYPES = ["official", "news", "social", "ngo", "benchmark", "rss"]
@@ -133,7 +133,7 @@ def _event_answer() -> Column:
 def article_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing-shaped article records (all strings) + fixture answer columns."""
     D = _d()
-    docs = ensure_parallelism(spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = spread_scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "text", "lang", "source", "n_chars"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     d = docs.join(labels, "doc_id", "left")

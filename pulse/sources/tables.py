@@ -6,12 +6,13 @@ driver's file system except through Spark's readers and writers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.schemas import ARTICLE_LANDING, FEED_ITEM, RESPONSE
+from pulse.schemas import ARTICLE_LANDING, FEED_ITEM, LANDING_FIELDS, RESPONSE
 
 
 # ---------------------------------------------------------------------------
@@ -33,14 +34,13 @@ def read_landing_stream(spark: SparkSession, path: str, max_files: int | None =
     return r.json(path)
 
 
-def write_landing(df: DataFrame, path: str) -> bool:
-    """Append records as JSON lines; an empty input writes nothing.
+def write_landing(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append records as JSON lines, under ``batch=<tag>/`` if a tag is given.
 
-    Returns whether anything was written (the emptiness probe reads one row)."""
-    if df.isEmpty():
-        return False
-    df.write.mode("append").json(path)
-    return True
+    One job; an empty input adds no record.  Absent envelope fields are written as NULL."""
+    have = set(df.columns)
+    out = df.select(*[(F.col(f) if f in have else F.lit(None)).cast("string").alias(f) for f in LANDING_FIELDS])
+    out.write.mode("append").json(f"{path.rstrip('/')}/batch={batch}" if batch else path)
 
 
 # ---------------------------------------------------------------------------
@@ -97,12 +97,25 @@ def run_log_view(raw: DataFrame) -> DataFrame:
 # A16/A17 re-aimed scraper inputs: landed feed XML and search responses
 # ---------------------------------------------------------------------------
 def read_feed_items(spark: SparkSession, path: str, feed_name_from_path: bool = True) -> DataFrame:
-    """<item> rows of landed RSS files (Spark's built-in XML source)."""
-    df = (spark.read.format("xml").option("rowTag", "item").schema(FEED_ITEM)
-          .option("recursiveFileLookup", "true").load(path))
-    if feed_name_from_path:
-        df = df.withColumn("feed_name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1))
-    return df.withColumn("item_no", F.monotonically_increasing_id())
+    """The items of landed feeds, RSS ``<item>`` and Atom ``<entry>`` (Spark's XML source).
+
+    Atom's link attribute, content and published map to the RSS fields.  ``item_no`` follows the
+    order in a file; feeds are files, so a file never mixes both kinds."""
+    def rows(tag, schema):
+        df = (spark.read.format("xml").option("rowTag", tag).schema(schema)
+              .option("recursiveFileLookup", "true").load(path))
+        if feed_name_from_path:
+            df = df.withColumn("feed_name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1))
+        return df.withColumn("item_no", F.monotonically_increasing_id())
+    entry = rows("entry", "title STRING, link STRUCT<_href: STRING, _VALUE: STRING>, summary STRING, content STRING, "
+                          "author STRUCT<name: STRING>, published STRING, updated STRING")
+    shared = {"title": F.col("title"), "link": F.coalesce("link._href", "link._VALUE"), "summary": F.col("summary"),
+              "description": F.col("content"), "author": F.col("author.name"), "pubDate": F.col("published"),
+              "updated": F.col("updated")}
+    items = rows("item", FEED_ITEM)
+    entry = entry.select(*[shared.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FEED_ITEM.fields],
+                         *[c for c in items.columns if c not in FEED_ITEM.fieldNames()])
+    return items.unionByName(entry)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -117,25 +130,32 @@ def adhoc_select(spark: SparkSession, views: Mapping[str, DataFrame], sql: str,
                  max_rows: int = 50) -> DataFrame:
     """Register ``views`` as temp views and run one read-only SELECT/WITH (≤ max_rows rows).
 
-    Spark parses exactly one statement; anything but a query is rejected."""
+    The text runs as a subquery, where the grammar allows nothing but a query: a write
+    (``WITH … INSERT``, multi-insert, DDL) is a parse error before anything runs.  Reading files by
+    a quoted path is switched off, and relations other than ``views`` are refused."""
     text = sql.strip().rstrip(";").strip()
-    head = text.split(None, 1)[0].upper() if text else ""
-    if head not in ("SELECT", "WITH"):
+    if not text or text.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
         raise ValueError("only SELECT/WITH queries are allowed")
+    known = {t.name.lower() for t in spark.catalog.listTables()} - {v.lower() for v in views}
+    if known & {w.lower() for w in re.findall(r"\w+", text)}:
+        raise ValueError("only the published views may be read")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text).limit(max_rows)
+    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        return spark.sql(f"SELECT * FROM (\n{text}\n)").limit(max_rows)
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", before)
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan over the cluster when it yields fewer input splits than cores.
+SCAN_PARTITIONS = "spark.pulse.scanPartitions"
 
-    Large inputs already scan in many splits, so this never adds a shuffle there;
-    it only helps small single-file inputs before CPU-heavy per-row text work."""
-    try:
-        sc = df.sparkSession.sparkContext
-        want = min_partitions or sc.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
-        return df
-    return df.repartition(want) if have < want else df
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """``df`` dealt into the partitions that the session asks for in ``spark.pulse.scanPartitions``.
+
+    Unset (the default, and the right choice for tables of many row groups) nothing is moved.
+    It is for CPU-heavy text work over a single-row-group file, as in the benchmark."""
+    want = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(want)) if want else df

@@ -11,8 +11,10 @@ logic; late articles are covered because gold tables are recomputed).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from pulse.operators.clean import observe_expectations, silver_articles, to_bronze
+from pulse.operators.clean import all_rules, apply_expectations, observe_expectations, silver_articles, to_bronze
+from pulse.schemas import ARTICLE_LANDING
 from pulse.sources.tables import read_landing_stream, stream_table
 
 
@@ -41,10 +43,19 @@ def run_bronze_stream(spark: SparkSession, landing_path: str, bronze_path: str,
                 "bronze_articles", timeout_s)
 
 
+def bronze_schema(spark: SparkSession):
+    """The fixed schema of the bronze table, so that an empty table can be streamed too."""
+    empty = to_bronze(spark.createDataFrame([], ARTICLE_LANDING)).schema
+    return T.StructType([*empty.fields, T.StructField("_source_file", T.StringType()),
+                         T.StructField("_file_modified_at", T.TimestampType())])
+
+
 def silver_stream(spark: SparkSession, bronze_path: str) -> DataFrame:
-    """Bronze files → cleaned silver rows, expectation metrics observed per batch."""
-    bronze_schema = spark.read.parquet(bronze_path).schema
-    return observe_expectations(silver_articles(stream_table(spark, bronze_path, bronze_schema)))
+    """Bronze files → cleaned silver rows, violations of every rule observed per batch, before the
+    drop rules remove rows."""
+    bronze = stream_table(spark, bronze_path, bronze_schema(spark))
+    counted = observe_expectations(silver_articles(bronze, expectations=False), rules=all_rules())
+    return apply_expectations(counted)
 
 
 def run_silver_stream(spark: SparkSession, bronze_path: str, silver_path: str,

@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -69,3 +70,11 @@ def test_token_table_operators_plan(spark):
         plan = q._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastExchange" in plan and "partial_" in plan
         assert "PythonUDF" not in plan and "ArrowEval" not in plan
+
+
+def test_an_unreadable_cache_is_not_an_empty_cache(spark, scratch):
+    import os
+    from pulse.operators.enrich import _read_cache
+    assert _read_cache(spark, None) is None and _read_cache(spark, os.path.join(scratch, "none")) is None
+    with pytest.raises(Exception):
+        _read_cache(spark, "nostore://x/y")

@@ -79,3 +79,9 @@ def test_median_exact_and_bounded(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 4, 10]], "x double")
     assert df.agg(median("x")).first()[0] == 3.0                  # interpolated, exact
     assert df.agg(median("x", 10000)).first()[0] in (2.0, 4.0)    # a data value from the sketch
+
+
+def test_average_survives_one_absurd_value(spark):
+    from pulse.functions.agg import avg_round
+    df = spark.createDataFrame([(0.5,), (1e30,), (0.25,)], "v double")
+    assert df.agg(avg_round("v", 4)).first()[0] == 0.375

@@ -51,7 +51,11 @@ def test_normalise_feed_and_gate(spark):
         "pubDate string, updated string, created string")
     n = {r.url: r for r in I.normalise_feed(items).collect()}
     assert set(n) == {"https://x/1"} and n["https://x/1"].content == "desc"
-    assert n["https://x/1"].published_date.startswith("Mon, 06 May")
+    assert n["https://x/1"].published_date == "2024-05-06T10:00:00"
+    # an unparseable publication date does not hide a good later one
+    late = items.where("link = 'https://x/1'").selectExpr("title", "link", "description", "summary", "author",
+                                                          "'yesterday' as pubDate", "'2024-05-02T08:30:00' as updated", "created")
+    assert I.normalise_feed(late).first().published_date == "2024-05-02T08:30:00"
     d = spark.createDataFrame([("https://x/1", "Mon, 06 May 2024 10:00:00 +0000")], "u string, d string")
     assert d.select(I.feed_date("d")).first()[0] is not None
     g = spark.createDataFrame([("u1", "", "a" * 79), ("u2", "", "a" * 80)], "url string, title string, content string")
@@ -66,3 +70,14 @@ def test_apply_filters_order_free(spark):
     b = apply_filters(df, search="the", esg_category="Social")
     assert a.collect() == b.collect() == [df.collect()[0]]
     assert apply_filters(df, search="%").count() == 0          # LIKE wildcards stay literal
+
+
+def test_repeated_dimension_rows_do_not_fan_out(spark):
+    pages = spark.createDataFrame([("u1",), ("u2",)], "url string")
+    urls = spark.createDataFrame([("u1", "news", "b"), ("u1", "news", "a")], "url string, source_type string, topic string")
+    got = sorted(tuple(r) for r in I.attach_url_meta(pages, urls).select("url", "source_type", "search_topic").collect())
+    assert got == [("u1", "news", "a"), ("u2", "official", "direct_fetch")]
+    feeds = I.feed_dimension(spark, [("f", [], "ngo", "water"), ("g", [])])
+    items = spark.createDataFrame([("f",), ("g",), ("h",)], "feed_name string")
+    got = sorted(tuple(r) for r in I.attach_feed_meta(items, feeds).select("feed_name", "source_type", "search_topic").collect())
+    assert got == [("f", "ngo", "water"), ("g", "news", "feed"), ("h", "news", "feed")]

@@ -2,26 +2,13 @@ import random
 
 from pyspark.sql import functions as F
 
-from pulse.operators.quantiles import grouped_median, order_key
+from pulse.operators.quantiles import grouped_median
 
 EDGE_VALUES = [0.0, -0.0, 1.0, -1.0, 0.5, 1.5, 1.25, 1e308, -1e308, 5e-324, -5e-324,
                2.2250738585072014e-308, 1.0000000000000002, 0.9999999999999999,
                float("inf"), float("-inf"), 1024.0, 1023.9999999999999, -7.25]
 
 
-def _unsigned(x):
-    return x + 2 ** 64 if x < 0 else x
-
-
-def test_order_key_preserves_order(spark):
-    rows = spark.createDataFrame([(v,) for v in EDGE_VALUES], "v double") \
-        .select("v", order_key(F.col("v")).alias("u")).collect()
-    vs = [r.v for r in sorted(rows, key=lambda r: _unsigned(r.u))]
-    assert vs == sorted(EDGE_VALUES)
-    keys = {r.v: r.u for r in rows}
-    assert keys[0.0] == keys[-0.0]
-
-
 def test_grouped_median_equals_percentile(spark):
     rnd = random.Random(7)
     data = []
@@ -39,11 +26,8 @@ def test_grouped_median_equals_percentile(spark):
     want = {(r.a, r.b): r.p for r in
             df.groupBy("a", "b").agg(F.percentile("v", 0.5).alias("p")).collect()}
     assert want.pop(("all-null", 0)) is None
-    # radix only, mixed (groups above 5 values take the radix), percentile only
-    for limit in (None, 5, 10 ** 6):
-        got = {(r.a, r.b): r.m for r in
-               grouped_median(df, ["a", "b"], "v", "m", exact_buffer_rows=limit).collect()}
-        assert got == want, limit
+    got = {(r.a, r.b): r.m for r in grouped_median(df, ["a", "b"], "v", "m").collect()}
+    assert got == want
 
 
 def test_events_median_plan_holds_no_group_values(spark):
@@ -52,9 +36,15 @@ def test_events_median_plan_holds_no_group_values(spark):
     df = E.queries()["e06_median_by_group"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
-    # percentile only sees groups of bounded size; the others take the radix levels
-    assert "(_gn#" in plan and "<= 1000000)" in plan and "> 1000000)" in plan
-    assert "shiftrightunsigned" in plan
+    assert "percentile_approx" in plan and "percentile(" not in plan      # a fixed-size sketch
+
+
+def test_large_group_median_equals_percentile(spark):
+    """More rows than a sketch holds, with ties next to the middle."""
+    df = spark.range(120_001).selectExpr("id % 2 as k", "case when id % 3 = 0 then 7.5 else rand(3) * 15 end as v")
+    df = spark.createDataFrame(df.collect(), df.schema)
+    want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("p")).collect()}
+    assert {r.k: r.m for r in grouped_median(df, ["k"], "v", "m").collect()} == want
 
 
 def test_weekly_radix_median_equals_percentile(spark):
@@ -67,13 +57,13 @@ def test_weekly_radix_median_equals_percentile(spark):
     assert a == b and len(a) > 0
 
 
-def test_radix_median_on_driver_events(spark):
-    """Every group through the radix levels on the real events table."""
+def test_median_on_driver_events(spark):
+    """Every group of the real events table."""
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet") \
         .select("event_type", F.to_date("ts").alias("day"), "value")
     keys = ["event_type", "day"]
     want = {(r[0], r[1]): r[2] for r in e.groupBy(*keys).agg(F.percentile("value", 0.5)).collect()
             if r[2] is not None}
     got = {(r[0], r[1]): r[2] for r in
-           grouped_median(e, keys, "value", exact_buffer_rows=None).collect()}
+           grouped_median(e, keys, "value").collect()}
     assert got == want and len(want) > 10

@@ -38,11 +38,12 @@ def test_feed_xml_to_records(spark, scratch):
 def test_landing_roundtrip(spark, scratch):
     path = os.path.join(scratch, "landing")
     empty = spark.createDataFrame([], "url string, title string, content string, source_type string, search_topic string")
-    assert write_landing(I.to_landing(I.envelope(empty)), path) is False
+    write_landing(I.to_landing(I.envelope(empty)), path)
+    assert read_landing(spark, path).count() == 0
     recs = spark.createDataFrame([("https://a/1", "t", "body", "news", "esg_news")],
                                  "url string, title string, content string, source_type string, search_topic string")
     landed = I.to_landing(I.stamp_run(I.envelope(recs), "run-1", "2024-05-01T04:00:00+00:00"))
-    assert write_landing(landed, path) is True
+    write_landing(landed, path, batch="r1")
     with open(os.path.join(path, "zz-bad.json"), "w") as f:
         f.write("{broken\n")
     b = to_bronze(read_landing(spark, path)).collect()
@@ -69,6 +70,30 @@ def test_adhoc_select_guard(spark):
         adhoc_select(spark, {"t": df}, "DROP VIEW t")
 
 
+def test_adhoc_select_is_read_only(spark, scratch):
+    df = spark.range(3).toDF("x")
+    path = os.path.join(scratch, "out")
+    df.write.parquet(os.path.join(scratch, "in"))
+    for sql in (f"WITH a AS (SELECT x FROM t) INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT x FROM a",
+                f"SELECT * FROM parquet.`{scratch}/in`", "SELECT 1) UNION (DROP VIEW t"):
+        with pytest.raises(Exception):
+            adhoc_select(spark, {"t": df}, sql).collect()
+    assert not os.path.exists(path)
+    df.createOrReplaceTempView("secret")
+    with pytest.raises(ValueError):
+        adhoc_select(spark, {"t": df}, "SELECT * FROM secret")
+    spark.catalog.dropTempView("secret")
+
+
+def test_atom_entries_are_read(spark, scratch):
+    with open(os.path.join(scratch, "a.xml"), "w") as f:
+        f.write('<feed><entry><title>T</title><link href="https://x/1"/><summary>S</summary>'
+                '<author><name>N</name></author><updated>2024-05-02T08:30:00</updated></entry></feed>')
+    row = I.normalise_feed(read_feed_items(spark, scratch)).first()
+    assert (row.url, row.title, row.content, row.author, row.published_date, row.feed_name) == (
+        "https://x/1", "T", "S", "N", "2024-05-02T08:30:00", "a")
+
+
 def test_clamp():
     assert clamp(50, 1, 200) == 50
     with pytest.raises(ValueError):

@@ -42,3 +42,12 @@ def test_incremental_bronze_silver(spark, scratch):
     assert sorted(s.select(cols).collect()) == sorted(batch.select(cols).collect())
     m = observed_metrics(sq)
     assert sum(x["valid_source_violations"] for x in m) == 1
+
+
+def test_empty_landing_folder_streams_to_empty_tables(spark, scratch):
+    import os
+    from pulse.streaming.incremental import run_bronze_stream, run_silver_stream
+    for d in ("landing", "bronze"):
+        os.makedirs(os.path.join(scratch, d))
+    run_bronze_stream(spark, f"{scratch}/landing", f"{scratch}/bronze", f"{scratch}/c1")
+    run_silver_stream(spark, f"{scratch}/bronze", f"{scratch}/silver", f"{scratch}/c2")
