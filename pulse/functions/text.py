@@ -45,14 +45,14 @@ def preview(c, n: int = PREVIEW_CHARS) -> Column:
     return F.left(F.trim(detagged(c)), F.lit(n))
 
 
-# The characters of Java's ``\s`` (ASCII whitespace).
-ASCII_WS = " \t\n\x0b\f\r"
+# The characters that Python's ``str.strip()`` removes.
+PY_WS = (" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+         "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_py(c) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace (``F.trim`` strips spaces only);
-    a character-set trim, no regex."""
-    return F.btrim(_c(c), F.lit(ASCII_WS))
+    """Python ``str.strip()`` (``F.trim`` strips spaces only); a character-set trim, no regex."""
+    return F.btrim(_c(c), F.lit(PY_WS))
 
 
 def blank_to_null(c) -> Column:

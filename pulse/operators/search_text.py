@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from pulse.functions.text import strip_py
 from pulse.schemas import MAX_BODY_CHARS, MIN_BODY_CHARS
 
-HEADER_RE = r"(?i)(WEB|NEWS) RESULTS:\s*\n"
-CONTENT_HDR_RE = r"(?i)^(content|page content|markdown|livecrawl content)[:：]?\s*$"
-CONTENTS_HDR_RE = r"(?i)^(content|markdown|page content)[:：]?\s*$"
-FIELD_RE = r"(?i)^(Title|URL|Published|Description):\s*(.+)$"
-TITLE_RE = r"(?i)^Title:\s*"
+# The grammar of the input.  U: white space as in Unicode; d: only a line feed ends a line, so "."
+# passes the other line separators of Unicode.
+HEADER_RE = r"(?iUd)(WEB|NEWS) RESULTS:\s*\n"
+CONTENT_HDR_RE = r"(?iUd)^(content|page content|markdown|livecrawl content)[:：]?\s*$"
+CONTENTS_HDR_RE = r"(?iUd)^(content|markdown|page content)[:：]?\s*$"
+FIELD_RE = r"(?iUd)^(Title|URL|Published|Description):\s*(.+)$"
+TITLE_RE = r"(?iUd)^Title:\s*"
 
 
 def _strip(c: Column) -> Column:
@@ -56,7 +58,7 @@ def _line_features(lines: Column, contents: bool = False) -> Column:
         if contents:
             return F.struct(*common,
                             x["s"].rlike(CONTENTS_HDR_RE).alias("contents_hdr"),
-                            x["s"].rlike(r"(?i)^Title:\s*").alias("is_title"))
+                            x["s"].rlike(TITLE_RE).alias("is_title"))
         return F.struct(*common,
                         F.lower(x["s"]).startswith("snippets:").alias("snip_hdr"),
                         x["s"].rlike(CONTENT_HDR_RE).alias("cont_hdr"),
@@ -210,7 +212,7 @@ def explode_url_contents(responses: DataFrame, text: str = "text") -> DataFrame:
     and further headers (a content header never closes content here)."""
     t = F.col(text)
     ok = t.isNotNull() & (t != "") & ~_strip(t).startswith("Error:")
-    blocks = F.slice(F.split(F.concat(F.lit("\n"), t), r"\nURL:\s*", -1), 2, 1 << 30)
+    blocks = F.slice(F.split(F.concat(F.lit("\n"), t), r"(?U)\nURL:\s*", -1), 2, 1 << 30)
     ex = responses.where(ok).select(F.posexplode(blocks).alias("block_no", "block"))
     lines = F.split("block", "\n", -1)
     feats = ex.select("block_no", _strip(F.element_at(lines, 1)).alias("url"),

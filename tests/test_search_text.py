@@ -56,3 +56,14 @@ def test_url_contents(spark):
     rows = explode_url_contents(df).collect()
     assert [r.url for r in rows] == ["https://c.example/1"]
     assert rows[0].title == "Late Title" and rows[0].content == "c" * 90 + "\nmore"
+
+
+def test_unicode_white_space_loses_no_record(spark):
+    body = "long enough description " * 5
+    text = ("WEB RESULTS:\u00a0\n\u00a0URL: https://n.example/1\nTitle: A\u2028B\nDescription: one\u0085two " + body +
+            "\nNEWS RESULTS:\nURL:\u3000https://n.example/2\nDescription: " + body + "\n")
+    df = spark.createDataFrame([("t", "news", "q", text)], "topic string, source_type string, query string, text string")
+    rows = {r.url: r for r in explode_search_results(df).collect()}
+    assert set(rows) == {"https://n.example/1", "https://n.example/2"}
+    one = rows["https://n.example/1"]
+    assert one.title == "A\u2028B" and one.content.startswith("one\u0085two")
