@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions import prompts as P
+from pulse.functions import json as J
+from pulse.functions.labels import alignment_band, sentiment_bucket
 from pulse.functions.agg import avg_round, median
 from pulse.functions.text import clean_text, preview
 from pulse.operators import enrich as K
@@ -195,6 +197,42 @@ def prompt_hashes(spark, sf):
                     F.length(P.claims_prompt()).cast("long").alias("claims_prompt_chars"))
 
 
+def summary_prompts(spark, sf):
+    """The daily brief's and headline's prompts as SHA-256 per day."""
+    ins = FP.insights(spark, sf)
+    day = FP.daily(spark, sf).join(L.headline_digest(ins), "report_date", "left")
+    return day.select("report_date", F.sha2(P.brief_prompt(), 256).alias("brief_prompt"),
+                      F.sha2(P.headline_prompt(), 256).alias("headline_prompt"))
+
+
+def display_labels(spark, sf):
+    """The dashboards' sentiment label (threshold 0.1, NULL shown as unknown)."""
+    return FP.insights(spark, sf).select(
+        "article_id", "url", "scraped_date",
+        sentiment_bucket("sentiment_score", 0.1, unknown="unknown").alias("display_label"))
+
+
+def alignment_bands(spark, sf):
+    """The alignment band of every claims-versus-sentiment row."""
+    return FP.delta(spark, sf).select("delta_id", "esg_category", "sub_theme", "latest_week",
+                                      alignment_band("alignment_score_quick").alias("band"))
+
+
+def fenced_answers(spark, sf):
+    """Answers read through their Markdown fence, with a fallback where none parses."""
+    answer = J.parse_sentiment("sentiment_json_raw", fenced=True)
+    return FP.insights(spark, sf).select(
+        "article_id", "url", "scraped_date", F.coalesce(answer["sentiment"], F.lit("unparsed")).alias("answer_label"))
+
+
+def claim_fields(spark, sf):
+    """The fields of every rule-made claim of every document."""
+    d = spread_scan(_t(spark, sf, "documents").select("doc_id", "text"))
+    claims = d.withColumn("claims", J.parse_claims(K.rule_claims("text")(d)))
+    return claims.select("doc_id", F.posexplode("claims").alias("position", "c")).select(
+        "doc_id", "position", "c.claim_text", "c.metric", "c.timeframe", "c.claim_type")
+
+
 # Answers of earlier runs cover the articles dated before this day (D6 block).
 CACHE_CUTOVER = "2024-03-15"
 
@@ -250,6 +288,11 @@ def block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "i20_json_fields": events_props,
         "d06_pending_prompts": pending_sentiment_prompts,
         "k10_prompts": prompt_hashes,
+        "k10_summary_prompts": summary_prompts,
+        "i22_fenced_answers": fenced_answers,
+        "i24_display_labels": display_labels,
+        "i25_alignment_bands": alignment_bands,
+        "k14_claim_fields": claim_fields,
         "k12_lexicon_sentiment": lexicon_sentiment,
         "k13_keyword_category": keyword_categories,
         "k14_claim_rules": claim_rules,
