@@ -35,7 +35,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BROADCAST_ROWS = 500_000    # of a few longs each
+BROADCAST_ROWS = 1_000_000  # of a few longs each
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

@@ -1,20 +1,21 @@
 """Operator 6: line deduplication by an exact set-similarity join, with DataFrame functions only.
 
-A line's tokens are its distinct ``SHINGLE``-word shingles (the whole line, if it has no more words).  A line is removed
-if an earlier line - smaller document id, then text hash, then line number - has the same words, or a Jaccard
-similarity of at least ``NUMERATOR / DENOMINATOR`` of the token sets.
-
-Lines of equal words form a class, found by partial aggregation; only its first line goes on.  Tokens are ordered by
-rarity: those that stand in more than ``COMMON`` classes come last, by their number, all others first, by hash.  Of a class of
-n tokens only the first n - ceil(t * n) + 1, its opening, are posted (prefix filter).  Classes that share a posted
-token are compared if an earlier one has a fitting size (length filter) and enough tokens are left after the shared
-one (positional filter); the token sets then give the exact Jaccard.  The comparison is a left semi join: a line
-needs one earlier match, so pairs are never emitted, however many lines are alike.
-
-Rarity is counted over all lines in two steps, as only lines with a common token in their opening have to be
-reordered: common tokens of the openings first, then of all tokens of the lines that have them.
-
-Edge cases: a null text has no lines and stays null; a line without words is never removed; a document may lose all its
+Lines are lower-cased and their words are what stands between blanks.  A line's tokens are its distinct
+``SHINGLE``-word shingles (all its words, if it has no more).  A line is removed if an earlier line - smaller document
+id, then text hash, then line number - is the same or has a Jaccard similarity of at least ``NUMERATOR / DENOMINATOR``.
+
+Equal lines form a class, found by partial aggregation; only its first line goes on.  In any fixed order of the tokens,
+two similar classes share one of their openings: of n tokens the first n - ceil(t * n) + 1 (prefix filter).
+
+1. In the order of the token hashes, classes that share no token of their opening with another one are done.
+2. The others are read again as whole token sets, and each token's classes are counted.  A class of which fewer than
+   ceil(t * n) tokens stand in another class is done.  The rest are ordered by rarity, and their openings posted.
+3. A class is compared with the earliest class under each of its posted tokens, which settles most copies.  The others
+   are compared with all earlier classes that share a posted token, have a fitting size (length filter) and enough
+   tokens left after the shared one (positional filter); the token sets then give the exact Jaccard.  That comparison
+   is a left semi join: a line needs one earlier match, so pairs are never emitted, however many lines are alike.
+
+Edge cases: a null text has no lines and stays null; a line of blanks is never removed; a document may lose all its
 lines and is then empty; rows that repeat both id and text share one result; null ids come last; other columns
 pass through, own ones have names that start with "__".
 """
@@ -28,32 +29,25 @@ from pulse.llm.common import ranked, saved, sized
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
-COMMON = 8
 _KEYS = ["k1", "k2", "doc_hash", "line_no"]
 
 
-def _line_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> every line with its words and two hashes of them."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> every line, lower-cased, with two hashes of it."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"),
-                        F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.array_remove(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), "")
-    return lines.withColumn("words", words).select(
-        "doc_id", "doc_hash", "line_no", F.size("words").alias("n_words"), F.xxhash64("words").alias("k1"),
-        F.xxhash64(F.lit(1), F.col("words")).alias("k2"), "words")
-
-
-def _tokens(words: Column) -> Column:
-    """The distinct shingle hashes, ascending."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(0), F.size(words) - SHINGLE)
-    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(SHINGLE)]))
-    return hashes, F.when(F.size(words) > SHINGLE, F.sort_array(F.array_distinct(shingles))).otherwise(
-        F.array(F.xxhash64(words)))
+                        F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "doc_hash", "line_no", F.xxhash64("line").alias("k1"),
+                        F.xxhash64(F.lit(1), F.col("line")).alias("k2"), "line")
 
 
 def _with_tokens(lines: DataFrame) -> DataFrame:
-    hashes, tokens = _tokens(F.col("words"))
-    return lines.withColumn("hashes", hashes).withColumn("tokens", tokens).drop("hashes", "words")
+    """The line's words become its tokens: the distinct shingle hashes, ascending."""
+    words = F.array_remove(F.split("line", " "), "")
+    starts = F.sequence(F.lit(0), F.size("words") - SHINGLE)
+    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
+    tokens = F.when(F.size("words") > SHINGLE, F.sort_array(F.array_distinct(shingles))).otherwise(
+        F.array(F.xxhash64("words")))
+    return lines.withColumn("words", words).withColumn("tokens", tokens).drop("line", "words")
 
 
 def _opening_size(n: Column) -> Column:
@@ -61,10 +55,9 @@ def _opening_size(n: Column) -> Column:
 
 
 def _classes(narrow: DataFrame) -> DataFrame:
-    """One row per distinct words: its first line, numbered (cid) in the order of the first lines."""
+    """One row per distinct line: its first place, numbered (cid) in the order of the first places."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_hash", "line_no")).alias("first")
-    classes = narrow.where("n_words > 0").groupBy("k1", "k2").agg(first, F.max("n_words").alias("n_words"))
-    flat = classes.select("k1", "k2", "n_words", "first.*")
+    flat = narrow.where("worded").groupBy("k1", "k2").agg(first).select("k1", "k2", "first.*")
     order = [F.col(c) for c in ("none", "doc_id", "doc_hash", "line_no")]
     return saved(ranked(flat, *order, name="cid").drop("none"), "line-classes")
 
@@ -76,71 +69,86 @@ def _firsts(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return lines.join(keys, [*same, F.col("doc_id").eqNullSafe(F.col("__doc_id"))])
 
 
-def _token_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
-    """(cid, tokens) of the classes listed in ``cids``."""
-    wanted = saved(classes.join(sized(cids), "cid", "left_semi"), "wanted")
-    return _with_tokens(_firsts(_line_words(docs).where("n_words > 0"), sized(wanted))).select("cid", "tokens")
+def _shared(posted: DataFrame) -> DataFrame:
+    """The rows whose token stands in more than one class, with the number of classes (alike)."""
+    alike = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    return posted.withColumn("alike", alike).where("alike > 1")
 
 
-def _common(tokens: DataFrame) -> DataFrame:
-    return saved(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON), "common-tokens")
+def _token_sets(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, tokens) of the classes whose opening shares a token with another one's.
 
+    Only these lines are cut into tokens again; storing them keeps that from being repeated in a filter."""
+    posted = _firsts(lines, classes).select("cid", F.explode("opening").alias("token"))
+    sharing = saved(_shared(posted).select("cid").distinct(), "sharing")
+    wanted = saved(classes.join(sized(sharing), "cid", "left_semi"), "wanted")
+    return saved(_with_tokens(_firsts(_lines(docs), sized(wanted))).select("cid", "tokens"), "token-sets")
 
-def _having(openings: DataFrame, common: DataFrame) -> DataFrame:
-    """The cids whose opening has one of the tokens."""
-    posted = openings.select("cid", F.explode("opening").alias("token"))
-    return saved(posted.join(sized(common), "token", "left_semi").select("cid").distinct(), "reordered")
 
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(cid, n, tokens by rarity) of the classes that have enough shared tokens for a match."""
+    posted = sets.select("cid", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    need = F.col("n") - _opening_size(F.col("n")) + 1
+    enough = _shared(posted).groupBy("cid", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= need)
+    sets = sets.join(sized(saved(enough.select("cid"), "enough-shared")), "cid", "left_semi")
+    posted = sets.select("cid", F.explode("tokens").alias("token"))
+    common = _shared(posted).groupBy(F.col("cid").alias("__cid")).agg(
+        F.sort_array(F.collect_list(F.struct("alike", "token"))).alias("common"))    # at most the line's own tokens
+    common = common.withColumn("common", F.transform("common", lambda t: t["token"]))
+    return sets.join(common, F.col("cid") == F.col("__cid")).select(
+        "cid", F.size("tokens").alias("n"), F.concat(F.array_except("tokens", "common"), F.col("common")).alias("tokens"))
 
-def _openings(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, n, opening): the rarest tokens of every class of more than one token."""
-    lines = _with_tokens(_line_words(docs)).where("n_words > 5")
-    lines = lines.withColumn("n", F.size("tokens"))
-    lines = lines.select(*_KEYS, "doc_id", "n", F.slice("tokens", F.lit(1), _opening_size(F.col("n"))).alias("opening"))
-    plain = saved(_firsts(lines, classes.where("n_words > 5")).select("cid", "n", "opening"), "openings")
-    few = F.slice("opening", F.lit(1), F.ceil(F.size("opening") / 4).cast("int"))
-    common = _common(plain.select(F.explode(few).alias("token")))
-    sets = _token_sets(docs, classes, _having(plain, common))
-    common = _common(sets.select(F.explode("tokens").alias("token")))
-    again = _having(plain, common)
-    sets = saved(_token_sets(docs, classes, again), "reordered-sets")
-    held = (sets.select("cid", F.explode("tokens").alias("token")).join(sized(common), "token")
-            .groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held")))
-    held = sets.join(held, "cid").withColumn("held", F.transform("held", lambda h: h["token"]))
-    ordered = F.concat(F.array_except("tokens", "held"), F.col("held"))
-    moved = held.withColumn("n", F.size("tokens")).select(
-        "cid", "n", F.slice(ordered, F.lit(1), _opening_size(F.col("n"))).alias("opening"))
-    return plain.join(sized(again), "cid", "left_anti").unionByName(moved)
 
+def _jaccard() -> Column:
+    """Whether the token sets ``tokens`` and ``__tokens`` of n and __n tokens are similar."""
+    a, b = NUMERATOR, DENOMINATOR
+    return (F.size(F.array_intersect("tokens", "__tokens")) * (a + b) >= (F.col("n") + F.col("__n")) * a)
+
+
+def _like_leader(posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """The cids that are similar to the earliest class under one of their posted tokens: a few pairs a class."""
+    leader = F.min("cid").over(Window.partitionBy("token"))
+    pairs = posted.select("cid", leader.alias("leader")).where("leader < cid").distinct()
+    other = sets.select(*[F.col(c).alias(f"__{c}") for c in sets.columns])
+    return (pairs.join(sets, "cid").join(other, F.col("leader") == F.col("__cid"))
+            .where(_jaccard()).select("cid").distinct())
 
-def similar_to_earlier(docs: DataFrame, classes: DataFrame) -> DataFrame:
+
+def similar_to_earlier(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
     """The cids of the classes that an earlier class is similar to."""
-    posted = _openings(docs, classes).select("cid", "n", F.posexplode("opening").alias("at", "token"))
-    alike = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    shared = saved(posted.withColumn("alike", alike).where("alike > 1").drop("alike"), "shared-tokens")
-    sets = saved(_token_sets(docs, classes, saved(shared.select("cid").distinct(), "sharing")), "shared-sets")
-    left = shared.join(sets, "cid")
-    right = left.select(*[F.col(c).alias(f"__{c}") for c in ("cid", "n", "at", "token", "tokens")])
+    sets = saved(_candidates(_token_sets(docs, lines, classes)), "candidates")
+    opening = F.slice("tokens", F.lit(1), _opening_size(F.col("n")))
+    posted = saved(_shared(sets.select("cid", "n", F.posexplode(opening).alias("at", "token"))).drop("alike"), "posted")
+    done = saved(_like_leader(posted.select("cid", "token"), sets), "like-leader")
+    # whoever is not yet decided is compared with all earlier ones
+    asking = saved(posted.join(sized(done), "cid", "left_anti"), "asking")
+    asked = posted.join(sized(saved(asking.select("token").distinct(), "asked")), "token", "left_semi")
+    left = asking.join(sets.select("cid", "tokens"), "cid")
+    right = asked.join(sets.select("cid", "tokens"), "cid")
+    right = right.select(*[F.col(c).alias(f"__{c}") for c in ("cid", "n", "at", "token", "tokens")])
     a, b = NUMERATOR, DENOMINATOR
     fits = (F.least("n", "__n") * b >= F.greatest("n", "__n") * a)
     most = F.least("at", "__at") + 1 + F.least(F.col("n") - F.col("at"), F.col("__n") - F.col("__at")) - 1
     enough = (most * (a + b) >= (F.col("n") + F.col("__n")) * a)
-    jaccard = F.size(F.array_intersect("tokens", "__tokens")) * (a + b) >= (F.col("n") + F.col("__n")) * a
-    return left.join(right, (F.col("token") == F.col("__token")) & (F.col("__cid") < F.col("cid"))
-                     & fits & enough & jaccard, "left_semi").select("cid").distinct()
+    rest = left.join(right, (F.col("token") == F.col("__token")) & (F.col("__cid") < F.col("cid"))
+                     & fits & enough & _jaccard(), "left_semi").select("cid").distinct()
+    return done.unionByName(rest)
 
 
 def removed_lines(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """Every line that has words: doc_id, doc_hash, line_no, first_id (of its class), removed."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    narrow = saved(_line_words(own).drop("words"), "lines")
+    tokens = _with_tokens(_lines(own).withColumn("worded", F.trim("line") != ""))
+    opening = F.slice("tokens", F.lit(1), _opening_size(F.size("tokens")))
+    lines = saved(tokens.withColumn("opening", opening).drop("tokens"), "lines")
+    narrow = lines.drop("opening")
     classes = _classes(narrow)
-    near = saved(similar_to_earlier(own, classes), "near-lines").withColumn("near", F.lit(True))
+    near = saved(similar_to_earlier(own, lines, classes), "near-lines").withColumn("near", F.lit(True))
     judged = classes.join(sized(near), "cid", "left").select(
         *[F.col(c).alias(f"__{c}") for c in (*_KEYS, "doc_id")], F.coalesce("near", F.lit(False)).alias("near"))
     is_first = ((F.col("doc_hash") == F.col("__doc_hash")) & (F.col("line_no") == F.col("__line_no"))
                 & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    return saved(narrow.where("n_words > 0").distinct()
+    return saved(narrow.where("worded").distinct()
                  .join(judged, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
                  .select("doc_id", "doc_hash", "line_no", F.col("__doc_id").alias("first_id"),
                          (~is_first | F.col("near")).alias("removed")), "judged-lines")

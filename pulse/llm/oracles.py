@@ -114,10 +114,10 @@ def line_sql(docs: str = "documents") -> str:
     return rf"""
 raw as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no
   from (select distinct doc_id, text from {docs})),
-worded as (select doc_id, text, line_no, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+worded as (select doc_id, text, line_no, lower(line) as line, list_filter(string_split(lower(line), ' '), lambda w: w <> '') as words
   from raw),
 numbered as (select *, row_number() over (order by doc_id nulls last, text, line_no) as pos from worded where len(words) > 0),
-classes as (select words, min(pos) as cid, arg_min(doc_id, pos) as first_id from numbered group by words),
+classes as (select line, any_value(words) as words, min(pos) as cid, arg_min(doc_id, pos) as first_id from numbered group by line),
 tokens as (
   select distinct cid, array_to_string(words[p:p + 4], ' ') as token
   from classes, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as u(p)),
@@ -128,7 +128,7 @@ near as (
   join sizes s on s.cid = x join sizes t on t.cid = y where 5 * common >= 4 * (s.n + t.n - common)),
 lines as (
   select n.doc_id, n.text, line_no, first_id, pos <> cid or cid in (select cid from near) as removed
-  from numbered n join classes c on n.words = c.words)"""
+  from numbered n join classes c on n.line = c.line)"""
 
 
 OP6 = f"""with {line_sql()},
