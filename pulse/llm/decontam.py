@@ -26,7 +26,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,7 +187,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def _scan(df: DataFrame, shard, window: int, text_col: str) -> DataFrame:
+def _scan(df: DataFrame, shard, window: int, text_col: str, finish=None) -> DataFrame:
+    """``df`` with a shard's hits added; ``finish`` (columns, names) -> rows that stay, may change the columns."""
     automaton = df.sparkSession.sparkContext.broadcast(BenchmarkAutomaton(shard, window))
     names = df.columns
     text_at, spans_at, items_at, words_at = map(names.index, (text_col, "__spans", "__items", "__words"))
@@ -196,11 +196,11 @@ def _scan(df: DataFrame, shard, window: int, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton.value
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+            texts = batch.column(text_at).cast(pa.binary())
             spans, items = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist()
             words = []
             for i, text in enumerate(texts):
-                n, hits, groups = found.scan(text) if text else (0, (), ())
+                n, hits, groups = found.scan(text.as_py() or b"")
                 words.append(n)
                 if groups:
                     before = [(s["start"], s["end"]) for s in spans[i]]
@@ -209,24 +209,25 @@ def _scan(df: DataFrame, shard, window: int, text_col: str) -> DataFrame:
             columns = list(batch.columns)
             for at, values in ((spans_at, spans), (items_at, items), (words_at, words)):
                 columns[at] = pa.array(values, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            keep = finish(columns, names) if finish else None
+            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield out if keep is None else out.filter(keep)
 
     return df.mapInArrow(run, df.schema)
 
 
-def mark_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text_col="text",
-              item_col="item_id", item_text_col="text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def mark_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text_col="text", item_col="item_id",
+              item_text_col="text", shard_words: int = SHARD_WORDS, finish=None) -> DataFrame:
     """``docs`` with ``__words`` (count), ``__spans`` (hit first and last words) and ``__items`` (ids)."""
     key = items.schema[item_col].dataType
     df = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.array().cast(_SPANS),
                            "__items": F.array().cast(T.ArrayType(key))})
     shards = item_shards(items, window, item_col, item_text_col, shard_words)
     shard, after = next(shards, []), next(shards, None)
-    df = _scan(df, shard, window, text_col)
     while after is not None:
+        df = saved(_scan(df, shard, window, text_col), "decontam")
         shard, after = after, next(shards, None)
-        df = _scan(saved(df, "decontam"), shard, window, text_col)
-    return df
+    return _scan(df, shard, window, text_col, finish)
 
 
 def hit_words():
@@ -266,31 +267,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col="text", chars_c
 
     Documents without a hit keep their text; the columns stay, ``chars_col`` (if any) counts the new text.
     """
-    kept = mark_hits(docs, items, text_col=text_col, **options).where(~contaminated(coverage))
-    return _cut(kept, text_col, chars_col).select(*docs.columns)
-
-
-def _cut(df: DataFrame, text_col: str, chars_col: str) -> DataFrame:
-    names = df.columns
-    text_at, spans_at = names.index(text_col), names.index("__spans")
-    chars_at = names.index(chars_col) if chars_col in names else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(spans_at)
-            hit = [i for i, n in enumerate(pa.compute.list_value_length(spans).to_pylist()) if n]
-            if hit:
-                columns = list(batch.columns)
-                texts = columns[text_at].to_pylist()
-                chars = None if chars_at is None else columns[chars_at].to_pylist()
-                for i in hit:
-                    texts[i] = cut_words(texts[i], [(s["start"], s["end"]) for s in spans[i].as_py()])
-                    if chars:
-                        chars[i] = len(texts[i])
-                columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-                if chars:
-                    columns[chars_at] = pa.array(chars, batch.schema.field(chars_at).type)
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield batch
-
-    return df.mapInArrow(run, df.schema)
+    finish = _drop_and_cut(text_col, chars_col, coverage)
+    return mark_hits(docs, items, text_col=text_col, finish=finish, **options).select(*docs.columns)
+
+
+def _drop_and_cut(text_col: str, chars_col: str, coverage: int):
+    """Cuts the spans of the batch's documents below the limit; returns which documents stay."""
+    def finish(columns: list, names: list[str]) -> pa.Array:
+        at, spans = names.index(text_col), columns[names.index("__spans")].to_pylist()
+        words = columns[names.index("__words")].to_pylist()
+        hits = [sum(s["end"] - s["start"] + 1 for s in x) for x in spans]
+        keep = [not h or coverage * h < n for h, n in zip(hits, words)]
+        touched = [i for i, h in enumerate(hits) if h and keep[i]]
+        if touched:
+            texts = columns[at].to_pylist()
+            for i in touched:
+                texts[i] = cut_words(texts[i], [(s["start"], s["end"]) for s in spans[i]])
+            columns[at] = pa.array(texts, columns[at].type)
+            if chars_col in names:
+                chars = columns[names.index(chars_col)].to_pylist()
+                for i in touched:
+                    chars[i] = len(texts[i])
+                columns[names.index(chars_col)] = pa.array(chars, columns[names.index(chars_col)].type)
+        return pa.array(keep)
+
+    return finish

@@ -38,7 +38,7 @@ SPARSE = 0.0005        # soft threshold per step
 START_BIAS = -7.0
 GRAIN = 1 << 16         # weights are multiples of 1 / GRAIN, so sums don't depend on their order
 THRESHOLD = 0.7
-MEMO = 1 << 19          # word values a scorer remembers
+MEMO = 1 << 16          # word values a scorer remembers
 
 _ENDS = re.compile(rb"[.!?\n\r]+")
 # PLAIN_TABLE, but sentence ends become line feeds.
@@ -97,14 +97,19 @@ def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, START_BIAS)
-    seen = {0: Counter(), 1: Counter()}
-    bags = []
-    for text, label in zip(texts, labels):
-        bags.append([b for b in map(bytes.split, text.translate(_LINES).split(b"\n")) if b])
-        seen[label].update({f for s in bags[-1] for w in s for f in features(w)})
+    words: dict[bytes, bytes] = {}      # one object per distinct word
+    bags = [[[words.setdefault(w, w) for w in s] for s in map(bytes.split, text.translate(_LINES).split(b"\n")) if s]
+            for text in texts]
+    toxic, other = Counter(), Counter()
+    for bag, label in zip(bags, labels):
+        if label:
+            toxic.update({f for s in bag for w in s for f in features(w)})
+    toxic = {f: n for f, n in toxic.items() if n >= MIN_DOCS}
+    for bag, label in zip(bags, labels):
+        if not label:
+            other.update({f for s in bag for w in s for f in features(w) if f in toxic})
     lift = LIFT * y.sum() / (len(y) - y.sum())
-    vocab = {f: i for i, f in enumerate(sorted(
-        f for f, n in seen[1].items() if n >= MIN_DOCS and n >= lift * seen[0][f]))}
+    vocab = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= lift * other[f]))}
     coded: dict[bytes, list[int]] = {}
     doc_of, feature, owner = [], [], []
     for d, bag in enumerate(bags):
