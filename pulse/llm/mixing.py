@@ -7,8 +7,8 @@ target is above its cap; each round is one aggregate over the per-source table.
 Sampling: a source's rate (target / size) is split into whole repetitions and a
 fraction.  The fraction is filled by whole documents in a seeded hash order up to
 the document nearest the target, so the error of a source is at most half a
-document.  The cut in the hash order is found by a histogram of 65536 hash ranges
-and then inside one of them, so no task ever orders a whole (hot) source.
+document.  The cut in the hash order is found by histograms of 4096 hash ranges, each
+inside one range of the one before, so no task ever orders a whole (hot) source.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in
 code point order; a null id hashes as the empty text; rows with equal ids of one
@@ -27,7 +27,7 @@ WEIGHTS = (5, 2, 1)     # by the source's place in code point order, repeating
 SHARE = 1.5             # words of the mix per word of the corpus
 CAP = 2                 # epochs a source may be read at most
 SEED = 20240601
-RANGE_BITS = 16         # hash ranges of the first histogram: 2^16
+RANGE_BITS = (12, 24)   # hash bits that the histograms resolve one after the other
 
 
 def word_count(text: Column) -> Column:
@@ -63,6 +63,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _inside(sizes: DataFrame, edge: DataFrame, known: int, at: Column) -> DataFrame:
+    """Words by ``at`` of the documents in their source's edge range, with the words up to there."""
+    same = F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("hash", 48 - known) == F.col("__range"))
+    words = (sizes.join(edge, same).groupBy("__s", "goal", "before", at.alias("__at"))
+             .agg(F.sum("size").alias("words")))
+    order = Window.partitionBy("__s").orderBy("__at")
+    return words.withColumn("upto", F.col("before") + F.sum("words").over(order))
+
+
 def sampling_rules(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: whole repetitions, and the hash up to which documents get one more."""
     need = targets.select(
@@ -70,22 +79,17 @@ def sampling_rules(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
         .otherwise(F.lit(0)).cast("long").alias("whole"))
     need = saved(need.withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size")), "need")
-    ranged = sizes.withColumn("range", F.shiftright("hash", 48 - RANGE_BITS))
-    hist = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    so_far = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
-    edge = (hist.withColumn("upto", so_far)
-            .join(need.select(F.col("source").alias("__s"), "goal"), F.col("source").eqNullSafe(F.col("__s")))
-            .where((F.col("upto") > F.col("goal")) & (F.col("upto") - F.col("words") <= F.col("goal")))
-            .select("__s", F.col("range").alias("__range"), "goal",
-                    (F.col("upto") - F.col("words")).alias("before")))
-    edge = saved(edge, "edge")
-    inside = (ranged.join(edge, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__range")))
-              .groupBy("__s", "__range", "hash", "goal", "before").agg(F.sum("size").alias("words")))
-    upto = F.col("before") + F.sum("words").over(Window.partitionBy("__s").orderBy("hash"))
-    cut = (inside.withColumn("upto", upto)
-           .where((F.col("upto") - F.col("goal")) <= (F.col("goal") - (F.col("upto") - F.col("words"))))
-           .groupBy("__s").agg(F.max("hash").alias("cut")))
-    edge = edge.select(F.col("__s").alias("__e"), (F.shiftleft("__range", 48 - RANGE_BITS) - 1).alias("low"))
+    edge = need.select(F.col("source").alias("__s"), "goal", F.lit(0).cast("long").alias("before"),
+                       F.lit(0).cast("long").alias("__range"))
+    known = 0
+    for bits in RANGE_BITS:         # narrow down, per source, the hash range in which the goal is reached
+        words = _inside(sizes, edge, known, F.shiftright("hash", 48 - bits))
+        edge = (words.where((F.col("upto") > F.col("goal")) & (F.col("upto") - F.col("words") <= F.col("goal")))
+                .select("__s", "goal", (F.col("upto") - F.col("words")).alias("before"), F.col("__at").alias("__range")))
+        edge, known = saved(edge, "edge"), bits
+    nearest = (F.col("upto") - F.col("goal")) <= (F.col("goal") - (F.col("upto") - F.col("words")))
+    cut = _inside(sizes, edge, known, F.col("hash")).where(nearest).groupBy("__s").agg(F.max("__at").alias("cut"))
+    edge = edge.select(F.col("__s").alias("__e"), (F.shiftleft("__range", 48 - known) - 1).alias("low"))
     low = edge.join(cut, F.col("__e").eqNullSafe(F.col("__s")), "left").select(
         "__e", F.coalesce("cut", "low").alias("cut"))
     every = F.when(F.col("goal") > 0, F.lit(1 << 48)).otherwise(F.lit(-1))
