@@ -1,10 +1,11 @@
 """Operator 6: line deduplication by an exact set-similarity join, with DataFrame functions only.
 
-Lines are lower-cased and their words are what stands between blanks.  A line's tokens are its distinct
-``SHINGLE``-word shingles (all its words, if it has no more).  A line is removed if an earlier line - smaller document
-id, then text hash, then line number - is the same or has a Jaccard similarity of at least ``NUMERATOR / DENOMINATOR``.
+Lines are lower-cased and their words are what stands between white space (blank and \\x09-\\x0D).  A line's tokens are
+its distinct ``SHINGLE``-word shingles (all its words, if it has no more).  A line is removed if an earlier line - smaller
+document id, then text hash, then line number - has the same words or a Jaccard similarity of at least
+``NUMERATOR / DENOMINATOR``.
 
-Equal lines form a class, found by partial aggregation; only its first line goes on.  In any fixed order of the tokens,
+Lines of equal words form a class, found by partial aggregation; only its first line goes on.  In any fixed order of the tokens,
 two similar classes share one of their openings: of n tokens the first n - ceil(t * n) + 1 (prefix filter).
 
 1. In the order of the token hashes, classes that share no token of their opening with another one are done.
@@ -15,7 +16,7 @@ two similar classes share one of their openings: of n tokens the first n - ceil(
    tokens left after the shared one (positional filter); the token sets then give the exact Jaccard.  That comparison
    is a left semi join: a line needs one earlier match, so pairs are never emitted, however many lines are alike.
 
-Edge cases: a null text has no lines and stays null; a line of blanks is never removed; a document may lose all its
+Edge cases: a null text has no lines and stays null; a line without words is never removed; a document may lose all its
 lines and is then empty; rows that repeat both id and text share one result; null ids come last; other columns
 pass through, own ones have names that start with "__".
 """
@@ -29,25 +30,28 @@ from pulse.llm.common import ranked, saved, sized
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
-_KEYS = ["k1", "k2", "doc_hash", "line_no"]
+_PLACE = ["doc_hash", "line_no"]    # and doc_id, which may be null
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> every line, lower-cased, with two hashes of it."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"),
-                        F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "doc_hash", "line_no", F.xxhash64("line").alias("k1"),
-                        F.xxhash64(F.lit(1), F.col("line")).alias("k2"), "line")
+    """(doc_id, text) -> every line, lower-cased."""
+    return docs.select("doc_id", F.xxhash64("text").alias("doc_hash"),
+                       F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+
+
+def _with_words(lines: DataFrame) -> DataFrame:
+    """The line's words instead of it."""
+    blanks = F.translate("line", "\t\x0b\f\r", "    ")     # a split at a plain blank needs no regex
+    return lines.withColumn("words", F.array_remove(F.split(blanks, " "), "")).drop("line")
 
 
 def _with_tokens(lines: DataFrame) -> DataFrame:
     """The line's words become its tokens: the distinct shingle hashes, ascending."""
-    words = F.array_remove(F.split("line", " "), "")
     starts = F.sequence(F.lit(0), F.size("words") - SHINGLE)
     shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
     tokens = F.when(F.size("words") > SHINGLE, F.sort_array(F.array_distinct(shingles))).otherwise(
         F.array(F.xxhash64("words")))
-    return lines.withColumn("words", words).withColumn("tokens", tokens).drop("line", "words")
+    return lines.withColumn("tokens", tokens).drop("words")
 
 
 def _opening_size(n: Column) -> Column:
@@ -55,7 +59,7 @@ def _opening_size(n: Column) -> Column:
 
 
 def _classes(narrow: DataFrame) -> DataFrame:
-    """One row per distinct line: its first place, numbered (cid) in the order of the first places."""
+    """One row per distinct words: its first place, numbered (cid) in the order of the first places."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_hash", "line_no")).alias("first")
     flat = narrow.where("worded").groupBy("k1", "k2").agg(first).select("k1", "k2", "first.*")
     order = [F.col(c) for c in ("none", "doc_id", "doc_hash", "line_no")]
@@ -64,8 +68,8 @@ def _classes(narrow: DataFrame) -> DataFrame:
 
 def _firsts(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """The lines that are first of their class, with its cid."""
-    keys = classes.select(*[F.col(c).alias(f"__{c}") for c in (*_KEYS, "doc_id")], "cid")
-    same = [F.col(c) == F.col(f"__{c}") for c in _KEYS]
+    keys = classes.select(*[F.col(c).alias(f"__{c}") for c in (*_PLACE, "doc_id")], "cid")
+    same = [F.col(c) == F.col(f"__{c}") for c in _PLACE]
     return lines.join(keys, [*same, F.col("doc_id").eqNullSafe(F.col("__doc_id"))])
 
 
@@ -82,7 +86,7 @@ def _token_sets(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFr
     posted = _firsts(lines, classes).select("cid", F.explode("opening").alias("token"))
     sharing = saved(_shared(posted).select("cid").distinct(), "sharing")
     wanted = saved(classes.join(sized(sharing), "cid", "left_semi"), "wanted")
-    return saved(_with_tokens(_firsts(_lines(docs), sized(wanted))).select("cid", "tokens"), "token-sets")
+    return saved(_with_tokens(_with_words(_firsts(_lines(docs), sized(wanted)))).select("cid", "tokens"), "token-sets")
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
@@ -138,14 +142,16 @@ def similar_to_earlier(docs: DataFrame, lines: DataFrame, classes: DataFrame) ->
 def removed_lines(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """Every line that has words: doc_id, doc_hash, line_no, first_id (of its class), removed."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = _with_tokens(_lines(own).withColumn("worded", F.trim("line") != ""))
+    words = _with_words(_lines(own)).withColumns({
+        "k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), F.col("words")), "worded": F.size("words") > 0})
+    tokens = _with_tokens(words)
     opening = F.slice("tokens", F.lit(1), _opening_size(F.size("tokens")))
     lines = saved(tokens.withColumn("opening", opening).drop("tokens"), "lines")
     narrow = lines.drop("opening")
     classes = _classes(narrow)
     near = saved(similar_to_earlier(own, lines, classes), "near-lines").withColumn("near", F.lit(True))
     judged = classes.join(sized(near), "cid", "left").select(
-        *[F.col(c).alias(f"__{c}") for c in (*_KEYS, "doc_id")], F.coalesce("near", F.lit(False)).alias("near"))
+        *[F.col(c).alias(f"__{c}") for c in ("k1", "k2", *_PLACE, "doc_id")], F.coalesce("near", F.lit(False)).alias("near"))
     is_first = ((F.col("doc_hash") == F.col("__doc_hash")) & (F.col("line_no") == F.col("__line_no"))
                 & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
     return saved(narrow.where("worded").distinct()

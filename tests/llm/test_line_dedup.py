@@ -4,7 +4,7 @@ from pulse.llm import line_dedup as L
 
 
 def tokens(line):
-    w = [x for x in line.lower().split(" ") if x]
+    w = line.lower().split()
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
@@ -40,7 +40,7 @@ def corpus():
             lines.append("  ".join(line).upper() if kind > 0.9 else " ".join(line))
         docs.append((d, "\n".join(lines)))
     long = " ".join(rnd.choice(words) for _ in range(4000))
-    return docs + [(200, None), (201, ""), (202, " \n   \n "), (None, docs[3][1]), (5, docs[5][1]), (7, "other text of seven"),
+    return docs + [(200, None), (201, ""), (202, " \n\t\n "), (None, docs[3][1]), (5, docs[5][1]), (7, "other text of seven"),
                    (300, long), (301, long + " tail"), (302, "w1 w2 w3\nw1 w2 w3")]
 
 
@@ -75,3 +75,12 @@ def test_columns_stay_and_the_length_is_kept_right(spark):
     assert kept == {1: ("a b\nc d", 7, 1), 2: ("new", 3, 2), 3: (None, None, 3)}
     assert L.dedup_lines(df).schema == df.schema
     assert L.dedup_lines(df.limit(0)).collect() == [] and L.line_report(df.limit(0)).collect() == []
+
+
+def test_lines_that_differ_in_white_space_alone_are_equal(spark):
+    long = [f"w{i}" for i in range(30)]
+    docs = [(1, "a b\r\nnew"), (2, "a\tb\n \t\r\nA \x0b\f b"), (3, " ".join(long)), (4, "\t".join(long) + "\r"),
+            (5, "  ".join([*long[:29], "x"]))]
+    report = {r["doc_id"]: r for r in L.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: r["removed"] for d, r in report.items()} == {1: [], 2: [0, 2], 3: [], 4: [0], 5: [0]}
+    assert {d: r["class_id"] for d, r in report.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
