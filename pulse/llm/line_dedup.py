@@ -33,6 +33,19 @@ NUMERATOR, DENOMINATOR = 4, 5
 _PLACE = ["doc_hash", "line_no"]    # and doc_id, which may be null
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) without repeated rows; only documents that are repeated are shuffled."""
+    hashed = docs.withColumn("doc_hash", F.xxhash64("text"))
+    again = saved(hashed.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash"))
+                  .agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "repeated")
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("doc_hash") == F.col("__hash"))
+    repeated = hashed.join(sized(again), same, "left_semi").dropDuplicates(["doc_id", "doc_hash"])
+    once = hashed.join(sized(again), same, "left_anti")
+    return once.unionByName(saved(repeated, "repeated-texts")).drop("doc_hash")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> every line, lower-cased."""
     return docs.select("doc_id", F.xxhash64("text").alias("doc_hash"),
@@ -141,7 +154,7 @@ def similar_to_earlier(docs: DataFrame, lines: DataFrame, classes: DataFrame) ->
 
 def removed_lines(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """Every line that has words: doc_id, doc_hash, line_no, first_id (of its class), removed."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = _one_each(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     words = _with_words(_lines(own)).withColumns({
         "k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), F.col("words")), "worded": F.size("words") > 0})
     tokens = _with_tokens(words)
@@ -154,7 +167,7 @@ def removed_lines(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataF
         *[F.col(c).alias(f"__{c}") for c in ("k1", "k2", *_PLACE, "doc_id")], F.coalesce("near", F.lit(False)).alias("near"))
     is_first = ((F.col("doc_hash") == F.col("__doc_hash")) & (F.col("line_no") == F.col("__line_no"))
                 & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    return saved(narrow.where("worded").distinct()
+    return saved(narrow.where("worded")
                  .join(judged, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
                  .select("doc_id", "doc_hash", "line_no", F.col("__doc_id").alias("first_id"),
                          (~is_first | F.col("near")).alias("removed")), "judged-lines")

@@ -84,3 +84,15 @@ def test_lines_that_differ_in_white_space_alone_are_equal(spark):
     report = {r["doc_id"]: r for r in L.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {d: r["removed"] for d, r in report.items()} == {1: [], 2: [0, 2], 3: [], 4: [0], 5: [0]}
     assert {d: r["class_id"] for d, r in report.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_repeated_rows_keep_their_near_copies(spark):
+    line = [f"w{i}" for i in range(54)]
+    near = " ".join([*line[:27], "x", *line[28:]])        # Jaccard 45 / 55
+    docs = [(1, " ".join(line))] * 3 + [(2, near)] * 3 + [(None, near.upper() + " y")] * 4
+    report = L.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["removed"]) for r in report) == sorted(
+        [("1", [])] * 3 + [("2", [0])] * 3 + [("None", [0])] * 4)
+    docs = [(1, " ".join(line)), *[(None, near)] * 5]
+    report = L.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["removed"]) for r in report) == [("1", [])] + [("None", [0])] * 5
