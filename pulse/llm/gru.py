@@ -120,7 +120,8 @@ class GatedModel:
     def train(self, docs: list[np.ndarray], rate: float = RATE) -> None:
         """One pass of truncated backpropagation: ``LANES`` documents side by side, windows of ``WINDOW`` steps.
 
-        A lane takes up the next document when one ends; the state then starts anew, else it is carried on.
+        A lane takes up the next document when one ends; the state then starts anew, else it is carried on.  Lanes
+        end at their own length; windows in which some have ended move the weights by the share of tokens that is left.
         """
         squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
         lanes = min(LANES, max(1, len(docs)))
@@ -135,18 +136,26 @@ class GatedModel:
             pairs = [s[i:i + 2] for i in range(0, len(s), 2)]
             s[:] = [x for i in rnd.permutation(len(pairs)) for x in pairs[i]]
         streams = [np.concatenate(s) if s else np.zeros(0, np.int64) for s in streams]
-        length = min((len(s) for s in streams), default=0)  # lanes of one length; the rest of longer ones is left
-        tokens = np.stack([s[:length] for s in streams]) if length else np.zeros((lanes, 0), np.int64)
+        streams.sort(key=len, reverse=True)
+        sizes = np.array([len(s) for s in streams])
         state = np.zeros((lanes, self.hidden), np.float32)
         last = np.full(lanes, self.start)
-        for lo in range(0, length, WINDOW):
-            grads, state, last = self._window(tokens[:, lo:lo + WINDOW], state, last)
+        for lo in range(0, int(sizes.max(initial=0)), WINDOW):
+            live = int((sizes > lo).sum())
+            tokens = np.full((live, WINDOW), -2)            # -2: the lane has ended
+            for lane in range(live):
+                part = streams[lane][lo:lo + WINDOW]
+                tokens[lane, :len(part)] = part
+            grads, state, last = self._window(tokens, state[:live], last[:live])
+            share = np.float32((tokens >= 0).sum() / (lanes * WINDOW))
             for k, g in grads.items():
                 if isinstance(g, tuple):                    # rows of a table
                     rows, g = g
+                    g = g * share
                     squares[k][rows] += g * g
                     self.p[k][rows] -= rate * g / np.sqrt(squares[k][rows])
                 else:
+                    g = g * share
                     squares[k] += g * g
                     self.p[k] -= rate * g / np.sqrt(squares[k])
 
@@ -154,16 +163,16 @@ class GatedModel:
         k, p, steps = self.hidden, self.p, []
         for t in range(tokens.shape[1]):
             target = tokens[:, t]
-            opens = target < 0
+            opens = target == -1
             if opens.any():
                 state = np.where(opens[:, None], np.float32(0), state)
                 last = np.where(opens, self.start, last)
-            live = np.flatnonzero(~opens)
+            live = np.flatnonzero(target >= 0)
             new, cache = self.step(state[live], last[live])
             state = state.copy()
             state[live] = new
             steps.append((live, last[live], cache, new, target[live], opens))
-            last = np.where(opens, last, target)
+            last = np.where(target >= 0, target, last)
         h = np.concatenate([s[3] for s in steps])
         slots = np.concatenate([s[4] for s in steps])
         cls, n = self.class_of(slots), np.float32(max(1, len(slots)))

@@ -116,3 +116,14 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(5, "x")], DDL)
     row = lm.score_documents(one, lambda c: c < 0)[0].first()
     assert (row["n_tokens"], row["n_known"], row["base_score"]) == (2, 0, 0.0)
+
+
+@pytest.mark.parametrize("sizes", [(400, 1), (400, 0)])
+def test_lanes_are_trained_to_their_own_end(monkeypatch, sizes):
+    rnd = np.random.default_rng(4)
+    docs = [rnd.integers(0, 73, n) for n in sizes]
+    seen, window = [], GatedModel._window
+    monkeypatch.setattr(GatedModel, "_window", lambda self, tokens, *rest: (
+        seen.extend(tokens[tokens >= 0].tolist()), window(self, tokens, *rest))[1])
+    GatedModel(np.ones(70), np.ones(3)).train(docs)
+    assert sorted(seen) == sorted(np.concatenate(docs).tolist())
