@@ -117,13 +117,18 @@ class GatedModel:
         out[order] = total
         return out
 
-    def train(self, docs: list[np.ndarray], rate: float = RATE) -> None:
+    def squares(self) -> dict[str, np.ndarray]:
+        """The step sizes' state before training."""
+        return {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+
+    def train(self, docs: list[np.ndarray], rate: float = RATE, squares: dict[str, np.ndarray] | None = None) -> None:
         """One pass of truncated backpropagation: ``LANES`` documents side by side, windows of ``WINDOW`` steps.
 
         A lane takes up the next document when one ends; the state then starts anew, else it is carried on.  Lanes
         end at their own length; windows in which some have ended move the weights by the share of tokens that is left.
+        ``squares`` carries the step sizes on from an earlier call.
         """
-        squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+        squares = self.squares() if squares is None else squares
         lanes = min(LANES, max(1, len(docs)))
         streams = [[] for _ in range(lanes)]
         loads = [(0, lane) for lane in range(lanes)]

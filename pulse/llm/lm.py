@@ -9,8 +9,10 @@ Scoring is one pass: a task scores its batches of documents lane by lane, each d
 across windows.  The ``KNOWN`` most frequent counts are broadcast (a fixed bound); the counts of the other words of
 the documents come by a join on the word, pre-aggregated per document, so any vocabulary fits.
 
-Network weights are fitted on about ``SAMPLE_DOCS`` training documents, chosen by a hash of their id (a bound on driver
-memory, the same at every size); everything that is counted covers all of them.
+Network weights are fitted on every training document, dealt by a hash of the id into ``ROUNDS`` rounds.  In a round each
+task (as many as there are cores) runs backpropagation over its own documents from the broadcast weights, a batch of texts at a time, and the weights
+and step sizes of all tasks are averaged by their tokens, block by block; the driver holds one set of weights.  The
+weights depend on how the documents are dealt to tasks, not on the tasks' timing.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are scored each; with no training documents all
 counts are 0 and the base is 0; null ids fall in the fold of the empty text; an empty table gives an empty result.
@@ -22,11 +24,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ from pulse.llm.gru import GatedModel
 WORDS = 4096            # slots of single words
 RARE = 64               # slots of rare words, by ending
 KNOWN = 65536           # counts that are broadcast
-SAMPLE_DOCS = 4000
+ROUNDS = 4              # averages of the network's weights in its one pass over the training documents
+BLOCK = 1 << 14         # weights averaged as one row
 BATCH_BYTES = 16 << 20  # texts scored side by side
 END = b""               # the end token; no word is empty
 
@@ -134,15 +139,76 @@ class Scorer:
         return np.concatenate(slots), base, score, known, others
 
 
-def sample_texts(docs: DataFrame, teaches: Column, total: int, most: int) -> list[bytes]:
-    """The texts of about ``most`` of the ``total`` teaching documents, by a hash of their id."""
-    share = min(1.0, most / max(total, 1))
-    pick = F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = docs.where(teaches & pick).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).toArrow()
-    return [t for _, t in sorted(zip(map(str, rows["doc_id"].to_pylist()), rows["text"].to_pylist()))]
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of as many texts as fit ``BATCH_BYTES``, one at least."""
+    lo = held = 0
+    for hi, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if hi > lo and held >= BATCH_BYTES:
+            yield lo, hi
+            lo, held = hi, 0
+        held += size
+    if len(texts):
+        yield lo, len(texts)
 
 
-def fit(docs: DataFrame, teaches: Callable[[Column], Column], *, sample_docs: int = SAMPLE_DOCS,
+def _train(scorer, start):
+    """Texts -> the weights and step sizes that a task's documents lead to from ``start``, in blocks, with their tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tokens = scorer.value, 0
+        model = copy(own.model)
+        model.p, squares = ({k: v.copy() for k, v in x.items()} for x in start.value)
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for lo, hi in _portions(texts):
+                slots = [own.encode(t.as_py())[0] for t in texts.slice(lo, hi - lo)]
+                model.train(slots, squares=squares)
+                tokens += sum(map(len, slots))
+        if tokens:
+            flat = np.concatenate([v.ravel().astype(np.float32) for x in (model.p, squares) for v in x.values()])
+            parts = [flat[lo:lo + BLOCK].tobytes() for lo in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([tokens] * len(parts), pa.int64()),
+                                              pa.array(parts, pa.binary())], ["block", "tokens", "weights"])
+
+    return run
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by block -> one row a block, the weights times their tokens added."""
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([tokens], pa.int64()),
+                                           pa.array([sums.tobytes()], pa.binary())], ["block", "tokens", "sums"])
+    block, tokens, sums = None, 0, None
+    for batch in batches:
+        for b, n, part in zip(*(batch.column(c).to_pylist() for c in ("block", "tokens", "weights"))):
+            if b != block:
+                if block is not None:
+                    yield row()
+                block, tokens, sums = b, 0, 0.0
+            tokens, sums = tokens + n, sums + n * np.frombuffer(part, np.float32).astype(np.float64)
+    if block is not None:
+        yield row()
+
+
+def train_round(texts: DataFrame, scorer, model: GatedModel, squares: dict[str, np.ndarray]) -> int:
+    """One round: all rows of the column ``text`` teach ``model``, each task its own rows.  Returns their tokens."""
+    start = texts.sparkSession.sparkContext.broadcast((model.p, squares))
+    # one task a core: more would only make more weights to average
+    texts = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    # a fixed order of the tasks in every sum, so it does not depend on which ended first
+    dealt = texts.mapInArrow(_train(scorer, start), "block int, tokens long, weights binary").withColumn("task", F.spark_partition_id())
+    rows = (dealt.repartition("block").sortWithinPartitions("block", "task").select("block", "tokens", "weights")
+            .mapInArrow(_add_blocks, "block int, tokens long, sums binary").collect())
+    start.destroy()
+    if not rows:
+        return 0
+    flat = np.concatenate([np.frombuffer(r["sums"]) / r["tokens"] for r in sorted(rows, key=lambda r: r["block"])])
+    for table in (model.p, squares):
+        for k, v in table.items():
+            table[k], flat = flat[:v.size].reshape(v.shape).astype(v.dtype), flat[v.size:]
+    return rows[0]["tokens"]
+
+
+def fit(docs: DataFrame, teaches: Callable[[Column], Column], *, rounds: int = ROUNDS,
         **options) -> tuple[DataFrame, Statistics, GatedModel]:
     """(counts, statistics, model) learned from the rows of (doc_id, text) whose id ``teaches`` accepts."""
     own = teaches(F.col("doc_id"))
@@ -150,8 +216,12 @@ def fit(docs: DataFrame, teaches: Callable[[Column], Column], *, sample_docs: in
     stats = statistics(counts, **options)
     model = GatedModel(np.array([c for _, c in stats.top[:stats.words]], float), stats.rare_tokens)
     if stats.top:
-        scorer = Scorer(stats, model)
-        model.train([scorer.encode(t)[0] for t in sample_texts(docs, own, stats.top[0][1], sample_docs)])
+        scorer = docs.sparkSession.sparkContext.broadcast(Scorer(stats, model))
+        squares = model.squares()
+        deal = F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.lit(5)), F.lit(rounds))
+        for k in range(rounds):
+            train_round(docs.where(own & (deal == k)).select("text"), scorer, model, squares)
+        scorer.destroy()
     return counts, stats, model
 
 
@@ -160,14 +230,8 @@ def _score(scorer):
         own = scorer.value
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            lo = 0
-            while lo < len(texts):      # as many texts as fit the bound, one at least
-                hi, held, coded = lo, 0, []
-                while hi < len(texts) and (hi == lo or held < BATCH_BYTES):
-                    text = texts[hi].as_py()
-                    held += len(text or b"")
-                    coded.append(own.encode(text))
-                    hi += 1
+            for lo, hi in _portions(texts):
+                coded = [own.encode(t.as_py()) for t in texts.slice(lo, hi - lo)]
                 slots, base, score, known, others = zip(*coded)
                 score = np.array(score) + own.model.score(list(slots)) / np.log(10)
                 yield pa.RecordBatch.from_arrays([
@@ -177,7 +241,6 @@ def _score(scorer):
                     pa.array([[{"word": w, "times": n} for w, n in sorted(o.items())] for o in others],
                              pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
                     ["row", "doc_id", "n_tokens", "known", "base", "score", "others"])
-                lo = hi
 
     return run
 

@@ -127,3 +127,14 @@ def test_lanes_are_trained_to_their_own_end(monkeypatch, sizes):
         seen.extend(tokens[tokens >= 0].tolist()), window(self, tokens, *rest))[1])
     GatedModel(np.ones(70), np.ones(3)).train(docs)
     assert sorted(seen) == sorted(np.concatenate(docs).tolist())
+
+
+def test_every_training_token_teaches_the_network_and_rounds_repeat(spark, monkeypatch):
+    docs = [(i, f"a{i % 40} b{i % 7} a{i % 40}") for i in range(9000)]
+    df = spark.createDataFrame(docs, DDL).repartition(3, "doc_id")
+    taught, one_round = [], lm.train_round
+    monkeypatch.setattr(lm, "train_round", lambda *args: taught.append(one_round(*args)))
+    _, stats, model = lm.fit(df, lm.not_held_out)
+    assert sum(taught) == stats.tokens == 4 * sum(teaches_brute(d) for d, _ in docs) and min(taught) > 0
+    again = lm.fit(df, lm.not_held_out)[2]
+    assert all((model.p[k] == again.p[k]).all() and np.isfinite(model.p[k]).all() for k in model.p)
