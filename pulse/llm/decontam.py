@@ -118,6 +118,8 @@ class BenchmarkAutomaton:
             hi = len(data) if hi < 0 else hi
             words = data[lo:hi].split()
             lo = hi
+            if not words:       # a gap between words resets nothing
+                continue
             codes = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
             known = np.concatenate(([False], codes >= 0, [False]))
             edge = np.flatnonzero(known[1:] != known[:-1])

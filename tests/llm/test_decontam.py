@@ -75,3 +75,10 @@ def test_contaminated_documents_go_and_spans_are_cut(spark):
     assert rows[3]["text"] == f"{filler}, ; end." and rows[3]["n_chars"] == len(rows[3]["text"])
     empty = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(df, empty).count() == 4 and D.decontaminate(df.where(F.lit(False)), empty).count() == 0
+
+
+def test_pieces_without_words_keep_the_state(monkeypatch):
+    found = D.BenchmarkAutomaton([(1, b"a b c d e".split())], 5)
+    monkeypatch.setattr(D, "PIECE", 3)
+    assert found.scan(b"x a b c" + b" ,." * 20 + b" d e y") == (7, [(1, 5)], {0})
+    assert found.scan(b" " * 40) == (0, [], set())
