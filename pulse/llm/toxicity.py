@@ -7,7 +7,7 @@ word's value is the weight of the word and of its first four and five bytes.  Th
 matters.  The sentence scores then locate the offending sentences.
 
 Training reads a bounded sample of labelled documents (``SAMPLE_DOCS`` of each label, the first in a hash order of the
-ids); scoring streams over all documents with the broadcast weights, whose size is bounded by the sample.
+ids, of those that have a document); each label counts by its share of all teaching documents, sampled or not.  Scoring streams over all documents with the broadcast weights, whose size is bounded by the sample.
 
 Edge cases: a null, empty or wordless text has no sentences and the score 0; repeated sentences count as often as they
 stand; a document that is labelled more than once is toxic if one label says so; null labels or ids teach nothing;
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.llm.common import PLAIN_TABLE, crc_mod, id_text
+from pulse.llm.common import PLAIN_TABLE, crc_mod, id_text, saved
 
 SAMPLE_DOCS = 4000      # labelled documents of each label that training reads at most
 MIN_DOCS = 3            # toxic documents a feature must stand in to get a weight
@@ -92,11 +92,14 @@ class ToxicityModel:
         return float(-np.expm1(-np.logaddexp(0.0, np.array(z, float) + self.bias).sum()))
 
 
-def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
-    """Weights from document labels, by proximal gradient steps on the noisy-or likelihood."""
+def train(texts: list[bytes], labels: list[int], counts_as: list[float] | None = None) -> ToxicityModel:
+    """Weights from document labels, by proximal gradient steps on the noisy-or likelihood.
+
+    ``counts_as``: how many documents each text stands for (1)."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, START_BIAS)
+    times = np.ones(len(y)) if counts_as is None else np.array(counts_as, float)
     words: dict[bytes, bytes] = {}      # one object per distinct word
     bags = [[[words.setdefault(w, w) for w in s] for s in map(bytes.split, text.translate(_LINES).split(b"\n")) if s]
             for text in texts]
@@ -127,8 +130,8 @@ def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(owner, w[feature], sentences)
         total = np.bincount(doc_of, np.logaddexp(0, z), len(y))
-        pull = (1 - y) - y / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9)
-        g_z = pull[doc_of] / (1 + np.exp(-z)) / len(y)
+        pull = ((1 - y) - y / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9)) * times
+        g_z = pull[doc_of] / (1 + np.exp(-z)) / times.sum()
         g = np.append(np.bincount(feature, g_z[owner], len(vocab)), g_z.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-4)
@@ -139,11 +142,16 @@ def train(texts: list[bytes], labels: list[int]) -> ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col, text_col, label_id_col, label_col,
-                    teaches, per_label: int) -> tuple[list[bytes], list[int]]:
-    """At most ``per_label`` labelled texts of each label, the first in the hash order of their ids."""
+                    teaches, per_label: int) -> tuple[list[bytes], list[int], list[float]]:
+    """At most ``per_label`` labelled texts of each label, the first in the hash order of their ids; their labels; how
+    many labelled documents each stands for."""
     known = (labels.select(F.col(label_id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
              .where("__id is not null and __label is not null").where(teaches(F.col("__id")))
              .groupBy("__id").agg(F.max(F.when(F.col("__label") > 0, 1).otherwise(0)).alias("__label")))
+    own = docs.select(F.col(id_col).alias("__doc"))
+    known = saved(known.join(own, F.col("__id") == F.col("__doc"), "left_semi"), "teaching")
+    size = {r["__label"]: r["n"] for r in known.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    times = {label: n / max(1, min(n, per_label)) for label, n in size.items()}
     order = [F.xxhash64(id_text(F.col("__id"))), F.col("__id")]
     picked = None
     for label in (0, 1):
@@ -153,7 +161,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col, text_col, lab
             .join(F.broadcast(picked), F.col("__doc") == F.col("__id"))     # at most 2 * per_label ids
             .select("__id", "__text", "__label")).toArrow().to_pydict()
     found = sorted(zip(rows["__id"], (t or "" for t in rows["__text"]), rows["__label"]))
-    return [t.encode() for _, t, _ in found], [y for *_, y in found]
+    return [t.encode() for _, t, _ in found], [y for *_, y in found], [times[y] for *_, y in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_id_col="doc_id",

@@ -65,3 +65,15 @@ def test_without_labels_nothing_is_toxic(spark):
     for labels in ([], [(1, None), (None, 1)], [(1, 1), (1, 0)]):
         model = X.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert X.toxicity_scores(docs, model).first()["score"] == 0.0
+
+
+def test_a_capped_label_counts_by_its_share_of_all_documents(spark):
+    docs = [(i, f"text {i}", int(i % 10 == 0)) for i in range(100)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs] + [(i, 0) for i in range(1000, 1200)], "doc_id long, toxic int")
+    sample = X.labelled_sample(
+        spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), labels, id_col="doc_id", text_col="text",
+        label_id_col="doc_id", label_col="toxic", teaches=lambda c: c >= 0, per_label=20)
+    assert sorted(zip(*sample[1:])) == [(0, 4.5)] * 20 + [(1, 1.0)] * 10      # label rows without a document take no place
+    texts, labels = [b"bad word here", b"bad day", b"bad luck", b"good word", b"fine day"], [1, 1, 1, 0, 0]
+    twice = X.train(texts + texts[3:] * 3, labels + [0] * 6)
+    assert X.train(texts, labels, [1, 1, 1, 4, 4]).bias == pytest.approx(twice.bias, abs=0.01)
