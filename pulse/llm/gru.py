@@ -156,13 +156,11 @@ class GatedModel:
             for k, g in grads.items():
                 if isinstance(g, tuple):                    # rows of a table
                     rows, g = g
-                    g = g * share
                     squares[k][rows] += g * g
-                    self.p[k][rows] -= rate * g / np.sqrt(squares[k][rows])
+                    self.p[k][rows] -= share * rate * g / np.sqrt(squares[k][rows])
                 else:
-                    g = g * share
                     squares[k] += g * g
-                    self.p[k] -= rate * g / np.sqrt(squares[k])
+                    self.p[k] -= share * rate * g / np.sqrt(squares[k])
 
     def _window(self, tokens: np.ndarray, state: np.ndarray, last: np.ndarray):
         k, p, steps = self.hidden, self.p, []
