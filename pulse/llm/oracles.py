@@ -183,5 +183,92 @@ scored as (
 ranks as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
 select query_id, rank, vec_id, score from ranks where rank <= 20"""
 
+def _best(*ways: str) -> str:
+    """The least (cost, audit) of some ways to a state."""
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _plus(way: str, cost, letter: str) -> str:
+    """A way with one more edit; null stays null."""
+    return f"case when {way} is not null then {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}'}} end"
+
+
+def _with_inserts(rows: str) -> str:
+    """A select over ``rows`` with the inserts that may stand before the next row, at most two."""
+    for _ in range(2):
+        rows = (f"select * replace ({_best('w2', *(_plus(w, 2, 'I') for w in ('w0', 'w1', 'w3')))} as w2, "
+                f"{_best('w3', _plus('w2', 2, 'I'))} as w3) from ({rows})")
+    return rows
+
+
+# States: 0 nothing written, 1 a system row, 2 a user's, 3 an assistant's; w0 to w3 are the cheapest ways to them.
+_WAY = "struct(c bigint, a varchar)"
+_KEPT = {0: ["null"], 1: ["case when role1 = 's' then w0 end"], 2: [f"case when role1 = 'u' then w{s} end" for s in (0, 1, 3)],
+         3: ["case when role1 = 'a' then w2 end"]}
+_REROLED = {0: [], 1: [], 2: ["w0", "w1", "w3"], 3: ["w2"]}
+
+
+def _step(state: int) -> str:
+    stays = [f"(case when fault < 2 then {_plus('(' + w + ')', 'fault', 'K')} end)" for w in _KEPT[state] if w != "null"]
+    turns = [f"(case when fault < 2 then {_plus(w, '2 + fault', 'R')} end)" for w in _REROLED[state]]
+    return f"{_best(_plus(f'w{state}', 3, 'D'), *stays, *turns)} as w{state}"
+
+
+def _repaired_rows() -> str:
+    """The repaired ``role:text`` of an audit: letters are followed row by row, inserts included."""
+    return """
+letters as (select key, audit, 1 as p, 0 as i, 0 as state, [] :: varchar[] as pieces from best
+  union all
+  select l.key, audit, p + 1, i + (letter <> 'I')::int,
+    case when letter = 'D' then state when letter = 'K' then position(role1 in 'sua')::int when state = 2 then 3 else 2 end,
+    case when letter = 'D' then pieces else list_append(pieces,
+      case when letter = 'K' then role || ':' || text
+           else case when state = 2 then 'assistant:' else 'user:' end || case when letter = 'R' then text else '' end end) end
+  from (select *, substr(audit, p, 1) as letter from letters where p <= length(audit)) l
+  left join numbered n on n.key = l.key and n.place = l.i + 1 and letter <> 'I'),
+texts as (select key, sha256(array_to_string(pieces, chr(10))) as repaired_sha256 from letters where p > length(audit))"""
+
+
+_CRC = """(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(name) + 1),
+      lambda i: ('0x' || substr(hex(encode(name)), (2 * i - 1)::int, 2))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint))"""
+
+OP11 = rf"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+kinds as (select *, {_CRC} % 20 as kind from named),
+keys as (select conv_id, row_number() over (order by conv_id) as key from (select distinct conv_id from conversations)),
+damaged as (
+  select key, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+  from kinds join keys on kinds.conv_id is not distinct from keys.conv_id where kind <> 0),
+numbered as materialized (
+  select *, row_number() over w as place, row_number() over (partition by key, role, text order by turn nulls first, copy) as seen, left(role, 1) as role1,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed
+  from damaged window w as (partition by key order by turn nulls first, role, md5(text), copy)),
+judged as materialized (
+  select *, case when trimmed = '' then 'blank' when seen > 1 then 'duplicate' when right(trimmed, 1) not in ('.', '!', '?') then 'truncated' else '' end as said,
+    case when trimmed = '' or seen > 1 then 2 when right(trimmed, 1) not in ('.', '!', '?') then 1 else 0 end as fault,
+    coalesce(lag(role1) over (partition by key order by place), '-') || role1 as pair from numbered),
+facts as (
+  select key, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where said = 'blank') as blank,
+    count(*) filter (where said = 'duplicate') as duplicate, count(*) filter (where said = 'truncated') as truncated,
+    count(*) filter (where place > 1 and pair not in ('su', 'ua', 'au')) as illegal from judged group by key),
+ways as (
+  select key, 0::bigint as i, {{'c': 0, 'a': ''}}::{_WAY} as w0, null::{_WAY} as w1, null::{_WAY} as w2, null::{_WAY} as w3 from facts
+  union all
+  select key, i + 1, {", ".join(_step(s) for s in range(4))}
+  from (select o.*, role1, fault from ({_with_inserts("select key, i, w0, w1, w2, w3 from ways")}) o
+        join judged j on j.key = o.key and j.place = o.i + 1)),
+best as (
+  select key, list_min([w0, w3]).c as cost, list_min([w0, w3]).a as audit
+  from (select o.*, n from ({_with_inserts("select key, i, w0, w1, w2, w3 from ways")}) o join facts using (key)) where i = n),{_repaired_rows()}
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit,
+  coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from keys left join facts using (key) left join best using (key) left join texts using (key)"""
+
 ORACLE = {"op1_mix_sources": OP1, "op2_url_filter": OP2, "op3_decontamination": OP3, "op5_warc": OP5, "op6_line_dedup": OP6, "op8_license_scan": OP8,
-          "op9_exact_top_k": OP9}
+          "op9_exact_top_k": OP9, "op11_conversation_repair": OP11}

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import decontam, licenses, line_dedup, lm, mixing, simhash, toxicity, url_filter, vector_search, warc
+from pulse.llm import (alignment, decontam, langid, licenses, line_dedup, lm, mixing, repair, simhash, toxicity, url_filter,
+                       vector_search, warc)
 from pulse.llm.common import crc_mod, table
 
 
@@ -72,6 +73,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_conversations(rows, copies=F.col("copies"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, teaches=langid.not_held_out))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -84,4 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_simhash_dedup": op10_simhash_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_language_id": op12_language_id,
+        "op13_token_alignment": op13_token_alignment,
     }
