@@ -62,3 +62,12 @@ def blank_to_null(c) -> Column:
 def contains_ci(c, needle: str) -> Column:
     """Case-insensitive literal substring test (wildcards in ``needle`` stay literal)."""
     return F.contains(F.lower(_c(c)), F.lit(needle.lower()))
+
+
+def grams(c, size: int) -> Column:
+    """The distinct substrings of ``size`` characters; none for shorter texts and null.
+
+    One regular expression with a look-ahead passes over the text once (a substring per place would count characters from the
+    start every time)."""
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(_c(c), F.lit(f"(?s)(?=(.{{{size}}}))"), 1)),
+                      F.array().cast("array<string>"))

@@ -67,11 +67,13 @@ def esg_hint(topic, mapping: Mapping[str, list[str]] = ESG_HINT_TOPICS,
 # C10/C11 expectations
 # ---------------------------------------------------------------------------
 def drop_rules() -> dict[str, Column]:
-    """Rows failing any of these are dropped (NULL counts as a failure)."""
+    """Rows failing any of these are dropped (NULL counts as a failure).
+
+    Each rule reads its column once and is never null: pushed below the cleaning, a null check that Catalyst
+    infers beside it would run the whole regex chain a second time."""
     return {
-        "valid_content": F.col("clean_content").isNotNull()
-        & (F.length("clean_content") >= MIN_CLEAN_CHARS),
-        "valid_url": F.col("url").isNotNull() & (F.length("url") >= MIN_URL_CHARS),
+        "valid_content": F.coalesce(F.length("clean_content"), F.lit(0)) >= MIN_CLEAN_CHARS,
+        "valid_url": F.coalesce(F.length("url"), F.lit(0)) >= MIN_URL_CHARS,
     }
 
 
@@ -80,16 +82,11 @@ def warn_rules() -> dict[str, Column]:
     return {"valid_source": F.col("source_type").isin(SOURCE_TYPES)}
 
 
-def _all(rules: Mapping[str, Column]) -> Column:
-    cond = F.lit(True)
-    for r in rules.values():
-        cond = cond & F.coalesce(r, F.lit(False))
-    return cond
-
-
 def apply_expectations(df: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:
-    """Drop rows that violate any rule (three-valued logic: NULL = violation)."""
-    return df.where(_all(drop_rules() if rules is None else rules))
+    """Drop rows that violate any rule (a filter drops NULL as well)."""
+    for rule in (drop_rules() if rules is None else rules).values():
+        df = df.where(rule)
+    return df
 
 
 def all_rules() -> dict[str, Column]:
@@ -123,12 +120,12 @@ def observe_expectations(df: DataFrame, name: str = "silver_quality",
 # L3 silver
 # ---------------------------------------------------------------------------
 def silver_articles(bronze: DataFrame, keep: Iterable[str] = (),
-                    expectations: bool = True) -> DataFrame:
-    """Cleaned articles: C3–C8 projections, the raw-length gate, drop expectations."""
+                    expectations: bool = True, gate: bool = True) -> DataFrame:
+    """Cleaned articles: C3–C8 projections, the raw-length gate (``gate``), drop expectations."""
     pub = published_at("published_date", "scraped_at")
-    out = (bronze
-           .where(F.col("raw_content").isNotNull()
-                  & (F.length(F.trim("raw_content")) >= MIN_CLEAN_CHARS))
+    raw = bronze.where(F.col("raw_content").isNotNull()
+                       & (F.length(F.trim("raw_content")) >= MIN_CLEAN_CHARS)) if gate else bronze
+    out = (raw
            .select(
                "article_id", "url", "url_hash",
                clean_text("raw_content").alias("clean_content"),
@@ -148,6 +145,5 @@ def silver_articles(bronze: DataFrame, keep: Iterable[str] = (),
 
 def scoring_candidates(silver: DataFrame) -> DataFrame:
     """Articles long enough to be worth a model call."""
-    return silver.where(F.col("clean_content").isNotNull()
-                        & (F.coalesce(F.col("content_length"), F.length("clean_content"))
-                           >= MIN_CLEAN_CHARS))
+    chars = F.coalesce(F.col("content_length"), F.length("clean_content"))
+    return silver.where(F.when(F.col("clean_content").isNotNull(), chars).otherwise(0) >= MIN_CLEAN_CHARS)

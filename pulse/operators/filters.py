@@ -62,6 +62,12 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return out.limit(limit)
 
 
+def few_sorted(df: DataFrame, *order) -> DataFrame:
+    """ORDER BY for an aggregate whose groups are few by nature (categories, weeks, severities): one task sorts
+    them, without the sampling job and the range exchange of a distributed sort."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def count_rows(df: DataFrame, name: str = "total") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 

@@ -148,16 +148,21 @@ def _usable(records: DataFrame, body: str) -> DataFrame:
     return records.select(F.inline(kept))
 
 
+def _position(responses: DataFrame) -> list[str]:
+    """The response's place in the collection (``tables.read_responses``), carried along if it is known."""
+    return [c for c in ("position",) if c in responses.columns]
+
+
 def explode_search_results(responses: DataFrame, text: str = "text") -> DataFrame:
     """One record per usable result block of each response row.
 
-    Input columns: ``text`` plus the response's ``topic``, ``source_type``, ``query``."""
-    t = F.col(text)
+    Input columns: ``text`` plus the response's ``topic``, ``source_type``, ``query`` (and ``position``)."""
+    t, place = F.col(text), _position(responses)
     ok = t.isNotNull() & (t != "") & ~_strip(t).startswith("Error:")
     blocks = F.slice(F.split(t, HEADER_RE, -1), 2, 1 << 30)
     kinds = F.regexp_extract_all(t, F.lit(HEADER_RE), 1)
     ex = (responses.where(ok)
-          .select("source_type", "topic", "query",
+          .select("source_type", "topic", "query", *place,
                   F.posexplode(F.arrays_zip(kinds.alias("kind"), blocks.alias("block")))
                   .alias("block_no", "b")))
     feats = ex.select("*", _line_features(F.split(F.col("b.block"), "\n", -1)).alias("_f"))
@@ -171,7 +176,7 @@ def explode_search_results(responses: DataFrame, text: str = "text") -> DataFram
     snippets = F.concat(F.when(F.col("_p.desc") >= 0, F.array(desc))
                         .otherwise(F.array().cast("array<string>")), bullets)
     parts = folded.select(
-        "source_type", "topic", "query", "block_no", F.col("b.kind").alias("kind"),
+        "source_type", "topic", "query", *place, "block_no", F.col("b.kind").alias("kind"),
         _field_value(F.col("_f"), F.col("_p.url")).alias("url"),
         _field_value(F.col("_f"), F.col("_p.title")).alias("title"),
         _field_value(F.col("_f"), F.col("_p.published")).alias("published"),
@@ -182,11 +187,11 @@ def explode_search_results(responses: DataFrame, text: str = "text") -> DataFram
         "url", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url")).alias("title"),
         body.alias("_body"), "source_type", F.col("topic").alias("search_topic"),
         F.col("published").alias("published_date"), F.lower("kind").alias("result_section"),
-        F.lit("web-search").alias("scraper"), F.col("query").alias("search_query"), "block_no")
+        F.lit("web-search").alias("scraper"), F.col("query").alias("search_query"), *place, "block_no")
     return _usable(out, "_body").select("url", "title", F.left("_body", F.lit(MAX_BODY_CHARS)).alias("content"),
                       "source_type", "search_topic", "published_date", "result_section",
                       "scraper", "search_query", (F.length("_body") > 500).alias("livecrawled"),
-                      "block_no")
+                      *place, "block_no")
 
 
 def _contents_fold(feats: Column) -> Column:
@@ -210,22 +215,22 @@ def explode_url_contents(responses: DataFrame, text: str = "text") -> DataFrame:
 
     Content = every line after the first content header except ``Title:`` lines
     and further headers (a content header never closes content here)."""
-    t = F.col(text)
+    t, place = F.col(text), _position(responses)
     ok = t.isNotNull() & (t != "") & ~_strip(t).startswith("Error:")
     blocks = F.slice(F.split(F.concat(F.lit("\n"), t), r"(?U)\nURL:\s*", -1), 2, 1 << 30)
-    ex = responses.where(ok).select(F.posexplode(blocks).alias("block_no", "block"))
+    ex = responses.where(ok).select(*place, F.posexplode(blocks).alias("block_no", "block"))
     lines = F.split("block", "\n", -1)
-    feats = ex.select("block_no", _strip(F.element_at(lines, 1)).alias("url"),
+    feats = ex.select(*place, "block_no", _strip(F.element_at(lines, 1)).alias("url"),
                       _line_features(F.slice(lines, 2, 1 << 30), contents=True).alias("_f"))
     first_hdr = F.array_position(
         F.transform("_f", lambda x: ~x["is_title"] & x["contents_hdr"]), True)
     body = F.filter(F.slice("_f", first_hdr + 1, 1 << 30),
                     lambda x: ~x["is_title"] & ~x["contents_hdr"])
-    p = feats.select("block_no", "url", _contents_fold(F.col("_f"))["title"].alias("title"),
+    p = feats.select(*place, "block_no", "url", _contents_fold(F.col("_f"))["title"].alias("title"),
                      F.when(first_hdr > 0, _strip(F.array_join(F.transform(body, lambda x: x["l"]),
                                                                "\n")))
                      .otherwise(F.lit("")).alias("_c"))
     return (_usable(p, "_c")
             .select("url", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
                     .alias("title"), F.left("_c", F.lit(MAX_BODY_CHARS)).alias("content"),
-                    F.lit("page-contents").alias("scraper"), "block_no"))
+                    F.lit("page-contents").alias("scraper"), *place, "block_no"))

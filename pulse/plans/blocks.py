@@ -54,8 +54,8 @@ def events_median(spark, sf, accuracy: int | None = None):
     """E6/E3/E1 median, mean and count per event type and day.
 
     ``value`` is continuous and one (type, day) group may hold a large share of
-    the events, so the exact median is the bounded-memory radix select
-    (``grouped_median``) rather than ``percentile``'s per-group value map.
+    the events, so the exact median is that of ``grouped_median`` (sketch bounds and a second scan)
+    rather than ``percentile``'s per-group value map.
     ``accuracy`` switches to the fixed-size ``percentile_approx`` sketch."""
     e = _t(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "value")
     keys = ["event_type", "day"]

@@ -17,7 +17,8 @@ from pulse.functions import json as J
 from pulse.functions.agg import avg_round, avg_round_if, sum_if
 from pulse.functions.dates import as_date_lit, period, since
 from pulse.functions.labels import risk_from_rank, risk_rank, severity_rank
-from pulse.operators.filters import apply_filters, cap_per_group, clamp, count_rows, page, top_n
+from pulse.operators.filters import apply_filters, cap_per_group, clamp, count_rows, few_sorted, page, top_n
+from pulse.operators.pages import RankIndex, in_order, write_ranked
 from pulse.plans.datasets import newest_first, ordered_join
 from pulse.schemas import OFFICIAL_SOURCES, PUBLIC_SPLIT_SOURCES, SEVERITY_ORDER
 
@@ -56,12 +57,28 @@ def explore_filtered(insights: DataFrame, **filters) -> DataFrame:
     return apply_filters(insights, **filters)
 
 
+def explore_order() -> list[Column]:
+    return [F.col("scraped_date").desc_nulls_last(), F.col("credibility_score").desc_nulls_last(), *_tiebreak()]
+
+
 def explore(insights: DataFrame, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
     f = explore_filtered(insights, **filters)
     clamp(limit, 1, MAX_PAGE), clamp(offset, 0, MAX_OFFSET)
-    order = [F.col("scraped_date").desc_nulls_last(), F.col("credibility_score").desc_nulls_last(),
-             *_tiebreak()]
-    return page(f, order, limit, offset).select(*_explore_cols())
+    return page(f, explore_order(), limit, offset).select(*_explore_cols())
+
+
+def write_explore_index(insights: DataFrame, path: str, ranges: int) -> None:
+    """The explorer's rank index: its columns in its order (``pages.write_ranked``)."""
+    cols = [c if isinstance(c, str) else "sentiment_score" for c in _explore_cols()]
+    write_ranked(insights.select(*cols), path, explore_order(), ranges)
+
+
+def explore_indexed(index: RankIndex, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
+    """M1 at any depth: ``explore`` through the rank index, reading only the ranges that the page covers."""
+    clamp(limit, 1, MAX_PAGE)
+    where = (lambda df: apply_filters(df, **filters)) if any(v not in (None, "") for v in filters.values()) else None
+    got = index.page(offset, limit, where)
+    return in_order(got.select(*_explore_cols(), "_range", "_pos"))
 
 
 def explore_total(insights: DataFrame, **filters) -> DataFrame:
@@ -85,13 +102,14 @@ def category_breakdown(insights: DataFrame, date_from=None, date_to=None) -> Dat
     f = apply_filters(insights.where(F.col("esg_category").isNotNull()
                                      & (F.col("esg_category") != "Not-ESG")),
                       date_from=date_from, date_to=date_to)
-    return f.groupBy("esg_category").agg(
+    return few_sorted(f.groupBy("esg_category").agg(
         F.count(F.lit(1)).alias("article_count"),
         _avg_r("sentiment_score", 3).alias("avg_sentiment"),
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
-        _avg_r("credibility_score", 1).alias("avg_credibility")).orderBy(*_by_count("article_count", "esg_category"))
+        _avg_r("credibility_score", 1).alias("avg_credibility")),
+                      *_by_count("article_count", "esg_category"))
 
 
 def sub_themes(insights: DataFrame, esg_category=None, date_from=None, date_to=None,
@@ -113,7 +131,7 @@ def sentiment_timeline(insights: DataFrame, granularity: str = "week", esg_categ
     f = apply_filters(insights.where(F.col("sentiment_score").isNotNull()),
                       esg_category=esg_category, source_type=source_type,
                       date_from=date_from, date_to=date_to)
-    return f.groupBy(period("scraped_date", granularity).alias("period")).agg(
+    return few_sorted(f.groupBy(period("scraped_date", granularity).alias("period")).agg(
         _avg_r("sentiment_score", 4).alias("avg_sentiment"),
         _avg_if_r(F.col("source_type").isin(OFFICIAL_SOURCES), "sentiment_score", 4)
         .alias("official_sentiment"),
@@ -123,18 +141,20 @@ def sentiment_timeline(insights: DataFrame, granularity: str = "week", esg_categ
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "neutral").alias("neutral_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
-        _sum_if(F.col("stance") == "critical").alias("critical_count")).orderBy(F.col("period").asc())
+        _sum_if(F.col("stance") == "critical").alias("critical_count")),
+                      F.col("period").asc())
 
 
 def sentiment_by_source(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
     f = apply_filters(insights.where(F.col("sentiment_score").isNotNull()),
                       date_from=date_from, date_to=date_to)
-    return f.groupBy("source_type").agg(
+    return few_sorted(f.groupBy("source_type").agg(
         F.count(F.lit(1)).alias("article_count"),
         _avg_r("sentiment_score", 4).alias("avg_sentiment"),
         _sum_if(F.col("sentiment_label") == "positive").alias("positive_count"),
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
-        _avg_r("credibility_score", 1).alias("avg_credibility")).orderBy(*_by_count("article_count", "source_type"))
+        _avg_r("credibility_score", 1).alias("avg_credibility")),
+                      *_by_count("article_count", "source_type"))
 
 
 def kpis(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
@@ -159,15 +179,15 @@ def kpis(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
 # ---------------------------------------------------------------------------
 def source_breakdown(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
     f = apply_filters(insights, date_from=date_from, date_to=date_to)
-    return f.groupBy("source_type", "search_topic").agg(
+    return few_sorted(f.groupBy("source_type", "search_topic").agg(
         F.count(F.lit(1)).alias("article_count"),
         _avg_r("sentiment_score", 3).alias("avg_sentiment"),
         _avg_r("credibility_score", 1).alias("avg_credibility"),
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
         _sum_if(F.col("stance") == "supportive").alias("supportive_count"),
         F.count_distinct("scraped_date").alias("active_days"),
-        F.max("scraped_date").alias("last_seen")).orderBy(
-        F.col("source_type").asc(), *_by_count("article_count", "search_topic"))
+        F.max("scraped_date").alias("last_seen")),
+                      F.col("source_type").asc(), *_by_count("article_count", "search_topic"))
 
 
 def coverage(insights: DataFrame, date_from=None, date_to=None) -> DataFrame:
@@ -231,11 +251,12 @@ def delta_summary(delta: DataFrame, literal: bool = False) -> DataFrame:
     risk = J.field("delta_json_raw", "risk_level")
     max_risk = (J.field(F.max("delta_json_raw"), "risk_level") if literal
                 else risk_from_rank(F.max(risk_rank(risk))))
-    return f.groupBy("esg_category").agg(
+    return few_sorted(f.groupBy("esg_category").agg(
         _avg_r("alignment_score_quick", 1).alias("avg_alignment"),
         F.count(F.lit(1)).alias("theme_count"),
         _sum_if(F.col("alignment_score_quick") <= 4).alias("divergent_themes"),
-        max_risk.alias("max_risk_level")).orderBy(F.col("avg_alignment").asc(), "esg_category")
+        max_risk.alias("max_risk_level")),
+                      F.col("avg_alignment").asc(), "esg_category")
 
 
 # ---------------------------------------------------------------------------
@@ -262,9 +283,20 @@ def events_page(events: DataFrame, severity=None, event_type=None, days: int = 9
                 limit: int = 50, offset: int = 0, as_of=None) -> DataFrame:
     f = events_filtered(events, severity, event_type, days, as_of)
     clamp(limit, 1, MAX_PAGE), clamp(offset, 0, MAX_OFFSET)
-    order = [severity_rank("severity").asc(), F.col("scraped_date").desc_nulls_last(),
-             F.col("credibility_score").desc_nulls_last(), *_tiebreak()]
-    return page(f, order, limit, offset).select(*EVENT_PAGE_COLS)
+    return page(f, events_order(), limit, offset).select(*EVENT_PAGE_COLS)
+
+
+def events_order() -> list[Column]:
+    return [severity_rank("severity").asc(), F.col("scraped_date").desc_nulls_last(),
+            F.col("credibility_score").desc_nulls_last(), *_tiebreak()]
+
+
+def events_page_indexed(index: RankIndex, severity=None, event_type=None, days: int = 90, limit: int = 50,
+                        offset: int = 0, as_of=None) -> DataFrame:
+    """M12 at any depth, through a rank index of the events in ``events_order``."""
+    clamp(limit, 1, MAX_PAGE)
+    got = index.page(offset, limit, lambda df: events_filtered(df, severity, event_type, days, as_of))
+    return in_order(got.select(*EVENT_PAGE_COLS, "_range", "_pos"))
 
 
 def events_total(events: DataFrame, severity=None, event_type=None, days: int = 90,
@@ -274,18 +306,18 @@ def events_total(events: DataFrame, severity=None, event_type=None, days: int =
 
 def events_by_severity(events: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     r = _recent(events, days, as_of, 365)
-    return r.groupBy("severity").agg(F.count(F.lit(1)).alias("count")).select(
-        F.coalesce("severity", F.lit("unknown")).alias("severity"), "count").orderBy(
-        severity_rank("severity").asc(), "severity")
+    return few_sorted(r.groupBy("severity").agg(F.count(F.lit(1)).alias("count")).select(
+        F.coalesce("severity", F.lit("unknown")).alias("severity"), "count"),
+                      severity_rank("severity").asc(), "severity")
 
 
 def events_by_type(events: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     r = _recent(events, days, as_of, 365)
-    return r.groupBy("event_type").agg(
+    return few_sorted(r.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("count"),
         _avg_r("sentiment_score", 3).alias("avg_sentiment")).select(
-        F.coalesce("event_type", F.lit("other")).alias("event_type"), "count", "avg_sentiment").orderBy(
-        *_by_count("count", "event_type"))
+        F.coalesce("event_type", F.lit("other")).alias("event_type"), "count", "avg_sentiment"),
+                      *_by_count("count", "event_type"))
 
 
 def _top_regions(recent: DataFrame, n: int) -> DataFrame:
@@ -299,8 +331,9 @@ def events_by_region(events: DataFrame, days: int = 30, as_of=None, n: int = 15)
     """Top regions by event count, with their critical/high event count.  The titles of these
     events are the child rows of ``region_headlines``."""
     top = _top_regions(_recent(events, days, as_of, 365), n)
-    return top.select(F.coalesce("affected_region", F.lit("Unknown")).alias("region"), "count",
-                      "critical_count").orderBy(*_by_count("count", "region"))
+    return few_sorted(top.select(F.coalesce("affected_region", F.lit("Unknown")).alias("region"), "count",
+                      "critical_count"),
+                      *_by_count("count", "region"))
 
 
 def region_headlines(events: DataFrame, days: int = 30, as_of=None, n: int = 15) -> DataFrame:
@@ -314,10 +347,11 @@ def region_headlines(events: DataFrame, days: int = 30, as_of=None, n: int = 15)
 
 def events_timeline(events: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     r = _recent(events, days, as_of, 90)
-    return r.groupBy("scraped_date").agg(
+    return few_sorted(r.groupBy("scraped_date").agg(
         F.count(F.lit(1)).alias("total"),
         *[_sum_if(F.col("severity") == s).alias(s) for s in SEVERITY_ORDER],
-        _avg_r("sentiment_score", 3).alias("avg_sentiment")).orderBy("scraped_date")
+        _avg_r("sentiment_score", 3).alias("avg_sentiment")),
+                      "scraped_date")
 
 
 def latest_critical(events: DataFrame, limit: int = 5, as_of=None) -> DataFrame:

@@ -33,6 +33,7 @@ from pulse.operators.clean import scoring_candidates
 from pulse.operators.quantiles import grouped_median
 from pulse.operators.enrich import Responder, RuleResponder, rule_brief, rule_delta, \
     rule_headline, rule_quick_alignment
+from pulse.sources.store import stored
 from pulse.schemas import CRISIS_TOPICS, OFFICIAL_SOURCES, PUBLIC_SOURCES
 
 # Unrounded averages are exact decimal averages kept to 12 decimals (deterministic
@@ -178,7 +179,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
                      median_accuracy: int | None = None, radix_median: bool = False) -> DataFrame:
     """L7.  The exact median is ``percentile`` by default (its buffer is bounded by
-    the distinct scores of a group).  ``radix_median=True`` uses the radix select,
+    the distinct scores of a group).  ``radix_median=True`` uses ``grouped_median``,
     which never holds a group's values, for models that emit unbounded score
     precision; ``median_accuracy`` uses a fixed-size sketch instead."""
     pub = public_articles(insights)
@@ -274,30 +275,32 @@ def sentiment_window(weekly: DataFrame, as_of=None, days: int = 90) -> DataFrame
 def join_claims_sentiment(cs: DataFrame, sw: DataFrame) -> DataFrame:
     """Claims ⟕ sentiment on category and (theme equal or sentiment theme NULL).
 
-    Two equi-joins instead of one join with an OR: on (category, theme), and on the category
-    with the rows that have no theme (one per category).  Claims that neither matches
-    follow with empty sentiment columns."""
+    One left equi-join instead of a join with an OR: the sentiment rows that a claim's theme may meet are its own
+    theme's and the category's theme-less one, so every claim is put twice, once for each, and looks up
+    (category, theme).  Of the claims that neither copy matches, the first stays with empty sentiment columns."""
     facts = ["period_avg_sentiment", "total_articles", "avg_pct_critical", "dominant_sentiment",
              "sentiment_evidence_summary", "latest_week"]
-    left = cs.where(F.col("claim_count") > 0)
-    s = sw.select(F.col("esg_category").alias("_s_cat"), F.col("esg_sub_theme").alias("_s_theme"), *facts)
-    themed = s.where(F.col("_s_theme").isNotNull())
-    whole = s.where(F.col("_s_theme").isNull()).drop("_s_theme")
-    on_theme = (F.col("esg_category") == F.col("_s_cat")) & (F.col("sub_theme") == F.col("_s_theme"))
-    on_category = F.col("esg_category") == F.col("_s_cat")
-    with_theme = left.join(themed, on_theme).drop("_s_cat", "_s_theme")
-    with_category = left.join(whole, on_category).drop("_s_cat")
-    unmatched = (left.join(themed.select("_s_cat", "_s_theme"), on_theme, "left_anti")
-                 .join(whole.select("_s_cat"), on_category, "left_anti"))
-    return with_theme.unionByName(with_category).unionByName(unmatched, allowMissingColumns=True)
+    left = cs.where(F.col("claim_count") > 0).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    left = left.withColumn("_key", F.when(F.col("_own"), F.col("sub_theme")))
+    right = sw.select(F.col("esg_category").alias("_s_cat"), F.col("esg_sub_theme").alias("_s_theme"), F.lit(True).alias("_hit"),
+                      *facts)
+    # a claim without a theme meets no theme of its own
+    on = ((F.col("esg_category") == F.col("_s_cat")) & F.col("_key").eqNullSafe(F.col("_s_theme"))
+          & (~F.col("_own") | F.col("sub_theme").isNotNull()))
+    both = left.join(right, on, "left")
+    any_hit = F.max("_hit").over(Window.partitionBy("esg_category", "sub_theme"))
+    return (both.withColumn("_any", any_hit)
+            .where(F.col("_hit") | (F.col("_any").isNull() & F.col("_own")))
+            .drop("_own", "_key", "_s_cat", "_s_theme", "_hit", "_any"))
 
 
 def impact_delta(claims_df: DataFrame, weekly: DataFrame, as_of=None,
                  responder: Responder | None = None,
                  quick_responder: Responder | None = None,
                  entity: str = P.ENTITY) -> DataFrame:
-    stats = _null_safe_join(claim_summary(claims_df), claim_digest(claims_df), THEME)
-    j = join_claims_sentiment(stats, sentiment_window(weekly, as_of))
+    """L10.  The two aggregates are stored first (shared folder): the joins and answers read a few rows, not articles."""
+    stats = stored(_null_safe_join(claim_summary(claims_df), claim_digest(claims_df), THEME), "claim-themes")
+    j = join_claims_sentiment(stats, stored(sentiment_window(weekly, as_of), "sentiment-window"))
     responder = responder or RuleResponder(rule_delta())
     quick_responder = quick_responder or RuleResponder(rule_quick_alignment())
     j = responder.answer(j, P.delta_prompt(entity=entity), "delta_json_raw")

@@ -35,12 +35,16 @@ def read_landing_stream(spark: SparkSession, path: str, max_files: int | None =
 
 
 def write_landing(df: DataFrame, path: str, batch: str | None = None) -> None:
-    """Append records as JSON lines, under ``batch=<tag>/`` if a tag is given.
+    """Add records as JSON lines.  Under a tag they are the folder ``batch=<tag>/``, which a retried run
+    replaces instead of doubling its batch; without one they are appended.
 
     One job; an empty input adds no record.  Absent envelope fields are written as NULL."""
     have = set(df.columns)
     out = df.select(*[(F.col(f) if f in have else F.lit(None)).cast("string").alias(f) for f in LANDING_FIELDS])
-    out.write.mode("append").json(f"{path.rstrip('/')}/batch={batch}" if batch else path)
+    if batch:
+        out.write.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch}")
+    else:
+        out.write.mode("append").json(path)
 
 
 # ---------------------------------------------------------------------------
@@ -76,13 +80,17 @@ def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
 # ---------------------------------------------------------------------------
 # A12 run log with schema evolution
 # ---------------------------------------------------------------------------
-def append_run_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_run_log(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Add rows to the run log; those of a named run replace what the same run has written before."""
+    if run:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run-{run}")
+    else:
+        df.write.mode("append").parquet(path)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Reads every appended batch; columns added later appear (NULL in old rows)."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """Reads every batch; columns added later appear (NULL in old rows)."""
+    return spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
 
 
 def run_log_view(raw: DataFrame) -> DataFrame:
@@ -119,26 +127,78 @@ def read_feed_items(spark: SparkSession, path: str, feed_name_from_path: bool =
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Landed search responses as JSON lines {topic, source_type, query, text}."""
-    return spark.read.schema(RESPONSE).json(path)
+    """Landed search responses as JSON lines {topic, source_type, query, text}.
+
+    ``position`` (file and its split, row) is the place in the collection: files in the order of their names, lines in the order
+    of the file.  Ids of one split ascend with its lines."""
+    split = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    return spark.read.schema(RESPONSE).json(path).withColumn(
+        "position", F.struct(split.alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 # ---------------------------------------------------------------------------
 # A19 ad-hoc read-only SELECT over published views
 # ---------------------------------------------------------------------------
+# Functions that reach outside the query: they run code, or read what the views don't publish.
+OUTSIDE = {"reflect", "java_method", "try_reflect", "input_file_name"}
+_RELATION = ("UnresolvedRelation", "UnresolvedTableValuedFunction")
+
+
+def _nodes(node, found: list) -> list:
+    """A logical plan's nodes, those of subqueries in expressions and of common table expressions included."""
+    found.append(node)
+    for i in range(node.children().size()):
+        _nodes(node.children().apply(i), found)
+    inner = node.innerChildren()
+    for i in range(inner.size()):
+        _nodes(inner.apply(i), found)
+    sub = node.subqueries() if hasattr(node, "subqueries") else None
+    for i in range(sub.size() if sub is not None else 0):
+        _nodes(sub.apply(i), found)
+    return found
+
+
+def _checked(spark: SparkSession, views: Iterable[str], sql: str) -> None:
+    """Refuse a query whose parsed plan names a relation that is no view, or a function of ``OUTSIDE``.
+
+    Names are read from the plan, so a column, alias or text that looks like a table's name is no reason, and a
+    qualified name (``otherdb.t``) is not overlooked."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    nodes = _nodes(plan, [])
+    own, known = set(), {v.lower() for v in views}
+    for node in nodes:
+        if node.getClass().getSimpleName() == "UnresolvedWith":
+            ctes = node.cteRelations()
+            own |= {ctes.apply(i)._1().lower() for i in range(ctes.size())}
+            for i in range(ctes.size()):
+                nodes += [n for n in _nodes(ctes.apply(i)._2(), []) if n is not node]
+    for node in nodes:
+        if "UnresolvedIdentifier" in node.getClass().getSimpleName():
+            raise ValueError("relations must be named plainly")
+        if node.getClass().getSimpleName() in _RELATION:
+            text = node.toString()
+            name = re.search(r"\[([^\]]*)\]", text)
+            parts = [p.strip().lower() for p in (name.group(1) if name else text).split(",")]
+            if "Function" in node.getClass().getSimpleName() or len(parts) != 1 or parts[0] not in known | own:
+                raise ValueError("only the published views may be read")
+    called = {f.lower() for f in re.findall(r"'([\w.]+)\s*\(", "\n".join(n.toString() for n in nodes))}
+    called |= {w.lower() for w in re.findall(r"(\w+)\s*\(", re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql))}
+    if {f.split(".")[-1] for f in called} & OUTSIDE:
+        raise ValueError("functions that run code are not allowed")
+
+
 def adhoc_select(spark: SparkSession, views: Mapping[str, DataFrame], sql: str,
                  max_rows: int = 50) -> DataFrame:
     """Register ``views`` as temp views and run one read-only SELECT/WITH (≤ max_rows rows).
 
     The text runs as a subquery, where the grammar allows nothing but a query: a write
-    (``WITH … INSERT``, multi-insert, DDL) is a parse error before anything runs.  Reading files by
-    a quoted path is switched off, and relations other than ``views`` are refused."""
+    (``WITH … INSERT``, multi-insert, DDL) is a parse error before anything runs.  Its parsed plan may name no relation but
+    the views and its own ``WITH`` tables, and no function that runs code; reading files by a quoted path is
+    switched off."""
     text = sql.strip().rstrip(";").strip()
     if not text or text.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
         raise ValueError("only SELECT/WITH queries are allowed")
-    known = {t.name.lower() for t in spark.catalog.listTables()} - {v.lower() for v in views}
-    if known & {w.lower() for w in re.findall(r"\w+", text)}:
-        raise ValueError("only the published views may be read")
+    _checked(spark, views, f"SELECT * FROM (\n{text}\n)")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     before = spark.conf.get("spark.sql.runSQLOnFiles", "true")

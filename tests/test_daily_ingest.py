@@ -32,4 +32,4 @@ def test_a_day_from_responses_pages_and_feeds_to_landing_and_run_log(spark, scra
         "ngo", "water_rights", "2024-05-06T10:00:00")
     assert {r._scrape_run_id for r in rows.values()} == {"run-1"}
     counts = {r.source_type: r["count"] for r in read_run_log(spark, log).collect()}
-    assert counts == {"news": 3, "official": 2, "ngo": 1, "total": 4}
+    assert counts == {"search": 4, "rss": 2, "total": 4}
