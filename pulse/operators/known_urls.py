@@ -1,10 +1,11 @@
 """Keep the first record per URL across runs, with a stored Bloom filter per run.
 
 A run keeps the records whose URL no earlier run has kept.  An anti-join against all known URLs would shuffle every
-incoming record, though most of them are new.  Each run therefore also stores a Bloom filter of its URLs, cut into blocks of
+incoming record and every known URL.  Each run therefore also stores a Bloom filter of its URLs, cut into blocks of
 ``BLOCK_BITS`` bits (a URL's probes all lie in one block, so a filter is a table of small bitmaps built by one
-aggregate).  The filters of all runs are or'ed by block; incoming URLs that miss are surely new and go straight through,
-only probable repeats are shuffled to the exact anti-join.
+aggregate).  The filters of all runs are or'ed by block; incoming URLs that miss are surely new and go straight through.
+Only probable repeats are looked up, by a semi-join that their URLs enter alone, and dropped by an exact anti-join; repeats are
+gone before the shuffle that finds the first record per URL.
 
 The or'ed filter is broadcast while it has at most ``BROADCAST_BLOCKS`` blocks; beyond that it is joined by block number, which
 shuffles keys and bitmaps only where needed, or left out, which shuffles every record: the result is the same.
@@ -89,14 +90,15 @@ class KnownUrls:
 
     def new_records(self, records: DataFrame, order: Sequence[Column], run: str) -> DataFrame:
         """The first record per non-empty URL, of URLs that no run before ``run`` has kept."""
-        first = first_per_key(records.where(F.col("url").isNotNull() & (F.col("url") != "")), ["url"], list(order))
         filters = self.filter(run)
         if self.blocks <= BROADCAST_BLOCKS:
             filters = F.broadcast(filters)      # at most one row of 4 KB a block
-        marked = probably_in(first, filters, self.blocks)
-        known = self.urls(run)
-        repeats = marked.where("_probable").join(known, "url", "left_anti")
-        return marked.where(~F.col("_probable")).unionByName(repeats).drop("_probable")
+        marked = probably_in(records.where(F.col("url").isNotNull() & (F.col("url") != "")), filters, self.blocks)
+        probable = marked.where("_probable")
+        # the known URLs among the probable repeats: narrow, and few unless most of the batch is repeated
+        repeated = self.urls(run).join(probable.select("url").distinct(), "url", "left_semi")
+        fresh = marked.where(~F.col("_probable")).unionByName(probable.join(repeated, "url", "left_anti"))
+        return first_per_key(fresh.drop("_probable"), ["url"], list(order))
 
     def commit(self, kept: DataFrame, run: str) -> None:
         """Store the URLs of a run and their filter; ``kept`` should be a stored table."""

@@ -31,8 +31,10 @@ def write_ranked(df: DataFrame, path: str, order: Sequence[Column], ranges: int)
     """Store ``df`` in the order of its pages, cut into at most ``ranges`` ranges."""
     placed = (df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
               .withColumn("_range", F.spark_partition_id()).withColumn("_pos", _rank_in_task()))
+    spark, schema = df.sparkSession, _with_place(df)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/schema")
     placed.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
-    (df.sparkSession.read.schema(_with_place(df)).parquet(f"{path}/rows").groupBy("_range")
+    (spark.read.schema(schema).parquet(f"{path}/rows").groupBy("_range")
      .agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts"))
 
 
@@ -40,11 +42,16 @@ def _with_place(df: DataFrame):
     return T.StructType([*df.schema.fields, T.StructField("_pos", T.LongType()), T.StructField("_range", T.IntegerType())])
 
 
+def ranked_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows with their places; the schema is stored too, so an empty table reads as well."""
+    return spark.read.schema(spark.read.parquet(f"{path}/schema").schema).parquet(f"{path}/rows")
+
+
 class RankIndex:
     """Pages of a table stored by ``write_ranked``."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.rows = spark.read.parquet(f"{path}/rows")
+        self.rows = ranked_rows(spark, path)
         self.counts = spark.read.parquet(f"{path}/counts")
 
     def total(self) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.text import contains_ci, grams
-from pulse.operators.pages import write_ranked
+from pulse.operators.pages import ranked_rows, write_ranked
 
 GRAM = 3
 
@@ -31,7 +31,7 @@ def needle_grams(needle: str) -> list[str]:
 def write_title_index(df: DataFrame, path: str, order: Sequence[Column], ranges: int, title: str = "title") -> None:
     """Store ``df`` in ``ranges`` ranges of ``order`` and the postings of its titles."""
     write_ranked(df, path, order, ranges)
-    rows = df.sparkSession.read.parquet(f"{path}/rows")
+    rows = ranked_rows(df.sparkSession, path)
     (rows.select(F.explode(grams(F.lower(F.col(title)), GRAM)).alias("gram"), "_range", "_pos")
      .repartitionByRange(ranges, "gram", "_range").sortWithinPartitions("gram", "_range", "_pos")
      .write.mode("overwrite").parquet(f"{path}/postings"))
@@ -39,7 +39,7 @@ def write_title_index(df: DataFrame, path: str, order: Sequence[Column], ranges:
 
 class TitleIndex:
     def __init__(self, spark: SparkSession, path: str, title: str = "title"):
-        self.rows, self.postings, self.title = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/postings"), title
+        self.rows, self.postings, self.title = ranked_rows(spark, path), spark.read.parquet(f"{path}/postings"), title
 
     def candidates(self, needle: str) -> DataFrame | None:
         """Places (_range, _pos) of the titles that hold every trigram of ``needle``; None if it has none."""

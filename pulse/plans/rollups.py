@@ -211,6 +211,6 @@ class DailyRollup:
             F.col("n").alias("total_articles"), F.coalesce("url", F.lit(0)).alias("unique_urls"),
             F.coalesce("source_type", F.lit(0)).alias("source_types"), _mean("score_sum", "score_n", 3).alias("overall_sentiment"),
             _mean("official_sum", "official_n", 3).alias("official_sentiment"),
-            _mean("public_sum", "public_n", 3).alias("public_sentiment"), F.col("critical").alias("critical_articles"),
+            _mean("public_sum", "public_n", 3).alias("public_sentiment"), F.when(F.col("n") > 0, F.col("critical")).alias("critical_articles"),
             F.coalesce("esg_category", F.lit(0)).alias("esg_categories_covered"),
             F.col("last_day").alias("latest_scrape_date"))

@@ -58,8 +58,8 @@ def interleaved(buckets: Sequence[Column], bits: int = BITS) -> Column:
 def write_clustered(df: DataFrame, path: str, columns: Sequence[str], files: int, bits: int = BITS) -> None:
     """Write ``df`` as at most ``files`` Parquet files clustered by ``columns``."""
     bounds = bucket_bounds(df, columns, bits)
-    # a bucket number needs as many bits as the column has buckets
-    parts = [bucket(c, bounds[c]) * (1 << max(0, bits - len(bounds[c]).bit_length())) for c in columns]
+    # few buckets are spread over all numbers, so that their first bit halves them too
+    parts = [F.floor(bucket(c, bounds[c]) * (1 << bits) / (len(bounds[c]) + 1)) for c in columns]
     keyed = df.withColumn("_cluster", interleaved(parts, bits))
     order = ["_cluster", *columns]
     (keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_cluster")

@@ -98,3 +98,57 @@ def test_clamp():
     assert clamp(50, 1, 200) == 50
     with pytest.raises(ValueError):
         clamp(0, 1, 200)
+
+
+def test_adhoc_select_names_are_read_from_the_plan(spark, scratch):
+    spark.range(3).createOrReplaceTempView("hidden_rows")
+    spark.sql("CREATE DATABASE IF NOT EXISTS other_db")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS other_db.t USING parquet LOCATION '{scratch}/t' AS SELECT 1 AS x")
+    df = spark.range(5).selectExpr("id AS x", "id AS hidden_rows", "'reflect(' AS note")
+    try:
+        # a column, an alias or a text may be called like a table or a function
+        assert adhoc_select(spark, {"t": df}, "SELECT hidden_rows, 'reflect(1)' AS s FROM t").count() == 5
+        assert adhoc_select(spark, {"t": df}, "WITH hidden AS (SELECT x FROM t) SELECT (SELECT MAX(x) FROM hidden) AS m").first()[0] == 4
+        for sql in ("SELECT * FROM other_db.t", "SELECT * FROM hidden_rows", "SELECT x FROM t WHERE x IN (SELECT id FROM hidden_rows)",
+                    "SELECT (SELECT MAX(id) FROM hidden_rows) FROM t", "WITH a AS (SELECT * FROM hidden_rows) SELECT * FROM a",
+                    "SELECT * FROM range(10)", "SELECT * FROM IDENTIFIER('hidden_rows')",
+                    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM t",
+                    "SELECT x FROM t WHERE java_method('java.lang.Math', 'abs', 1) = 1"):
+            with pytest.raises(ValueError):
+                adhoc_select(spark, {"t": df}, sql)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS other_db.t")
+        spark.sql("DROP DATABASE IF EXISTS other_db")
+        spark.catalog.dropTempView("hidden_rows")
+
+
+def test_landed_responses_are_parsed_in_collection_order(spark, scratch):
+    import json
+    import os
+
+    from pulse.operators.search_text import explode_search_results
+    from pulse.sources.tables import read_responses
+    body = "words that fill a body so that it passes the gate " * 4
+    os.makedirs(f"{scratch}/responses")
+    for name, urls in (("b.jsonl", ["u/3", "u/1"]), ("a.jsonl", ["u/1", "u/2"])):
+        with open(f"{scratch}/responses/{name}", "w") as f:
+            for i, url in enumerate(urls):
+                f.write(json.dumps({"topic": "esg_news", "source_type": "news", "query": f"{name}{i}",
+                                    "text": f"WEB RESULTS:\nURL: https://{url}\nTitle: {name}\nDescription: {body}\n"}) + "\n")
+    got = explode_search_results(read_responses(spark, f"{scratch}/responses")).orderBy("position", "block_no").collect()
+    assert [(r["url"], r["search_query"]) for r in got] == [
+        ("https://u/1", "a.jsonl0"), ("https://u/2", "a.jsonl1"), ("https://u/3", "b.jsonl0"), ("https://u/1", "b.jsonl1")]
+    assert got[0]["search_topic"] == "esg_news" and got[0]["title"] == "a.jsonl"
+
+
+def test_a_retried_batch_replaces_itself(spark, scratch):
+    from pulse.sources.tables import append_run_log, read_landing, read_run_log, write_landing
+    rows = spark.createDataFrame([("https://a/1", "x"), ("https://a/2", "y")], "url string, content string")
+    log = spark.createDataFrame([("search", 2)], "source_type string, count long")
+    append_run_log(spark.createDataFrame([("rss", 1)], "source_type string, count long"), f"{scratch}/log")
+    for _ in range(2):
+        write_landing(rows, f"{scratch}/landing", batch="run-1")
+        append_run_log(log, f"{scratch}/log", run="run-1")
+    write_landing(rows.limit(1), f"{scratch}/landing", batch="run-2")
+    assert read_landing(spark, f"{scratch}/landing").count() == 3
+    assert sorted((r["source_type"], r["count"]) for r in read_run_log(spark, f"{scratch}/log").collect()) == [("rss", 1), ("search", 2)]
