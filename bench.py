@@ -62,11 +62,19 @@ def main():
     times: dict[str, float] = {}
 
     def refresh():
-        ins_path = f"{scratch}/insights"
-        materialize(FP.insights(spark, sf_dir), ins_path, sort_by=["scraped_date"])
-        ins = read_table(spark, ins_path)
+        # step by step from stored tables, as plans/refresh.py does
         from pulse.operators.enrich import ColumnResponder
+        from pulse.operators.quarantine import judged_articles, kept, write_judged
         from pulse.plans import datasets as L
+        from pulse.sources.fixtures import FIXTURE_KEEP
+        materialize(FP.bronze(spark, sf_dir), f"{scratch}/bronze")
+        write_judged(judged_articles(read_table(spark, f"{scratch}/bronze"), keep=FIXTURE_KEEP), f"{scratch}/judged")
+        scored = L.scored_articles(kept(spark, f"{scratch}/judged"), ColumnResponder("sentiment_answer"),
+                                   keep=["doc_id", "esg_answer", "claims_answer", "event_answer"])
+        ins_path = f"{scratch}/insights"
+        materialize(L.article_insights(scored, ColumnResponder("esg_answer"), keep=["doc_id", "claims_answer", "event_answer"]),
+                    ins_path, sort_by=["scraped_date"])
+        ins = read_table(spark, ins_path)
         cl = L.claims(ins, ColumnResponder("claims_answer"))
         materialize(cl, f"{scratch}/claims")
         wk = L.weekly_sentiment(ins)
@@ -87,7 +95,16 @@ def main():
         ev = read_table(spark, f"{scratch}/events")
         sm = read_table(spark, f"{scratch}/summary")
         as_of = FP.AS_OF
+        from pulse.operators.pages import RankIndex
+        from pulse.plans.rollups import DailyRollup, refresh_daily
+        M.write_explore_index(ins, f"{scratch}/ranks", 2 * int(cpus))
+        refresh_daily(ins, f"{scratch}/days", "run-1")
+        ranks, days = RankIndex(spark, f"{scratch}/ranks"), DailyRollup(spark, f"{scratch}/days")
         dash = {
+            "g01_explore_offset_5000": lambda: M.explore_indexed(ranks, limit=50, offset=5000),
+            "e02_kpis_from_days": lambda: days.kpis(),
+            "m13_region_headlines": lambda: M.region_headlines(ev, 30, as_of),
+            "m17_report_summaries": lambda: M.report_summaries(ins, ["Environmental", "Social", "Governance"]),
             "m01_explore": lambda: M.explore(ins, limit=50, offset=0, esg_category="Social"),
             "m01_explore_total": lambda: M.explore_total(ins, esg_category="Social"),
             "m02_category_breakdown": lambda: M.category_breakdown(ins),

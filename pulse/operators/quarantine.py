@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pulse.operators.clean import drop_rules, silver_articles, warn_rules
 from pulse.schemas import MIN_CLEAN_CHARS
+from pulse.sources.tables import materialize
 
 KEPT, REFUSED = "kept", "refused"
 
@@ -38,9 +39,14 @@ def judged_articles(bronze: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     return out.withColumn("verdict", F.when(F.size("broken_rules") == 0, KEPT).otherwise(REFUSED))
 
 
-def write_judged(judged: DataFrame, path: str) -> None:
-    """Kept and refused rows to ``path``/verdict=…, in one job."""
-    judged.write.mode("overwrite").partitionBy("verdict").parquet(path)
+def write_judged(judged: DataFrame, path: str, partition_by: Iterable[str] = (), sort_by: Iterable[str] = ()) -> None:
+    """Kept and refused rows to ``path``/verdict=…, in one job; cut and sorted further like ``tables.materialize``."""
+    materialize(judged, path, partition_by=["verdict", *partition_by], sort_by=sort_by)
+
+
+def kept_path(path: str) -> str:
+    """The folder of the kept rows: a table of its own."""
+    return f"{path.rstrip('/')}/verdict={KEPT}"
 
 
 def kept(spark: SparkSession, path: str) -> DataFrame:

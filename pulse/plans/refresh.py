@@ -21,10 +21,11 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
-from pulse.operators.clean import silver_articles, to_bronze
+from pulse.operators.clean import to_bronze
 from pulse.operators.enrich import (Responder, RuleResponder, rule_brief, rule_claims, rule_delta,
                                     rule_esg, rule_event, rule_headline, rule_quick_alignment,
                                     rule_sentiment)
+from pulse.operators.quarantine import judged_articles, kept_path, write_judged
 from pulse.plans import datasets as L
 from pulse.sources.tables import materialize, read_landing, read_table
 from pulse.streaming.incremental import run_bronze_stream, run_silver_stream
@@ -62,8 +63,11 @@ def refresh(spark: SparkSession, landing: str, root: str, as_of=None,
     else:
         materialize(to_bronze(read_landing(spark, landing), with_metadata=True),
                     p["bronze_articles"], partition_by=["source_type"], sort_by=["search_topic"])
-        materialize(silver_articles(read_table(spark, p["bronze_articles"])), p["silver_articles"],
-                    partition_by=["source_type"], sort_by=["search_topic", "scraped_date"])
+        # one pass cleans and judges; silver is the folder of the kept rows, refused ones stand beside it
+        judged = f"{root.rstrip('/')}/judged_articles"
+        write_judged(judged_articles(read_table(spark, p["bronze_articles"])), judged,
+                     partition_by=["source_type"], sort_by=["search_topic", "scraped_date"])
+        p["silver_articles"] = kept_path(judged)
 
     materialize(L.scored_articles(read_table(spark, p["silver_articles"]), r.sentiment),
                 p["scored_articles"])
