@@ -52,7 +52,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` has returned.  For tables that no plan still to run reads: an operator frees what the
+    tables it goes on with have replaced."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import saved
+from pulse.llm.common import free, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,8 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
                   .distinct(), "links")
     before = _state(edges)
     while True:
-        edges = saved(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, saved(_small_star(_large_star(edges)), "stars")
+        free(last)
         now = _state(edges)
         if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found.saved_at = edges.saved_at     # for ``free``
+            return found
         before = now

@@ -10,11 +10,13 @@ two similar classes share one of their openings: of n tokens the first n - ceil(
 
 1. In the order of the token hashes, classes that share no token of their opening with another one are done.
 2. The others are read again as whole token sets, and each token's classes are counted.  A class of which fewer than
-   ceil(t * n) tokens stand in another class is done.  The rest are ordered by rarity, and their openings posted.
-3. A class is compared with the earliest class under each of its posted tokens, which settles most copies.  The others
-   are compared with all earlier classes that share a posted token, have a fitting size (length filter) and enough
-   tokens left after the shared one (positional filter); the token sets then give the exact Jaccard.  That comparison
-   is a left semi join: a line needs one earlier match, so pairs are never emitted, however many lines are alike.
+   ceil(t * n) tokens stand in another class is done.  The rest keep these shared tokens, ordered by rarity.
+3. Classes that share a token of their openings by rarity are joined, if their sizes fit (length filter) and enough
+   tokens are left after the shared one (positional filter); the token sets then give the exact Jaccard.  Every pair
+   of similar classes is a link and found once; classes under a frequent token are compared in parts.
+
+A line goes if its class has a link to an earlier one or an earlier line has the same words.  Components of the links
+group the classes (``line_report``).
 
 Edge cases: a null text has no lines and stays null; a line without words is never removed; a document may lose all its
 lines and is then empty; rows that repeat both id and text share one result; null ids come last; other columns
@@ -23,13 +25,19 @@ pass through, own ones have names that start with "__".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import ranked, saved, sized
+from pulse.llm.common import free, ranked, saved, sized
+from pulse.llm.components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
+BLOCK = 2048            # classes under one token that are compared in one part
+OTHER_BLANKS = "\t\x0b\f\r"
 _PLACE = ["doc_hash", "line_no"]    # and doc_id, which may be null
 
 
@@ -47,15 +55,17 @@ def _one_each(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> every line, lower-cased."""
+    """(doc_id, text) -> every line, lower-cased, with plain blanks between its words."""
+    other = [F.contains("text", F.lit(c)) for c in OTHER_BLANKS]
+    # a look for rare characters is cheaper than translating every text
+    plain = F.when(reduce(or_, other), F.translate("text", "".join(OTHER_BLANKS), " " * len(OTHER_BLANKS))).otherwise(F.col("text"))
     return docs.select("doc_id", F.xxhash64("text").alias("doc_hash"),
-                       F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+                       F.posexplode(F.split(F.lower(plain), "\n")).alias("line_no", "line"))
 
 
 def _with_words(lines: DataFrame) -> DataFrame:
     """The line's words instead of it."""
-    blanks = F.translate("line", "\t\x0b\f\r", "    ")     # a split at a plain blank needs no regex
-    return lines.withColumn("words", F.array_remove(F.split(blanks, " "), "")).drop("line")
+    return lines.withColumn("words", F.array_remove(F.split("line", " "), "")).drop("line")
 
 
 def _with_tokens(lines: DataFrame) -> DataFrame:
@@ -71,10 +81,16 @@ def _opening_size(n: Column) -> Column:
     return (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
 
 
-def _classes(narrow: DataFrame) -> DataFrame:
-    """One row per distinct words: its first place, numbered (cid) in the order of the first places."""
+def _needed(n: Column) -> Column:
+    """So many tokens of a set of n stand in any similar set."""
+    return F.ceil(n * NUMERATOR / DENOMINATOR)
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """One row per distinct words: its first place, numbered (cid) in the order of the first places, and its opening."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_hash", "line_no")).alias("first")
-    flat = narrow.where("worded").groupBy("k1", "k2").agg(first).select("k1", "k2", "first.*")
+    flat = (lines.where("worded").groupBy("k1", "k2").agg(first, F.any_value("opening").alias("opening"))
+            .select("k1", "k2", "first.*", "opening"))
     order = [F.col(c) for c in ("none", "doc_id", "doc_hash", "line_no")]
     return saved(ranked(flat, *order, name="cid").drop("none"), "line-classes")
 
@@ -87,95 +103,128 @@ def _firsts(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _shared(posted: DataFrame) -> DataFrame:
-    """The rows whose token stands in more than one class, with the number of classes (alike)."""
-    alike = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    return posted.withColumn("alike", alike).where("alike > 1")
+    """token, alike: the tokens of more than one class, with the number of their classes (a partial aggregate)."""
+    return (posted.groupBy("token").agg(F.count(F.lit(1)).alias("alike")).where("alike > 1")
+            .select(F.col("token").alias("__token"), "alike"))
 
 
-def _token_sets(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
+def _token_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cid, tokens) of the classes whose opening shares a token with another one's.
 
     Only these lines are cut into tokens again; storing them keeps that from being repeated in a filter."""
-    posted = _firsts(lines, classes).select("cid", F.explode("opening").alias("token"))
-    sharing = saved(_shared(posted).select("cid").distinct(), "sharing")
-    wanted = saved(classes.join(sized(sharing), "cid", "left_semi"), "wanted")
-    return saved(_with_tokens(_with_words(_firsts(_lines(docs), sized(wanted)))).select("cid", "tokens"), "token-sets")
+    posted = classes.select("cid", F.explode("opening").alias("token"))
+    sharing = saved(posted.join(_shared(posted), F.col("token") == F.col("__token"), "left_semi")
+                    .select("cid").distinct(), "sharing")
+    wanted = saved(classes.drop("opening").join(sized(sharing), "cid", "left_semi"), "wanted")
+    free(sharing)
+    sets = saved(_with_tokens(_with_words(_firsts(_lines(docs), sized(wanted)))).select("cid", "tokens"), "token-sets")
+    free(wanted)
+    return sets
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
-    """(cid, n, tokens by rarity) of the classes that have enough shared tokens for a match."""
+    """(cid, n, common) of the classes with enough shared tokens for a match: their shared tokens, the rarest first.
+
+    Tokens of one class alone come before them in the order of rarity and never match: their number is n less these."""
     posted = sets.select("cid", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    need = F.col("n") - _opening_size(F.col("n")) + 1
-    enough = _shared(posted).groupBy("cid", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= need)
-    sets = sets.join(sized(saved(enough.select("cid"), "enough-shared")), "cid", "left_semi")
-    posted = sets.select("cid", F.explode("tokens").alias("token"))
-    common = _shared(posted).groupBy(F.col("cid").alias("__cid")).agg(
-        F.sort_array(F.collect_list(F.struct("alike", "token"))).alias("common"))    # at most the line's own tokens
-    common = common.withColumn("common", F.transform("common", lambda t: t["token"]))
-    return sets.join(common, F.col("cid") == F.col("__cid")).select(
-        "cid", F.size("tokens").alias("n"), F.concat(F.array_except("tokens", "common"), F.col("common")).alias("tokens"))
-
-
-def _jaccard() -> Column:
-    """Whether the token sets ``tokens`` and ``__tokens`` of n and __n tokens are similar."""
+    common = (posted.join(_shared(posted.select("token")), F.col("token") == F.col("__token"))
+              .groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("alike", "token"))).alias("common")))  # its own tokens
+    return common.where(F.size("common") >= _needed(F.col("n"))).withColumn("common", F.transform("common", lambda t: t["token"]))
+
+
+def _posted(sets: DataFrame) -> DataFrame:
+    """Every shared token of the openings by rarity: cid, n, at (its place in the whole order), token."""
+    alone = F.col("n") - F.size("common")
+    opening = F.slice("common", F.lit(1), F.greatest(_opening_size(F.col("n")) - alone, F.lit(0)))
+    return sets.select("cid", "n", alone.alias("alone"), F.posexplode(opening).alias("at", "token")).select(
+        "cid", "n", (F.col("at") + F.col("alone")).alias("at"), "token")
+
+
+def _opening(common: str, n: str) -> Column:
+    size = _opening_size(F.col(n)) - (F.col(n) - F.size(common))
+    return F.slice(common, F.lit(1), F.greatest(size, F.lit(0)))
+
+
+def line_links(sets: DataFrame) -> DataFrame:
+    """(cid, earlier) of all similar classes, every pair once.
+
+    Classes are joined under the shared tokens of their openings; a pair is compared, if its sizes fit (length filter)
+    and enough tokens are left behind the shared one (positional filter), and taken under the first token that both
+    openings have, so that none is found twice.  The classes of a token in more than ``BLOCK`` openings are
+    dealt into parts on one side, and met by copies of the other."""
+    posted = saved(_posted(sets), "posted")
+    alike = _shared(posted)
+    posted2 = posted.join(alike, F.col("token") == F.col("__token")).drop("__token").withColumn(
+        "parts", F.ceil(F.col("alike") / BLOCK).cast("int"))
+    left = posted2.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).join(sets.select("cid", "common"), "cid")
+    right = posted2.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets.select("cid", "common"), "cid")
+    right = right.select(*[F.col(c).alias(f"__{c}") for c in ("cid", "n", "at", "token", "common", "part")])
     a, b = NUMERATOR, DENOMINATOR
-    return (F.size(F.array_intersect("tokens", "__tokens")) * (a + b) >= (F.col("n") + F.col("__n")) * a)
-
-
-def _like_leader(posted: DataFrame, sets: DataFrame) -> DataFrame:
-    """The cids that are similar to the earliest class under one of their posted tokens: a few pairs a class."""
-    leader = F.min("cid").over(Window.partitionBy("token"))
-    pairs = posted.select("cid", leader.alias("leader")).where("leader < cid").distinct()
-    other = sets.select(*[F.col(c).alias(f"__{c}") for c in sets.columns])
-    return (pairs.join(sets, "cid").join(other, F.col("leader") == F.col("__cid"))
-            .where(_jaccard()).select("cid").distinct())
-
-
-def similar_to_earlier(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """The cids of the classes that an earlier class is similar to."""
-    sets = saved(_candidates(_token_sets(docs, lines, classes)), "candidates")
-    opening = F.slice("tokens", F.lit(1), _opening_size(F.col("n")))
-    posted = saved(_shared(sets.select("cid", "n", F.posexplode(opening).alias("at", "token"))).drop("alike"), "posted")
-    done = saved(_like_leader(posted.select("cid", "token"), sets), "like-leader")
-    # whoever is not yet decided is compared with all earlier ones
-    asking = saved(posted.join(sized(done), "cid", "left_anti"), "asking")
-    asked = posted.join(sized(saved(asking.select("token").distinct(), "asked")), "token", "left_semi")
-    left = asking.join(sets.select("cid", "tokens"), "cid")
-    right = asked.join(sets.select("cid", "tokens"), "cid")
-    right = right.select(*[F.col(c).alias(f"__{c}") for c in ("cid", "n", "at", "token", "tokens")])
-    a, b = NUMERATOR, DENOMINATOR
-    fits = (F.least("n", "__n") * b >= F.greatest("n", "__n") * a)
-    most = F.least("at", "__at") + 1 + F.least(F.col("n") - F.col("at"), F.col("__n") - F.col("__at")) - 1
-    enough = (most * (a + b) >= (F.col("n") + F.col("__n")) * a)
-    rest = left.join(right, (F.col("token") == F.col("__token")) & (F.col("__cid") < F.col("cid"))
-                     & fits & enough & _jaccard(), "left_semi").select("cid").distinct()
-    return done.unionByName(rest)
-
-
-def removed_lines(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """Every line that has words: doc_id, doc_hash, line_no, first_id (of its class), removed."""
+    fits = F.least("n", "__n") * b >= F.greatest("n", "__n") * a
+    most = F.least("at", "__at") + F.least(F.col("n") - F.col("at"), F.col("__n") - F.col("__at"))
+    enough = most * (a + b) >= (F.col("n") + F.col("__n")) * a
+    similar = F.size(F.array_intersect("common", "__common")) * (a + b) >= (F.col("n") + F.col("__n")) * a
+    first = F.get(F.array_intersect(_opening("common", "n"), _opening("__common", "__n")), F.lit(0)) == F.col("token")
+    links = left.join(right, (F.col("token") == F.col("__token")) & (F.col("part") == F.col("__part"))
+                      & (F.col("__cid") < F.col("cid")) & fits & enough & first & similar)
+    links = saved(links.select("cid", F.col("__cid").alias("earlier")), "line-links")
+    free(posted)
+    return links
+
+
+def _linked(links: DataFrame, classes: DataFrame, grouped: bool) -> DataFrame:
+    """Per linked class: links, near (an earlier class is similar) and, if ``grouped``, the id that its component is first in."""
+    ends = links.select("cid", F.lit(True).alias("later")).unionByName(
+        links.select(F.col("earlier").alias("cid"), F.lit(False).alias("later")))
+    counted = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("near"))
+    if not grouped:
+        return saved(counted, "linked-classes")
+    reached = components(links.select(F.col("cid").alias("a"), F.col("earlier").alias("b")))
+    roots = reached.join(classes.select(F.col("cid").alias("root"), F.col("doc_id").alias("root_id")), "root")
+    out = saved(counted.join(roots.select(F.col("node").alias("cid"), "root_id"), "cid", "left"), "linked-classes")
+    free(reached)
+    return out
+
+
+def judged_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", grouped: bool = False) -> DataFrame:
+    """Every line that has words: doc_id, doc_hash, line_no, cid, first_id (of its class), links (of its class), removed.
+
+    ``grouped``: first_id is that of the class's component, the classes that similar lines connect."""
     own = _one_each(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     words = _with_words(_lines(own)).withColumns({
         "k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), F.col("words")), "worded": F.size("words") > 0})
     tokens = _with_tokens(words)
-    opening = F.slice("tokens", F.lit(1), _opening_size(F.size("tokens")))
+    # postings only say which lines to look at again: half a hash does
+    opening = F.transform(F.slice("tokens", F.lit(1), _opening_size(F.size("tokens"))), lambda t: F.shiftright(t, 32).cast("int"))
     lines = saved(tokens.withColumn("opening", opening).drop("tokens"), "lines")
-    narrow = lines.drop("opening")
-    classes = _classes(narrow)
-    near = saved(similar_to_earlier(own, lines, classes), "near-lines").withColumn("near", F.lit(True))
-    judged = classes.join(sized(near), "cid", "left").select(
-        *[F.col(c).alias(f"__{c}") for c in ("k1", "k2", *_PLACE, "doc_id")], F.coalesce("near", F.lit(False)).alias("near"))
+    classes = _classes(lines)
+    narrow = saved(lines.where("worded").drop("opening", "worded"), "narrow-lines")
+    free(lines)
+    token_sets = _token_sets(own, classes)
+    sets = saved(_candidates(token_sets), "candidates")
+    free(token_sets)
+    links = line_links(sets)
+    free(sets)
+    linked = _linked(links, classes, grouped)
+    root = [F.coalesce("root_id", "__doc_id").alias("first_id")] if grouped else [F.col("__doc_id").alias("first_id")]
+    judged = classes.drop("opening").join(sized(linked), "cid", "left").select(
+        *[F.col(c).alias(f"__{c}") for c in ("k1", "k2", *_PLACE, "doc_id")], "cid", F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("near", F.lit(False)).alias("near"), *(["root_id"] if grouped else []))
     is_first = ((F.col("doc_hash") == F.col("__doc_hash")) & (F.col("line_no") == F.col("__line_no"))
                 & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
-    return saved(narrow.where("worded")
-                 .join(judged, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
-                 .select("doc_id", "doc_hash", "line_no", F.col("__doc_id").alias("first_id"),
-                         (~is_first | F.col("near")).alias("removed")), "judged-lines")
+    done = saved(narrow.join(judged, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
+                 .select("doc_id", "doc_hash", "line_no", "cid", *root, "links", (~is_first | F.col("near")).alias("removed")),
+                 "judged-lines")
+    free(narrow, classes, links, linked)
+    return done
 
 
 def _per_document(lines: DataFrame) -> DataFrame:
+    """Per document: the least first_id of its lines, the links of its distinct lines, its removed lines."""
+    own = F.collect_set(F.struct("cid", "links"))       # at most the document's lines
     return lines.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(
         F.min("first_id").alias("__first"),
+        F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["links"]).alias("__links"),
         F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))).alias("__removed"))
 
 
@@ -184,8 +233,11 @@ def _same_document(id_col: str, text_col: str) -> Column:
 
 
 def line_report(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """Per document: doc_id, class_id (smallest id that has one of its lines first), n_lines, n_links, removed (line numbers)."""
-    per = _per_document(removed_lines(docs, id_col=id_col, text_col=text_col))
+    """Per document: doc_id, class_id, n_lines, n_links, removed (line numbers).
+
+    class_id: the smallest id in which an equal line of one of its lines stands, or a line that links of similar lines connect
+    to it; n_links: pairs of one of its distinct lines and a similar, not equal line (a class of equal lines counts once)."""
+    per = _per_document(judged_lines(docs, id_col=id_col, text_col=text_col, grouped=True))
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("doc_hash"),
                       F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias("lines"),
                       F.col(text_col).isNull().alias("none"))
@@ -193,13 +245,13 @@ def line_report(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFra
     return own.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("doc_hash") == F.col("__hash")), "left").select(
         "doc_id", F.least("doc_id", "__first").alias("class_id"),
         F.when(F.col("none"), 0).otherwise(F.col("lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("__links", F.lit(0)).alias("n_links"),
         F.coalesce("__removed", none).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", chars_col="n_chars") -> DataFrame:
     """``docs`` without the removed lines; ``chars_col`` (if any) counts the new text of changed documents."""
-    per = _per_document(removed_lines(docs, id_col=id_col, text_col=text_col)).where(F.size("__removed") > 0)
+    per = _per_document(judged_lines(docs, id_col=id_col, text_col=text_col)).where(F.size("__removed") > 0)
     found = docs.join(per, _same_document(id_col, text_col), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))

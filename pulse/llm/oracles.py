@@ -122,18 +122,25 @@ tokens as (
   select distinct cid, array_to_string(words[p:p + 4], ' ') as token
   from classes, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as u(p)),
 sizes as (select cid, count(*) as n from tokens group by cid),
-near as (
-  select distinct x as cid from (
+links as (
+  select x, y from (
     select a.cid as x, b.cid as y, count(*) as common from tokens a join tokens b on a.token = b.token and b.cid < a.cid group by 1, 2)
   join sizes s on s.cid = x join sizes t on t.cid = y where 5 * common >= 4 * (s.n + t.n - common)),
+ends as (select x as a, y as b from links union all select y, x from links),
+reached as (select a, b from ends union select r.a, e.b from reached r join ends e on r.b = e.a),
+linked as (select a as cid, count(*) as n_links from ends group by a),
 lines as (
-  select n.doc_id, n.text, line_no, first_id, pos <> cid or cid in (select cid from near) as removed
-  from numbered n join classes c on n.words = c.words)"""
+  select n.doc_id, n.text, line_no, c.cid, coalesce(n_links, 0) as n_links,
+    (select first_id from classes k where k.cid = least(c.cid, (select min(b) from reached where a = c.cid))) as first_id,
+    pos <> c.cid or c.cid in (select x from links) as removed
+  from numbered n join classes c on n.words = c.words left join linked l on l.cid = c.cid)"""
 
 
-OP6 = f"""with {line_sql()},
-per as (select doc_id, text, min(first_id) as first_id, count(*) filter (where removed) as n_links,
-               string_agg(line_no::varchar, ',' order by line_no) filter (where removed) as removed from lines group by doc_id, text)
+OP6 = f"""with recursive {line_sql()},
+counted as (select doc_id, text, sum(n_links)::bigint as n_links from (select distinct doc_id, text, cid, n_links from lines) group by all),
+per as (select l.doc_id, l.text, min(first_id) as first_id, any_value(c.n_links) as n_links,
+               string_agg(line_no::varchar, ',' order by line_no) filter (where removed) as removed
+        from lines l join counted c on l.doc_id is not distinct from c.doc_id and l.text = c.text group by l.doc_id, l.text)
 select d.doc_id, least(d.doc_id, first_id) as class_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines,
        coalesce(n_links, 0)::bigint as n_links, coalesce(removed, '') as removed
 from documents d left join per on d.doc_id is not distinct from per.doc_id and d.text = per.text"""

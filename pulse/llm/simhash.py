@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.llm.common import SPACED_TABLE, saved, word_pieces
+from pulse.llm.common import SPACED_TABLE, free, saved, word_pieces
 from pulse.llm.components import components
 
 SHINGLE = 3
@@ -159,14 +159,17 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
 def print_classes(marked: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(print, first) rows -> print, class_first: the smallest ``first`` in reach of every distinct fingerprint."""
     distinct = saved(marked.groupBy("print").agg(F.min("first").alias("first")), "prints")
-    roots = components(links(distinct.select("print"), max_bits, block))
-    roots = saved(roots.union(roots.select("root", "root").distinct()), "roots")
+    reached = components(links(distinct.select("print"), max_bits, block))
+    roots = saved(reached.union(reached.select("root", "root").distinct()), "roots")
+    free(reached)
     member = distinct.join(roots, F.col("print") == F.col("node")).select("print", "first", "root")
     least = member.groupBy("root").agg(F.min("first").alias("class_first"))
     linked = member.join(least, "root").select(F.col("print").alias("__print"), "class_first")
-    return (distinct.join(linked, F.col("print") == F.col("__print"), "left")
-            .select("print", F.when(F.col("__print").isNull(), F.col("first"))
-                    .otherwise(F.col("class_first")).alias("class_first")))
+    classes = saved(distinct.join(linked, F.col("print") == F.col("__print"), "left")
+                    .select("print", F.when(F.col("__print").isNull(), F.col("first"))
+                            .otherwise(F.col("class_first")).alias("class_first")), "classes")
+    free(distinct, roots)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle: int = SHINGLE,
@@ -175,7 +178,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = saved(with_fingerprint(own, "print", shingle=shingle, keep_text=False), "marked")
     classes = print_classes(marked.select("print", F.col("doc_id").alias("first")), max_bits, block)
-    classes = saved(classes.select(F.col("print").alias("__print"), "class_first"), "classes")
+    classes = classes.select(F.col("print").alias("__print"), "class_first")
     return (marked.join(classes, F.col("print") == F.col("__print"))
             .select("doc_id", "print", F.col("class_first").alias("component_id")))
 
@@ -187,6 +190,7 @@ def keep_one_per_class(docs: DataFrame, *, id_col="doc_id", text_col="text", shi
     marked = saved(with_fingerprint(numbered, "__print", text_col=text_col, shingle=shingle), "marked")
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     narrow = marked.select(F.col("__print").alias("print"), first.alias("first"))
-    stays = saved(print_classes(narrow, max_bits, block)
-                  .select(F.col("class_first.row").alias("__stays")).distinct(), "stays")
+    classes = print_classes(narrow, max_bits, block)
+    stays = saved(classes.select(F.col("class_first.row").alias("__stays")).distinct(), "stays")
+    free(classes)
     return marked.join(stays, F.col("__row") == F.col("__stays"), "left_semi").select(*docs.columns)
