@@ -96,8 +96,9 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     from pyspark.sql import Window
     per = s.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     off = per.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__off"))
-    return (s.join(off, "__part").withColumn(name, F.col("__off") + F.col("__pos"))
-            .drop("__part", "__pos", "__off"))
+    out = s.join(off, "__part").withColumn(name, F.col("__off") + F.col("__pos")).drop("__part", "__pos", "__off")
+    out.saved_at = s.saved_at       # for ``free``, once the result is stored
+    return out
 
 
 def word_pieces(data: bytes, size: int = 4 << 20):

@@ -6,9 +6,9 @@ document id, then text hash, then line number - has the same words or a Jaccard
 ``NUMERATOR / DENOMINATOR``.
 
 Lines of equal words form a class, found by partial aggregation; only its first line goes on.  In any fixed order of the tokens,
-two similar classes share one of their openings: of n tokens the first n - ceil(t * n) + 1 (prefix filter).
+two similar classes share s tokens of their openings: of n tokens the first n - ceil(t * n) + s (prefix filter).
 
-1. In the order of the token hashes, classes that share no token of their opening with another one are done.
+1. In the order of the token hashes, classes that share fewer than ``SHARED`` tokens of their opening with others are done.
 2. The others are read again as whole token sets, and each token's classes are counted.  A class of which fewer than
    ceil(t * n) tokens stand in another class is done.  The rest keep these shared tokens, ordered by rarity.
 3. Classes that share a token of their openings by rarity are joined, if their sizes fit (length filter) and enough
@@ -36,6 +36,8 @@ from pulse.llm.components import components
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
+SHARED = 4              # tokens of the first openings that a similar line must have
+FEW = 16                # openings of a token whose pairs are listed before they are compared
 BLOCK = 2048            # classes under one token that are compared in one part
 OTHER_BLANKS = "\t\x0b\f\r"
 _PLACE = ["doc_hash", "line_no"]    # and doc_id, which may be null
@@ -77,22 +79,26 @@ def _with_tokens(lines: DataFrame) -> DataFrame:
     return lines.withColumn("tokens", tokens).drop("words")
 
 
-def _opening_size(n: Column) -> Column:
-    return (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
-
-
 def _needed(n: Column) -> Column:
     """So many tokens of a set of n stand in any similar set."""
-    return F.ceil(n * NUMERATOR / DENOMINATOR)
+    return F.ceil(n * NUMERATOR / DENOMINATOR).cast("int")
+
+
+def _opening_size(n: Column, shared: int = 1) -> Column:
+    """Of this many first tokens of a set of n any similar set has ``shared`` (or all it needs) in its own opening."""
+    return n - _needed(n) + F.least(F.lit(shared), _needed(n))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
     """One row per distinct words: its first place, numbered (cid) in the order of the first places, and its opening."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_hash", "line_no")).alias("first")
-    flat = (lines.where("worded").groupBy("k1", "k2").agg(first, F.any_value("opening").alias("opening"))
-            .select("k1", "k2", "first.*", "opening"))
+    flat = (lines.where("worded").groupBy("k1", "k2").agg(first, F.any_value(F.struct("opening", "need")).alias("own"))
+            .select("k1", "k2", "first.*", "own.*"))
     order = [F.col(c) for c in ("none", "doc_id", "doc_hash", "line_no")]
-    return saved(ranked(flat, *order, name="cid").drop("none"), "line-classes")
+    numbered = ranked(flat, *order, name="cid")
+    classes = saved(numbered.drop("none"), "line-classes")
+    free(numbered)
+    return classes
 
 
 def _firsts(lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -108,18 +114,22 @@ def _shared(posted: DataFrame) -> DataFrame:
             .select(F.col("token").alias("__token"), "alike"))
 
 
-def _token_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, tokens) of the classes whose opening shares a token with another one's.
+def _token_sets(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, tokens) of the classes of whose opening other classes' openings share ``SHARED`` tokens (or all it needs).
 
-    Only these lines are cut into tokens again; storing them keeps that from being repeated in a filter."""
-    posted = classes.select("cid", F.explode("opening").alias("token"))
+    Only these lines are cut into tokens again; storing them keeps that from being repeated in a filter.  Also the classes
+    without openings, which replace ``classes``."""
+    posted = classes.select("cid", "need", F.explode("opening").alias("token"))
     sharing = saved(posted.join(_shared(posted), F.col("token") == F.col("__token"), "left_semi")
-                    .select("cid").distinct(), "sharing")
-    wanted = saved(classes.drop("opening").join(sized(sharing), "cid", "left_semi"), "wanted")
-    free(sharing)
-    sets = saved(_with_tokens(_with_words(_firsts(_lines(docs), sized(wanted)))).select("cid", "tokens"), "token-sets")
+                    .groupBy("cid", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("cid"), "sharing")
+    wanted = saved(classes.drop("opening", "need").join(sized(sharing), "cid", "left_semi"), "wanted")
+    narrow = saved(classes.drop("opening", "need"), "classes")
+    free(sharing, classes)
+    texts = wanted.select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).distinct()
+    some = docs.join(sized(saved(texts, "wanted-texts")), _same_document("doc_id", "text"), "left_semi")
+    sets = saved(_with_tokens(_with_words(_firsts(_lines(some), sized(wanted)))).select("cid", "tokens"), "token-sets")
     free(wanted)
-    return sets
+    return sets, narrow
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
@@ -145,30 +155,58 @@ def _opening(common: str, n: str) -> Column:
     return F.slice(common, F.lit(1), F.greatest(size, F.lit(0)))
 
 
-def line_links(sets: DataFrame) -> DataFrame:
-    """(cid, earlier) of all similar classes, every pair once.
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"__{c}") for c in df.columns])
 
-    Classes are joined under the shared tokens of their openings; a pair is compared, if its sizes fit (length filter)
-    and enough tokens are left behind the shared one (positional filter), and taken under the first token that both
-    openings have, so that none is found twice.  The classes of a token in more than ``BLOCK`` openings are
-    dealt into parts on one side, and met by copies of the other."""
-    posted = saved(_posted(sets), "posted")
-    alike = _shared(posted)
-    posted2 = posted.join(alike, F.col("token") == F.col("__token")).drop("__token").withColumn(
-        "parts", F.ceil(F.col("alike") / BLOCK).cast("int"))
-    left = posted2.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).join(sets.select("cid", "common"), "cid")
-    right = posted2.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets.select("cid", "common"), "cid")
-    right = right.select(*[F.col(c).alias(f"__{c}") for c in ("cid", "n", "at", "token", "common", "part")])
+
+def _may_match() -> Column:
+    """Length and positional filter of two classes under a token that both openings hold."""
     a, b = NUMERATOR, DENOMINATOR
-    fits = F.least("n", "__n") * b >= F.greatest("n", "__n") * a
     most = F.least("at", "__at") + F.least(F.col("n") - F.col("at"), F.col("__n") - F.col("__at"))
-    enough = most * (a + b) >= (F.col("n") + F.col("__n")) * a
-    similar = F.size(F.array_intersect("common", "__common")) * (a + b) >= (F.col("n") + F.col("__n")) * a
-    first = F.get(F.array_intersect(_opening("common", "n"), _opening("__common", "__n")), F.lit(0)) == F.col("token")
+    return ((F.least("n", "__n") * b >= F.greatest("n", "__n") * a) & (most * (a + b) >= (F.col("n") + F.col("__n")) * a))
+
+
+def _similar() -> Column:
+    a, b = NUMERATOR, DENOMINATOR
+    return F.size(F.array_intersect("common", "__common")) * (a + b) >= (F.col("n") + F.col("__n")) * a
+
+
+def _links_of_rare(posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links under tokens of at most ``FEW`` openings: a few pairs a class, made distinct and then verified."""
+    pairs = posted.join(_renamed(posted), (F.col("token") == F.col("__token")) & (F.col("__cid") < F.col("cid")) & _may_match())
+    pairs = saved(pairs.select("cid", F.col("__cid").alias("earlier")).distinct(), "line-pairs")
+    links = saved(pairs.join(sets, "cid").join(_renamed(sets), F.col("earlier") == F.col("__cid")).where(_similar())
+                  .select("cid", "earlier"), "rare-links")
+    free(pairs)
+    return links
+
+
+def _links_of_frequent(posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links under the other tokens: compared inside the join, so that only links leave it.
+
+    A pair is compared under the first token that both openings have.  The classes of a token in more than ``BLOCK`` openings are
+    dealt into parts on one side, and met by copies of the other."""
+    posted = posted.join(sets.select("cid", "common"), "cid").withColumn("parts", F.ceil(F.col("alike") / BLOCK).cast("int")).drop("alike")
+    left = posted.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    right = _renamed(posted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    both = F.array_intersect(_opening("common", "n"), _opening("__common", "__n"))
     links = left.join(right, (F.col("token") == F.col("__token")) & (F.col("part") == F.col("__part"))
-                      & (F.col("__cid") < F.col("cid")) & fits & enough & first & similar)
-    links = saved(links.select("cid", F.col("__cid").alias("earlier")), "line-links")
-    free(posted)
+                      & (F.col("__cid") < F.col("cid")) & _may_match() & (F.get(both, F.lit(0)) == F.col("token")) & _similar())
+    return saved(links.select("cid", F.col("__cid").alias("earlier")), "frequent-links")
+
+
+def line_links(sets: DataFrame) -> DataFrame:
+    """(cid, earlier) of all similar classes, every pair once, from ``_candidates``.
+
+    Classes are joined under the shared tokens of their openings, if their sizes fit (length filter) and enough tokens are
+    left behind the shared one (positional filter); their token sets then give the exact Jaccard."""
+    alone = saved(_posted(sets), "posted")
+    posted = saved(alone.join(_shared(alone), F.col("token") == F.col("__token")).drop("__token"), "posted-shared")
+    free(alone)
+    rare = _links_of_rare(posted.where(F.col("alike") <= FEW).drop("alike"), sets)
+    frequent = _links_of_frequent(posted.where(F.col("alike") > FEW), sets)
+    links = saved(rare.unionByName(frequent).distinct(), "line-links")
+    free(posted, rare, frequent)
     return links
 
 
@@ -194,20 +232,20 @@ def judged_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", grouped:
     words = _with_words(_lines(own)).withColumns({
         "k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), F.col("words")), "worded": F.size("words") > 0})
     tokens = _with_tokens(words)
-    # postings only say which lines to look at again: half a hash does
-    opening = F.transform(F.slice("tokens", F.lit(1), _opening_size(F.size("tokens"))), lambda t: F.shiftright(t, 32).cast("int"))
-    lines = saved(tokens.withColumn("opening", opening).drop("tokens"), "lines")
+    opening = F.slice("tokens", F.lit(1), _opening_size(F.size("tokens"), SHARED))
+    lines = saved(tokens.withColumns({"opening": opening, "need": F.least(F.lit(SHARED), _needed(F.size("tokens")))})
+                  .drop("tokens"), "lines")
     classes = _classes(lines)
-    narrow = saved(lines.where("worded").drop("opening", "worded"), "narrow-lines")
+    narrow = saved(lines.where("worded").drop("opening", "need", "worded"), "narrow-lines")
     free(lines)
-    token_sets = _token_sets(own, classes)
+    token_sets, classes = _token_sets(own, classes)
     sets = saved(_candidates(token_sets), "candidates")
     free(token_sets)
     links = line_links(sets)
     free(sets)
     linked = _linked(links, classes, grouped)
     root = [F.coalesce("root_id", "__doc_id").alias("first_id")] if grouped else [F.col("__doc_id").alias("first_id")]
-    judged = classes.drop("opening").join(sized(linked), "cid", "left").select(
+    judged = classes.join(sized(linked), "cid", "left").select(
         *[F.col(c).alias(f"__{c}") for c in ("k1", "k2", *_PLACE, "doc_id")], "cid", F.coalesce("links", F.lit(0)).alias("links"),
         F.coalesce("near", F.lit(False)).alias("near"), *(["root_id"] if grouped else []))
     is_first = ((F.col("doc_hash") == F.col("__doc_hash")) & (F.col("line_no") == F.col("__line_no"))

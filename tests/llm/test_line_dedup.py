@@ -85,7 +85,8 @@ def test_removed_lines_equal_brute_force(spark, monkeypatch):
     for d, t in docs:
         texts.setdefault(d, set()).add(t)
     compared = 0
-    for block in (L.BLOCK, 3):      # 3: classes under one token are compared in parts
+    for few, block in ((L.FEW, L.BLOCK), (0, 3), (10**6, 1)):      # all tokens frequent and in parts; all rare
+        monkeypatch.setattr(L, "FEW", few)
         monkeypatch.setattr(L, "BLOCK", block)
         got = L.dedup_lines(df).collect()
         assert len(got) == len(docs)
