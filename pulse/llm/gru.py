@@ -14,18 +14,44 @@ import numpy as np
 CLASS_WORDS = 64
 HIDDEN = 24
 WINDOW = 24         # steps of truncated backpropagation, and of scoring
-LANES = 64          # documents trained at once
+LANES = 256         # documents trained at once
+PIECE = 1024        # tokens over which training carries the state; scoring carries it through whole documents
 RATE = 0.08
 ROWS = 1 << 14      # output rows computed at once
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_prob(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at one place; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(at)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
+
+
+def _softmax_less(x: np.ndarray, at: np.ndarray, n: np.float32) -> np.ndarray:
+    """The gradient of the mean of n negative log softmaxes; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True) * n
+    x[np.arange(len(at)), at] -= 1 / n
+    return x
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` in order, and the sum of their values."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[heads], np.add.reduceat(values[order], heads, axis=0)
 
 
 class GatedModel:
@@ -75,17 +101,19 @@ class GatedModel:
         for lo in range(0, len(slots), ROWS):
             rows, at = h[lo:lo + ROWS], slots[lo:lo + ROWS]
             cls = self.class_of(at)
-            logits = rows @ self.p["out_class"] + self.p["bias_class"]
-            part = _log_softmax(logits)[np.arange(len(at)), cls].astype(float)
+            logits = rows @ self.p["out_class"]
+            logits += self.p["bias_class"]
+            part = _log_prob(logits, cls).astype(float)
             for c, where in self._by_class(cls):
-                inner = _log_softmax(rows[where] @ self.p["out_word"][c].T + self.p["bias_word"][c])
-                part[where] += inner[np.arange(len(where)), at[where] % CLASS_WORDS]
+                inner = rows[where] @ self.p["out_word"][c].T
+                inner += self.p["bias_word"][c]
+                part[where] += _log_prob(inner, at[where] % CLASS_WORDS)
             out[lo:lo + ROWS] = part
         return out
 
     def _by_class(self, cls: np.ndarray):
         """(class, its rows) of every word class."""
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")     # a radix sort; classes are few
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for c in np.flatnonzero(edges[1:] > edges[:-1]):
             yield c, order[edges[c]:edges[c + 1]]
@@ -124,11 +152,14 @@ class GatedModel:
     def train(self, docs: list[np.ndarray], rate: float = RATE, squares: dict[str, np.ndarray] | None = None) -> None:
         """One pass of truncated backpropagation: ``LANES`` documents side by side, windows of ``WINDOW`` steps.
 
-        A lane takes up the next document when one ends; the state then starts anew, else it is carried on.  Lanes
+        A lane takes up the next document (or ``PIECE`` tokens of a longer one) when one ends; the state then starts anew, else it is
+        carried on.  Every token teaches.  Lanes
         end at their own length; windows in which some have ended move the weights by the share of tokens that is left.
         ``squares`` carries the step sizes on from an earlier call.
         """
         squares = self.squares() if squares is None else squares
+        # pieces of long documents are dealt like documents of their own, or one of them would keep a few lanes busy alone
+        docs = [d[lo:lo + PIECE] for d in docs for lo in range(0, len(d), PIECE)]
         lanes = min(LANES, max(1, len(docs)))
         streams = [[] for _ in range(lanes)]
         loads = [(0, lane) for lane in range(lanes)]
@@ -179,40 +210,48 @@ class GatedModel:
         h = np.concatenate([s[3] for s in steps])
         slots = np.concatenate([s[4] for s in steps])
         cls, n = self.class_of(slots), np.float32(max(1, len(slots)))
-        d_class = np.exp(_log_softmax(h @ p["out_class"] + p["bias_class"]))
-        d_class[np.arange(len(cls)), cls] -= 1
-        d_class /= n
+        d_class = h @ p["out_class"]
+        d_class += p["bias_class"]
+        d_class = _softmax_less(d_class, cls, n)
         d_h = d_class @ p["out_class"].T
         seen, d_out, d_bias = [], [], []
         for c, where in self._by_class(cls):
-            d = np.exp(_log_softmax(h[where] @ p["out_word"][c].T + p["bias_word"][c]))
-            d[np.arange(len(where)), slots[where] % CLASS_WORDS] -= 1
-            d /= n
+            own = h[where]
+            d = own @ p["out_word"][c].T
+            d += p["bias_word"][c]
+            d = _softmax_less(d, slots[where] % CLASS_WORDS, n)
             seen.append(c)
-            d_out.append(d.T @ h[where])
+            d_out.append(d.T @ own)
             d_bias.append(d.sum(axis=0))
             d_h[where] += d @ p["out_word"][c]
         grads = {"out_class": h.T @ d_class, "bias_class": d_class.sum(axis=0)}
         if seen:
             grads |= {"out_word": (np.array(seen), np.stack(d_out)), "bias_word": (np.array(seen), np.stack(d_bias))}
-        d_recur, d_rows, xs = np.zeros_like(p["recur"]), [], []
-        carry, at = np.zeros_like(state), len(h)
+        xs, carry, at = [], np.zeros_like(state), len(h)
+        d_a_all = np.empty((len(h), 3 * k), np.float32)
+        befores, d_bs = np.empty_like(h), np.empty_like(d_a_all)
+        back = p["recur"].T.copy()
         for live, x, (before, keep, reset, new, b_new), _, _, opens in reversed(steps):
             at -= len(live)
-            d = d_h[at:at + len(live)] + carry[live]
-            d_keep = d * (before - new) * keep * (1 - keep)
-            d_new = d * (1 - keep) * (1 - new * new)
-            d_reset = d_new * b_new * reset * (1 - reset)
-            d_a = np.concatenate([d_keep, d_reset, d_new], axis=1)
-            d_b = np.concatenate([d_keep, d_reset, d_new * reset], axis=1)
-            d_recur += before.T @ d_b
-            d_rows.append(d_a)
+            every = len(live) == len(carry)
+            here = slice(at, at + len(live))
+            d = d_h[here]
+            d += carry if every else carry[live]
+            d_a, d_b = d_a_all[here], d_bs[here]
+            np.multiply(d * (before - new), keep * (1 - keep), out=d_a[:, :k])
+            np.multiply(d * (1 - keep), 1 - new * new, out=d_a[:, 2 * k:])
+            np.multiply(d_a[:, 2 * k:] * b_new, reset * (1 - reset), out=d_a[:, k:2 * k])
+            d_b[:, :2 * k] = d_a[:, :2 * k]
+            np.multiply(d_a[:, 2 * k:], reset, out=d_b[:, 2 * k:])
+            befores[here] = before
             xs.append(x)
-            carry = carry.copy()
-            carry[live] = d * keep + d_b @ p["recur"].T
+            d *= keep
+            d += d_b @ back
+            if every:
+                carry = d
+            else:
+                carry[live] = d
             carry[opens] = 0
-        rows, inverse = np.unique(np.concatenate(xs), return_inverse=True)
-        table = np.zeros((len(rows), 3 * k), np.float32)
-        np.add.at(table, inverse, np.concatenate(d_rows))
-        grads |= {"recur": d_recur, "inputs": (rows, table)}
+        d_recur = befores.T @ d_bs
+        grads |= {"recur": d_recur, "inputs": _row_sums(np.concatenate(xs[::-1]), d_a_all)}
         return grads, state, last

@@ -10,9 +10,10 @@ across windows.  The ``KNOWN`` most frequent counts are broadcast (a fixed bound
 the documents come by a join on the word, pre-aggregated per document, so any vocabulary fits.
 
 Network weights are fitted on every training document, dealt by a hash of the id into ``ROUNDS`` rounds.  In a round each
-task (as many as there are cores) runs backpropagation over its own documents from the broadcast weights, a batch of texts at a time, and the weights
-and step sizes of all tasks are averaged by their tokens, block by block; the driver holds one set of weights.  The
-weights depend on how the documents are dealt to tasks, not on the tasks' timing.
+task runs backpropagation over its own documents from the broadcast weights, a batch of texts at a time, and the weights
+and step sizes of all tasks are averaged by their tokens, block by block; the driver holds one set of weights.  Documents are
+dealt to tasks by their ids, in a fixed order, and the number of tasks follows the number of tokens (``TRAINER_TOKENS``), so
+neither the cluster's size, nor file splits, nor timing changes a weight.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are scored each; with no training documents all
 counts are 0 and the base is 0; null ids fall in the fold of the empty text; an empty table gives an empty result.
@@ -41,6 +42,8 @@ WORDS = 4096            # slots of single words
 RARE = 64               # slots of rare words, by ending
 KNOWN = 65536           # counts that are broadcast
 ROUNDS = 4              # averages of the network's weights in its one pass over the training documents
+TRAINER_TOKENS = 4_000_000      # tokens of the corpus a training task
+MAX_TRAINERS = 1024     # and so many tasks at most: each one's weights are averaged
 BLOCK = 1 << 14         # weights averaged as one row
 BATCH_BYTES = 16 << 20  # texts scored side by side
 END = b""               # the end token; no word is empty
@@ -189,11 +192,20 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def trainers_of(tokens: int) -> int:
+    """So many tasks train: by the corpus alone, so that no cluster's size changes a weight."""
+    return max(1, min(MAX_TRAINERS, -(-tokens // TRAINER_TOKENS)))
+
+
+def dealt_texts(docs: DataFrame, trainers: int) -> DataFrame:
+    """The texts of (doc_id, text), dealt to ``trainers`` partitions by id, each in a fixed order."""
+    own = docs.select("text", F.xxhash64(id_text(F.col("doc_id")), F.lit(6)).alias("hash"))
+    return own.repartition(trainers, "hash").sortWithinPartitions("hash", "text").select("text")
+
+
 def train_round(texts: DataFrame, scorer, model: GatedModel, squares: dict[str, np.ndarray]) -> int:
-    """One round: all rows of the column ``text`` teach ``model``, each task its own rows.  Returns their tokens."""
+    """One round: all rows of the column ``text`` teach ``model``, each partition its own rows.  Returns their tokens."""
     start = texts.sparkSession.sparkContext.broadcast((model.p, squares))
-    # one task a core: more would only make more weights to average
-    texts = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
     # a fixed order of the tasks in every sum, so it does not depend on which ended first
     dealt = texts.mapInArrow(_train(scorer, start), "block int, tokens long, weights binary").withColumn("task", F.spark_partition_id())
     rows = (dealt.repartition("block").sortWithinPartitions("block", "task").select("block", "tokens", "weights")
@@ -220,7 +232,7 @@ def fit(docs: DataFrame, teaches: Callable[[Column], Column], *, rounds: int = R
         squares = model.squares()
         deal = F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.lit(5)), F.lit(rounds))
         for k in range(rounds):
-            train_round(docs.where(own & (deal == k)).select("text"), scorer, model, squares)
+            train_round(dealt_texts(docs.where(own & (deal == k)), trainers_of(stats.tokens)), scorer, model, squares)
         scorer.destroy()
     return counts, stats, model
 

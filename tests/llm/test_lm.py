@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pulse.llm import lm
+from pulse.llm import gru, lm
 from pulse.llm.gru import GatedModel
 
 DDL = "doc_id long, text string"
@@ -138,3 +139,26 @@ def test_every_training_token_teaches_the_network_and_rounds_repeat(spark, monke
     assert sum(taught) == stats.tokens == 4 * sum(teaches_brute(d) for d, _ in docs) and min(taught) > 0
     again = lm.fit(df, lm.not_held_out)[2]
     assert all((model.p[k] == again.p[k]).all() and np.isfinite(model.p[k]).all() for k in model.p)
+
+
+def test_weights_do_not_depend_on_how_the_table_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 300)
+    rnd = random.Random(9)
+    docs = [(i, " ".join(rnd.choice("ab cd ef gh ij kl".split()) for _ in range(rnd.randrange(1, 60)))) for i in range(80)] + [(None, "x y")] * 3
+    own = spark.createDataFrame(docs, "doc_id long, text string")
+    models = []
+    for df in (own.coalesce(1), own.repartition(7), own.orderBy(F.desc("doc_id")).repartition(3)):
+        _, stats, model = lm.fit(df, lambda c: F.lit(True), rounds=2, words=8, rare=2, known=16)
+        models.append(model.p)
+    assert lm.trainers_of(stats.tokens) > 3
+    for other in models[1:]:
+        assert all(np.array_equal(models[0][k], other[k]) for k in models[0])
+
+
+def test_row_sums_are_those_of_add_at():
+    rnd = np.random.default_rng(4)
+    rows, values = rnd.integers(0, 9, 50), rnd.standard_normal((50, 3)).astype(np.float32)
+    seen, sums = gru._row_sums(rows, values)
+    table = np.zeros((9, 3), np.float32)
+    np.add.at(table, rows, values)
+    assert seen.tolist() == sorted(set(rows.tolist())) and np.allclose(table[seen], sums, atol=1e-5)
