@@ -200,7 +200,8 @@ def trainers_of(tokens: int) -> int:
 def dealt_texts(docs: DataFrame, trainers: int) -> DataFrame:
     """The texts of (doc_id, text), dealt to ``trainers`` partitions by id, each in a fixed order."""
     own = docs.select("text", F.xxhash64(id_text(F.col("doc_id")), F.lit(6)).alias("hash"))
-    return own.repartition(trainers, "hash").sortWithinPartitions("hash", "text").select("text")
+    # a session that deals to more partitions than asked for still trains in ``trainers`` tasks
+    return own.repartition(trainers, "hash").sortWithinPartitions("hash", "text").select("text").coalesce(trainers)
 
 
 def train_round(texts: DataFrame, scorer, model: GatedModel, squares: dict[str, np.ndarray]) -> int:
