@@ -16,6 +16,7 @@ windows; equal items are all reported; repeated document rows are judged each; a
 empty benchmark hits nothing; texts are read in pieces of a few MB with the state
 carried on.  All columns of the documents pass through; own columns have names
 that start with "__" until the last step.
+Columns that pass through must not be called __words, __spans and __items: these are the operator's own.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ inside one range of the one before, so no task ever orders a whole (hot) source.
 Edge cases: a null text has size 0; a null source is a source of its own, last in
 code point order; a null id hashes as the empty text; rows with equal ids of one
 source share one decision; an empty table gives an empty result; a source of size 0
-has target 0.  Other columns are never read, so their names can't clash.
+has target 0.  Other columns are never read; those that ``mix_documents`` passes on must not begin with "__".
 """
 
 from __future__ import annotations
@@ -123,11 +123,14 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
 
 def mix_documents(docs: DataFrame, *, id_col="doc_id", source_col="source", seed=SEED,
                   copy_col="copy", **options) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, numbered from 1 in ``copy_col``."""
+    """The mixed corpus: every document as often as the mix takes it, numbered from 1 in ``copy_col``.
+
+    If ``docs`` has a column of that name, it stays and the number's name gets underscores until it is free."""
+    while copy_col in docs.columns:
+        copy_col += "_"
     _, rules = mixing_rules(docs, id_col=id_col, source_col=source_col, seed=seed, **options)
     rules = rules.select(F.col("rule_source").alias("__src"), F.col("whole").alias("__whole"),
                          F.col("cut").alias("__cut"))
     times = (F.col("__whole") + F.when(seeded_hash(docs[id_col], seed) <= F.col("__cut"), 1).otherwise(0))
-    kept = [docs[c] for c in docs.columns if c != copy_col]
     return (docs.join(rules, docs[source_col].eqNullSafe(F.col("__src"))).where(times > 0)
-            .select(*kept, F.explode(F.sequence(F.lit(1), times.cast("int"))).alias(copy_col)))
+            .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times.cast("int"))).alias(copy_col)))

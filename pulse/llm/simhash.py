@@ -14,6 +14,7 @@ list, and no pair is lost.  A group emits the links of a spanning forest, never
 Edge cases: a null, empty or blank text has no words and the fingerprint zero, which links like any other; a text of
 fewer words than a shingle is one shingle; repeated rows share a fingerprint; ids may be null (they are never the
 smallest); an empty table gives an empty result.
+Columns that pass through must not be called __row, __print and __stays: these are the operator's own.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ ids, of those that have a document); each label counts by its share of all teach
 Edge cases: a null, empty or wordless text has no sentences and the score 0; repeated sentences count as often as they
 stand; a document that is labelled more than once is toxic if one label says so; null labels or ids teach nothing;
 without any label of both kinds the score of every text is 0.  Other columns are not read.
+Columns that pass through must not be called __score: these are the operator's own.
 """
 
 from __future__ import annotations

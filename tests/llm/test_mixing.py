@@ -53,7 +53,7 @@ def test_reruns_agree_and_clashing_columns_do_not_matter(spark):
     a, b = (sorted(mixing.mix_plan(d).collect(), key=str) for d in (df, extra))
     assert a == b
     mixed = mixing.mix_documents(extra)
-    assert mixed.columns == [c for c in extra.columns if c != "copy"] + ["copy"]
+    assert mixed.columns == [*extra.columns, "copy_"]
     assert mixed.count() == sum(r["repeats"] for r in a)
 
 
@@ -61,3 +61,11 @@ def test_empty_and_wordless_tables(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], DDL)
     assert mixing.mix_plan(df.limit(0)).collect() == []
     assert {(r["target"], r["taken"]) for r in mixing.mix_plan(df).collect()} == {(0.0, 0)}
+
+
+def test_a_column_called_like_the_copy_number_stays(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 99), (2, "d e", "s", 98)], "doc_id long, text string, source string, copy int")
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == ["doc_id", "text", "source", "copy", "copy_"]
+    rows = mixed.collect()
+    assert rows and all(r["copy"] == 100 - r["doc_id"] and r["copy_"] >= 1 for r in rows)
