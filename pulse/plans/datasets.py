@@ -280,17 +280,17 @@ def join_claims_sentiment(cs: DataFrame, sw: DataFrame) -> DataFrame:
     facts = ["period_avg_sentiment", "total_articles", "avg_pct_critical", "dominant_sentiment",
              "sentiment_evidence_summary", "latest_week"]
     left = cs.where(F.col("claim_count") > 0).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    left = left.withColumn("_key", F.when(F.col("_own"), F.col("sub_theme")))
+    # a claim without a theme meets no theme of its own: that copy has no category to meet
+    left = left.withColumn("_key", F.when(F.col("_own"), F.col("sub_theme"))).withColumn(
+        "_cat", F.when(F.col("_own") & F.col("sub_theme").isNull(), None).otherwise(F.col("esg_category")))
     right = sw.select(F.col("esg_category").alias("_s_cat"), F.col("esg_sub_theme").alias("_s_theme"), F.lit(True).alias("_hit"),
                       *facts)
-    # a claim without a theme meets no theme of its own
-    on = ((F.col("esg_category") == F.col("_s_cat")) & F.col("_key").eqNullSafe(F.col("_s_theme"))
-          & (~F.col("_own") | F.col("sub_theme").isNotNull()))
+    on = (F.col("_cat") == F.col("_s_cat")) & F.col("_key").eqNullSafe(F.col("_s_theme"))
     both = left.join(right, on, "left")
     any_hit = F.max("_hit").over(Window.partitionBy("esg_category", "sub_theme"))
     return (both.withColumn("_any", any_hit)
             .where(F.col("_hit") | (F.col("_any").isNull() & F.col("_own")))
-            .drop("_own", "_key", "_s_cat", "_s_theme", "_hit", "_any"))
+            .drop("_own", "_key", "_cat", "_s_cat", "_s_theme", "_hit", "_any"))
 
 
 def impact_delta(claims_df: DataFrame, weekly: DataFrame, as_of=None,

@@ -135,7 +135,7 @@ def test_theme_is_a_join_key_of_claims_and_sentiment(spark):
     joins = [line for line in _plan(out).split("\n") if "Join" in line]
     assert len(joins) == 1 and "NestedLoop" not in joins[0] and "Cartesian" not in joins[0]     # category and theme are keys of one join
     keys = joins[0].split("LeftOuter")[0]
-    assert "esg_category" in keys and "_key" in keys and "_s_theme" in keys and " OR " not in joins[0]
+    assert "_cat" in keys and "_key" in keys and "_s_theme" in keys and " OR " not in joins[0]
 
 
 def test_breakdown_computes_no_unread_columns(spark):
