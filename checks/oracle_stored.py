@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from checks.oracle_sql import ORACLE, _collapse, _strip, q, spark_rounds
+from checks.oracle_sql import ORACLE, _collapse, _sq, _strip, q, spark_rounds
+from pulse.functions import prompts as P
 
 _EXPLORE = """
 SELECT article_id, url, title, content_preview, source_type, search_topic, esg_category, esg_sub_theme,
@@ -111,6 +112,19 @@ SELECT collector AS source_type, COUNT(*) AS count FROM day_raw GROUP BY collect
 UNION ALL SELECT 'total', COUNT(*) FROM day_first""",
 }
 
+_MEAN = "CAST(round(COALESCE(period_avg_sentiment, 0.0), 2) AS VARCHAR)"
+_STORED["k10_delta_prompts"] = f"""
+, digests AS (
+  SELECT esg_category, sub_theme, string_agg(left(claim_text, 200), ' | ' ORDER BY scraped_date DESC NULLS LAST, claim_id NULLS LAST) AS combined
+  FROM claims WHERE claim_text IS NOT NULL GROUP BY ALL)
+SELECT j.esg_category, j.sub_theme, latest_week, total_articles,
+  sha256({_sq(P.DELTA_INSTR.format(entity=P.ENTITY))} || 'Topic ' || COALESCE(j.esg_category, '') || ', theme ' || COALESCE(j.sub_theme, '') ||
+    '. What the company states: ' || left(combined, {P.DELTA_CLAIMS}) || ' What others write (mean score ' || {_MEAN} || ', ' ||
+    CAST(round(COALESCE(avg_pct_critical, 0.0), 1) AS VARCHAR) || ' percent critical): ' ||
+    left(COALESCE(sentiment_evidence_summary, 'nothing in this window'), {P.DELTA_EVIDENCE})) AS delta_prompt,
+  sha256({_sq(P.QUICK_INSTR.format(entity=P.ENTITY))} || 'Statements: ' || left(combined, {P.QUICK_CLAIMS}) || ' Mean public score: ' || {_MEAN}) AS quick_prompt
+FROM joined j JOIN digests d ON j.esg_category IS NOT DISTINCT FROM d.esg_category AND j.sub_theme IS NOT DISTINCT FROM d.sub_theme"""
+
 STORED_ORACLE = {k: spark_rounds(q(v)) for k, v in _STORED.items()}
 STORED_ORACLE |= {
     "a14_clustered_silver": ORACLE["l03_silver_articles"],

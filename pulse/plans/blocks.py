@@ -194,9 +194,20 @@ def prompt_hashes(spark, sf):
                     F.sha2(P.sentiment_prompt(), 256).alias("sentiment_prompt"),
                     F.sha2(P.esg_prompt(), 256).alias("esg_prompt"),
                     F.sha2(P.event_prompt(), 256).alias("event_prompt"),
+                    F.sha2(P.claims_prompt(), 256).alias("claims_prompt"),
                     F.length(P.claims_prompt()).cast("long").alias("claims_prompt_chars"))
 
 
+def delta_prompts(spark, sf):
+    """The comparison's full and quick prompts as SHA-256 per claims theme and sentiment row."""
+    c = FP.claims(spark, sf)
+    stats = L._null_safe_join(L.claim_summary(c), L.claim_digest(c), L.THEME)
+    j = L.join_claims_sentiment(stats, L.sentiment_window(FP.weekly(spark, sf), FP.AS_OF))
+    return j.select("esg_category", "sub_theme", "latest_week", "total_articles",
+                    F.sha2(P.delta_prompt(), 256).alias("delta_prompt"),
+                    F.sha2(P.quick_alignment_prompt(), 256).alias("quick_prompt"))
+
+
 def summary_prompts(spark, sf):
     """The daily brief's and headline's prompts as SHA-256 per day."""
     ins = FP.insights(spark, sf)
@@ -289,6 +300,7 @@ def block_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d06_pending_prompts": pending_sentiment_prompts,
         "k10_prompts": prompt_hashes,
         "k10_summary_prompts": summary_prompts,
+        "k10_delta_prompts": delta_prompts,
         "i22_fenced_answers": fenced_answers,
         "i24_display_labels": display_labels,
         "i25_alignment_bands": alignment_bands,
