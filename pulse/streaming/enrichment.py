@@ -65,22 +65,34 @@ class EnrichmentStore:
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.root = spark, store.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
+    def _found(self, name: str, ddl: str) -> DataFrame | None:
         try:
-            self.spark.read.schema("x INT").parquet(f"{self.root}/{name}")
-            return True
+            return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}")
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
-                return False
+                return None
             raise  # an unreachable store must not look like an empty one: every prompt would be paid for again
 
     def _table(self, name: str, ddl: str) -> DataFrame:
-        return (self.spark.read.schema(ddl).parquet(f"{self.root}/{name}") if self._exists(name)
-                else self.spark.createDataFrame([], ddl))
+        found = self._found(name, ddl)
+        return self.spark.createDataFrame([], ddl).limit(0) if found is None else found
 
     def calls(self) -> DataFrame:
+        """Every call so far.  Its files are listed here, once: what later batches store is not in it."""
         return self._table("calls", CALLS)
 
+    def _answered_by(self, number: int) -> DataFrame:
+        """The prompts that batch ``number`` has answered, from its own folder."""
+        return self._table(f"calls/status={ANSWERED}/batch={number}", "prompt_hash STRING")
+
+    def _waits_twice(self) -> bool:
+        """Whether a prompt waits in the work list more than once, as runs that queue at the same time leave it."""
+        queued = self._table("prompts", PROMPTS).groupBy("prompt_hash").agg(F.count(F.lit(1)).alias("queued")).where("queued > 1")
+        asked = self.calls().groupBy("prompt_hash").agg(F.count(F.lit(1)).alias("asked"),
+                                                        F.max(F.col("status") == ANSWERED).alias("ok"))
+        left = queued.join(asked, "prompt_hash", "left").where(~F.coalesce("ok", F.lit(False)))
+        return not left.where(F.col("queued") - F.coalesce("asked", F.lit(0)) > 1).isEmpty()
+
     def answers(self) -> DataFrame:
         """prompt_hash, answer; one row a prompt, the first batch's if runs at the same time asked twice."""
         return (self.calls().where(F.col("status") == ANSWERED).groupBy("prompt_hash")
@@ -106,14 +118,18 @@ class EnrichmentStore:
     def drain(self, call: PromptFn, batch_size: int = 16, files_per_batch: int | None = None) -> int:
         """Ask every queued prompt; the number of micro-batches that ran.  Raises if one of them failed."""
         spark, many = self.spark, files_per_batch or self.spark.sparkContext.defaultParallelism
-        if not self._exists("prompts"):
+        if self._found("prompts", PROMPTS) is None:
             spark.createDataFrame([], PROMPTS).write.mode("append").parquet(f"{self.root}/prompts")
         ran: list[int] = []
+        # the calls are listed once a drain: each batch would list the files of all before it
+        before = self.calls().where(F.col("status") == ANSWERED).select("prompt_hash")
+        twice = self._waits_twice()
 
         def commit(batch: DataFrame, number: int) -> None:
-            own = batch.sparkSession
-            # a batch that runs again after its answers were stored finds them here
-            answered = EnrichmentStore(own, self.root).calls().where(F.col("status") == ANSWERED).select("prompt_hash")
+            own = EnrichmentStore(batch.sparkSession, self.root)
+            # a batch that runs again after its answers were stored finds them here; so does the second of two equal prompts
+            answered = (own.calls().where(F.col("status") == ANSWERED).select("prompt_hash") if twice
+                        else own._answered_by(number))
             rows = (batch.join(answered, "prompt_hash", "left_anti")
                     .mapInPandas(_caller(call, batch_size), "prompt_hash STRING, prompt STRING, answer STRING, error STRING"))
             (rows.withColumn("status", F.when(F.col("error").isNull(), ANSWERED).otherwise(FAILED))
@@ -122,7 +138,7 @@ class EnrichmentStore:
             ran.append(number)
 
         query = (spark.readStream.schema(PROMPTS).option("maxFilesPerTrigger", many).parquet(f"{self.root}/prompts")
-                 .writeStream.foreachBatch(commit).option("checkpointLocation", f"{self.root}/_checkpoint")
+                 .join(before, "prompt_hash", "left_anti").writeStream.foreachBatch(commit).option("checkpointLocation", f"{self.root}/_checkpoint")
                  .trigger(availableNow=True).start())
         query.awaitTermination()
         return len(ran)

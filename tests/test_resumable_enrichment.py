@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from pulse.operators.enrich import prompt_hash
 from pulse.streaming.enrichment import EnrichmentStore, ModelUnavailable, enrich_resumable
 
 
@@ -65,3 +66,27 @@ def test_empty_input(spark, scratch):
     call, _ = _model(scratch)
     df = spark.createDataFrame([], "id int, p string")
     assert enrich_resumable(df, F.col("p"), call, f"{scratch}/s").collect() == []
+
+
+def test_listings_of_the_calls_do_not_grow_with_the_batches(spark, scratch, monkeypatch):
+    listed, calls = [], EnrichmentStore.calls
+    monkeypatch.setattr(EnrichmentStore, "calls", lambda self: listed.append(1) or calls(self))
+    call, _ = _model(scratch)
+    seen = []
+    for n in (4, 24):
+        df = spark.range(n).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("p")).repartition(1)
+        listed.clear()
+        got = enrich_resumable(df, F.col("p"), call, f"{scratch}/s{n}", batch_size=1, prompts_per_file=2, files_per_batch=1)
+        assert {r["id"]: r["answer"] for r in got.collect()} == {i: f"P{i}" for i in range(n)}
+        seen.append(len(listed))
+    assert seen[0] == seen[1]
+
+
+def test_a_prompt_queued_by_two_runs_is_asked_once(spark, scratch):
+    call, log = _model(scratch)
+    df = spark.createDataFrame([("a",), ("b",)], "prompt string").withColumn("prompt_hash", prompt_hash(F.col("prompt")))
+    work = EnrichmentStore(spark, f"{scratch}/s")
+    for _ in range(2):
+        work.queue(df.repartition(1), 1, 3)
+    work.drain(call, 1, 1)
+    assert _asked(log) == Counter({"a": 1, "b": 1})
