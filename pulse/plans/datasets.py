@@ -177,7 +177,25 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
                      median_accuracy: int | None = None, radix_median: bool = False) -> DataFrame:
-    """L7.  The exact median is ``percentile`` by default (its buffer is bounded by
+    """``weekly_scores`` and the group's best articles as ``top_evidence``."""
+    pub = public_articles(insights)
+    top = top_k_per_group(pub, WEEK_KEYS,
+                          [F.col("credibility_score").desc_nulls_last(), F.col("url").asc(),
+                           F.col("content_preview").asc()], evidence_k)
+    ev = top.groupBy(*WEEK_KEYS).agg(F.array_sort(F.collect_list(F.struct(
+        "_rn", F.col("content_preview").alias("snippet"), "url",
+        F.col("credibility_score").alias("score")))).alias("_ev"))
+    ev = ev.select(*WEEK_KEYS, F.transform("_ev", lambda x: F.struct(
+        x["snippet"].alias("snippet"), x["url"].alias("url"), x["score"].alias("score")))
+        .alias("top_evidence"))
+    return _null_safe_join(weekly_scores(insights, median_accuracy, radix_median), ev, WEEK_KEYS)
+
+
+def weekly_scores(insights: DataFrame, median_accuracy: int | None = None,
+                  radix_median: bool = False) -> DataFrame:
+    """L7 without the evidence: one aggregate over the public articles.
+
+    The exact median is ``percentile`` by default (its buffer is bounded by
     the distinct scores of a group).  ``radix_median=True`` uses ``grouped_median``,
     which never holds a group's values, for models that emit unbounded score
     precision; ``median_accuracy`` uses a fixed-size sketch instead."""
@@ -193,20 +211,10 @@ def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
         _sum_if(F.col("sentiment_label") == "negative").alias("negative_count"),
         _sum_if(F.col("stance") == "critical").alias("critical_count"),
         _sum_if(F.col("stance") == "supportive").alias("supportive_count"))
-    top = top_k_per_group(pub, WEEK_KEYS,
-                          [F.col("credibility_score").desc_nulls_last(), F.col("url").asc(),
-                           F.col("content_preview").asc()], evidence_k)
-    ev = top.groupBy(*WEEK_KEYS).agg(F.array_sort(F.collect_list(F.struct(
-        "_rn", F.col("content_preview").alias("snippet"), "url",
-        F.col("credibility_score").alias("score")))).alias("_ev"))
-    ev = ev.select(*WEEK_KEYS, F.transform("_ev", lambda x: F.struct(
-        x["snippet"].alias("snippet"), x["url"].alias("url"), x["score"].alias("score")))
-        .alias("top_evidence"))
     if use_radix:
         agg = _null_safe_join(agg, grouped_median(pub, WEEK_KEYS, "sentiment_score", "median_score"),
                               WEEK_KEYS)
-    out = _null_safe_join(agg, ev, WEEK_KEYS)
-    return out.select(
+    return agg.select(
         F.concat(F.col("esg_category"), F.lit("_"), F.date_format("week_start", "yyyy-MM-dd"))
         .alias("period_key"),
         *WEEK_KEYS, "article_count",
@@ -216,8 +224,7 @@ def weekly_sentiment(insights: DataFrame, evidence_k: int = 5,
         "supportive_count",
         F.round(F.lit(100.0) * F.col("critical_count") / F.col("article_count"), 1)
         .alias("pct_critical"),
-        sentiment_bucket("avg_dec", 0.05).alias("overall_sentiment_label"),
-        "top_evidence")
+        sentiment_bucket("avg_dec", 0.05).alias("overall_sentiment_label"))
 
 
 # ---------------------------------------------------------------------------

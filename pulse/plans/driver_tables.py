@@ -2,8 +2,11 @@
 
 Model steps use the fixture's answer columns (``ColumnResponder``) for the
 per-article answers and the native rule stand-ins for the group-level
-answers (delta, brief, headline).  Everything stays lazy: each function
-returns a DataFrame whose plan starts at the Parquet scans.
+answers (delta, brief, headline).  The functions stay lazy: each
+returns a DataFrame whose plan starts at the Parquet scans.  Only
+``delta_inputs`` (and so ``delta``) reads the articles several times: like a
+job it writes silver first, each time it is called, and builds the rest on
+that table, so no text is cleaned twice.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.operators.clean import silver_articles, to_bronze
+from pulse.operators.clean import apply_expectations, silver_articles, to_bronze
 from pulse.operators.enrich import ColumnResponder
 from pulse.plans import datasets as L
 from pulse.sources.fixtures import AS_OF, FIXTURE_KEEP, article_landing, run_log_frame
+from pulse.sources.store import stored
 
 ANSWERS = ["sentiment_answer", "esg_answer", "claims_answer", "event_answer"]
 
@@ -53,21 +57,45 @@ def silver(spark: SparkSession, sf: str) -> DataFrame:
     return silver_articles(bronze(spark, sf), keep=FIXTURE_KEEP)
 
 
+def scored_of(silver_df: DataFrame) -> DataFrame:
+    return L.scored_articles(silver_df, ColumnResponder("sentiment_answer"),
+                             keep=["doc_id", "esg_answer", "claims_answer", "event_answer"])
+
+
+def insights_of(scored_df: DataFrame) -> DataFrame:
+    return L.article_insights(scored_df, ColumnResponder("esg_answer"),
+                              keep=["doc_id", "claims_answer", "event_answer"])
+
+
+def claims_of(insights_df: DataFrame) -> DataFrame:
+    return L.claims(insights_df, ColumnResponder("claims_answer"))
+
+
+def events_of(insights_df: DataFrame) -> DataFrame:
+    return L.news_events(insights_df, ColumnResponder("event_answer"), as_of=AS_OF)
+
+
 @_memo
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return L.scored_articles(silver(spark, sf), ColumnResponder("sentiment_answer"),
-                             keep=["doc_id", "esg_answer", "claims_answer", "event_answer"])
+    return scored_of(silver(spark, sf))
 
 
 @_memo
 def insights(spark: SparkSession, sf: str) -> DataFrame:
-    return L.article_insights(scored(spark, sf), ColumnResponder("esg_answer"),
-                              keep=["doc_id", "claims_answer", "event_answer"])
+    return insights_of(scored(spark, sf))
 
 
 @_memo
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    return L.claims(insights(spark, sf), ColumnResponder("claims_answer"))
+    return claims_of(insights(spark, sf))
+
+
+def stored_silver(spark: SparkSession, sf: str) -> DataFrame:
+    """Silver over a table of the cleaned texts written for this call: several tables built on it clean no text again.
+
+    The rules that drop rows read that table: put before the write, they would clean every text a second time."""
+    cleaned = silver_articles(bronze(spark, sf), keep=FIXTURE_KEEP, expectations=False)
+    return apply_expectations(stored(cleaned.select(*L.SCORED_COLS, *FIXTURE_KEEP), "cleaned"))
 
 
 @_memo
@@ -75,14 +103,19 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     return L.weekly_sentiment(insights(spark, sf))
 
 
-@_memo
+def delta_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(claims, weekly scores) that the comparison reads, over one stored silver."""
+    ins = insights_of(scored_of(stored_silver(spark, sf)))
+    return claims_of(ins), L.weekly_scores(ins)
+
+
 def delta(spark: SparkSession, sf: str) -> DataFrame:
-    return L.impact_delta(claims(spark, sf), weekly(spark, sf), as_of=AS_OF)
+    return L.impact_delta(*delta_inputs(spark, sf), as_of=AS_OF)
 
 
 @_memo
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return L.news_events(insights(spark, sf), ColumnResponder("event_answer"), as_of=AS_OF)
+    return events_of(insights(spark, sf))
 
 
 @_memo
