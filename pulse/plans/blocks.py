@@ -38,6 +38,14 @@ def audit_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def table_health(spark, sf):
+    """The row counts of the pipeline's tables, over one stored silver."""
+    silver = FP.stored_silver(spark, sf)
+    ins = FP.insights_of(FP.scored_of(silver))
+    return audit_counts({"silver_articles": silver, "article_insights": ins, "claims": FP.claims_of(ins),
+                         "news_events": FP.events_of(ins)})
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -200,9 +208,9 @@ def prompt_hashes(spark, sf):
 
 def delta_prompts(spark, sf):
     """The comparison's full and quick prompts as SHA-256 per claims theme and sentiment row."""
-    c = FP.claims(spark, sf)
+    c, weekly = FP.delta_inputs(spark, sf)
     stats = L._null_safe_join(L.claim_summary(c), L.claim_digest(c), L.THEME)
-    j = L.join_claims_sentiment(stats, L.sentiment_window(FP.weekly(spark, sf), FP.AS_OF))
+    j = L.join_claims_sentiment(stats, L.sentiment_window(weekly, FP.AS_OF))
     return j.select("esg_category", "sub_theme", "latest_week", "total_articles",
                     F.sha2(P.delta_prompt(), 256).alias("delta_prompt"),
                     F.sha2(P.quick_alignment_prompt(), 256).alias("quick_prompt"))
