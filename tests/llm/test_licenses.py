@@ -39,3 +39,27 @@ def test_notices_are_found_with_words_put_in_or_left_out(spark):
             (6, "Released under the GNU General Public License, version 2, licensed under the"), (7, " ".join(reversed(words)))]
     got = {r["doc_id"]: (r["labels"], r["n_base"]) for r in L.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (["gpl-3"], 0), 2: (["gpl-3"], 0), 3: (["gpl-3"], 0), 4: ([], 0), 5: ([], 0), 6: ([], 0), 7: ([], 0)}
+
+
+def test_texts_are_read_once(spark, scratch):
+    rows = list(enumerate(texts()))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{scratch}/documents")
+    found = L.license_labels(spark.read.parquet(f"{scratch}/documents"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(scratch in f for f in found.inputFiles()) and "regexp" not in plan and "MapInArrow" not in plan
+    assert sorted((r["doc_id"], r["n_base"]) for r in found.collect()) == [(d, brute(t)[1]) for d, t in rows]
+
+
+def test_grams_are_found_across_pieces_of_a_text():
+    rnd = random.Random(3)
+    for k in (1, 2, 3):
+        grams = [tuple(rnd.choice("abcd") for _ in range(k)) for _ in range(8)]
+        numbers = L.GramNumbers(grams, k)
+        assert len(set(zip(grams, numbers.of.tolist()))) == len(set(grams)) == len(set(numbers.of.tolist()))
+        for size in (0, 1, 2, 3, 40):
+            words = [rnd.choice("abcdx") for _ in range(size)]
+            want = [(i, dict(zip(grams, numbers.of.tolist()))[g]) for i in range(size - k + 1) if (g := tuple(words[i:i + k])) in grams]
+            for piece in (1, 7, 4 << 20):
+                n, at, number = numbers.find(" ".join(words).encode(), piece)
+                assert (n, list(zip(at.tolist(), number.tolist()))) == (size, want)
+    assert L.GramNumbers([], 3).find(b"a b c d")[0] == 4
