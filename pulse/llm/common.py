@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +104,19 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return out
 
 
+def text_slices(batch: pa.RecordBatch, at: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices that end where the texts of column ``at`` reach ``most`` bytes, so that what a task returns is never
+    held as a second batch of full size."""
+    lo = held = 0
+    for hi, size in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), 1):
+        held += size
+        if held >= most:
+            yield batch.slice(lo, hi - lo)
+            lo, held = hi, 0
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def word_pieces(data: bytes, size: int = 4 << 20):
     """Lists of the blank-separated words of ``data``, cut at blanks after ``size`` bytes each."""
     lo = 0

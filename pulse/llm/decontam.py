@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.llm.common import PLAIN_TABLE, saved
+from pulse.llm.common import PLAIN_TABLE, saved, text_slices
 
 WINDOW = 13
 COVERAGE = 20           # contaminated if COVERAGE * hit words >= words
@@ -198,7 +198,7 @@ def _scan(df: DataFrame, shard, window: int, text_col: str, finish=None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, text_at)):
             texts = batch.column(text_at).cast(pa.binary())
             spans, items = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist()
             words = []

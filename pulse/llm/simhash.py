@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.llm.common import SPACED_TABLE, free, saved, word_pieces
+from pulse.llm.common import SPACED_TABLE, free, saved, text_slices, word_pieces
 from pulse.llm.components import components
 
 SHINGLE = 3
@@ -69,7 +69,7 @@ def with_fingerprint(docs: DataFrame, name: str, *, text_col="text", shingle: in
     fields = [f for f in docs.schema.fields if keep_text or f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, at)):
             texts = batch.column(at).cast(pa.binary())
             prints = pa.array([fingerprint(t.as_py(), shingle) for t in texts], pa.int64())
             kept = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns)) if keep_text or i != at]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.llm.common import PLAIN_TABLE, crc_mod, id_text, saved
+from pulse.llm.common import PLAIN_TABLE, crc_mod, id_text, saved, text_slices
 
 SAMPLE_DOCS = 4000      # labelled documents of each label that training reads at most
 MIN_DOCS = 3            # toxic documents a feature must stand in to get a weight
@@ -180,7 +180,7 @@ def with_score(docs: DataFrame, model: ToxicityModel, name: str, *, text_col="te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         values = own.values()
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, at)):
             texts = batch.column(at).cast(pa.binary())
             scores = pa.array([own.score(t.as_py(), values) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
