@@ -8,6 +8,7 @@ own.  Biases start at the slots' corpus frequencies, so the untrained model is t
 from __future__ import annotations
 
 import heapq
+from math import prod
 
 import numpy as np
 
@@ -29,29 +30,62 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _log_prob(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the softmax of each row at one place; ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(at)), at]
+SAFE = 60.0         # e to the power of this, summed over a row, is far from the ends of float32
+
+
+def _exp_sums(x: np.ndarray) -> np.ndarray:
+    """``x`` becomes e to its power; returns the rows' sums."""
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _log_prob(x: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """The log of the softmax of each row at one place; ``x`` is overwritten.  The greatest of a row is taken off it first,
+    unless it is ``safe`` without."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(at)), at]
+    return own - np.log(_exp_sums(x))
 
 
-def _softmax_less(x: np.ndarray, at: np.ndarray, n: np.float32) -> np.ndarray:
+def _softmax_less(x: np.ndarray, at: np.ndarray, n: np.floating, safe: bool) -> np.ndarray:
     """The gradient of the mean of n negative log softmaxes; ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True) * n
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    x *= (1 / (_exp_sums(x) * n))[:, None]
     x[np.arange(len(at)), at] -= 1 / n
     return x
 
 
+def _is_safe(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit of the states ``h`` is above ``SAFE`` and none that is its row's greatest below -``SAFE``; the last axis of
+    ``bias`` is a row."""
+    if not bias.size:
+        return True
+    reach = np.abs(h).max(initial=0) * weights
+    return bool((bias + reach).max() < SAFE and (bias - reach).max(axis=-1).min() > -SAFE)
+
+
+FEW = 8             # rows of one sum that are added one by one, all sums at once
+
+
 def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ``rows`` in order, and the sum of their values."""
-    order = np.argsort(rows, kind="stable")
+    small = rows.astype(np.int16) if rows.max(initial=0) < 1 << 15 else rows       # a radix sort
+    order = np.argsort(small, kind="stable")
     own = rows[order]
     heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[heads], np.add.reduceat(values[order], heads, axis=0)
+    counts = np.diff(np.append(heads, len(own)))
+    values = values[order]
+    sums = values[heads]
+    for j in range(1, FEW):
+        more = np.flatnonzero((counts > j) & (counts <= FEW))
+        sums[more] += values[heads[more] + j]
+    ones = np.ones(counts.max(initial=0), values.dtype)
+    for i in np.flatnonzero(counts > FEW).tolist():
+        lo, n = heads[i], counts[i]
+        np.matmul(ones[:n], values[lo:lo + n], out=sums[i])
+    return own[heads], sums
 
 
 class GatedModel:
@@ -66,6 +100,8 @@ class GatedModel:
         table = padded.reshape(self.classes, CLASS_WORDS)
         mass = np.concatenate([table.sum(axis=1), rare_counts + 1.0])
 
+        self.spaces: dict[str, np.ndarray] = {}
+
         def small(*shape):
             return (rnd.standard_normal(shape) * 0.1).astype(np.float32)
         with np.errstate(divide="ignore"):
@@ -86,37 +122,79 @@ class GatedModel:
     def class_of(self, slots: np.ndarray) -> np.ndarray:
         return np.where(slots < self.words, slots // CLASS_WORDS, slots - self.words + self.classes)
 
-    def step(self, h: np.ndarray, x: np.ndarray):
-        """One token of every lane; returns the new state and what backpropagation needs."""
+    def step(self, h: np.ndarray, x: np.ndarray, after: np.ndarray | None = None):
+        """One token of every lane; returns the new state (in ``after``, if given) and the gates (till the next step).
+
+        States are rows, but lie in memory with a lane a column: every operation then runs over whole lines of lanes."""
+        k, n = self.hidden, len(x)
+        rows, a, b = self._space("rows", n, 3 * k), self._space("a", 3 * k, n), self._space("b", 3 * k, n)
+        np.take(self.p["inputs"], x, axis=0, out=rows, mode="clip")
+        np.copyto(a, rows.T)
+        after = np.empty((k, n), a.dtype) if after is None else after
+        self._advance(self.p["recur"].T, h.T, a, b, after)
+        return after.T, a
+
+    def _advance(self, recur: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray, after: np.ndarray) -> None:
+        """``after`` the token whose inputs are ``a``, which becomes the gates; ``b`` the part of the state ``h``."""
         k = self.hidden
-        a, b = self.p["inputs"][x], h @ self.p["recur"]
-        gates = _sigmoid(a[:, :2 * k] + b[:, :2 * k])
-        keep, reset = gates[:, :k], gates[:, k:]
-        new = np.tanh(a[:, 2 * k:] + reset * b[:, 2 * k:])
-        return new + keep * (h - new), (h, keep, reset, new, b[:, 2 * k:])
+        np.matmul(recur, h, out=b)
+        gates, new = a[:2 * k], a[2 * k:]
+        gates += b[:2 * k]
+        _sigmoid(gates)
+        np.multiply(gates[k:], b[2 * k:], out=after)
+        new += after
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=after)
+        after *= gates[:k]
+        after += new
+
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """An array kept for the next window: new memory would cost as much as filling it."""
+        kind, size = self.p["inputs"].dtype, prod(shape)
+        held = self.spaces.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.spaces[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
 
     def log_probs(self, h: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Natural log P(slot | state) of each row."""
         out = np.empty(len(slots))
+        safe_class, safe_word = self._safe(h)
         for lo in range(0, len(slots), ROWS):
-            rows, at = h[lo:lo + ROWS], slots[lo:lo + ROWS]
-            cls = self.class_of(at)
-            logits = rows @ self.p["out_class"]
-            logits += self.p["bias_class"]
-            part = _log_prob(logits, cls).astype(float)
-            for c, where in self._by_class(cls):
-                inner = rows[where] @ self.p["out_word"][c].T
-                inner += self.p["bias_word"][c]
-                part[where] += _log_prob(inner, at[where] % CLASS_WORDS)
-            out[lo:lo + ROWS] = part
+            order, cls, edges = self._by_class(slots[lo:lo + ROWS])
+            rows, at = h[lo + order], slots[lo + order]
+            logits = self._class_logits(rows)
+            part = _log_prob(logits, cls, safe_class).astype(float)
+            words = edges[-1][2] if edges else 0
+            part[:words] += _log_prob(self._word_logits(rows, edges, words), at[:words] % CLASS_WORDS, safe_word)
+            out[lo + order] = part
         return out
 
-    def _by_class(self, cls: np.ndarray):
-        """(class, its rows) of every word class."""
+    def _safe(self, h: np.ndarray) -> tuple[bool, bool]:
+        p = self.p
+        return (_is_safe(h, np.abs(p["out_class"]).sum(axis=0), p["bias_class"]),
+                _is_safe(h, np.abs(p["out_word"]) @ np.ones(self.hidden, p["out_word"].dtype), p["bias_word"]))
+
+    def _by_class(self, slots: np.ndarray):
+        """The rows' order by class, their classes in it, and (class, first, end) of every word class; these come first."""
+        cls = self.class_of(slots)
         order = np.argsort(cls.astype(np.int16), kind="stable")     # a radix sort; classes are few
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(edges[1:] > edges[:-1]):
-            yield c, order[edges[c]:edges[c + 1]]
+        cls = cls[order]
+        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        return order, cls, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+    def _class_logits(self, h: np.ndarray) -> np.ndarray:
+        out = np.matmul(h, self.p["out_class"], out=self._space("classes", len(h), self.classes + self.rare))
+        out += self.p["bias_class"]
+        return out
+
+    def _word_logits(self, h: np.ndarray, edges: list[tuple[int, int, int]], words: int) -> np.ndarray:
+        """Of every word row, in the order of ``_by_class``: the logits of its class."""
+        out = self._space("words", words, CLASS_WORDS)
+        for c, a, b in edges:
+            np.matmul(h[a:b], self.p["out_word"][c].T, out=out[a:b])
+            out[a:b] += self.p["bias_word"][c]
+        return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each slot sequence, the state carried through the whole of it."""
@@ -128,19 +206,21 @@ class GatedModel:
         ends = np.cumsum(sizes[order])
         begins, rising = ends - sizes[order], np.sort(sizes)
         stream = np.concatenate([docs[i] for i in order])
-        state = np.zeros((len(docs), self.hidden), np.float32)
+        state = np.zeros((self.hidden, len(docs)), np.float32).T
         last = np.full(len(docs), self.start)
-        for lo in range(0, int(sizes.max()), WINDOW):
-            states, targets, lanes = [], [], []
-            for t in range(lo, min(lo + WINDOW, int(sizes.max()))):
-                n = len(docs) - int(np.searchsorted(rising, t, side="right"))     # lanes that have a token t
-                state[:n], _ = self.step(state[:n], last[:n])
-                last[:n] = stream[begins[:n] + t]
-                states.append(state[:n].copy())
-                targets.append(last[:n].copy())
-                lanes.append(np.arange(n))
-            lanes = np.concatenate(lanes)
-            total += np.bincount(lanes, self.log_probs(np.concatenate(states), np.concatenate(targets)), len(docs))
+        longest, held = int(sizes.max()), 0
+        states = self._space("states", ROWS + len(docs), self.hidden)
+        targets, lanes = (np.empty(ROWS + len(docs), np.int64) for _ in range(2))
+        for t, n in enumerate((len(docs) - np.searchsorted(rising, np.arange(longest), side="right")).tolist()):
+            # n lanes have a token t
+            state, _ = self.step(state[:n], last[:n], self._space(f"after {t % 2}", self.hidden, n))
+            last = stream[begins[:n] + t]
+            here = slice(held, held + n)
+            states[here], targets[here], lanes[here] = state, last, np.arange(n)
+            held += n
+            if held >= ROWS or t + 1 == longest:
+                total += np.bincount(lanes[:held], self.log_probs(states[:held], targets[:held]), len(docs))
+                held = 0
         out = np.empty_like(total)
         out[order] = total
         return out
@@ -174,84 +254,98 @@ class GatedModel:
         streams = [np.concatenate(s) if s else np.zeros(0, np.int64) for s in streams]
         streams.sort(key=len, reverse=True)
         sizes = np.array([len(s) for s in streams])
+        tokens = np.full((lanes, -(-int(sizes.max(initial=0)) // WINDOW) * WINDOW), -2)     # -2: the lane has ended
+        for lane, s in enumerate(streams):
+            tokens[lane, :len(s)] = s
         state = np.zeros((lanes, self.hidden), np.float32)
         last = np.full(lanes, self.start)
-        for lo in range(0, int(sizes.max(initial=0)), WINDOW):
+        every = tokens
+        for lo in range(0, every.shape[1], WINDOW):
             live = int((sizes > lo).sum())
-            tokens = np.full((live, WINDOW), -2)            # -2: the lane has ended
-            for lane in range(live):
-                part = streams[lane][lo:lo + WINDOW]
-                tokens[lane, :len(part)] = part
+            tokens = every[:live, lo:lo + WINDOW]
             grads, state, last = self._window(tokens, state[:live], last[:live])
             share = np.float32((tokens >= 0).sum() / (lanes * WINDOW))
             for k, g in grads.items():
-                if isinstance(g, tuple):                    # rows of a table
-                    rows, g = g
-                    squares[k][rows] += g * g
-                    self.p[k][rows] -= share * rate * g / np.sqrt(squares[k][rows])
-                else:
-                    squares[k] += g * g
-                    self.p[k] -= share * rate * g / np.sqrt(squares[k])
+                rows, g = g if isinstance(g, tuple) else (slice(None), g)       # rows of a table, or all
+                own = squares[k][rows]
+                own += g * g
+                squares[k][rows] = own
+                g *= share * rate
+                g /= np.sqrt(own)
+                self.p[k][rows] -= g
 
     def _window(self, tokens: np.ndarray, state: np.ndarray, last: np.ndarray):
-        k, p, steps = self.hidden, self.p, []
-        for t in range(tokens.shape[1]):
-            target = tokens[:, t]
-            opens = target == -1
-            if opens.any():
-                state = np.where(opens[:, None], np.float32(0), state)
-                last = np.where(opens, self.start, last)
-            live = np.flatnonzero(target >= 0)
-            new, cache = self.step(state[live], last[live])
-            state = state.copy()
-            state[live] = new
-            steps.append((live, last[live], cache, new, target[live], opens))
-            last = np.where(target >= 0, target, last)
-        h = np.concatenate([s[3] for s in steps])
-        slots = np.concatenate([s[4] for s in steps])
-        cls, n = self.class_of(slots), np.float32(max(1, len(slots)))
-        d_class = h @ p["out_class"]
-        d_class += p["bias_class"]
-        d_class = _softmax_less(d_class, cls, n)
+        """(gradients, state, last token) of every lane; -1: a document starts, -2: the lane has ended."""
+        k, p, targets = self.hidden, self.p, np.ascontiguousarray(tokens.T)
+        size, lanes = targets.shape
+        opens = targets == -1           # the state starts anew: what such a lane computes in this step counts for nothing
+        opening = opens.any(axis=1)
+        said = np.where(targets < 0, self.start, targets)
+        fed = np.concatenate([last[None], said[:-1]])
+        rows = self._space("rows", size * lanes, 3 * k)
+        np.take(p["inputs"], fed.ravel(), axis=0, out=rows, mode="clip")
+        by_lane = rows.reshape(size, lanes, 3 * k).transpose(0, 2, 1)
+        a, b = (self._space(name, size, 3 * k, lanes) for name in "ab")         # lanes along the last axis
+        np.copyto(a, by_lane)
+        states, recur = self._space("states", size + 1, k, lanes), np.ascontiguousarray(p["recur"].T)
+        states[0] = state.T
+        for t in range(size):
+            self._advance(recur, states[t], a[t], b[t], states[t + 1])
+            if opening[t]:
+                states[t + 1][:, opens[t]] = 0
+        live = np.flatnonzero(targets.ravel() >= 0)
+        order, cls, edges = self._by_class(targets.ravel()[live])
+        place = live[order]             # of every row, sorted by class, among all steps' lanes
+        every = self._space("every", size, lanes, k)
+        np.copyto(every, states[1:].transpose(0, 2, 1))
+        every = every.reshape(size * lanes, k)
+        h, slots, n = every[place], targets.ravel()[place], every.dtype.type(max(1, len(live)))
+        safe_class, safe_word = self._safe(h)
+        d_class = _softmax_less(self._class_logits(h), cls, n, safe_class)
         d_h = d_class @ p["out_class"].T
-        seen, d_out, d_bias = [], [], []
-        for c, where in self._by_class(cls):
-            own = h[where]
-            d = own @ p["out_word"][c].T
-            d += p["bias_word"][c]
-            d = _softmax_less(d, slots[where] % CLASS_WORDS, n)
-            seen.append(c)
-            d_out.append(d.T @ own)
-            d_bias.append(d.sum(axis=0))
-            d_h[where] += d @ p["out_word"][c]
-        grads = {"out_class": h.T @ d_class, "bias_class": d_class.sum(axis=0)}
-        if seen:
-            grads |= {"out_word": (np.array(seen), np.stack(d_out)), "bias_word": (np.array(seen), np.stack(d_bias))}
-        xs, carry, at = [], np.zeros_like(state), len(h)
-        d_a_all = np.empty((len(h), 3 * k), np.float32)
-        befores, d_bs = np.empty_like(h), np.empty_like(d_a_all)
-        back = p["recur"].T.copy()
-        for live, x, (before, keep, reset, new, b_new), _, _, opens in reversed(steps):
-            at -= len(live)
-            every = len(live) == len(carry)
-            here = slice(at, at + len(live))
-            d = d_h[here]
-            d += carry if every else carry[live]
-            d_a, d_b = d_a_all[here], d_bs[here]
-            np.multiply(d * (before - new), keep * (1 - keep), out=d_a[:, :k])
-            np.multiply(d * (1 - keep), 1 - new * new, out=d_a[:, 2 * k:])
-            np.multiply(d_a[:, 2 * k:] * b_new, reset * (1 - reset), out=d_a[:, k:2 * k])
-            d_b[:, :2 * k] = d_a[:, :2 * k]
-            np.multiply(d_a[:, 2 * k:], reset, out=d_b[:, 2 * k:])
-            befores[here] = before
-            xs.append(x)
-            d *= keep
-            d += d_b @ back
-            if every:
-                carry = d
-            else:
-                carry[live] = d
-            carry[opens] = 0
-        d_recur = befores.T @ d_bs
-        grads |= {"recur": d_recur, "inputs": _row_sums(np.concatenate(xs[::-1]), d_a_all)}
-        return grads, state, last
+        ones = np.ones(len(h), h.dtype)
+        grads = {"out_class": h.T @ d_class, "bias_class": ones @ d_class}
+        if edges:
+            words = edges[-1][2]
+            d_word = _softmax_less(self._word_logits(h, edges, words), slots[:words] % CLASS_WORDS, n, safe_word)
+            d_out, d_bias = np.empty((len(edges), CLASS_WORDS, k), h.dtype), np.empty((len(edges), CLASS_WORDS), h.dtype)
+            for i, (c, lo, hi) in enumerate(edges):
+                np.matmul(d_word[lo:hi].T, h[lo:hi], out=d_out[i])
+                np.matmul(ones[lo:hi], d_word[lo:hi], out=d_bias[i])
+                d_h[lo:hi] += d_word[lo:hi] @ p["out_word"][c]
+            seen = np.array([c for c, _, _ in edges])
+            grads |= {"out_word": (seen, d_out), "bias_word": (seen, d_bias)}
+        every[:] = 0
+        every[place] = d_h
+        d_h = self._space("d_h", size, k, lanes)
+        np.copyto(d_h, every.reshape(size, lanes, k).transpose(0, 2, 1))
+        keep, reset, new, before = a[:, :k], a[:, k:2 * k], a[:, 2 * k:], states[:-1]
+        rest, by_keep, by_reset, by_new, d_new = (self._space(name, size, k, lanes) for name in ("rest", "keep", "reset", "new", "d_new"))
+        np.subtract(1, keep, out=rest)
+        np.subtract(before, new, out=by_keep)
+        by_keep *= keep
+        by_keep *= rest
+        np.multiply(new, new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= rest
+        np.subtract(1, reset, out=by_reset)
+        by_reset *= reset
+        by_reset *= b[:, 2 * k:]
+        d_b, carry = b, np.zeros_like(d_h[0])       # over what is no longer needed
+        for t in range(size - 1, -1, -1):
+            d, db, dn = d_h[t], d_b[t], d_new[t]
+            d += carry
+            if opening[t]:
+                d[:, opens[t]] = 0
+            np.multiply(d, by_keep[t], out=db[:k])
+            np.multiply(d, by_new[t], out=dn)
+            np.multiply(dn, by_reset[t], out=db[k:2 * k])
+            np.multiply(dn, reset[t], out=db[2 * k:])
+            np.matmul(p["recur"], db, out=carry)
+            d *= keep[t]
+            carry += d
+        d_recur = np.matmul(before, d_b.transpose(0, 2, 1)).sum(axis=0)
+        np.copyto(by_lane[:, :2 * k], d_b[:, :2 * k])
+        np.copyto(by_lane[:, 2 * k:], d_new)
+        grads |= {"recur": d_recur, "inputs": _row_sums(fed.ravel(), rows)}
+        return grads, states[-1].T.copy(), said[-1].copy()

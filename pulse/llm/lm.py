@@ -23,11 +23,9 @@ Only id and text are read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from copy import copy
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import SPACED_TABLE, ascii_lower, crc_mod, id_text, saved, word_pieces
+from pulse.llm.common import SPACED_TABLE, crc_mod, id_text, saved
 from pulse.llm.gru import GatedModel
 
 WORDS = 4096            # slots of single words
@@ -46,6 +44,8 @@ TRAINER_TOKENS = 4_000_000      # tokens of the corpus a training task
 MAX_TRAINERS = 1024     # and so many tasks at most: each one's weights are averaged
 BLOCK = 1 << 14         # weights averaged as one row
 BATCH_BYTES = 16 << 20  # texts scored side by side
+CHUNK_BYTES = 2 << 20   # texts whose words are looked up at once
+COUNT_BYTES = 8 << 20   # texts whose words are counted at once
 END = b""               # the end token; no word is empty
 
 
@@ -58,13 +58,50 @@ def not_held_out(doc_id: Column) -> Column:
     return crc_mod(doc_id, 7) != 2
 
 
+def _chunks(texts: pa.Array, most: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(row, text in lower case with plain blanks) of texts of about ``most`` bytes together; longer ones are cut at blanks."""
+    rows, parts, held = [], [], 0
+    for row, text in enumerate(texts):
+        data, lo = (text.as_py() or b"").translate(SPACED_TABLE), 0
+        while lo < len(data):
+            hi = data.find(b" ", lo + most) if lo + most < len(data) else -1
+            hi = len(data) if hi < 0 else hi
+            rows.append(row)
+            parts.append(data[lo:hi])
+            held, lo = held + hi - lo, hi
+            if held >= most:
+                yield rows, parts
+                rows, parts, held = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def _words(parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all parts, and the number of them in each."""
+    data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    inner = data != 32
+    first = np.flatnonzero(inner[1:] & ~inner[:-1]) + 1
+    end = np.flatnonzero(inner[:-1] & ~inner[1:]) + 1
+    offsets = np.zeros(len(first) + 1, np.int32)
+    np.cumsum(end - first, out=offsets[1:])
+    begins = np.cumsum([1, *(len(p) + 1 for p in parts)])
+    each = np.diff(np.searchsorted(first, begins))
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[inner])]), each
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> the distinct words of each chunk, with their numbers."""
+    for batch in batches:
+        for _, parts in _chunks(batch.column(0).cast(pa.binary()), COUNT_BYTES):
+            found = pc.value_counts(_words(parts)[0])
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "count"])
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(word as binary, count) of all tokens of the column ``text``, each text's end included; stored."""
-    words = F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")
-    each = texts.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(
-        F.count(F.lit(1)).alias("count"))
-    ends = texts.agg(F.count(F.lit(1)).alias("count")).where("count > 0").select(F.lit("").alias("word"), "count")
-    return saved(each.union(ends).select(F.col("word").cast("binary").alias("word"), "count"), "counts")
+    each = texts.select("text").mapInArrow(_count_words, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    ends = texts.agg(F.count(F.lit(1)).alias("count")).where("count > 0").select(F.lit(END).alias("word"), "count")
+    return saved(each.union(ends), "counts")
 
 
 @dataclass
@@ -106,40 +143,80 @@ def statistics(counts: DataFrame, *, words: int = WORDS, rare: int = RARE, known
     return Statistics(whole[0], whole[1], top, tokens, distinct, words)
 
 
+# what a byte adds to a checksum: crc32 of one byte, without the first and last complement
+_CRC_TABLE = ~np.array([zlib.crc32(bytes([i ^ 255])) for i in range(256)], np.uint32) ^ np.uint32(0xFFFFFF)
+
+
+def rare_classes(words: pa.Array, rare: int) -> np.ndarray:
+    """``rare_class`` of many words."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes, ends, crc = np.diff(offsets), offsets[1:], np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        has = np.flatnonzero(sizes >= back)
+        old = crc[has]
+        crc[has] = _CRC_TABLE[(old ^ data[ends[has] - back]) & 255] ^ (old >> 8)
+    return (~crc % np.uint32(rare)).astype(np.int64)
+
+
 class Scorer:
     """What a task needs to score documents, but for the counts of words beyond ``Statistics.top``."""
 
     def __init__(self, stats: Statistics, model: GatedModel):
-        self.index = {w: i for i, (w, _) in enumerate(stats.top)}
-        counts = np.array([c for _, c in stats.top], float)
+        self.top = pa.array([w for w, _ in stats.top], pa.binary())
         self.rare, self.words, self.model = len(stats.rare_tokens), stats.words, model
-        self.base_total = np.log10(stats.tokens + stats.distinct + 1)
         self.rare_total = np.log10(stats.rare_tokens + stats.rare_distinct + 1)
-        self.log_count = np.log10(counts + 1)
-        self.rare_of = np.array([rare_class(w, self.rare) for w, _ in stats.top], np.int64)
-
-    def encode(self, text: bytes | None) -> tuple[np.ndarray, float, float, int, Counter]:
-        """(slots, base and score so far, tokens with a broadcast count, other words) of one whole text."""
-        slots, base, score, known, others = [], 0.0, 0.0, 0, Counter()
-        for words in [*word_pieces((text or b"").translate(SPACED_TABLE)), [END]]:
-            codes = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-            have = codes >= 0
-            at = codes[have]
-            known += len(at)
-            base += self.log_count[at].sum() - len(words) * self.base_total
-            slot = np.empty(len(words), np.int64)
-            slot[have] = np.where(at < self.words, at, self.words + self.rare_of[at])
-            beyond = at[at >= self.words]
-            score += (self.log_count[beyond] - self.rare_total[self.rare_of[beyond]]).sum()
-            missing = np.flatnonzero(~have).tolist()
-            if missing:
-                unseen = [words[i] for i in missing]
-                cls = np.array([rare_class(w, self.rare) for w in unseen])
-                slot[missing] = self.words + cls
-                score -= self.rare_total[cls].sum()
-                others.update(unseen)
-            slots.append(slot)
-        return np.concatenate(slots), base, score, known, others
+        logs = np.log10(np.array([c for _, c in stats.top], float) + 1)
+        rare_of = rare_classes(self.top, self.rare)
+        # of every word of ``top``, and at the end of all others: what it adds to the base and to the score, its slot
+        at = np.arange(len(logs))
+        self.base_of = np.append(logs, 0.0) - np.log10(stats.tokens + stats.distinct + 1)
+        self.score_of = np.append(np.where(at < self.words, 0.0, logs - self.rare_total[rare_of]), 0.0)
+        self.slot_of = np.append(np.where(at < self.words, at, self.words + rare_of), 0)
+
+    def _look_up(self, words: pa.Array):
+        """(slot, base, score) of every word, and the places of those without a broadcast count."""
+        codes = pc.fill_null(pc.index_in(words, value_set=self.top), -1).to_numpy()
+        slots, base, score = self.slot_of[codes], self.base_of[codes], self.score_of[codes]
+        unseen = np.flatnonzero(codes < 0)
+        cls = rare_classes(words.take(pa.array(unseen)), self.rare)
+        slots[unseen] = self.words + cls
+        score[unseen] = -self.rare_total[cls]
+        return slots, base, score, unseen
+
+    def encode(self, texts: pa.Array):
+        """Of whole texts: their slots, base and score so far, tokens with a broadcast count, and (row, word, times) of other words."""
+        n = len(texts)
+        (end,), end_base, end_score, end_unseen = self._look_up(pa.array([END], pa.binary()))
+        slots = [[] for _ in range(n)]
+        base, score, known = np.full(n, end_base[0]), np.full(n, end_score[0]), np.full(n, 1 - len(end_unseen))
+        others = []
+        for rows, parts in _chunks(texts, CHUNK_BYTES):
+            words, each = _words(parts)
+            own, word_base, word_score, unseen = self._look_up(words)
+            row = np.repeat(rows, each)
+            base += np.bincount(row, word_base, n)
+            score += np.bincount(row, word_score, n)
+            known += np.bincount(row, minlength=n) - np.bincount(row[unseen], minlength=n)
+            for r, part in zip(rows, np.split(own, np.cumsum(each)[:-1])):
+                slots[r].append(part)
+            if len(unseen):
+                pairs = pa.table({"row": row[unseen], "word": words.take(pa.array(unseen))})
+                others.append(pairs.group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]))
+        return [np.append(np.concatenate([*s, np.zeros(0, np.int64)]), end) for s in slots], base, score, known, others
+
+
+def _listed(others: list[pa.Table], n: int) -> pa.Array:
+    """Of every row its other words, as a list of (word, times)."""
+    kind = pa.struct([("word", pa.binary()), ("times", pa.int64())])
+    if not others:
+        return pa.array([[]] * n, pa.list_(kind))
+    every = pa.concat_tables(others).combine_chunks()
+    row = every.column("row").to_numpy()
+    order = np.argsort(row, kind="stable")
+    own = every.take(pa.array(order))
+    pairs = pa.StructArray.from_arrays([own.column("word").combine_chunks(), own.column("count_all").combine_chunks()], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)), pa.int32()), pairs)
 
 
 def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -163,7 +240,7 @@ def _train(scorer, start):
         for batch in batches:
             texts = batch.column(0).cast(pa.binary())
             for lo, hi in _portions(texts):
-                slots = [own.encode(t.as_py())[0] for t in texts.slice(lo, hi - lo)]
+                slots = own.encode(texts.slice(lo, hi - lo))[0]
                 model.train(slots, squares=squares)
                 tokens += sum(map(len, slots))
         if tokens:
@@ -244,15 +321,13 @@ def _score(scorer):
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             for lo, hi in _portions(texts):
-                coded = [own.encode(t.as_py()) for t in texts.slice(lo, hi - lo)]
-                slots, base, score, known, others = zip(*coded)
-                score = np.array(score) + own.model.score(list(slots)) / np.log(10)
+                slots, base, score, known, others = own.encode(texts.slice(lo, hi - lo))
+                score += own.model.score(slots) / np.log(10)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                     pa.array(list(map(len, slots)), pa.int64()), pa.array(known, pa.int64()),
                     pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                    pa.array([[{"word": w, "times": n} for w, n in sorted(o.items())] for o in others],
-                             pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
+                    _listed(others, hi - lo)],
                     ["row", "doc_id", "n_tokens", "known", "base", "score", "others"])
 
     return run

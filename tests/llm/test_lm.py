@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,54 @@ def test_row_sums_are_those_of_add_at():
     table = np.zeros((9, 3), np.float32)
     np.add.at(table, rows, values)
     assert seen.tolist() == sorted(set(rows.tolist())) and np.allclose(table[seen], sums, atol=1e-5)
+
+
+def test_words_are_counted_and_coded_the_same_whatever_the_chunks(spark, monkeypatch):
+    docs = corpus(60)
+    df = spark.createDataFrame(docs, DDL)
+    want = Counter(w.encode() for _, t in docs for w in split(t))
+    counts = lm.token_counts(df)
+    assert {bytes(r["word"]): r["count"] for r in counts.collect()} == want
+    stats = lm.statistics(counts, words=40, rare=8, known=100)
+    scorer = lm.Scorer(stats, GatedModel(np.array([c for _, c in stats.top[:40]], float), stats.rare_tokens))
+    texts = pa.array([t for _, t in docs]).cast(pa.binary())
+    top, found = [w for w, _ in stats.top], []
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(lm, "CHUNK_BYTES", size)
+        found.append(scorer.encode(texts))
+    for slots, base, score, known, others in found:
+        for (_, t), own, n in zip(docs, slots, known):
+            words = [w.encode() for w in split(t)]
+            at = [top.index(w) if w in top else -1 for w in words]
+            assert own.tolist() == [i if 0 <= i < 40 else 40 + lm.rare_class(w, 8) for i, w in zip(at, words)]
+            assert n == sum(i >= 0 for i in at)
+        assert base == pytest.approx(found[0][1]) and score == pytest.approx(found[0][2])
+        seen = Counter()
+        for row, pairs in enumerate(lm._listed(others, len(docs)).to_pylist()):
+            for p in pairs:
+                seen[row, p["word"]] += p["times"]
+        assert seen == Counter((row, w.encode()) for row, (_, t) in enumerate(docs) for w in split(t) if w.encode() not in top)
+
+
+def test_rare_classes_are_those_of_each_word():
+    rnd = random.Random(6)
+    words = [bytes(rnd.randrange(256) for _ in range(rnd.randrange(7))) for _ in range(500)]
+    assert lm.rare_classes(pa.array(words, pa.binary())[3:], 7).tolist() == [lm.rare_class(w, 7) for w in words[3:]]
+
+
+def test_windows_reuse_their_memory_and_large_logits_are_kept_in_range():
+    rnd = np.random.default_rng(5)
+    model = GatedModel(rnd.integers(1, 50, 100).astype(float), np.ones(3))
+    docs = [rnd.integers(0, 103, 60) for _ in range(30)]
+    model.train(docs)
+    held = dict(model.spaces)
+    model.train(docs)
+    assert held and all(model.spaces[k] is v for k, v in held.items())
+    states = rnd.standard_normal((40, model.hidden)).astype(np.float32)
+    slots = rnd.integers(0, 103, 40)
+    plain = model.log_probs(states, slots)
+    for name in ("bias_class", "bias_word"):
+        model.p[name] += 300            # a softmax is the same with any number added to a row
+    assert model.log_probs(states, slots) == pytest.approx(plain, abs=1e-3)
+    every = model.log_probs(np.repeat(states[:1], 103, axis=0), np.arange(103))
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-3)
